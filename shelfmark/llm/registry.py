@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat, nearest, sharding
+from shelfmark.llm import chat, jaccard, nearest, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
-QUERIES = {"op1_shards": op1_shards, "op2_chat": op2_chat, "op5_nearest": op5_nearest}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+QUERIES = {"op1_shards": op1_shards, "op2_chat": op2_chat, "op5_nearest": op5_nearest, "op10_jaccard": op10_jaccard}
 
 ORACLES: dict[str, str] = {}
