@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat, jaccard, nearest, sharding
+from shelfmark.llm import chat, hmm, jaccard, nearest, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +28,19 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def _fold(n: int) -> Column:
+    """crc32(doc_id as text) mod n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_table(spark, sf_dir, "documents"), _fold(7) != 2)
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {"op1_shards": op1_shards, "op2_chat": op2_chat, "op5_nearest": op5_nearest, "op10_jaccard": op10_jaccard}
+QUERIES = {"op1_shards": op1_shards, "op2_chat": op2_chat, "op5_nearest": op5_nearest, "op6_hmm": op6_hmm, "op10_jaccard": op10_jaccard}
 
 ORACLES: dict[str, str] = {}
