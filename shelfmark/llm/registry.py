@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat, hmm, jaccard, nearest, sharding
+from shelfmark.llm import bpe, chat, hmm, jaccard, nearest, packing, sharding, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digest(chat.prefix_target_examples(turns.unionByName(extra)))
 
 
+def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.read_documents(wavelet.write_shards(_table(spark, sf_dir, "documents"), bpe.tokenizer_path(), end_id=2))
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -37,10 +41,14 @@ def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(_table(spark, sf_dir, "documents"), _fold(7) != 2)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), bpe.tokenizer_path(), capacity=1024, end_id=2)
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {"op1_shards": op1_shards, "op2_chat": op2_chat, "op5_nearest": op5_nearest, "op6_hmm": op6_hmm, "op10_jaccard": op10_jaccard}
+QUERIES = {"op1_shards": op1_shards, "op2_chat": op2_chat, "op3_wavelet": op3_wavelet, "op5_nearest": op5_nearest, "op6_hmm": op6_hmm, "op8_packing": op8_packing, "op10_jaccard": op10_jaccard}
 
 ORACLES: dict[str, str] = {}
