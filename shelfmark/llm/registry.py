@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, chat, hmm, jaccard, nearest, packing, sharding, wavelet
+from shelfmark.llm import bpe, chat, hmm, jaccard, langid, nearest, packing, sharding, toxicity, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +37,20 @@ def _fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"), _fold(3) != 1)
+    return scored.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(_table(spark, sf_dir, "documents"), _fold(7) != 2)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.predict(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _fold(5) != 0)
+    return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), bpe.tokenizer_path(), capacity=1024, end_id=2)
 
@@ -49,6 +59,6 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {"op1_shards": op1_shards, "op2_chat": op2_chat, "op3_wavelet": op3_wavelet, "op5_nearest": op5_nearest, "op6_hmm": op6_hmm, "op8_packing": op8_packing, "op10_jaccard": op10_jaccard}
+QUERIES = {"op1_shards": op1_shards, "op2_chat": op2_chat, "op3_wavelet": op3_wavelet, "op4_toxicity": op4_toxicity, "op5_nearest": op5_nearest, "op6_hmm": op6_hmm, "op7_language": op7_language, "op8_packing": op8_packing, "op10_jaccard": op10_jaccard}
 
 ORACLES: dict[str, str] = {}
