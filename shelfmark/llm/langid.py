@@ -106,16 +106,16 @@ def posteriors(model: Model, texts: list) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, is_training: Column) -> DataFrame:
-    """The rows of ``docs`` (text, lang and others) with lang_pred and score, learnt from rows where ``is_training`` holds and lang is not null.
+def predict(docs: DataFrame, is_training: Column, pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """The rows of ``docs`` (text, lang and others) with ``pred_col`` and ``score_col``, learnt from rows where ``is_training`` holds and lang is not null.
 
-    lang_pred is ``und`` with score 0 where a text is null or has no letter, or where nothing could be learnt. Else it is
+    The prediction is ``und`` with score 0 where a text is null or has no letter, or where nothing could be learnt. Else it is
     the likeliest learned language (the first in alphabetical order of equally likely ones) and its probability. Columns
     of these names in ``docs`` are replaced; a null ``is_training`` is not training; repeated rows count each; texts of
     any length count whole; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(pred_col, score_col)
     model = spark.sparkContext.broadcast(train(docs.where(is_training & F.col("lang").isNotNull()).select("text", "lang")))
 
     def run(batches):
@@ -129,6 +129,6 @@ def predict(docs: DataFrame, is_training: Column) -> DataFrame:
                 for i, text in enumerate(texts):
                     if text and any(map(str.isalpha, text)):
                         pred[i], score[i] = now.languages[best[i]], p[i, best[i]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], [*batch.schema.names, pred_col, score_col])
 
-    return docs.mapInArrow(run, docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
+    return docs.mapInArrow(run, docs.withColumns({pred_col: F.lit(""), score_col: F.lit(0.0)}).schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, chat, hmm, jaccard, langid, nearest, packing, sharding, toxicity, wavelet
+from shelfmark.llm import bpe, chat, decontamination, hmm, jaccard, langid, nearest, packing, sharding, toxicity, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +55,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), bpe.tokenizer_path(), capacity=1024, end_id=2)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {"op1_shards": op1_shards, "op2_chat": op2_chat, "op3_wavelet": op3_wavelet, "op4_toxicity": op4_toxicity, "op5_nearest": op5_nearest, "op6_hmm": op6_hmm, "op7_language": op7_language, "op8_packing": op8_packing, "op10_jaccard": op10_jaccard}
+QUERIES = {"op1_shards": op1_shards, "op2_chat": op2_chat, "op3_wavelet": op3_wavelet, "op4_toxicity": op4_toxicity, "op5_nearest": op5_nearest, "op6_hmm": op6_hmm, "op7_language": op7_language, "op8_packing": op8_packing, "op9_decontamination": op9_decontamination, "op10_jaccard": op10_jaccard}
 
 ORACLES: dict[str, str] = {}

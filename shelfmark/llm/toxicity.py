@@ -203,9 +203,9 @@ def train(rows: DataFrame) -> Model:
     return fit(sample["text"].to_pylist(), sample["toxic"].to_numpy().astype(np.int64))
 
 
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column score: 0 to 1, higher where toxic is likelier; a text without words has the lowest score there is."""
-    docs = docs.drop("score")
+def score_texts(docs: DataFrame, model: Model, score_col: str = "score") -> DataFrame:
+    """``docs`` with a column ``score_col``: 0 to 1, higher where toxic is likelier; a text without words has the lowest score there is."""
+    docs = docs.drop(score_col)
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches):
@@ -214,18 +214,18 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             _scorers[name] = Scorer(shared.value)
         for batch in batches:
             s = _scorers[name].scores(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], [*batch.schema.names, score_col])
 
-    return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)
+    return docs.mapInArrow(run, docs.withColumn(score_col, F.lit(0.0)).schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, is_training: Column) -> DataFrame:
-    """The rows of ``docs`` with score, learnt from rows of ``labels`` (doc_id, toxic) where ``is_training`` (of doc_id) holds.
+def classify(docs: DataFrame, labels: DataFrame, is_training: Column, score_col: str = "score") -> DataFrame:
+    """The rows of ``docs`` with ``score_col``, learnt from rows of ``labels`` (doc_id, toxic) where ``is_training`` (of doc_id) holds.
 
     A label row whose toxic is null or no 0 or 1, or whose id no document has, is left out; of rows that repeat an id
     the larger label holds. Null or empty texts and texts without letters or digits get the lowest score. Repeated rows
-    are scored each, texts of any length whole; a column score of ``docs`` is replaced; an empty table gives no rows,
+    are scored each, texts of any length whole; a column of that name in ``docs`` is replaced; an empty table gives no rows,
     and without labels of both classes every text with words gets one score.
     """
     kept = labels.where(is_training & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return score_texts(docs, train(docs.select("doc_id", "text").join(kept, "doc_id")))
+    return score_texts(docs, train(docs.select("doc_id", "text").join(kept, "doc_id")), score_col)
