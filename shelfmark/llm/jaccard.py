@@ -28,6 +28,7 @@ from shelfmark.llm.components import connected
 from shelfmark.llm.storage import drop, written
 
 BLOCK_ROWS = 256  # rows of one block of a large group
+BROADCAST_ROWS = 1_000_000  # up to so many picked rows (24 bytes each) are broadcast to pick their texts; more are joined by a shuffle
 BLOCK_COLUMNS = 4096  # n-grams of one block in a dense product
 
 
@@ -63,8 +64,8 @@ def _signature(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return words.mix(sig + n.astype(np.uint64)).view(np.int64)
 
 
-def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, the set's signature, and its first n-grams in hash order (see step 2)."""
+def _signed(docs: DataFrame, k: int, percent: int, carry: list[str]) -> DataFrame:
+    """doc_id, the columns to carry along, n_shingles, the set's signature, and its first n-grams in hash order (see step 2)."""
     def run(batches):
         for batch in batches:
             for first, h, begins in _sets(batch.column("text"), k):
@@ -73,11 +74,13 @@ def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 keep = np.arange(len(h)) - np.repeat(begins[:-1], n) < np.repeat(first_ones, n)
                 sig = _signature(h, begins)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(n)), pa.array(n.astype(np.int32)), pa.array(sig[0]), pa.array(sig[1]),
+                    [*(batch.column(c).slice(first, len(n)) for c in ["doc_id", *carry]), pa.array(n.astype(np.int32)), pa.array(sig[0]), pa.array(sig[1]),
                      _long_list(h[keep], np.concatenate([[0], np.cumsum(first_ones)]))],
-                    ["doc_id", "n_shingles", "sig_a", "sig_b", "firsts"])
+                    ["doc_id", *carry, "n_shingles", "sig_a", "sig_b", "firsts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles int, sig_a long, sig_b long, firsts array<long>")
+    kept = docs.select("doc_id", *carry, "text")
+    zero = {c: F.lit(0).cast(kind) for c, kind in (("n_shingles", "int"), ("sig_a", "long"), ("sig_b", "long"))}
+    return kept.mapInArrow(run, kept.drop("text").withColumns(zero | {"firsts": F.array(F.lit(0).cast("long"))}).schema)
 
 
 def _full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -146,60 +149,92 @@ def _links(rows: DataFrame, keys: list[str], n_tasks: int, percent: int) -> Data
     return rows.select(*keys, "node", "label", "side", "grams").repartition(n_tasks, *keys).groupBy(*keys).applyInArrow(product, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, n_tasks: int | None = None) -> DataFrame:
-    """Components of the texts of ``docs`` (doc_id, text) under links of Jaccard index >= percent / 100 over distinct k-word shingles.
-
-    Words are runs of characters other than ASCII white space, A-Z lower-cased. Returns one row for each row of
-    ``docs``: doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included). A text of fewer than
-    k words has its whole sequence as the only shingle; null or empty texts and texts of white space have none, link
-    with nothing and are their own component. Rows that repeat an id count one by one and share its component if their
-    texts are equal; null ids stay null rows, and a component of null ids only has a null id. Other columns are left out.
-    Shingles are compared by 64-bit hashes, sets for equality by 128 bits.
-    """
+def _components(docs: DataFrame, k: int, percent: int, n_tasks: int | None, carry: list[str]) -> DataFrame:
+    """doc_id, ``carry``, n_shingles, component (a number; null without shingles), component_id, one row for each of ``docs``."""
     if not 50 <= percent <= 100:
         raise ValueError("percent is from 50 to 100")
     spark = docs.sparkSession
     n_tasks = n_tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = written(_signed(docs, k, percent), "signed")
-    # 1. one row for each set; `node` is a number for it
+    # 1. equal sets have one signature; `node` is a number for it
     sig = ["sig_a", "sig_b"]
+    node = F.xxhash64(*sig)
+    firsts = written(_signed(docs, k, percent, carry), "firsts")
+    signed = written(firsts.drop("firsts"), "signed")
     classes = written(signed.where("n_shingles > 0").groupBy(*sig).agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("firsts").alias("firsts")).withColumn("node", F.xxhash64(*sig)), "classes")
-    # 2. rows that can have a partner
-    need = lambda n: F.lit(1) + slack_col(F.ceil(n * percent / 100.0).cast("long"), percent)
-    alive = classes.select("node", "n", F.explode("firsts").alias("gram"))
-    for _ in range(2):
-        common = alive.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("gram")
-        able = alive.join(common, "gram", "left_semi").groupBy("node", "n").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= need(F.col("n")))
-        able = written(able.select("node"), "able")
-        alive = alive.join(able, "node", "left_semi")
-    reps = classes.select("node", "n", "rep", *sig).join(able, "node", "left_semi")
+        F.min("doc_id").alias("rep"), F.first("n_shingles").cast("long").alias("n")).withColumn("node", node), "classes")
+    # 2. rows that can have a partner: of their first n-grams, those of no other set are counted
+    owners = firsts.select(node.alias("node"), F.explode("firsts").alias("gram")).groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    lone = owners.where("lo = hi").groupBy(F.col("lo").alias("node")).agg(F.count(F.lit(1)).alias("lone"))
+    n = F.col("n")
+    shared = F.least(n, 2 * slack_col(n, percent) + 1) - F.coalesce("lone", F.lit(0))
+    need = 1 + slack_col(F.floor((n * percent + 99) / 100).cast("long"), percent)  # the smallest partner's l
+    able = written(classes.join(lone, "node", "left").where(shared >= need).select("node", "n", "rep", *sig), "able")
+    drop(firsts)
     # 3. whole sets of these rows, from their texts; groups by their rarest n-grams
-    pick = signed.select("doc_id", *sig).join(reps.select("node", "rep", *sig), sig).where(F.col("doc_id").eqNullSafe(F.col("rep"))).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    pick = able.select("node", F.col("rep").alias("doc_id"))
+    if able.count() <= BROADCAST_ROWS:
+        pick = F.broadcast(pick)
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(pick, F.col("id").eqNullSafe(F.col("doc_id")))
     # an id may stand for several texts: the set's own signature tells which is meant
-    sets = _full_sets(texts, k).where(F.col("node") == F.xxhash64(*sig))
+    sets = _full_sets(texts, k).where(F.col("node") == node)
     sets = written(sets.groupBy("node").agg(F.first("grams").alias("grams")), "sets")
     cells = sets.select("node", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     df = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = cells.join(df, "gram").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("shared"))
     # n-grams that no other row has come first in the order, so they take up places of the first s(x) + 1
-    places = slack_col(F.col("n"), percent) + 1 - (F.col("n") - F.size("shared"))
-    firsts = ranked.where(places > 0).select("node", F.explode(F.slice("shared", F.lit(1), places.cast("int"))).alias("x")).select("node", F.col("x.gram").alias("gram"))
-    firsts = written(firsts, "firsts")
-    hub = firsts.groupBy("gram").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("df")).where("df > 1")
-    groups = connected(firsts.join(hub, "gram").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    rows = sets.join(groups.withColumnRenamed("component", "grp"), "node")
+    places = slack_col(n, percent) + 1 - (n - F.size("shared"))
+    rarest = ranked.where(places > 0).select("node", F.explode(F.slice("shared", F.lit(1), places.cast("int"))).alias("x")).select("node", F.col("x.gram").alias("gram"))
+    rarest = written(rarest, "rarest")
+    hub = rarest.groupBy("gram").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("df")).where("df > 1")
+    groups = connected(rarest.join(hub, "gram").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    groups = groups.withColumnRenamed("component", "grp")
+    groups = groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "grp")
     # 4. the product of each group
-    links = _product(written(rows, "rows"), n_tasks, percent)
+    links = _product(written(sets.join(groups, "node"), "rows"), n_tasks, percent)
     joined = connected(links)
     # every row gets its component's smallest id
     ids = classes.select("node", "rep", *sig).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = ids.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_set = ids.join(smallest, "component").select(*sig, "component_id")
-    out = signed.select("doc_id", "n_shingles", *sig).join(by_set, sig, "left")
-    return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"),
-                      F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    by_set = ids.join(smallest, "component").select(*sig, "component", "component_id")
+    out = signed.select("doc_id", *carry, "n_shingles", *sig).join(by_set, sig, "left")
+    some = F.col("n_shingles") > 0
+    return out.select("doc_id", *carry, F.col("n_shingles").cast("long").alias("n_shingles"), F.when(some, F.col("component")).alias("component"),
+                      F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, n_tasks: int | None = None) -> DataFrame:
+    """Components of the texts of ``docs`` (doc_id, text) under links of Jaccard index >= percent / 100 over distinct k-word shingles.
+
+    Words are runs of characters other than ASCII white space, A-Z lower-cased. Returns one row for each row of
+    ``docs``: doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included). A text of fewer than
+    k words has its whole sequence as the only shingle; null or empty texts and texts of white space have none, link
+    with nothing and are their own component. Rows that repeat an id count one by one and share its component if their
+    texts are equal; null ids stay null rows, and a component of null ids only has a null id. Other columns are left out.
+    Shingles are compared by 64-bit hashes, sets for equality by 128 bits.
+    """
+    return _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent, n_tasks, []).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, n_tasks: int | None = None) -> DataFrame:
+    """The rows of ``docs`` with one row of each component: that of the smallest doc_id, a null id last, then by a hash of the text.
+
+    Texts without words are in no component and stay. All columns are kept, whatever their names.
+    """
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    found = written(_components(keyed, k, percent, n_tasks, ["text_hash"]), "components")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    first = found.where("n_shingles > 0").groupBy("component").agg(F.min(order).alias("x"))
+    first = written(first.select("x._id", "x._hash").unionByName(found.where("n_shingles = 0").select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()), "first")
+    side = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    kept = docs.join(side, same, "left_semi")
+    # rows that repeat an id and a text are one document's copies; there are none where ids are unique
+    twins = found.where("n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twins = written(twins.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "twins")
+    if twins.isEmpty():
+        return kept
+    return kept.join(twins, same, "left_anti").unionByName(kept.join(twins, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def slack_col(n: Column, percent: int) -> Column:
@@ -207,9 +242,8 @@ def slack_col(n: Column, percent: int) -> Column:
 
 
 def _product(rows: DataFrame, n_tasks: int, percent: int) -> DataFrame:
-    """Links (a, b) that join all linked rows of each group of ``rows`` (node, grams, grp)."""
-    size = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-    rows = rows.join(size, "grp").withColumn("label", F.col("node")).withColumn("side", F.lit(0))
+    """Links (a, b) that join all linked rows of each group of ``rows`` (node, grams, grp, size)."""
+    rows = rows.withColumn("label", F.col("node")).withColumn("side", F.lit(0))
     small = _links(rows.where(F.col("size") <= BLOCK_ROWS), ["grp"], n_tasks, percent)
     large = rows.where(F.col("size") > BLOCK_ROWS).withColumn("n_blocks", F.ceil(F.col("size") / BLOCK_ROWS).cast("int"))
     large = large.withColumn("block", F.pmod(F.hash("node"), "n_blocks"))

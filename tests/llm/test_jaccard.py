@@ -67,3 +67,12 @@ def test_word_hashes_follow_words():
         h, begins = words.word_hashes(data, offsets)
         seen += [h[begins[i] : begins[i + 1]].tolist() for i in range(len(begins) - 1)]
     assert seen[0] == seen[3] and [len(x) for x in seen] == [3, 0, 0, 3, 1]
+
+
+def test_one_of_each(spark):
+    rows = [(1, "a b c d e f"), (2, "A b c d e f"), (7, "g h i j k"), (7, "l m n o p"), (7, "g h i j k"), (3, None), (4, ""), (None, "g h i j k"), (None, "q r s t u"), (None, "q r s t u"), (9, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "5 AS component_id", "doc_id AS id", "'z' AS hash")
+    out = jaccard.one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(
+        [(1, "a b c d e f"), (7, "g h i j k"), (7, "l m n o p"), (3, None), (4, ""), (None, "q r s t u"), (9, "x y")], key=str)
