@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.plans import summary_queries
+from shelfmark.plans import registry_queries, rule_queries, summary_queries, text_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for part in (summary_queries,):
+for part in (summary_queries, registry_queries, text_queries, rule_queries):
     QUERIES.update(part.QUERIES)
     ORACLES.update(part.ORACLES)
