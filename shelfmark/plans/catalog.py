@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.plans import registry_queries, rule_queries, spatial_queries, summary_queries, text_queries
+from shelfmark.plans import fusion_queries, registry_queries, rule_queries, spatial_queries, summary_queries, text_queries, workflow_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for part in (summary_queries, registry_queries, text_queries, rule_queries, spatial_queries):
+for part in (summary_queries, registry_queries, text_queries, rule_queries, spatial_queries, fusion_queries, workflow_queries):
     QUERIES.update(part.QUERIES)
     ORACLES.update(part.ORACLES)
