@@ -2,20 +2,28 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
-from shelfmark.llm import bpe, packing, wavelet
+from shelfmark.llm import bpe, packing, wavelet, words
 
 PATH = bpe.tokenizer_path()
 ODD = [None, "", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "x\n\ny z", "it's we'll 'tis", "1,234.5 €5 naïve Über-größe", "<|endoftext|> a <|endoftext|>", "a <|endoftext|>b c.",
        "tab\tsep  nbsp  em", "\x1c x \x85 y", "don't. stop! (now) [x] a.b c,d", "ΑΒΓ δεζ 漢字 テスト 🙂 🙂", "end.  ", "word" * 3000, "á é.", "ǅ ª º. ʰ"]
 
 
+ENCODER = bpe.Encoder(PATH)
+LIBRARY = Tokenizer.from_file(PATH)
+
+
 def direct(text):
-    from tokenizers import Tokenizer
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
+
 
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
 
 
 def sample():
@@ -25,9 +33,22 @@ def sample():
 
 def test_ids_equal_the_library():
     texts = [t or "" for t in ODD + sample()]
-    ids, begins = bpe.Encoder(PATH).encode(texts)
-    for i, text in enumerate(texts):
-        assert ids[begins[i] : begins[i + 1]].tolist() == direct(text), text
+    enc = bpe.Encoder(PATH)
+    for size in (1, 64, 1 << 20):
+        got = {}
+        for first, _, data, offsets in words.chunks(pa.array(texts, pa.string()), size):
+            ids, begins = enc.encode(data, offsets)
+            got.update({first + i: ids[begins[i] : begins[i + 1]].tolist() for i in range(len(begins) - 1)})
+        for i, text in enumerate(texts):
+            assert got[i] == direct(text), text
+
+
+@given(st.lists(st.text(alphabet="ab Z9'strevl.,\n\t\u00e9\u00d7\u0142\u2019\u2014\u2028\u00a0\u4e2d|<-", max_size=24), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_ids_of_odd_strings(texts):
+    for _, _, data, offsets in words.chunks(pa.array(texts, pa.string())):
+        ids, begins = ENCODER.encode(data, offsets)
+        assert [ids[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)] == [direct(t) for t in texts]
 
 
 def test_wavelet_matrix():
