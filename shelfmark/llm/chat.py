@@ -15,7 +15,7 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 
 def escape(text: Column) -> Column:
     """Puts one more backslash into each ``<`` backslashes ``|``, so that no control string is left; undone by ``unescape``."""
-    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\\\|")
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
 
 
 def unescape(text: Column) -> Column:
