@@ -26,6 +26,14 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale[:, 0], np.linalg.norm(x - q * scale, axis=1)
 
 
+def inner_products(rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner product of each row with x, component after component, so that the last bit is that of a plain loop."""
+    total = np.zeros(len(rows))
+    for j in range(len(x)):
+        total += rows[:, j] * x[j]
+    return total
+
+
 def tile_top(queries: np.ndarray, query_ids: np.ndarray, cands: np.ndarray, cand_ids: np.ndarray, k: int) -> list[tuple]:
     """(query row, score, vec_id) of each query's k nearest in this tile, the query's own id left out."""
     qi, qs, qe = quantise(queries)
@@ -41,7 +49,7 @@ def tile_top(queries: np.ndarray, query_ids: np.ndarray, cands: np.ndarray, cand
     found = []
     for i in range(len(queries)):
         keep = np.flatnonzero((high[i] >= kth[i]) & ~own[i])
-        score = (cands[keep] * queries[i]).sum(axis=1)
+        score = inner_products(cands[keep], queries[i])
         best = heapq.nsmallest(k, zip(-score, cand_ids[keep], strict=True))
         found += [(i, -s, v) for s, v in best]
     return found

@@ -1,0 +1,20 @@
+import os
+
+import duckdb
+import pytest
+
+from shelfmark.llm import registry
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_query_equals_oracle(spark, name):
+    con = duckdb.connect()
+    for t in os.listdir(SF):
+        con.execute(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{t}'")
+    df = registry.QUERIES[name](spark, SF)
+    cursor = con.execute(registry.ORACLES[name])
+    columns = [c[0] for c in cursor.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(columns).collect())) == sorted(cursor.fetchall())
