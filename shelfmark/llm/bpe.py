@@ -1,24 +1,28 @@
 """Token ids of whole texts by a public tokenizer file, through the tokenizers library.
 
-Texts repeat their words, so a worker encodes each different word once and keeps its ids. A text is cut at single spaces
-between two characters that are no white space: byte-level BPE never makes a token across such a place, so the ids of the
-cuts one after the other are the ids of the text.
+Byte-level BPE first cuts a text into words, numbers, runs of other signs and white space, and then merges inside each
+cut. Texts repeat their cuts, so the cuts of a batch are found by array operations over its bytes, each different one is
+given to the library's model once, and a worker keeps the ids. Texts with characters whose kind can't be told from a
+short table here are given to the library whole.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-KEPT_WORDS = 400_000  # different words whose ids a worker keeps; beyond it starts anew
+from shelfmark.llm import words
+
+KEPT_CUTS = 400_000  # different cuts whose ids a worker keeps; beyond it starts anew
 CHUNK_BYTES = 4 << 20  # of text encoded in one go
-_UNSAFE = re.compile(r" \s|\s |\A\s|\s\Z")
-_SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ENDS = frozenset(".,;:!?")
+SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
+_KIND = np.full(256, OTHER, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = SPACE
+_KIND[[*range(ord("0"), ord("9") + 1)]] = DIGIT
+_KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = LETTER
 _encoders: dict[str, Encoder] = {}
 
 
@@ -54,76 +58,127 @@ class Encoder:
         self.plain = (about["model"]["type"] == "BPE" and not about.get("normalizer") and pre.get("type") == "ByteLevel"
                       and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not about["model"].get("dropout"))
         self.letters = _printable_bytes()
+        self.model = self.tokenizer.model
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict = {}
-        self.starts, self.lengths, self.ids, self.n_ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes of the cuts, sorted, and their numbers
+        self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _keep(self, words: list, found: list[list[int]]) -> None:
-        n, flat = len(self.number), np.fromiter((i for ids in found for i in ids), np.uint32)
+    def _learn(self, keys: np.ndarray, cuts: list[bytes]) -> None:
+        """Keeps the ids of new cuts; ``keys`` are sorted."""
+        found = [[t.id for t in self.model.tokenize(c.decode("latin-1").translate(self.letters))] for c in cuts]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        while n + len(words) > len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        while self.n_ids + len(flat) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.lengths[n : n + len(words)] = lengths
-        self.starts[n : n + len(words)] = self.n_ids + np.cumsum(lengths) - lengths
-        self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-        self.n_ids += len(flat)
-        self.number.update(zip(words, range(n, n + len(words)), strict=True))
-
-    def _word(self, word: str) -> list[int] | None:
-        """Ids of a space and this word of Latin letters, with one stop at its end or none; None for any other word."""
-        core, end = (word[:-1], word[-1]) if word[-1:] in _ENDS else (word, "")
-        if not core.isalpha() or max(core) > "ɏ":
-            return None
-        core = "Ġ" + core if core.isascii() else (" " + core).encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.tokenizer.model.tokenize(core)] + ([self.tokenizer.token_to_id(end)] if end else [])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and where each text's begin (one more: the end)."""
-        cuts: list = []
-        n = np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            parts: list = _SAFE_CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
-            parts[0] = (parts[0],)  # has no space before it
-            cuts += parts
-            n[i] = len(parts)
-        if len(self.number) > KEPT_WORDS:
+        at = np.searchsorted(self.keys, keys)
+        self.place = np.insert(self.place, at, len(self.keys) + np.arange(len(keys)))
+        self.keys = np.insert(self.keys, at, keys)
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lengths) - lengths)
+        self.lengths = np.append(self.lengths, lengths)
+        self.ids = np.append(self.ids, np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum())))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after the other, and where each text's begin (one more: the end)."""
+        kind, hard = kinds(data, offsets)
+        if not self.plain:
+            hard[:] = True
+        n_docs = len(offsets) - 1
+        if len(self.keys) > KEPT_CUTS:
             self._clear()
-        new = [w for w in set(cuts) if w not in self.number]
-        quick, slow = [], []
-        for w in new:
-            ids = self._word(w) if self.plain and type(w) is str else None
-            if ids is None:
-                slow.append(w)
-            else:
-                quick.append((w, ids))
-        self._keep([w for w, _ in quick], [i for _, i in quick])
-        said = self.tokenizer.encode_batch([w[0] if type(w) is tuple else " " + w for w in slow], add_special_tokens=False)
-        self._keep(slow, [e.ids for e in said])
-        number = np.fromiter(map(self.number.__getitem__, cuts), np.int64, len(cuts))
-        lengths = self.lengths[number]
-        ends = np.cumsum(lengths)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[number] - ends + lengths, lengths)
-        begins = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
-        return self.ids[at], begins
+        starts = cut_starts(data, offsets, kind)
+        starts = starts[~hard[np.searchsorted(offsets, starts, "right") - 1]] if hard.any() else starts
+        ends = np.append(starts[1:], len(data))
+        ends = np.minimum(ends, offsets[np.searchsorted(offsets, starts, "right")])
+        flat, begins = np.zeros(0, np.uint32), np.zeros(n_docs + 1, np.int64)
+        if len(starts):
+            size = ends - starts
+            inside = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum()) if hard.any() else slice(int(starts[0]), len(data))
+            h = words.run_hashes(data[inside], size)
+            keys, first, which = np.unique(h, return_index=True, return_inverse=True)
+            at = np.searchsorted(self.keys, keys)
+            known = np.zeros(len(keys), bool)
+            if len(self.keys):
+                known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
+            new = np.flatnonzero(~known)
+            raw = data.tobytes()
+            self._learn(keys[new], [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            number = self.place[np.searchsorted(self.keys, keys)][which]
+            lengths = self.lengths[number]
+            upto = np.concatenate([[0], np.cumsum(lengths)])
+            flat = self.ids[np.arange(upto[-1]) + np.repeat(self.starts[number] - upto[:-1], lengths)]
+            begins = upto[np.searchsorted(starts, offsets)]
+        if hard.any():
+            rows = np.flatnonzero(hard)
+            texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "surrogatepass") for i in rows]
+            said = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            flat = np.insert(flat, np.repeat(begins[rows], [len(x) for x in said]), np.concatenate(said))
+            more = np.zeros(n_docs + 1, np.int64)
+            more[rows + 1] = [len(x) for x in said]
+            begins = begins + np.cumsum(more)
+        return flat, begins
+
+
+def kinds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each byte's character, and which texts hold characters that the table here doesn't tell.
+
+    It tells ASCII, the Latin letters from U+00C0 to U+024F and the dashes, quotes and dots from U+2010 to U+2027. Texts
+    that may hold a special token, which all begin with ``<|``, count as not told as well.
+    """
+    kind = _KIND[data]
+    wide = data >= 0x80
+    hard = np.zeros(len(offsets) - 1, bool)
+    doubt = np.zeros(0, np.int64)
+    if wide.any():
+        then = np.append(data[1:], 0)
+        lead = np.flatnonzero(data >= 0xC0)
+        a, b = data[lead], then[lead]
+        latin = ((a == 0xC3) & (b != 0x97) & (b != 0xB7)) | ((a >= 0xC4) & (a <= 0xC8)) | ((a == 0xC9) & (b <= 0x8F))
+        third = np.append(data[2:], [0, 0])[lead]
+        sign = (a == 0xE2) & (b == 0x80) & (third >= 0x90) & (third <= 0xA7)
+        kind[lead[latin]] = LETTER
+        kind[lead[latin] + 1] = LETTER
+        doubt = lead[~(latin | sign)]
+    bar = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+    doubt = np.concatenate([doubt, bar])
+    hard[np.searchsorted(offsets, doubt, "right") - 1] = True
+    return kind, hard
+
+
+def cut_starts(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where the cuts begin: runs of one kind, a single space before a run being its first character.
+
+    Of white space before a run, all but the last character is one cut; the last is the run's first if it is a space,
+    else a cut of its own. White space at a text's end is one cut. An English ending after an apostrophe is a cut.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    begin = np.zeros(n + 1, bool)
+    begin[offsets] = True
+    before = np.empty(n, np.uint8)
+    before[0], before[1:] = 255, kind[:-1]
+    before[begin[:n]] = 255
+    start = kind != before
+    space = kind == SPACE
+    left = np.append(np.uint8(0), data[:-1])
+    start &= ~(~space & (before == SPACE) & (left == 0x20))
+    after = np.append(kind[1:], np.uint8(255))
+    after[begin[1:]] = 255
+    start |= space & (before == SPACE) & (after != SPACE) & (after != 255)
+    mark = np.flatnonzero((data == ord("'")) & start & (after == LETTER))
+    for ending in (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll"):
+        m = len(ending)
+        hit = mark[mark + m < n]
+        for j, c in enumerate(ending):
+            hit = hit[(data[hit + 1 + j] == c) & ~begin[hit + 1 + j]]
+        start[hit + 1] = False
+        rest = hit[hit + 1 + m < n] + 1 + m
+        start[rest[(kind[rest] == LETTER) & ~begin[rest]]] = True
+    return np.flatnonzero(start)
 
 
 def encoded(column: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids with ``end_id`` after each text, begins) of runs of whole texts; null texts are empty."""
-    enc, first, held, size = encoder(path), 0, [], 0
-
-    def done():
-        ids, begins = enc.encode(held)
-        return first, np.insert(ids, begins[1:], end_id).astype(np.uint32), begins + np.arange(len(begins))
-
-    for i, text in enumerate(column):
-        held.append(text.as_py() or "")
-        size += len(held[-1])
-        if size >= CHUNK_BYTES:
-            yield done()
-            first, held, size = i + 1, [], 0
-    if held:
-        yield done()
+    enc = encoder(path)
+    for first, _, data, offsets in words.chunks(column, CHUNK_BYTES):
+        ids, begins = enc.encode(data, offsets)
+        yield first, np.insert(ids, begins[1:], end_id).astype(np.uint32), begins + np.arange(len(begins))

@@ -68,11 +68,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, member: np.ndarray = NOT_
         return np.zeros(0, np.uint64), np.zeros(n_docs + 1, np.int64)
     letters = _ASCII_LOWER[data[inside]]
     rank = np.cumsum(inside) - 1
-    first = rank[starts]
-    lengths = np.diff(np.append(first, len(letters)))
-    place = np.arange(len(letters)) - np.repeat(first, lengths)
-    total = np.add.reduceat(_BYTE_CODE[letters] * _powers(int(lengths.max()))[place], first)
-    return mix(total + lengths.astype(np.uint64) * U(0xD6E8FEB86659FD93)), np.searchsorted(starts, offsets)
+    return run_hashes(letters, np.diff(np.append(rank[starts], len(letters)))), np.searchsorted(starts, offsets)
+
+
+def run_hashes(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The hash of each of the runs of bytes, of these lengths, that make up ``data``."""
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(len(data)) - np.repeat(first, lengths)
+    total = np.add.reduceat(_BYTE_CODE[data] * _powers(int(lengths.max()))[place], first)
+    return mix(total + lengths.astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
 def shingles(words: np.ndarray, begins: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
