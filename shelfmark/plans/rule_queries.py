@@ -65,7 +65,7 @@ ORACLES = {
     "q_declaration_rows": _sql("""SELECT image_id, field_name, value AS detected_value, coalesce(status, '') <> 'MISSING' AS is_present, CAST(coalesce(confidence, 90) AS BIGINT) AS stored_confidence,
         CASE WHEN coalesce(confidence, 0) > 60 THEN 'PASS' ELSE 'FAIL' END AS readability FROM v_fields"""),
     "q_external_merge": _sql("""SELECT image_id, field_name, CASE WHEN verified THEN coalesce(seen, value) ELSE value END AS value, CASE WHEN verified THEN greatest(coalesce(confidence, 0), 95) ELSE confidence END AS confidence,
-        CASE WHEN verified THEN 'CONFIRMED' ELSE status END AS status, CASE WHEN verified THEN 'EnsembleOCR+External' ELSE 'EnsembleOCR' END AS source_model FROM (SELECT *, image_id % 3 = 0 AND field_name IN ('mrp', 'net_quantity') AS verified,
+        CASE WHEN verified THEN 'CONFIRMED' ELSE status END AS status, CASE WHEN verified THEN 'EnsembleOCR+External' ELSE 'EnsembleOCR' END AS source_model FROM (SELECT *, field_name IN ('mrp', 'net_quantity') AS verified,
         CASE WHEN image_id % 6 = 0 THEN upper(value) END AS seen FROM v_fields)"""),
     "q_report_rows": _sql("""SELECT f.image_id, string_agg(field_name || '=' || substr(coalesce(value, 'NOT DETECTED'), 1, 45), '; ' ORDER BY field_name) AS lines, any_value(score_tenths) AS score_tenths,
         format('{:,}', CAST(any_value(estimated_fee) AS BIGINT)) AS fee_text FROM v_fields f JOIN v_scored s ON s.image_id = f.image_id GROUP BY f.image_id"""),

@@ -49,7 +49,7 @@ _DATE_CODE = "'code'"
 
 def _all_relations(spark, d):
     b = _boxes(spark, d)
-    pairs = spatial.with_relation(spatial.side(b.where("idx % 4 = 2"), "l").join(spatial.side(b, "v"), "image_id"))
+    pairs = spatial.with_relation(spatial.side(b, "l").join(spatial.side(b, "v"), "image_id"))
     return pairs.select("image_id", F.col("l_idx").cast("long").alias("l_idx"), F.col("v_idx").cast("long").alias("v_idx"), "relation")
 
 
@@ -67,7 +67,7 @@ QUERIES = {
 
 ORACLES = {
     "q_spatial_relation": labels.with_views("SELECT image_id, CAST(l_idx AS BIGINT) AS l_idx, CAST(v_idx AS BIGINT) AS v_idx, relation FROM ("
-                                            + _RELATION.replace("{pairs}", f"(SELECT l.image_id, {_SIDE('l')}, {_SIDE('v')} FROM v_boxes l JOIN v_boxes v ON l.image_id = v.image_id WHERE l.idx % 4 = 2)") + ")"),
+                                            + _RELATION.replace("{pairs}", f"(SELECT l.image_id, {_SIDE('l')}, {_SIDE('v')} FROM v_boxes l JOIN v_boxes v ON l.image_id = v.image_id)") + ")"),
     "q_candidate_rank": labels.with_views("SELECT image_id, CAST(l_idx AS BIGINT) AS l_idx, row_number() OVER (PARTITION BY image_id, l_idx ORDER BY milli DESC, v_idx) AS rank, CAST(v_idx AS BIGINT) AS v_idx, relation, milli FROM ("
                                           + _RANKED.replace("{pairs}", _pairs(_label("quantity", "l.text"), "v.q IS NOT NULL")) + ")", _SEEN),
     "q_extract_quantity": _extract_sql("quantity", QUANTITY_SQL, QUANTITY_SQL, 0.98, fallback=("NOT " + sql_any(P.QUANTITY_REJECTS), 0.85, "STANDALONE_QUANTITY_MATCH")),

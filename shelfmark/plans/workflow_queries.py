@@ -14,11 +14,11 @@ from shelfmark.sources.tables import table
 def _actions(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("inspection_id")
     action = F.when(k % 4 == 0, "COMPOUND").when(k % 4 == 1, "PROSECUTE").when(k % 4 == 2, "APPROVE").otherwise("SOMETHING")
-    return views.inspections(spark, d).where(k % 3 == 0).select("inspection_id", action.alias("action"), F.when(k % 2 == 0, F.lit(2500)).cast("decimal(18,2)").alias("fee"))
+    return views.inspections(spark, d).select("inspection_id", action.alias("action"), F.when(k % 2 == 0, F.lit(2500)).cast("decimal(18,2)").alias("fee"))
 
 
 _ACTIONS = {"v_actions": """SELECT inspection_id, CASE inspection_id % 4 WHEN 0 THEN 'COMPOUND' WHEN 1 THEN 'PROSECUTE' WHEN 2 THEN 'APPROVE' ELSE 'SOMETHING' END AS action,
-    CASE WHEN inspection_id % 2 = 0 THEN CAST(2500 AS DECIMAL(18,2)) END AS fee FROM (SELECT o_orderkey AS inspection_id FROM orders) WHERE inspection_id % 3 = 0"""}
+    CASE WHEN inspection_id % 2 = 0 THEN CAST(2500 AS DECIMAL(18,2)) END AS fee FROM (SELECT o_orderkey AS inspection_id FROM orders)"""}
 
 
 def _rules(spark: SparkSession) -> DataFrame:
@@ -45,7 +45,7 @@ _SUBMITTED = {"v_sent": """SELECT o_orderkey AS offline_id, CASE WHEN o_orderkey
 
 QUERIES = {
     "q_adjudicate": lambda spark, d: workflow.adjudicate(views.inspections(spark, d), _actions(spark, d)),
-    "q_assign": lambda spark, d: workflow.assign(table(spark, d, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("task_id"), (F.col("o_orderkey") % 9 + 1).alias("store_id"), F.col("o_custkey").alias("officer_id"))),
+    "q_assign": lambda spark, d: workflow.assign(table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), (F.col("o_orderkey") % 9 + 1).alias("store_id"), F.col("o_custkey").alias("officer_id"))),
     "q_rule_update": lambda spark, d: workflow.update_rules(_rules(spark), _changes(spark)),
     "q_audit_rows": lambda spark, d: workflow.audit_rows(_actions(spark, d)),
     "q_new_stores": lambda spark, d: workflow.new_stores(submissions(spark, d), views.stores(spark, d)),
@@ -57,7 +57,7 @@ ORACLES = {
     "q_adjudicate": views.with_views("""SELECT i.inspection_id, CASE WHEN a.inspection_id IS NULL THEN i.supervisor_status WHEN a.action = 'COMPOUND' THEN 'COMPOUNDED' WHEN a.action = 'PROSECUTE' THEN 'REFERRED_FOR_PROSECUTION'
         ELSE 'APPROVED' END AS supervisor_status, coalesce(a.fee, i.fee) AS fee FROM v_inspections i LEFT JOIN v_actions a ON a.inspection_id = i.inspection_id""", _ACTIONS),
     "q_assign": """SELECT o_orderkey AS task_id, 'TASK-' || upper(substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 6)) AS inspection_number, o_orderkey % 9 + 1 AS store_id, o_custkey AS assigned_to_id,
-        'PENDING_AUDIT' AS compliance_status, 'ASSIGNED' AS supervisor_status FROM orders WHERE o_orderkey % 20 = 0""",
+        'PENDING_AUDIT' AS compliance_status, 'ASSIGNED' AS supervisor_status FROM orders""",
     "q_rule_update": "SELECT rule_code, CASE rule_code WHEN 'LM-PC-001' THEN 'HIGH' ELSE severity END AS severity, CAST(CASE rule_code WHEN 'LM-PC-004' THEN 25 ELSE 10 END AS BIGINT) AS weight, rule_code <> 'LM-PC-004' AS is_active FROM (" + dimensions.RULES_SQL + ")",
     "q_audit_rows": views.with_views("""SELECT 'ADJUDICATE' AS action, 'inspection' AS target_type, inspection_id AS target_id, '{"action":"' || action || '"' || CASE WHEN fee IS NOT NULL THEN ',"fee":"' || CAST(fee AS VARCHAR) || '"' ELSE '' END || '}' AS details FROM v_actions""", _ACTIONS),
     "q_new_stores": views.with_views("SELECT store_name, 'STR-' || upper(substr(sha256(store_name), 1, 6)) AS store_code FROM (SELECT DISTINCT store_name FROM v_sent WHERE store_name <> '') WHERE store_name NOT IN (SELECT store_name FROM v_stores)", _SUBMITTED),
