@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,22 +37,28 @@ def similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, a.lower(), b.lower()).ratio()
 
 
-def _clusters(group: pd.DataFrame) -> pd.DataFrame:
-    """Greedy: the first box not yet taken, from top to bottom and left to right, takes all boxes not yet taken that match it."""
-    group = group.sort_values(["y1", "x1", "engine", "idx"], kind="stable").reset_index(drop=True)
-    boxes = list(group[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None))
-    texts, cluster = group["text"].fillna("").tolist(), [-1] * len(group)
+def _clusters(table: pa.Table) -> pa.Table:
+    """Greedy: the first box not yet taken, from top to bottom and left to right, takes all boxes not yet taken that match it.
+
+    A match needs some height in common, so the search for a box's matches ends with the first box that begins below it.
+    """
+    table = table.sort_by([(c, "ascending") for c in ("y1", "x1", "engine", "idx")])
+    boxes = list(zip(*(table[c].to_pylist() for c in ("x1", "y1", "x2", "y2")), strict=True))
+    texts, cluster = [t or "" for t in table["text"].to_pylist()], [-1] * len(table)
     for i, seed in enumerate(boxes):
         if cluster[i] >= 0:
             continue
         cluster[i] = i
-        for j, box in enumerate(boxes):
+        for j in range(i + 1, len(boxes)):
+            box = boxes[j]
+            if box[1] >= seed[3]:
+                break
             if cluster[j] >= 0:
                 continue
             tall = max(0, min(seed[3], box[3]) - max(seed[1], box[1])) / (min(seed[3] - seed[1], box[3] - box[1]) + 1e-5)
             if iou(seed, box) > 0.35 or (tall > 0.65 and similarity(texts[i], texts[j]) > 0.4):
                 cluster[j] = i
-    return group.assign(cluster=cluster, place=range(len(group)))
+    return table.append_column("cluster", pa.array(cluster, pa.int64())).append_column("place", pa.array(range(len(table)), pa.int64()))
 
 
 def clusters(boxes: DataFrame) -> DataFrame:
@@ -60,7 +67,7 @@ def clusters(boxes: DataFrame) -> DataFrame:
     The order decides who takes whom, so an image is one group; a photo has tens of boxes.
     """
     schema = boxes.select(CLUSTER_COLUMNS).withColumns({"cluster": F.lit(0).cast("long"), "place": F.lit(0).cast("long")}).schema
-    return boxes.select(CLUSTER_COLUMNS).groupBy("image_id").applyInPandas(_clusters, schema)
+    return boxes.select(CLUSTER_COLUMNS).groupBy("image_id").applyInArrow(_clusters, schema)
 
 
 def readable_share(text: Column) -> Column:
