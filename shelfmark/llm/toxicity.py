@@ -21,10 +21,10 @@ BUCKETS = 1 << 16
 DIMENSIONS = 12
 ORDERS = (3, 4, 5)  # lengths of the n-grams, with a mark before and after the word
 WINDOW = 6  # words of a passage
-MAX_TRAINING_ROWS = 6000  # labelled rows in the bounded training sample, half of each class
+MAX_TRAINING_ROWS = 8000  # labelled rows drawn for the bounded training sample, half of each class
 MAX_TRAINING_BYTES = 6000  # longer texts are not drawn for training
 ALL_STEPS, WORST_STEPS, BATCH = 150, 550, 64  # steps on all passages, then on the worst ones; texts of a step
-KEPT_WORDS = 300_000  # words whose value a worker keeps
+KEPT_WORDS = 150_000  # words whose value a worker keeps
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -194,13 +194,16 @@ class Scorer:
 _scorers: dict = {}
 
 
-def train(rows: DataFrame) -> Model:
-    """``rows``: doc_id, text, toxic (0 or 1). A bounded sample by hash of id and text, half of each class, is learnt from."""
-    drawn = rows.where((F.octet_length("text") <= MAX_TRAINING_BYTES) & F.col("toxic").isin(0, 1))
-    key = F.xxhash64(F.lit(41), "doc_id", "text")
-    parts = [drawn.where(F.col("toxic") == c).orderBy(key, "doc_id", "text").limit(MAX_TRAINING_ROWS // 2) for c in (0, 1)]
-    sample = parts[0].unionByName(parts[1]).select("text", "toxic").toArrow()
-    return fit(sample["text"].to_pylist(), sample["toxic"].to_numpy().astype(np.int64))
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learns from a bounded sample of ``labels`` (doc_id, toxic 0 or 1): MAX_TRAINING_ROWS ids by hash, half of each class.
+
+    The ids drawn are broadcast to the documents (id and text), so that no text is shuffled.
+    """
+    drawn = [labels.where(F.col("toxic") == c).orderBy(F.xxhash64(F.lit(41), "doc_id"), "doc_id").limit(MAX_TRAINING_ROWS // 2) for c in (0, 1)]
+    ids = F.broadcast(drawn[0].unionByName(drawn[1]))
+    sample = docs.where(F.octet_length("text") <= MAX_TRAINING_BYTES).select("doc_id", "text").join(ids, "doc_id").orderBy("doc_id", "text").limit(MAX_TRAINING_ROWS)
+    found = sample.select("text", "toxic").toArrow()
+    return fit(found["text"].to_pylist(), found["toxic"].to_numpy().astype(np.int64))
 
 
 def score_texts(docs: DataFrame, model: Model, score_col: str = "score") -> DataFrame:
@@ -228,4 +231,4 @@ def classify(docs: DataFrame, labels: DataFrame, is_training: Column, score_col:
     and without labels of both classes every text with words gets one score.
     """
     kept = labels.where(is_training & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return score_texts(docs, train(docs.select("doc_id", "text").join(kept, "doc_id")), score_col)
+    return score_texts(docs, train(docs, kept), score_col)
