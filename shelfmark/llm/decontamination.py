@@ -103,17 +103,23 @@ class Items:
         for at in hits.tolist():
             for size in self.sizes_of[int(h[at])]:
                 starts.setdefault(size, []).append(at)
+        starts = {size: np.array(places) for size, places in starts.items()}
         best: dict[int, tuple[int, int, int, int]] = {}
-        lo = int(hits[0]) - int(self.sizes.max())
-        lo, hi = max(lo, 0), min(len(h), int(hits[-1]) + int(self.sizes.max()))
-        sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(votes(h[lo:hi]), axis=0, dtype=np.int32)])
-        for size, places in starts.items():
-            width = min(size, len(h))  # a document shorter than the item is one window
-            begin = np.unique((np.array(places)[:, None] - np.arange(width)[None, :]).ravel())
-            begin = begin[(begin >= 0) & (begin <= len(h) - width)]
-            for part in range(0, len(begin), WINDOWS_AT_ONCE):
-                at = begin[part : part + WINDOWS_AT_ONCE]
-                for a, fingerprint in zip(at.tolist(), fingerprints(sums[at - lo + width] - sums[at - lo]), strict=True):
+        longest = max(starts)
+        for lo in range(max(0, int(hits[0]) - longest + 1), int(hits[-1]) + 1, WINDOWS_AT_ONCE):  # windows that begin in this stretch
+            sums = None
+            for size, places in starts.items():
+                width = min(size, len(h))  # a document shorter than the item is one window
+                n = min(lo + WINDOWS_AT_ONCE, len(h) - width + 1) - lo
+                near = places[np.searchsorted(places, lo) : np.searchsorted(places, lo + n + width - 1)]
+                if n <= 0 or not len(near):
+                    continue
+                opens, closes = (np.bincount(np.clip(x - lo, 0, n), minlength=n + 1) for x in (near - width + 1, near + 1))
+                begin = np.flatnonzero(np.cumsum(opens - closes)[:n] > 0)
+                if sums is None:
+                    some = votes(h[lo : lo + WINDOWS_AT_ONCE + longest])
+                    sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(some, axis=0, dtype=np.int32)])
+                for a, fingerprint in zip((begin + lo).tolist(), fingerprints(sums[begin + width] - sums[begin]), strict=True):
                     bag = None
                     for i in self.near(fingerprint):
                         if self.sizes[i] != size:
