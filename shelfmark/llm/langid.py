@@ -23,15 +23,24 @@ SMOOTHING = 0.5
 
 
 def _chunks(texts: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, code points with a space after each text, begins) of runs of whole lower-cased texts."""
+    """(first row, code points with a space after each text, begins) of runs of whole lower-cased texts.
+
+    A text of more than CHUNK_CHARS is a run of its own.
+    """
+    def run():
+        begins = np.concatenate([[0], np.cumsum([len(t) for t in held])])
+        return first, np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), np.uint32), begins
+
     first, held, size = 0, [], 0
     for i, text in enumerate(texts):
-        held.append((text or "").lower() + " ")
-        size += len(held[-1])
-        if size >= CHUNK_CHARS or i == len(texts) - 1:
-            begins = np.concatenate([[0], np.cumsum([len(t) for t in held])])
-            yield first, np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), np.uint32), begins
-            first, held, size = i + 1, [], 0
+        text = (text or "").lower() + " "
+        if held and size + len(text) > CHUNK_CHARS:
+            yield run()
+            first, held, size = i, [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield run()
 
 
 def _buckets(chars: np.ndarray, order: int) -> np.ndarray:
@@ -99,7 +108,9 @@ def posteriors(model: Model, texts: list) -> np.ndarray:
         logs = np.tile(model.prior, (len(begins) - 1, 1))
         for b, at in _grams(chars, begins):
             some = np.diff(at) > 0
-            if some.any():
+            if len(chars) > CHUNK_CHARS:  # one long text: its counts by bucket take no more memory than a short one's
+                logs[0] += np.bincount(b, minlength=BUCKETS) @ model.weights
+            elif some.any():
                 logs[some] += np.add.reduceat(model.weights[b], at[:-1][some], axis=0, dtype=np.float64)
         logs = np.exp(logs - logs.max(axis=1, keepdims=True))
         out[first : first + len(logs)] = logs / logs.sum(axis=1, keepdims=True)
