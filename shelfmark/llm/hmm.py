@@ -28,6 +28,7 @@ RARE_SYMBOLS = 2048  # a power of two
 KNOWN_WORDS = 1 << 18  # words whose counts tasks look up; counts of all others come by a join
 ITERATIONS = 4
 SEGMENT = 128  # tokens; training runs forward-backward over segments of this length
+TOKENS_AT_ONCE = 1600 * SEGMENT  # a longer text is gone through in pieces of so many tokens, segment by segment all the same
 UNIT = 1 << 16  # expected counts are added up in units of 1 / UNIT
 END = np.uint64(0x1D8E4E27C47D124F)  # the hash of the end token
 MASS = 0.01  # added to each expected emission and transition count
@@ -149,12 +150,15 @@ def first_model(n_symbols: int, seed: int = 11) -> Model:
     return Model(even, even, move, emit / emit.sum(axis=0))
 
 
-def expected_counts(model: Model, symbols: np.ndarray, begins: np.ndarray, counts: list[np.ndarray]) -> None:
-    """Adds the expected counts of these texts to ``counts``: starts, inside starts, moves, emissions."""
+def expected_counts(model: Model, symbols: np.ndarray, begins: np.ndarray, counts: list[np.ndarray], goes_on: bool = False) -> None:
+    """Adds the expected counts of these texts to ``counts``: starts, inside starts, moves, emissions.
+
+    ``goes_on``: what is given is a piece of a text, and not its first.
+    """
     n_seg = -(-np.diff(begins) // SEGMENT)
     first = np.repeat(begins[:-1], n_seg) + (np.arange(n_seg.sum()) - np.repeat(np.cumsum(n_seg) - n_seg, n_seg)) * SEGMENT
     length = np.minimum(np.repeat(begins[1:], n_seg) - first, SEGMENT)
-    is_start = first == np.repeat(begins[:-1], n_seg)
+    is_start = (first == np.repeat(begins[:-1], n_seg)) & (not goes_on)
     order = np.argsort(-length, kind="stable")
     first, length, is_start = first[order], length[order], is_start[order]
     move, emit = model.move.astype(np.float32), model.emit.astype(np.float32)
@@ -206,9 +210,13 @@ def train(encoded: DataFrame, n_symbols: int) -> Model:
                 symbols, begins = _sequences(batch)
                 at = 0
                 while at < len(begins) - 1:
-                    to = min(len(begins) - 1, max(at + 1, int(np.searchsorted(begins, begins[at] + 200_000))))
-                    part = symbols[begins[at] : begins[to]]
-                    expected_counts(now, part, begins[at : to + 1] - begins[at], counts)
+                    to = max(at + 1, int(np.searchsorted(begins, begins[at] + TOKENS_AT_ONCE, "right")) - 1)
+                    if to > at + 1:
+                        expected_counts(now, symbols[begins[at] : begins[to]], begins[at : to + 1] - begins[at], counts)
+                    else:
+                        for a in range(begins[at], begins[to], TOKENS_AT_ONCE):
+                            part = symbols[a : min(a + TOKENS_AT_ONCE, begins[to])]
+                            expected_counts(now, part, np.array([0, len(part)]), counts, goes_on=a > begins[at])
                     some, at = True, to
             if some:
                 flat = np.rint(np.concatenate([c.ravel() for c in counts]) * UNIT).astype(np.int64)
