@@ -9,7 +9,6 @@ radius is verified by the exact similarity.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -26,7 +25,7 @@ PERCENT = 80  # similarity at least
 RADIUS = 23  # bits of 64; windows at the threshold are about 10 apart, and over 23 one time in a million
 BLOCKS = 8  # of 8 bits
 ITEMS_AT_ONCE = 20_000  # items that are broadcast; a larger benchmark is taken in turns, a pass over the documents each
-MAX_ITEM_BYTES = 1 << 16  # of one item's text; more is an error, which bounds a turn
+BYTES_AT_ONCE = 16 << 20  # of their texts; a longer item has a turn of its own
 WINDOWS_AT_ONCE = 20_000
 
 
@@ -54,10 +53,32 @@ def fingerprints(total: np.ndarray) -> np.ndarray:
     return np.packbits(total > 0, axis=1).view(">u8")[:, 0].astype(np.uint64)
 
 
-def similarity(a: Counter, b: Counter) -> tuple[int, int]:
-    """Weighted Jaccard index of two bags of shingles as (sum of minima, sum of maxima); weights are numbers of occurrences."""
-    low = sum(min(n, b[x]) for x, n in a.items())
-    return low, a.total() + b.total() - low
+@dataclass
+class Bag:
+    """An item's shingles, sorted, and how often it has each."""
+
+    values: np.ndarray
+    counts: np.ndarray
+
+    def common(self, h: np.ndarray, places: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
+        """Sum of minima of the bag and the window of ``width`` shingles of ``h`` at each of ``begin``; ``places`` (sorted) has all of the bag's in them.
+
+        A shingle that the bag has m times counts where the window doesn't hold its m-th occurrence before, so each
+        occurrence counts for windows that begin after that one. This takes no more time for wide windows.
+        """
+        kind = np.minimum(np.searchsorted(self.values, h[places]), len(self.values) - 1)
+        own = self.values[kind] == h[places]
+        order = np.argsort(kind[own], kind="stable")
+        kind, at = kind[own][order], places[own][order]
+        before = np.arange(len(at)) - self.counts[kind]
+        same = (before >= 0) & (kind[before] == kind)
+        after = np.maximum(np.where(same, at[before], -1), at - width) + 1
+        return np.searchsorted(np.sort(after), begin, "right") - np.searchsorted(np.sort(at), begin, "left")
+
+
+def _total(h: np.ndarray) -> np.ndarray:
+    """Sum of the votes of many hashes."""
+    return sum((votes(h[lo : lo + WINDOWS_AT_ONCE]).sum(axis=0, dtype=np.int64) for lo in range(0, len(h), WINDOWS_AT_ONCE)), np.zeros(64, np.int64))
 
 
 @dataclass
@@ -65,32 +86,37 @@ class Items:
     """A turn's items: what the tasks look up."""
 
     ids: list[int]
-    bags: list[Counter]
+    bags: list[Bag]
     sizes: np.ndarray  # shingles of each
     prints: np.ndarray
     blocks: list[list[np.ndarray]]  # for each block and value: items within RADIUS // BLOCKS bits of it
     shingles: np.ndarray  # of all items, sorted
-    sizes_of: dict[int, list[int]]  # shingle: sizes of the items that have it
+    begins: np.ndarray  # where each shingle's part of the next begins (one more: the end)
+    sizes_of: np.ndarray  # sizes of the items that have it
 
     @classmethod
     def of(cls, ids: list[int], texts: list[str]) -> Items:
-        kept, bags, prints, sizes_of = [], [], [], {}
+        kept, bags, prints, pairs = [], [], [], {}
         for first, h, begins, _ in _shingles(pa.array(texts, pa.string())):
             for i in range(len(begins) - 1):
                 own = h[begins[i] : begins[i + 1]]
                 if len(own):
                     kept.append(ids[first + i])
-                    bags.append(Counter(own.tolist()))
-                    prints.append(fingerprints(votes(own).sum(axis=0, keepdims=True))[0])
-                    for x in set(own.tolist()):
-                        sizes_of.setdefault(x, set()).add(len(own))
+                    bags.append(Bag(*np.unique(own, return_counts=True)))
+                    prints.append(fingerprints(_total(own)[None])[0])
+                    pairs.setdefault(len(own), []).append(bags[-1].values)
         prints = np.array(prints, np.uint64)
         distance = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
         blocks = []
         for b in range(BLOCKS):
             part = (prints >> np.uint64(8 * b)).astype(np.uint8)
             blocks.append([np.flatnonzero(distance[v][part] <= RADIUS // BLOCKS) for v in range(256)])
-        return cls(kept, bags, np.array([c.total() for c in bags], np.int64), prints, blocks, np.array(sorted(sizes_of), np.uint64), {x: sorted(s) for x, s in sizes_of.items()})
+        parts = [(size, np.unique(np.concatenate(x))) for size, x in sorted(pairs.items())]
+        x = np.concatenate([part for _, part in parts]) if parts else np.zeros(0, np.uint64)
+        size_of = np.repeat(np.array([size for size, _ in parts], np.int64), [len(part) for _, part in parts])
+        order = np.argsort(x, kind="stable")
+        shingles, begins = np.unique(x[order], return_index=True)
+        return cls(kept, bags, np.array([b.counts.sum() for b in bags], np.int64), prints, blocks, shingles, np.append(begins, len(x)), size_of[order])
 
     def near(self, fingerprint: np.uint64) -> np.ndarray:
         """Items within RADIUS bits."""
@@ -99,13 +125,17 @@ class Items:
 
     def leaks(self, h: np.ndarray, hits: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
         """Of a document's shingles and the places of those that some item has: for each item that leaks, (low, high, first word, words) of its best window."""
-        starts = {}
-        for at in hits.tolist():
-            for size in self.sizes_of[int(h[at])]:
-                starts.setdefault(size, []).append(at)
-        starts = {size: np.array(places) for size, places in starts.items()}
+        kind = np.searchsorted(self.shingles, h[hits])
+        n_sizes = np.diff(self.begins)[kind]
+        place = np.repeat(hits, n_sizes)
+        size_at = self.sizes_of[np.arange(len(place)) + np.repeat(self.begins[kind] - np.cumsum(n_sizes) + n_sizes, n_sizes)]
+        order = np.argsort(size_at, kind="stable")
+        sizes, first = np.unique(size_at[order], return_index=True)
+        starts = dict(zip(sizes.tolist(), np.split(place[order], first[1:]), strict=True))
         best: dict[int, tuple[int, int, int, int]] = {}
         longest = max(starts)
+        shared = max((size for size in starts if size <= WINDOWS_AT_ONCE), default=0)
+        last: dict[int, tuple[int, np.ndarray]] = {}  # of wider windows: where one begins and its votes
         for lo in range(max(0, int(hits[0]) - longest + 1), int(hits[-1]) + 1, WINDOWS_AT_ONCE):  # windows that begin in this stretch
             sums = None
             for size, places in starts.items():
@@ -116,18 +146,31 @@ class Items:
                     continue
                 opens, closes = (np.bincount(np.clip(x - lo, 0, n), minlength=n + 1) for x in (near - width + 1, near + 1))
                 begin = np.flatnonzero(np.cumsum(opens - closes)[:n] > 0)
-                if sums is None:
-                    some = votes(h[lo : lo + WINDOWS_AT_ONCE + longest])
-                    sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(some, axis=0, dtype=np.int32)])
-                for a, fingerprint in zip((begin + lo).tolist(), fingerprints(sums[begin + width] - sums[begin]), strict=True):
-                    bag = None
-                    for i in self.near(fingerprint):
-                        if self.sizes[i] != size:
-                            continue
-                        bag = bag or Counter(h[a : a + width].tolist())
-                        low, high = similarity(bag, self.bags[i])
-                        if 100 * low >= PERCENT * high and (self.ids[i] not in best or low * best[self.ids[i]][1] > best[self.ids[i]][0] * high):
-                            best[self.ids[i]] = (low, high, a, width + SHINGLE - 1)
+                if size > WINDOWS_AT_ONCE:  # the votes of a wide window come from those of one before it
+                    at, total = last.get(size, (lo - width, 0))
+                    total = total + _total(h[at + width : lo + width]) - _total(h[at:lo]) if at + width > lo else _total(h[lo : lo + width])
+                    last[size] = lo, total
+                    gone, come = votes(h[lo : lo + n - 1]), votes(h[lo + width : lo + width + n - 1])
+                    windows = (np.concatenate([total[None], total + np.cumsum(come, axis=0, dtype=np.int64) - np.cumsum(gone, axis=0, dtype=np.int64)]))[begin]
+                else:
+                    if sums is None:
+                        some = votes(h[lo : lo + WINDOWS_AT_ONCE + shared])
+                        sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(some, axis=0, dtype=np.int32)])
+                    windows = sums[begin + width] - sums[begin]
+                found: dict[int, list[int]] = {}
+                for a, fingerprint in zip((begin + lo).tolist(), fingerprints(windows), strict=True):
+                    for i in self.near(fingerprint).tolist():
+                        if self.sizes[i] == size:
+                            found.setdefault(i, []).append(a)
+                for i, begun in found.items():
+                    lows = self.bags[i].common(h, near, np.array(begun), width)
+                    k = int(lows.argmax())  # the first one of the most
+                    low, high, a = int(lows[k]), width + size - int(lows[k]), begun[k]
+                    if 100 * low < PERCENT * high:
+                        continue
+                    old = best.get(self.ids[i])
+                    if old is None or (low * old[1], -a) > (old[0] * high, -old[2]):
+                        best[self.ids[i]] = (low, high, a, width + SHINGLE - 1)
         return best
 
 
@@ -149,14 +192,22 @@ def _documents_that_leak(known: Items, column: pa.Array) -> Iterator[tuple[int,
 
 
 def _turns(benchmark: DataFrame) -> Iterator[Items]:
-    """The benchmark's items, ITEMS_AT_ONCE at most in each turn (hashed into turns, one may hold up to twice its share)."""
+    """The benchmark's items in turns of ITEMS_AT_ONCE items and BYTES_AT_ONCE of text at most, but where one part of the hash's range holds more."""
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n, longest = items.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
-    if longest > MAX_ITEM_BYTES:
-        raise ValueError(f"an item of {longest} bytes")
-    turns = max(1, -(-n // (ITEMS_AT_ONCE // 2)))
-    for turn in range(turns):
-        found = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(turns)) == turn).collect()
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = 64 * max(1, -(-n // ITEMS_AT_ONCE), -(-size // BYTES_AT_ONCE))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    held = items.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).orderBy("part").collect()
+    first, n, size = 0, 0, 0
+    cuts = []
+    for r in held:
+        if n and (n + r["n"] > ITEMS_AT_ONCE or size + r["size"] > BYTES_AT_ONCE):
+            cuts.append((first, r["part"]))
+            first, n, size = r["part"], 0, 0
+        n, size = n + r["n"], size + r["size"]
+    for first, end in [*cuts, (first, parts)]:
+        # an item that repeats is looked for once
+        found = items.where((part >= first) & (part < end)).distinct().collect()
         yield Items.of([r["item_id"] for r in found], [r["text"] for r in found])
 
 
@@ -165,7 +216,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Of equally similar windows the first one counts. Words are runs of letters and digits (and any character beyond
     ASCII) in lower case. Items of fewer than SHINGLE words, null items and items with a null id take no part; of items
-    that share an id, each is looked for, and the best window of a turn counts. Null, empty and short texts leak nothing.
+    that share an id, each is looked for, and the best window of a turn counts. Items and texts of any length count whole. Null, empty and short texts leak nothing.
     A row of ``docs`` that repeats gives its rows again. Other columns are left out. No item or no document gives no row.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

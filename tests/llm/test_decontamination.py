@@ -82,3 +82,52 @@ def test_multi_index_finds_all_within_radius():
 def test_long_item_is_an_error(spark):
     with pytest.raises(ValueError, match="bytes"):
         d.leaks(spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([(1, "b" * 70_000)], "item_id long, text string"))
+
+
+def test_long_item_is_found(spark):
+    rng = random.Random(3)
+    item = [f"w{rng.randrange(3000)}" for _ in range(26_000)]
+    said = item[:]
+    for at in rng.sample(range(len(said)), 300):
+        said[at] = "edited"
+    other = [f"v{rng.randrange(3000)}" for _ in range(30_000)]
+    docs = [(1, " ".join(other[:15_000] + said + other[15_000:])), (2, " ".join(other + item[:9_000])), (3, "a short item of six words here"), (4, " ".join(item[:25_000]))]
+    items = [(1, " ".join(item)), (2, "A short item of six words")]
+    assert len(items[0][1]) > 1 << 16
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in d.leaks(df, bench).collect()}
+    assert got.keys() == {(1, 1), (3, 2), (4, 1)}
+    x, y = bag(said), bag(item)
+    low = (x & y).total()
+    assert got[1, 1]["similarity"] == pytest.approx(low / (x.total() + y.total() - low), abs=1e-3) and abs(got[1, 1]["first_word"] - 15_000) < 30
+    assert got[4, 1]["first_word"] == 0 and got[4, 1]["n_words"] == 25_000
+    assert [r["doc_id"] for r in d.without_leaks(df, bench).collect()] == [2]
+
+
+def test_turns_are_cut_by_bytes(spark, monkeypatch):
+    items = [(i, f"item number {i} says something quite of its own {i * i}" + " and more" * (300 if i == 7 else 0)) for i in range(30)]
+    docs = spark.createDataFrame([(i, "before " + t + " after") for i, t in items], "doc_id long, text string")
+    bench = spark.createDataFrame(items + items[:3], "item_id long, text string")
+    one = sorted(d.leaks(docs, bench).collect())
+    monkeypatch.setattr(d, "BYTES_AT_ONCE", 200)
+    turns = list(d._turns(bench))
+    assert len(turns) > 5 and sorted(i for t in turns for i in t.ids) == list(range(30))
+    assert sorted(d.leaks(docs, bench).collect()) == one and len(one) >= 30
+
+
+def test_common_against_counters(monkeypatch):
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        h, item = rng.integers(8, size=rng.integers(10, 60)).astype(np.uint64), rng.integers(6, size=rng.integers(1, 12)).astype(np.uint64)
+        width = min(len(item), len(h))
+        begin = np.arange(len(h) - width + 1)
+        low = d.Bag(*np.unique(item, return_counts=True)).common(h, np.flatnonzero(np.isin(h, item)), begin, width)
+        assert low.tolist() == [(Counter(h[a : a + width].tolist()) & Counter(item.tolist())).total() for a in begin]
+    # windows wider than a stretch give what they give in one stretch
+    text = " ".join(f"u{x}" for x in rng.integers(40, size=300))
+    known = d.Items.of([1, 2], [" ".join(text.split()[100:180]), " ".join(text.split()[20:60])])
+    _, h, _, _ = next(d._shingles(d.pa.array([text])))
+    hits = np.flatnonzero(np.isin(h, known.shingles))
+    whole = known.leaks(h, hits)
+    monkeypatch.setattr(d, "WINDOWS_AT_ONCE", 16)
+    assert known.leaks(h, hits) == whole and {k: v[2] for k, v in whole.items()} == {1: 100, 2: 20}
