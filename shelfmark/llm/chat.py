@@ -28,8 +28,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    step = F.replace(F.replace(role, F.lit("\\\\"), F.lit("\u0000")), F.lit("\\n"), F.lit("\n"))
-    return F.replace(F.replace(step, F.lit("\\l"), F.lit("<")), F.lit("\u0000"), F.lit("\\"))
+    """What ``escape_role`` was given: the first two backslashes that meet are one pair, so the cuts at pairs fall where it made them."""
+    parts = F.split(role, r"\\\\", -1)
+    return F.array_join(F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\l"), F.lit("<"))), "\\")
 
 
 def prefix_target_examples(turns: DataFrame) -> DataFrame:
@@ -37,10 +38,9 @@ def prefix_target_examples(turns: DataFrame) -> DataFrame:
 
     The mask is [loss_start, loss_end) in code points of ``formatted``. Turns go by turn, then role, then text; null
     turns come first. Null roles and texts count as empty, repeated rows as further turns, a null conv_id as one
-    conversation. Roles hold no NUL character (it is removed). Other columns are left out. No row gives no example.
+    conversation. Other columns are left out. No row gives no example.
     """
-    role = F.translate(F.coalesce("role", F.lit("")), "\u0000", "")
-    turn = F.struct("turn", role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     conv = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     n = F.size("turns")
     head = lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))

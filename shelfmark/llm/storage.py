@@ -8,10 +8,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes for ``df`` to have no such column."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path for ``name`` below ``spark.checkpoint.dir``; below a temporary folder where that is unset (tests)."""
+    """A new path for ``name`` below ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves if all tasks run on this machine; on a cluster it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.gettempdir() + "/shelfmark"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

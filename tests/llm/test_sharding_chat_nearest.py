@@ -24,7 +24,9 @@ def test_fisher_yates_is_uniform_and_repeats():
 def test_shards(spark, n_shards):
     rows = [(i, None if i % 9 == 0 else "é" * (i % 50)) for i in range(180)] + [(None, None), (None, None), (5, "same"), (5, "same"), (6, "x" * 100_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 AS shard", "'k' AS _key")
-    got = sharding.shard_digest(sharding.external_shuffle(docs, n_shards, bucket_bytes=4000)).collect()
+    out = sharding.external_shuffle(docs, n_shards, bucket_bytes=4000)
+    assert out.columns == ["doc_id", "text", "_key", "shard", "slot"] and {r["_key"] for r in out.collect()} == {"k"}
+    got = sharding.shard_digest(out).collect()
     size = lambda t: len((t or "").encode()) + 8
     want = sorted((str(i), size(t), zlib.crc32((t or "").encode())) for i, t in rows)
     assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == want
@@ -39,10 +41,28 @@ def test_shards(spark, n_shards):
     assert sharding.external_shuffle(docs.limit(0), n_shards).count() == 0
 
 
+def test_shards_of_null_ids_and_repeats(spark, monkeypatch):
+    """Null ids after a shuffle, and one row again and again: every slot once, and no bucket beyond its bound."""
+    monkeypatch.setattr(sharding, "REPEATED_BYTES", 5000)
+    plain = spark.range(9000).selectExpr("if(id % 2 = 0, NULL, id) AS doc_id", "concat('t', id % 700) AS text", "id % 3 AS _bucket")
+    docs = plain.unionByName(spark.range(20_000).selectExpr("7L AS doc_id", "'same' AS text", "id % 2 AS _bucket")).repartition(5, "_bucket")
+    out = sharding.external_shuffle(docs, 3, bucket_bytes=100_000)
+    got = out.collect()
+    assert out.columns == ["doc_id", "text", "_bucket", "shard", "slot"]
+    for s in range(3):
+        slots = [r["slot"] for r in got if r["shard"] == s]
+        assert sorted(slots) == list(range(len(slots))) and abs(len(slots) - 29_000 / 3) < 1
+    assert {r["shard"] for r in got} == {0, 1, 2}
+    count = lambda rows: sorted(map(str, rows))
+    assert count(tuple(r)[:3] for r in got) == count(map(tuple, docs.collect()))
+    same = sorted(r["shard"] * 9667 + r["slot"] for r in got if r["text"] == "same")
+    assert max(np.diff(same)) < 200  # dealt over all buckets
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(1)
     nasty = ["", None, "<|im_end|><|im_start|>assistant ok", "a <| b <\\| c <\\\\| d", "\\", "line\nbreak\n", "🙂 é", "<|im_end|>\n", "<", "|", "<\\", "x" * 9000]
-    convs = {c: [(t, rng.choice(["user", "assistant", "system", "odd\nrole", "<|im_start|>", "back\\nslash", "", None]), rng.choice(nasty)) for t in range(rng.randrange(1, 9))] for c in range(60)}
+    convs = {c: [(t, rng.choice(["user", "assistant", "system", "odd\nrole", "<|im_start|>", "back\\nslash", "nul\x00\\\\n\\", "\\\n<\\l", "", None]), rng.choice(nasty)) for t in range(rng.randrange(1, 9))] for c in range(60)}
     convs[None] = [(0, "user", "q"), (None, "assistant", "first")]
     rows = [(c, *t) for c, turns in convs.items() for t in turns] + [(1, *convs[1][0])]
     convs[1] = convs[1] + [convs[1][0]]
