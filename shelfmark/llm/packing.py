@@ -1,29 +1,32 @@
 """Packing documents into sequences of a fixed capacity by bulk-synchronous best fit.
 
-Documents are range-sorted by size over the cluster, so each has a rank among those of its size. Gaps are sorted by size
-as well, and held as runs: neighbouring sequences with equal space left. Supersteps go from the largest size down. In
-one, all documents of a size look for the successor of their size among the gaps (the smallest gap that holds it); where
-many want the same run, rank decides: the r-th document takes the r-th gap. The run becomes a run of smaller gaps, and
-the step repeats for the documents left over, which open new sequences once no gap holds them. Sorted lists with equal
-neighbours put together have at most ``capacity`` sizes, and a superstep splits one run at most, so the sweep's tables
-are bounded by the capacity, whatever the number of documents; the documents themselves stay on the executors, which
-look up what their size and rank were matched with.
+Documents and gaps (the space left in sequences) are range-sorted by size on one line. In a superstep every gap takes the
+largest document that fits it and that no nearer gap takes: on the sorted line, a document is an opening bracket, a gap a
+closing one, and brackets that belong together are a match. Each part of the line is swept on its own; what a part leaves
+over is ranked by its depth in the whole line, from two counts a part, and ranks that meet are a match as well. Then the
+gaps are updated and the superstep is repeated. A gap of several times the largest document left stands on the line as
+several slots. When hardly any document found a gap, new sequences are opened for those that are left.
+
+Once documents and gaps are few enough for one task (``ROWS_AT_ONCE``), the same supersteps go on inside it. The driver
+sees counts of rows and the sum of what is left.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
-from collections import defaultdict, deque
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bpe
-from shelfmark.llm.storage import written
+from shelfmark.llm.storage import drop, free, written
+
+ROWS_AT_ONCE = 50_000  # documents and gaps that one task finishes on its own
+ROWS_IN_A_PART = 2_000_000  # at most, where there are more of them than shuffle partitions
+HARDLY_ANY = 64  # new sequences are opened once fewer than one in so many documents found a gap
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 2) -> DataFrame:
@@ -49,98 +52,168 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 2) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def match(sizes: dict[int, int], capacity: int) -> dict[int, list[tuple[int, int, int]]]:
-    """For each size: (first rank, first sequence, offset) of the runs its documents were matched with, by rank.
 
-    From a rank on, document after document goes to sequence after sequence, until the next entry.
-    """
-    gaps: dict[int, deque] = defaultdict(deque)  # space left: runs (first sequence, how many)
-    order: list[int] = []  # sizes of the gaps there are, sorted
-    plan: dict[int, list[tuple[int, int, int]]] = {}
-    n_sequences = 0
-
-    def put(space: int, run: tuple[int, int]) -> None:
-        if space:
-            if not gaps[space]:
-                insort(order, space)
-            gaps[space].append(run)
-
-    for size in sorted(sizes, reverse=True):
-        rank, plan[size] = 0, []
-        while rank < sizes[size]:
-            left = sizes[size] - rank
-            at = bisect_left(order, size)
-            if at == len(order):  # no gap holds it
-                opened = -(-left // (capacity // size))
-                put(capacity, (n_sequences, opened))
-                n_sequences += opened
-                continue
-            space = order[at]
-            first, n = gaps[space].popleft()
-            taken = min(n, left)
-            if taken < n:
-                gaps[space].appendleft((first + taken, n - taken))
-            elif not gaps[space]:
-                order.pop(at)
-            plan[size].append((rank, first, capacity - space))
-            put(space - size, (first, taken))
-            rank += taken
-    return plan
+def depth(is_gap: np.ndarray, before: int = 0) -> np.ndarray:
+    """The depth of each bracket of a sorted line, which begins at depth ``before``; a document and the next gap of its depth belong together."""
+    after = before + np.cumsum(np.where(is_gap, -1, 1))
+    return after + is_gap
+
+
+def sweep(size: np.ndarray, is_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a line sorted by size, documents before gaps of their size: places of matched documents, and those of their gaps."""
+    level = depth(is_gap)
+    order = np.argsort(level, kind="stable")
+    here, there = order[:-1], order[1:]
+    pair = (level[here] == level[there]) & ~is_gap[here] & is_gap[there]
+    return here[pair], there[pair]
+
+
+def slots(space: np.ndarray, largest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(gap, space) of the slots that gaps are cut into, each with space for a document of size ``largest``, or one for a gap of less than two of them."""
+    n = np.maximum(space // max(largest, 1), 1)
+    gap = np.repeat(np.arange(len(space)), n)
+    place = np.arange(len(gap)) - np.repeat(np.cumsum(n) - n, n)
+    each = np.repeat(space // n, n)
+    return gap, np.where(place == 0, np.repeat(space, n) - each * (np.repeat(n, n) - 1), each)
+
+
+def finish(sizes: np.ndarray, spaces: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
+    """All supersteps of documents and gaps that one task holds: the gap of each document (numbers past ``spaces`` are new sequences), and how many are new."""
+    found, left, n_old = np.full(len(sizes), -1), np.argsort(sizes, kind="stable"), len(spaces)
+    while len(left):
+        useful = np.flatnonzero(spaces >= sizes[left[0]])
+        gap, space = slots(spaces[useful], int(sizes[left[-1]]))
+        line = np.concatenate([sizes[left], space])
+        is_gap = np.arange(len(line)) >= len(left)
+        order = np.lexsort((is_gap, line))
+        a, b = sweep(line[order], is_gap[order])
+        docs, gaps = left[order[a]], useful[gap[order[b] - len(left)]]
+        found[docs] = gaps
+        np.subtract.at(spaces, gaps, sizes[docs])
+        if len(docs) * HARDLY_ANY < len(left):
+            rest = int(sizes[left].sum() - sizes[docs].sum())
+            spaces = np.concatenate([spaces, np.full(-(-rest // capacity), capacity)])
+        left = left[found[left] < 0]
+    return found, len(spaces) - n_old
+
+
+
+
+
+def _superstep(line: DataFrame, n_parts: int) -> DataFrame:
+    """Rows (id, size, is_gap) to matches (doc, gap, size)."""
+    keys = ["size", "is_gap", "id"]
+    ordered = line.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
+
+    def run(batches):
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        size, is_gap, ids = table["size"].to_numpy(), table["is_gap"].to_numpy(), table["id"].to_numpy()
+        docs, gaps = sweep(size, is_gap)
+        over = np.ones(len(size), bool)
+        over[docs] = over[gaps] = False
+        over = np.flatnonzero(over)  # gaps first, then documents
+        part = TaskContext.get().partitionId()
+        none = pa.nulls(len(over), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(docs), part, np.int32)), pa.array(ids[docs]), pa.array(ids[gaps]), pa.array(size[docs]), pa.nulls(len(docs), pa.int64())],
+            ["part", "doc", "gap", "size", "place"])
+        doc, gap = pa.array(ids[over], mask=is_gap[over]), pa.array(ids[over], mask=~is_gap[over])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(over), part, np.int32)), doc, gap, pa.array(size[over]) if len(over) else none, pa.array(np.arange(len(over)))],
+                                         ["part", "doc", "gap", "size", "place"])
+
+    swept = written(ordered.mapInArrow(run, "part int, doc long, gap long, size long, place long"), "swept")
+    near = swept.where("place IS NULL").select("doc", "gap", "size")
+    over = swept.where("place IS NOT NULL")
+    # what the parts left over: gaps then documents in each, so two numbers a part tell the depth of every row in the whole line
+    parts = over.groupBy("part").agg(F.count("gap").alias("gaps"), F.count("doc").alias("docs"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", "gaps", F.coalesce(F.sum(F.col("docs") - F.col("gaps")).over(before), F.lit(0)).alias("before"))
+    place = F.col("place") + 1
+    level = F.when(F.col("gap").isNotNull(), F.col("before") - place + 1).otherwise(F.col("before") + place - 2 * F.col("gaps"))
+    ranked = over.join(F.broadcast(parts), "part").withColumn("level", level)  # one row a part
+    along = Window.partitionBy("level").orderBy("part", F.col("gap").isNull())
+    following = ranked.select("doc", "size", F.when(F.col("doc").isNotNull(), F.lead("gap").over(along)).alias("gap"))
+    matches = written(near.unionByName(following.where("gap IS NOT NULL").select("doc", "gap", "size")), "matches")
+    drop(swept)
+    return matches
+
+
+def _slots(gaps: DataFrame, largest: int) -> DataFrame:
+    n = F.greatest(F.floor(F.col("space") / largest), F.lit(1))
+    each = F.floor(F.col("space") / n)
+    return gaps.select("id", F.posexplode(F.array_repeat(each, n.cast("int"))).alias("place", "each"), "space", n.alias("n")).select(
+        "id", F.when(F.col("place") == 0, F.col("space") - F.col("each") * (F.col("n") - 1)).otherwise(F.col("each")).alias("size"), F.lit(True).alias("is_gap"))
+
+
+def _finished(docs: DataFrame, gaps: DataFrame, capacity: int, first_new: int) -> DataFrame:
+    """Matches of a line that one task holds; new sequences are numbered downwards from ``first_new``."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("is_gap", "ascending"), ("size", "ascending"), ("id", "ascending")])
+        is_gap, size, ids = (table[c].to_numpy() for c in ("is_gap", "size", "id"))
+        found, n_new = finish(size[~is_gap], size[is_gap].copy(), capacity)
+        names = np.concatenate([ids[is_gap], first_new - np.arange(n_new)])
+        return pa.table({"doc": ids[~is_gap], "gap": names[found], "size": size[~is_gap]})
+
+    both = docs.select("id", "size", F.lit(False).alias("is_gap")).unionByName(gaps.select("id", F.col("space").alias("size"), F.lit(True).alias("is_gap")))
+    return both.groupBy().applyInArrow(run, "doc long, gap long, size long")
+
+
+def _matches(docs: DataFrame, gaps: DataFrame, capacity: int) -> list[DataFrame]:
+    """(doc, gap, size) for all of ``docs`` (id, size): tables of matches with ``gaps`` (id, space) and with new sequences, whose ids are below zero."""
+    spark = docs.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found, old, first_new = [], [], -1
+    while True:
+        n, total, least, largest = docs.agg(F.count(F.lit(1)), F.sum("size"), F.min("size"), F.max("size")).first()
+        if not n:
+            return found
+        gaps = gaps.where(F.col("space") >= least)
+        n_gaps = gaps.count()
+        if n + n_gaps <= ROWS_AT_ONCE:
+            return [*found, _finished(docs, gaps, capacity, first_new)]
+        line = docs.select("id", "size", F.lit(False).alias("is_gap")).unionByName(_slots(gaps, largest))
+        step = _superstep(line, int(max(min(most, -(-(n + n_gaps) // ROWS_AT_ONCE)), -(-(n + n_gaps) // ROWS_IN_A_PART))))
+        found.append(step)
+        placed, n_placed = step.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+        filled = gaps.join(step.groupBy(F.col("gap").alias("id")).agg(F.sum("size").alias("taken")), "id", "left")
+        filled = filled.select("id", (F.col("space") - F.coalesce("taken", F.lit(0))).alias("space"))
+        if n_placed * HARDLY_ANY < n:
+            n_new = -(-(total - placed) // capacity)
+            filled = filled.unionByName(spark.range(n_new).select((F.lit(first_new) - F.col("id")).alias("id"), F.lit(capacity).cast("long").alias("space")))
+            first_new -= n_new
+        docs, old = written(docs.join(step.select(F.col("doc").alias("id")), "id", "left_anti"), "docs"), [*old, docs]
+        gaps, old = written(filled.where("space > 0"), "gaps"), [*old, gaps]
+        for table in old[2:] if len(old) > 2 else []:  # the first two are the caller's
+            drop(table)
+        old = old[:2]
 
 
 def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
     """``pieces`` (with doc_id, piece, and length from 1 to ``capacity``) plus sequence_id and offset.
 
-    Pieces of one length go by doc_id and piece, null ids first. A null length, or one outside the range, is an error.
-    Columns of ``pieces`` named sequence_id and offset are replaced. An empty table gives no rows.
+    A piece of more than half the capacity opens a sequence of its own, which no other such piece could share. Pieces of
+    one length go by doc_id and piece, null ids first. A null length, or one outside the range, is an error. Columns of
+    ``pieces`` named sequence_id and offset are replaced, all others kept. An empty table gives no rows.
     """
-    spark = pieces.sparkSession
-    pieces = pieces.drop("sequence_id", "offset", "_part", "_rank")
+    pieces = pieces.drop("sequence_id", "offset")
+    number, doc, gap, size = free(pieces, "_number", "doc", "gap", "size")
     checked = pieces.withColumn("length", F.when(F.col("length").between(1, capacity), F.col("length")).otherwise(
         F.raise_error(F.concat(F.lit("no length from 1 to the capacity: "), F.coalesce(F.col("length").cast("string"), F.lit("null"))))).cast("long"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.desc("length"), F.asc("doc_id"), F.asc("piece")]
-    ordered = checked.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-
-    def ranked(batches):
-        part, seen, last = TaskContext.get().partitionId(), 0, None
-        for batch in batches:
-            length = batch.column("length").to_numpy()
-            first = np.flatnonzero(np.diff(length, prepend=-1))
-            rank = np.arange(len(length)) - np.repeat(first, np.diff(np.append(first, len(length))))
-            if len(length) and length[0] == last:
-                rank[: first[1] if len(first) > 1 else len(length)] += seen
-            if len(length):
-                last, seen = length[-1], int(rank[-1]) + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(rank.astype(np.int64))], [*batch.schema.names, "_part", "_rank"])
-
-    schema = checked.withColumns({"_part": F.lit(0).cast("int"), "_rank": F.lit(0).cast("long")}).schema
-    held = written(ordered.mapInArrow(ranked, schema), "pieces")
-    # In a range-sorted table a part shares a length with its neighbours only: a row a part and a row a length, about.
-    counts = sorted((-r["length"], r["_part"], r["count"]) for r in held.groupBy("length", "_part").count().collect())
-    sizes: dict[int, int] = defaultdict(int)
-    base = {}
-    for size, part, count in counts:
-        base[part, -size] = sizes[-size]
-        sizes[-size] += count
-    plan = spark.sparkContext.broadcast((base, {s: np.array(p).T for s, p in match(sizes, capacity).items()}))
-
-    def placed(batches):
-        base, found = plan.value
-        for batch in batches:
-            length, part, rank = (batch.column(c).to_numpy() for c in ("length", "_part", "_rank"))
-            sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
-            edge = np.flatnonzero(np.diff(length, prepend=-1) | np.diff(part, prepend=-1))
-            for a, b in zip(edge, [*edge[1:], len(length)], strict=True):
-                ranks, firsts, offsets = found[int(length[a])]
-                r = base[int(part[a]), int(length[a])] + rank[a:b]
-                at = np.searchsorted(ranks, r, "right") - 1
-                sequence[a:b], offset[a:b] = firsts[at] + r - ranks[at], offsets[at]
-            kept = [c for c in batch.schema.names if c not in ("_part", "_rank")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
-
-    out = checked.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
-    return held.mapInArrow(placed, out)
+    held = written(checked.withColumn(number, F.monotonically_increasing_id()), "pieces")
+    own = F.col("length") * 2 > capacity
+    docs = held.where(~own).select(F.col(number).alias("id"), F.col("length").alias("size"))
+    gaps = held.where(own & (F.col("length") < capacity)).select(F.col(number).alias("id"), (F.lit(capacity) - F.col("length")).alias("space"))
+    matches = held.sparkSession.createDataFrame([], "doc long, gap long, size long")
+    for found in _matches(docs, gaps, capacity):
+        matches = matches.unionByName(found)
+    matches = matches.select(F.col("doc").alias(doc), F.col("gap").alias(gap))
+    placed = held.join(matches, F.col(number) == F.col(doc), "left").withColumn("sequence_id", F.coalesce(gap, number))
+    # a sequence holds at most ``capacity`` pieces
+    earlier = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "piece", number).rowsBetween(Window.unboundedPreceding, -1)
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("long")).drop(number, doc, gap)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:

@@ -110,8 +110,10 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), PATH).collect() == []
 
 
-def test_best_fit_matches_a_sequential_one(spark):
-    """Each size in turn, in the order of sizes, to the smallest gap that holds it."""
+@pytest.mark.parametrize("rows_at_once", [50_000, 300])
+def test_best_fit_matches_a_sequential_one(spark, monkeypatch, rows_at_once):
+    """Each size in turn, in the order of sizes, to the smallest gap that holds it; in one task, and over several parts."""
+    monkeypatch.setattr(packing, "ROWS_AT_ONCE", rows_at_once)
     rng = np.random.default_rng(3)
     sizes = np.minimum(rng.zipf(1.3, 4000), 100)
     sizes[:1500] = 37  # a third of all have one size
@@ -126,6 +128,47 @@ def test_best_fit_matches_a_sequential_one(spark):
         else:
             gaps.append(100 - s)
     assert len(got) <= len(gaps) * 1.005 + 1
+    assert max(r[1] for r in got) <= 100 and sum(r[1] for r in got) == sizes.sum()
+
+
+def brute_matches(line):
+    """Each gap, from the smallest up, takes the largest document before it that none has taken."""
+    stack, out = [], []
+    for place, is_gap in enumerate(line):
+        if not is_gap:
+            stack.append(place)
+        elif stack:
+            out.append((stack.pop(), place))
+    return sorted(out)
+
+
+def test_superstep_against_a_stack(spark):
+    rng = np.random.default_rng(5)
+    for n, share in ((0, 0.5), (1, 0.5), (400, 0.5), (400, 0.1), (400, 0.9)):
+        is_gap = rng.random(n) < share
+        a, b = packing.sweep(np.arange(n), is_gap)
+        assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == brute_matches(is_gap)
+    for share in (0.3, 0.6):
+        is_gap = rng.random(500) < share
+        size = np.sort(rng.integers(1, 40, 500))
+        order = np.lexsort((np.arange(500), is_gap, size))
+        line = spark.createDataFrame([(int(i), int(size[i]), bool(is_gap[i])) for i in order[rng.permutation(500)]], "id long, size long, is_gap boolean")
+        got = sorted((int(r["doc"]), int(r["gap"])) for r in packing._superstep(line, 7).collect())
+        assert got == sorted((int(order[a]), int(order[b])) for a, b in brute_matches(is_gap[order]))
+
+
+def test_slots_hold_what_the_gap_has():
+    gap, space = packing.slots(np.array([3, 10, 25, 1]), 4)
+    assert np.bincount(gap, space).tolist() == [3, 10, 25, 1] and np.bincount(gap).tolist() == [1, 2, 6, 1]
+
+
+def test_best_fit_keeps_other_columns(spark):
+    df = spark.createDataFrame([(1, 0, 60, "a", 1, 2), (2, 0, 30, "b", 3, 4), (None, None, 10, None, None, None), (2, 0, 30, "b", 3, 4)],
+                               "doc_id long, piece int, length long, _number string, gap long, offset long")
+    out = packing.best_fit(df, 100)
+    assert out.columns == ["doc_id", "piece", "length", "_number", "gap", "sequence_id", "offset"]
+    got = sorted(out.collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+    assert sorted(str(r["_number"]) for r in got) == ["None", "a", "b", "b"] and len({r["sequence_id"] for r in got}) == 2
 
 
 def test_lengths_out_of_range(spark):
