@@ -2,7 +2,12 @@
 
 One pass counts the n-grams of each language into a fixed number of buckets; Spark adds up the tasks' sparse counts. The
 log-probability matrix (buckets by languages) is broadcast and texts are scored in batches: the n-grams of a batch are
-the column indices of a sparse matrix, and its product with the matrix is a row look-up and a sum for each text.
+the column indices of a sparse matrix, and its product with the matrix is a row look-up and a sum for each text. Languages
+are taken in blocks of ``LANGUAGES_AT_ONCE``; a text carries its best ones from block to block.
+
+A text's fit says how plainly it reads as its language: its log-odds against the next likely language a character, as a
+share of what the language's own n-grams give on average. It is about 1 for plain text, and near 0 for letters without
+sense, for other languages and for texts of several languages.
 """
 
 from __future__ import annotations
@@ -15,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.storage import free
+
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)  # lengths of the n-grams, in characters
-MAX_LANGUAGES = 256  # bounds what is broadcast: BUCKETS * MAX_LANGUAGES * 4 bytes; more is an error
+LANGUAGES_AT_ONCE = 256  # bounds what is broadcast at once: BUCKETS * LANGUAGES_AT_ONCE * 4 bytes
 CHUNK_CHARS = 1 << 19
 SMOOTHING = 0.5
 
@@ -69,17 +76,17 @@ def _grams(chars: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 @dataclass
 class Model:
+    """A block of languages."""
+
     languages: list[str]
     prior: np.ndarray  # log, by language
     weights: np.ndarray  # log probability, bucket by language
+    plain: np.ndarray  # log-odds a character that a text of the language has on average against the nearest other one of the block
 
 
-def train(rows: DataFrame) -> Model:
-    """``rows``: text, lang (not null). Counts cover every row."""
-    per_lang = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(per_lang) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(per_lang)
+def train(rows: DataFrame, per_lang: dict[str, int]) -> Model:
+    """``rows``: text, lang (not null); ``per_lang``: how many rows each language to learn has, and under None all others. Counts cover every row."""
+    languages = sorted(x for x in per_lang if x is not None)
     number = {lang: i for i, lang in enumerate(languages)}
 
     def run(batches):
@@ -92,18 +99,23 @@ def train(rows: DataFrame) -> Model:
         cells = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], ["cell", "n"])
 
-    sums = rows.select("text", "lang").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow() if languages else None
+    own = rows.where(F.col("lang").isin(languages)) if None in per_lang else rows
+    sums = own.select("text", "lang").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(languages) * BUCKETS)
-    if sums is not None:
-        counts[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+    counts[sums["cell"].to_numpy()] = sums["n"].to_numpy()
     counts = counts.reshape(len(languages), BUCKETS) + SMOOTHING
+    p = counts / counts.sum(axis=1, keepdims=True)
+    logs = np.log(p)
+    cross = p @ logs.T  # mean log probability of one language's n-grams under another
+    np.fill_diagonal(cross, -np.inf)
+    plain = len(ORDERS) * ((p * logs).sum(axis=1) - cross.max(axis=1))
     docs = np.array([per_lang[x] for x in languages], float)
-    return Model(languages, np.log(docs / docs.sum()) if len(docs) else docs, np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32).copy())
+    return Model(languages, np.log(docs / sum(per_lang.values())), logs.T.astype(np.float32).copy(), plain)
 
 
-def posteriors(model: Model, texts: list) -> np.ndarray:
-    """Probability of each language, one row a text."""
-    out = np.empty((len(texts), len(model.languages)))
+def log_scores(model: Model, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Log of prior times likelihood for each language, one row a text, and the texts' lengths in characters."""
+    out, sizes = np.empty((len(texts), len(model.languages))), np.empty(len(texts), np.int64)
     for first, chars, begins in _chunks(texts):
         logs = np.tile(model.prior, (len(begins) - 1, 1))
         for b, at in _grams(chars, begins):
@@ -112,34 +124,66 @@ def posteriors(model: Model, texts: list) -> np.ndarray:
                 logs[0] += np.bincount(b, minlength=BUCKETS) @ model.weights
             elif some.any():
                 logs[some] += np.add.reduceat(model.weights[b], at[:-1][some], axis=0, dtype=np.float64)
-        logs = np.exp(logs - logs.max(axis=1, keepdims=True))
-        out[first : first + len(logs)] = logs / logs.sum(axis=1, keepdims=True)
-    return out
+        out[first : first + len(logs)], sizes[first : first + len(logs)] = logs, np.diff(begins)
+    return out, sizes
+
+
+_FOUND = ("best", "log_best", "log_next", "log_all", "plain", "size")  # what a text carries from block to block
 
 
-def predict(docs: DataFrame, is_training: Column, pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+def _merged(model: Model, texts: list, before: list[pa.Array] | None) -> list[pa.Array]:
+    """The columns of _FOUND after this block of languages."""
+    logs, sizes = log_scores(model, texts)
+    rows, k = np.arange(len(texts)), logs.argmax(axis=1)
+    best = np.array(model.languages, object)[k]
+    top, plain = logs[rows, k], model.plain[k]
+    logs[rows, k] = -np.inf
+    following = logs.max(axis=1)
+    total = top + np.log1p(np.exp(logs - top[:, None]).sum(axis=1))
+    if before is not None:
+        old_best, old_top, old_next, old_all, old_plain, _ = (c.to_numpy(zero_copy_only=False) for c in before)
+        following = np.maximum(np.minimum(top, old_top), np.maximum(following, old_next))
+        earlier = old_top >= top  # of equally likely languages the first one holds
+        best, plain, top = np.where(earlier, old_best, best), np.where(earlier, old_plain, plain), np.maximum(top, old_top)
+        total = np.logaddexp(total, old_all)
+    return [pa.array(best, pa.string()), *(pa.array(c.astype(float)) for c in (top, following, total, plain)), pa.array(sizes)]
+
+
+def predict(docs: DataFrame, is_training: Column, pred_col: str = "lang_pred", score_col: str = "score", fit_col: str | None = None) -> DataFrame:
     """The rows of ``docs`` (text, lang and others) with ``pred_col`` and ``score_col``, learnt from rows where ``is_training`` holds and lang is not null.
 
     The prediction is ``und`` with score 0 where a text is null or has no letter, or where nothing could be learnt. Else it is
-    the likeliest learned language (the first in alphabetical order of equally likely ones) and its probability. Columns
+    the likeliest learned language (the first in alphabetical order of equally likely ones) and its probability. With
+    ``fit_col``, that column has the text's fit (0 for ``und``, 1 where only one language was learned). Columns
     of these names in ``docs`` are replaced; a null ``is_training`` is not training; repeated rows count each; texts of
-    any length count whole; an empty table gives no rows.
+    any length count whole; an empty table gives no rows. The number of languages has no bound.
     """
-    spark = docs.sparkSession
-    docs = docs.drop(pred_col, score_col)
-    model = spark.sparkContext.broadcast(train(docs.where(is_training & F.col("lang").isNotNull()).select("text", "lang")))
-
-    def run(batches):
-        now = model.value
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            pred, score = ["und"] * len(texts), np.zeros(len(texts))
-            if now.languages:
-                p = posteriors(now, texts)
-                best = p.argmax(axis=1)
-                for i, text in enumerate(texts):
-                    if text and any(map(str.isalpha, text)):
-                        pred[i], score[i] = now.languages[best[i]], p[i, best[i]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], [*batch.schema.names, pred_col, score_col])
-
-    return docs.mapInArrow(run, docs.withColumns({pred_col: F.lit(""), score_col: F.lit(0.0)}).schema)
+    outs = [pred_col, score_col, *([fit_col] if fit_col else [])]
+    docs = docs.drop(*outs)
+    columns = docs.columns
+    rows = docs.where(is_training & F.col("lang").isNotNull()).select("text", "lang")
+    per_lang = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    names, n_rows = sorted(per_lang), sum(per_lang.values())
+    if not names:
+        return docs.withColumns({pred_col: F.lit("und"), score_col: F.lit(0.0)} | ({fit_col: F.lit(0.0)} if fit_col else {}))
+    held = free(docs, *_FOUND)
+    zero = dict(zip(held, (F.lit(""), *[F.lit(0.0)] * 4, F.lit(0).cast("long")), strict=True))
+    for lo, block in enumerate(np.array_split(np.array(names, object), -(-len(names) // LANGUAGES_AT_ONCE))):
+        block = {x: per_lang[x] for x in block}
+        if len(block) < len(names):
+            block[None] = n_rows - sum(block.values())
+        shared = docs.sparkSession.sparkContext.broadcast(train(rows, block))
+
+        def run(batches, shared=shared, first=lo == 0):
+            for batch in batches:
+                before = None if first else [batch.column(c) for c in held]
+                found = _merged(shared.value, batch.column("text").to_pylist(), before)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *found], [*columns, *held])
+
+        docs = docs.mapInArrow(run, docs.select(columns).withColumns(zero).schema)
+    best, top, following, total, plain, size = (F.col(c) for c in held)
+    # a letter in the sense of Unicode; accents may be marks of their own
+    told = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    fit = F.when(~told, 0.0).when(F.lit(len(names) == 1), 1.0).otherwise(F.when(plain > 0, (top - following) / size / plain).otherwise(0.0))
+    made = {pred_col: F.when(told, best).otherwise("und"), score_col: F.when(told, F.exp(top - total)).otherwise(0.0)} | ({fit_col: fit} if fit_col else {})
+    return docs.withColumns(made).select(*columns, *outs)

@@ -39,6 +39,63 @@ def test_toxicity_finds_unseen_spellings(spark, toxic_rows):
     assert max(got[1001] + got[1002] + got[1003]) < 0.1 and got[1004][0] < 0.7
 
 
+def test_the_draw_is_filled_from_labels_that_have_a_document(spark, monkeypatch):
+    """Labels without a document, and long texts, take no place from others."""
+    docs = spark.createDataFrame([(i, ("word " * (4000 if i % 2 else 3))) for i in range(200)] + [(7, "again " * 3), (7, None)], "doc_id long, text string")
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "CAST(id % 4 = 0 AS INT) AS toxic")
+    got = toxicity.training_sample(docs, labels).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(200))
+    assert sum(len(r["text"]) == 20_000 for r in got) in (99, 100)
+    monkeypatch.setattr(toxicity, "MAX_TRAINING_ROWS", 40)
+    got = toxicity.training_sample(docs, labels).collect()
+    assert len(got) == 40 and sum(r["toxic"] for r in got) == 20
+    monkeypatch.setattr(toxicity, "MAX_TRAINING_BYTES", 60_000)
+    assert 3 <= len(toxicity.training_sample(docs, labels).collect()) < 20
+
+
+def brute_score(model, text):
+    """One character n-gram, word and window after the other, in plain loops."""
+    values, mask = model.values().astype(float), 0xFFFFFFFF
+
+    def word_value(w):
+        chars, grams = [ord(c) for c in f"<{w}>"], []
+        for i in range(len(chars)):
+            h = 0
+            for n, c in enumerate(chars[i : i + max(toxicity.ORDERS)], 1):
+                h = ((h ^ c) * 0x01000193) & mask
+                h ^= h >> 13
+                if n in toxicity.ORDERS:
+                    grams.append(h % toxicity.BUCKETS)
+        whole = 0
+        for i, c in enumerate(chars):
+            whole += (((c * 2654435761) & mask) ^ ((c << 7) & mask)) * (((len(chars) - i) * 40503 + 1) & mask)
+        whole &= mask
+        grams.append((whole ^ (whole >> 16)) % toxicity.BUCKETS)
+        return sum(values[g] for g in grams) / len(grams)
+
+    said = []
+    for w in toxicity.WORD.findall((text or "").lower()):
+        if not said or said[-1] != w:
+            said.append(w)
+    if not said:
+        logit = -30.0
+    else:
+        v = [word_value(w) for w in said]
+        logit = max(sum(v[i : i + toxicity.WINDOW]) / len(v[i : i + toxicity.WINDOW]) for i in range(max(1, len(v) - toxicity.WINDOW + 1))) + model.bias
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+def test_scores_against_plain_loops(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(0, 1, (toxicity.BUCKETS, toxicity.DIMENSIONS)).astype(np.float32), rng.normal(0, 1, toxicity.DIMENSIONS).astype(np.float32), 0.3)
+    texts = [clean_text(random.Random(i)) for i in range(12)] + [None, "", "!?", "a", "the the the end", "Straße élan 漢字", toxic_text(random.Random(9)), "no " * 50]
+    want = [brute_score(model, t) for t in texts]
+    assert toxicity.Scorer(model).scores(texts) == pytest.approx(want, abs=1e-5)
+    monkeypatch.setattr(toxicity, "KEPT_WORDS", 3)
+    scorer = toxicity.Scorer(model)
+    assert [float(scorer.scores([t])[0]) for t in texts] == pytest.approx(want, abs=1e-5)
+
+
 def test_no_labels_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
@@ -72,7 +129,8 @@ def test_language(spark):
     train = F.col("doc_id") % 5 != 0
     got = {r["doc_id"]: r for r in langid.predict(docs, train).collect()}
     assert len(got) == len(rows)
-    model = langid.train(docs.where(train & F.col("lang").isNotNull()).select("text", "lang"))
+    known = docs.where(train & F.col("lang").isNotNull()).select("text", "lang")
+    model = langid.train(known, {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()})
     for i, text, lang in rows:
         if i in (500, 501, 502):
             assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
@@ -82,3 +140,26 @@ def test_language(spark):
     assert sum(got[i]["lang_pred"] == lang for i, _, lang in rows[:300]) > 290
     assert [r["lang_pred"] for r in langid.predict(docs, F.lit(False)).limit(3).collect()] == ["und"] * 3
     assert langid.predict(docs.limit(0), train).collect() == []
+
+
+def test_languages_in_blocks_and_fit(spark, monkeypatch):
+    """Languages block by block give what they give at once; junk, mixtures and unknown languages fit badly."""
+    rng = random.Random(5)
+    tongues = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 8))) for _ in range(40)] for k in range(7)}
+    say = lambda k, n: " ".join(rng.choice(tongues[k]) for _ in range(n))
+    rows = [(i, say(k, rng.randrange(5, 60)), k) for i in range(350) for k in [f"l{i % 7:02}"]]
+    plain = [(1000 + i, say("l03", 40), None) for i in range(20)]
+    junk = [(2000 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(300)), None) for i in range(20)]
+    mixed = [(3000 + i, say("l01", 30) + " " + say("l02", 30), None) for i in range(20)]
+    other = [(4000 + i, " ".join(rng.choice(["добрый", "вечер", "сегодня", "погода"]) for _ in range(40)), None) for i in range(20)]
+    docs = spark.createDataFrame(rows + plain + junk + mixed + other + [(5000, None, None), (5001, "7 !", "l01")], "doc_id long, text string, lang string").withColumns({"best": F.lit("x"), "fit": F.lit(0)})
+    find = lambda: {r["doc_id"]: r for r in langid.predict(docs, F.lit(True), fit_col="fit").collect()}
+    whole = find()
+    monkeypatch.setattr(langid, "LANGUAGES_AT_ONCE", 3)
+    parts = find()
+    for i, r in whole.items():
+        assert (r["lang_pred"], r["best"]) == (parts[i]["lang_pred"], "x") and r["score"] == pytest.approx(parts[i]["score"], abs=1e-9)
+    fits = lambda group: [whole[r[0]]["fit"] for r in group]
+    assert min(fits(plain)) > 0.5 and max(fits(other)) < 0.3
+    assert sum(f < 0.3 for f in fits(junk)) >= 18 and sum(f < 0.3 for f in fits(mixed)) >= 18
+    assert whole[5000]["fit"] == whole[5001]["fit"] == 0
