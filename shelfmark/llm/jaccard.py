@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm import words
 from shelfmark.llm.components import connected
-from shelfmark.llm.storage import drop, written
+from shelfmark.llm.storage import drop, free, written
 
 BLOCK_ROWS = 256  # rows of one block of a large group
 BROADCAST_ROWS = 1_000_000  # up to so many picked rows (24 bytes each) are broadcast to pick their texts; more are joined by a shuffle
@@ -222,16 +222,17 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, n_tasks: int | N
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     found = written(_components(keyed, k, percent, n_tasks, ["text_hash"]), "components")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    first = found.where("n_shingles > 0").groupBy("component").agg(F.min(order).alias("x"))
-    first = written(first.select("x._id", "x._hash").unionByName(found.where("n_shingles = 0").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()), "first")
+    id_, hash_ = free(docs, "_id", "_hash")
+    named = lambda df: df.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    first = found.where("n_shingles > 0").groupBy("component").agg(F.min(order).alias("x")).select("x.doc_id", "x.text_hash")
+    first = written(named(first.unionByName(found.where("n_shingles = 0").select("doc_id", "text_hash").distinct())), "first")
     side = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
     kept = docs.join(side, same, "left_semi")
     # rows that repeat an id and a text are one document's copies; there are none where ids are unique
     twins = found.where("n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    twins = written(twins.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "twins")
+    twins = written(named(twins), "twins")
     if twins.isEmpty():
         return kept
     return kept.join(twins, same, "left_anti").unionByName(kept.join(twins, same, "left_semi").dropDuplicates(["doc_id", "text"]))

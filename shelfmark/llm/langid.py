@@ -5,9 +5,10 @@ log-probability matrix (buckets by languages) is broadcast and texts are scored
 the column indices of a sparse matrix, and its product with the matrix is a row look-up and a sum for each text. Languages
 are taken in blocks of ``LANGUAGES_AT_ONCE``; a text carries its best ones from block to block.
 
-A text's fit says how plainly it reads as its language: its log-odds against the next likely language a character, as a
-share of what the language's own n-grams give on average. It is about 1 for plain text, and near 0 for letters without
-sense, for other languages and for texts of several languages.
+A text's fit says how plainly it reads as its language: its log-odds a character, as a share of what the language's own
+n-grams give on average, against the next likely language or against noise (the language's characters drawn one by one),
+whichever is less. It is about 1 for plain text, near 0 for texts of several languages, and about 0 or below for letters
+without sense and mostly for languages that were not learned.
 """
 
 from __future__ import annotations
@@ -81,7 +82,8 @@ class Model:
     languages: list[str]
     prior: np.ndarray  # log, by language
     weights: np.ndarray  # log probability, bucket by language
-    plain: np.ndarray  # log-odds a character that a text of the language has on average against the nearest other one of the block
+    apart: np.ndarray  # log-odds a character that a text of the language has on average against the nearest other one of the block
+    ordered: np.ndarray  # the same against noise
 
 
 def train(rows: DataFrame, per_lang: dict[str, int]) -> Model:
@@ -90,63 +92,76 @@ def train(rows: DataFrame, per_lang: dict[str, int]) -> Model:
     number = {lang: i for i, lang in enumerate(languages)}
 
     def run(batches):
-        counts = np.zeros(len(languages) * BUCKETS, np.int64)
+        counts = np.zeros(len(languages) * 2 * BUCKETS, np.int64)  # of all n-grams of each language, then of its characters
         for batch in batches:
             lang = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
             for first, chars, begins in _chunks(batch.column("text").to_pylist()):
-                for b, at in _grams(chars, begins):
-                    counts += np.bincount(b + np.repeat(lang[first : first + len(at) - 1] * BUCKETS, np.diff(at)), minlength=len(counts))
+                for order, (b, at) in zip(ORDERS, _grams(chars, begins)):  # noqa: B905  the longest orders may be missing
+                    found = np.bincount(b + np.repeat(lang[first : first + len(at) - 1] * 2 * BUCKETS, np.diff(at)), minlength=len(counts))
+                    counts += found
+                    if order == 1:
+                        counts[BUCKETS:] += found[:-BUCKETS]
         cells = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], ["cell", "n"])
 
     own = rows.where(F.col("lang").isin(languages)) if None in per_lang else rows
     sums = own.select("text", "lang").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(len(languages) * BUCKETS)
+    counts = np.zeros(len(languages) * 2 * BUCKETS)
     counts[sums["cell"].to_numpy()] = sums["n"].to_numpy()
-    counts = counts.reshape(len(languages), BUCKETS) + SMOOTHING
+    counts, chars = counts.reshape(len(languages), 2, BUCKETS).swapaxes(0, 1)
+    counts = counts + SMOOTHING
     p = counts / counts.sum(axis=1, keepdims=True)
     logs = np.log(p)
     cross = p @ logs.T  # mean log probability of one language's n-grams under another
     np.fill_diagonal(cross, -np.inf)
-    plain = len(ORDERS) * ((p * logs).sum(axis=1) - cross.max(axis=1))
+    own = len(ORDERS) * (p * logs).sum(axis=1)  # a character begins as many n-grams
+    apart = own - len(ORDERS) * cross.max(axis=1) if len(languages) > 1 else np.ones(1)
+    order = np.log(len(ORDERS))
+    ordered = own + len(ORDERS) * order - sum(ORDERS) * ((chars * logs).sum(axis=1) / np.maximum(chars.sum(axis=1), 1) + order)
     docs = np.array([per_lang[x] for x in languages], float)
-    return Model(languages, np.log(docs / sum(per_lang.values())), logs.T.astype(np.float32).copy(), plain)
+    return Model(languages, np.log(docs / sum(per_lang.values())), logs.T.astype(np.float32).copy(), apart, ordered)
 
 
-def log_scores(model: Model, texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Log of prior times likelihood for each language, one row a text, and the texts' lengths in characters."""
-    out, sizes = np.empty((len(texts), len(model.languages))), np.empty(len(texts), np.int64)
+def log_scores(model: Model, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log of prior times likelihood for each language, one row a text; the same for its characters drawn one by one; lengths in characters."""
+    out, noise, sizes = np.empty((len(texts), len(model.languages))), np.empty((len(texts), len(model.languages))), np.empty(len(texts), np.int64)
     for first, chars, begins in _chunks(texts):
-        logs = np.tile(model.prior, (len(begins) - 1, 1))
-        for b, at in _grams(chars, begins):
+        sums, n = np.zeros((len(ORDERS), len(begins) - 1, len(model.languages))), np.zeros((len(ORDERS), len(begins) - 1, 1))
+        for k, (b, at) in enumerate(_grams(chars, begins)):
             some = np.diff(at) > 0
+            n[k, :, 0] = np.diff(at)
             if len(chars) > CHUNK_CHARS:  # one long text: its counts by bucket take no more memory than a short one's
-                logs[0] += np.bincount(b, minlength=BUCKETS) @ model.weights
+                sums[k, 0] = np.bincount(b, minlength=BUCKETS) @ model.weights
             elif some.any():
-                logs[some] += np.add.reduceat(model.weights[b], at[:-1][some], axis=0, dtype=np.float64)
-        out[first : first + len(logs)], sizes[first : first + len(logs)] = logs, np.diff(begins)
-    return out, sizes
+                sums[k, some] = np.add.reduceat(model.weights[b], at[:-1][some], axis=0, dtype=np.float64)
+        last = first + len(begins) - 1
+        out[first:last], sizes[first:last] = model.prior + sums.sum(axis=0), np.diff(begins)
+        # a probability is that of the order times that of the n-gram among those of its order
+        order = np.log(len(ORDERS))
+        slots = np.tensordot(np.array(ORDERS, float), n, 1)  # characters in all n-grams
+        noise[first:last] = model.prior - n.sum(axis=0) * order + slots / n[0] * (sums[0] + n[0] * order)
+    return out, noise, sizes
 
 
-_FOUND = ("best", "log_best", "log_next", "log_all", "plain", "size")  # what a text carries from block to block
+_FOUND = ("best", "log_best", "log_next", "log_all", "log_noise", "apart", "ordered", "size")  # what a text carries from block to block
 
 
 def _merged(model: Model, texts: list, before: list[pa.Array] | None) -> list[pa.Array]:
     """The columns of _FOUND after this block of languages."""
-    logs, sizes = log_scores(model, texts)
+    logs, noise, sizes = log_scores(model, texts)
     rows, k = np.arange(len(texts)), logs.argmax(axis=1)
     best = np.array(model.languages, object)[k]
-    top, plain = logs[rows, k], model.plain[k]
+    top, noise, apart, ordered = logs[rows, k], noise[rows, k], model.apart[k], model.ordered[k]
     logs[rows, k] = -np.inf
     following = logs.max(axis=1)
     total = top + np.log1p(np.exp(logs - top[:, None]).sum(axis=1))
     if before is not None:
-        old_best, old_top, old_next, old_all, old_plain, _ = (c.to_numpy(zero_copy_only=False) for c in before)
+        old_best, old_top, old_next, old_all, *old_rest, _ = (c.to_numpy(zero_copy_only=False) for c in before)
         following = np.maximum(np.minimum(top, old_top), np.maximum(following, old_next))
         earlier = old_top >= top  # of equally likely languages the first one holds
-        best, plain, top = np.where(earlier, old_best, best), np.where(earlier, old_plain, plain), np.maximum(top, old_top)
-        total = np.logaddexp(total, old_all)
-    return [pa.array(best, pa.string()), *(pa.array(c.astype(float)) for c in (top, following, total, plain)), pa.array(sizes)]
+        best, noise, apart, ordered = (np.where(earlier, old, new) for old, new in zip((old_best, *old_rest), (best, noise, apart, ordered), strict=True))
+        top, total = np.maximum(top, old_top), np.logaddexp(total, old_all)
+    return [pa.array(best, pa.string()), *(pa.array(c.astype(float)) for c in (top, following, total, noise, apart, ordered)), pa.array(sizes)]
 
 
 def predict(docs: DataFrame, is_training: Column, pred_col: str = "lang_pred", score_col: str = "score", fit_col: str | None = None) -> DataFrame:
@@ -154,7 +169,7 @@ def predict(docs: DataFrame, is_training: Column, pred_col: str = "lang_pred", s
 
     The prediction is ``und`` with score 0 where a text is null or has no letter, or where nothing could be learnt. Else it is
     the likeliest learned language (the first in alphabetical order of equally likely ones) and its probability. With
-    ``fit_col``, that column has the text's fit (0 for ``und``, 1 where only one language was learned). Columns
+    ``fit_col``, that column has the text's fit (0 for ``und``). Columns
     of these names in ``docs`` are replaced; a null ``is_training`` is not training; repeated rows count each; texts of
     any length count whole; an empty table gives no rows. The number of languages has no bound.
     """
@@ -167,7 +182,7 @@ def predict(docs: DataFrame, is_training: Column, pred_col: str = "lang_pred", s
     if not names:
         return docs.withColumns({pred_col: F.lit("und"), score_col: F.lit(0.0)} | ({fit_col: F.lit(0.0)} if fit_col else {}))
     held = free(docs, *_FOUND)
-    zero = dict(zip(held, (F.lit(""), *[F.lit(0.0)] * 4, F.lit(0).cast("long")), strict=True))
+    zero = dict(zip(held, (F.lit(""), *[F.lit(0.0)] * 6, F.lit(0).cast("long")), strict=True))
     for lo, block in enumerate(np.array_split(np.array(names, object), -(-len(names) // LANGUAGES_AT_ONCE))):
         block = {x: per_lang[x] for x in block}
         if len(block) < len(names):
@@ -181,9 +196,10 @@ def predict(docs: DataFrame, is_training: Column, pred_col: str = "lang_pred", s
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *found], [*columns, *held])
 
         docs = docs.mapInArrow(run, docs.select(columns).withColumns(zero).schema)
-    best, top, following, total, plain, size = (F.col(c) for c in held)
+    best, top, following, total, noise, apart, ordered, size = (F.col(c) for c in held)
     # a letter in the sense of Unicode; accents may be marks of their own
     told = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    fit = F.when(~told, 0.0).when(F.lit(len(names) == 1), 1.0).otherwise(F.when(plain > 0, (top - following) / size / plain).otherwise(0.0))
+    share = lambda rival, mean: F.when(mean > 0, (top - rival) / size / mean).otherwise(0.0)
+    fit = F.when(~told, 0.0).when(F.lit(len(names) == 1), share(noise, ordered)).otherwise(F.least(share(following, apart), share(noise, ordered)))
     made = {pred_col: F.when(told, best).otherwise("und"), score_col: F.when(told, F.exp(top - total)).otherwise(0.0)} | ({fit_col: fit} if fit_col else {})
     return docs.withColumns(made).select(*columns, *outs)

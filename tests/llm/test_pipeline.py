@@ -10,6 +10,7 @@ import corpus_pipeline
 from shelfmark.llm import bpe, packing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+STRANGE = {4000 + 100 * j + i for j in range(3) for i in range(20)}
 
 
 def speak(rng, lang, n):
@@ -35,8 +36,13 @@ def corpus(spark, tmp_path_factory):
     items = [(k, speak(rng, "aa", 25)) for k in range(5)]
     docs += [(1000 + j, docs[j * 6 + 1][1] + (" extra" if j % 2 else ""), "aa") for j in range(20)]  # copies, near and exact
     docs += [(2000 + k, speak(rng, "aa", 30) + " " + t.upper() + ". " + speak(rng, "aa", 10), "aa") for k, t in items]
-    docs += [(3000, None, None), (3001, "", "aa"), (3002, "123 456 !!", "bb")]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumns({"source": F.lit("s"), "n_chars": F.length("text").cast("long")}).write.parquet(f"{folder}/documents.parquet")
+    docs += [(3000, None, None), (3001, "", "aa"), (3002, "123 456 !!", "bb"), (3003, speak(rng, "aa", 30_000), "aa"), (None, speak(rng, "bb", 40), "bb")]
+    docs += [(4000 + i, "".join(rng.choice("bcdfghjkpqrstvwxyz      ") for _ in range(400)), None) for i in range(20)]  # letters without sense
+    docs += [(4100 + i, " ".join(rng.choice(["добрый", "вечер", "погода", "сегодня", "улица"]) for _ in range(50)), None) for i in range(20)]  # no language of the corpus
+    docs += [(4200 + i, speak(rng, "aa", 50) + " " + speak(rng, "bb", 35), None) for i in range(20)]  # two languages
+    docs += [docs[1], docs[1]]  # one row three times
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumns(
+        {"source": F.lit("s"), "n_chars": F.length("text").cast("long")} | {c: F.lit("x") for c in ("score", "component_id", "_language", "_fit", "_likelihood", "_toxicity", "_id", "_hash")}).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return folder, docs, items
@@ -60,11 +66,11 @@ def test_stages(spark, corpus, tmp_path):
         gone = before.keys() - kept[name].keys()
         if name == "toxicity":
             toxic = {i for i in range(0, 700, 6)}
-            assert len(gone - toxic) <= 2 and len(toxic - gone) <= 3
+            assert len(gone - toxic - STRANGE) <= 2 and len(toxic - gone) <= 3
         elif name == "language":
-            assert gone == {3000, 3001, 3002}
+            assert {3000, 3001, 3002} <= gone <= {3000, 3001, 3002} | STRANGE and len(STRANGE - kept[name].keys()) >= 54
         elif name == "near_duplicates":
-            ids = sorted(before)
+            ids = sorted(before, key=lambda i: (i is None, i))
             s, group = {i: sets(before[i]) for i in ids}, {i: i for i in ids}
 
             def root(x, group=group):
@@ -76,13 +82,14 @@ def test_stages(spark, corpus, tmp_path):
                 for b in ids[:n]:
                     if len(s[a] & s[b]) * 100 >= 80 * len(s[a] | s[b]) > 0:
                         group[max(root(a), root(b))] = min(root(a), root(b))
+            assert df.where("doc_id = 1").count() == 1
             assert gone == {i for i in ids if root(i) != i} and len(gone) >= 15
         else:
             assert gone == {2000 + k for k, _ in items} & before.keys()
         before = kept[name]
     out = corpus_pipeline.STAGES[-1][1](spark, df, folder)
     want = packing.token_pieces(df, bpe.tokenizer_path(), 1024).collect()
-    assert sorted(tuple(r)[:5] for r in out.collect()) == sorted(map(tuple, want))
+    assert sorted((tuple(r)[:5] for r in out.collect()), key=str) == sorted(map(tuple, want), key=str)
 
 
 def test_run_and_empty(spark, corpus, tmp_path):
