@@ -5,9 +5,10 @@ Words are symbols of a bounded alphabet: the most frequent training words have a
 stands for all words never seen). A text's probability is the probability of its symbols under the hidden Markov model,
 by the scaled forward recursion over the whole text, times the shares.
 
-Each Baum-Welch iteration is one pass: tasks run forward-backward over their texts and give expected counts, Spark adds
-them up (as whole numbers, so in any order alike), and the driver makes the next model from them: STATES * (STATES +
-symbols) numbers, whatever the corpus.
+Each Baum-Welch iteration is one pass: tasks run forward-backward over their whole texts and give expected counts, Spark
+adds them up (as whole numbers, so in any order alike), and the driver makes the next model from them: STATES * (STATES +
+symbols) numbers, whatever the corpus. A long text is gone through in stretches: the forward pass keeps the state vector
+before each, and the backward pass runs each stretch forward again, so counts are exact in bounded memory.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from shelfmark.llm.storage import written
 STATES = 8
 FREQUENT_WORDS = 6144  # words with a symbol of their own
 RARE_SYMBOLS = 2048  # a power of two
-KNOWN_WORDS = 1 << 18  # words whose counts tasks look up; counts of all others come by a join
+KNOWN_WORDS = 1 << 18  # at most so many words have their counts looked up in tasks; counts of all others come by a join
+BINS = 4096  # of a histogram of counts
 ITERATIONS = 4
-SEGMENT = 128  # tokens; training runs forward-backward over segments of this length
-TOKENS_AT_ONCE = 1600 * SEGMENT  # a longer text is gone through in pieces of so many tokens, segment by segment all the same
+TOKENS_AT_ONCE = 200_000  # tokens whose state vectors a task holds
 UNIT = 1 << 16  # expected counts are added up in units of 1 / UNIT
 END = np.uint64(0x1D8E4E27C47D124F)  # the hash of the end token
 MASS = 0.01  # added to each expected emission and transition count
@@ -87,9 +88,27 @@ class Vocabulary:
         return np.where(hit, self.symbols[at], rare), np.where(hit, self.counts[at], -1)
 
 
+def count_of_rank(counts: DataFrame, largest: int, rank: int) -> int:
+    """The smallest count that ``rank`` words at most reach, from histograms of BINS counts, each of one bin of the one before."""
+    low, width, above = 1, max(1, largest), 0  # counts of low to low + width - 1 are looked at; ``above`` words have more
+    while True:
+        step = -(-width // BINS)
+        inside = counts.where(F.col("c").between(low, low + width - 1))
+        bins = sorted(inside.groupBy(F.floor((F.col("c") - low) / step).alias("b")).count().collect(), reverse=True)
+        for b, n in bins:
+            if above + n > rank:
+                if step == 1:
+                    return low + b + 1
+                low, width = low + b * step, step
+                break
+            above += n
+        else:
+            return low
+
+
 def make_vocabulary(counts: DataFrame) -> Vocabulary:
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(KNOWN_WORDS).toArrow()  # a bounded number of 16-byte rows
+    total, distinct, largest = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max("c"), F.lit(0))).first()
+    top = counts.where(F.col("c") >= count_of_rank(counts, largest, KNOWN_WORDS)).toArrow()  # a bounded number of 16-byte rows
     w, c = top["word"].to_numpy().view(np.uint64), top["c"].to_numpy()
     rank = np.lexsort((w.view(np.int64), -c))
     w, c = w[rank], c[rank]
@@ -137,7 +156,6 @@ def encode(docs: DataFrame, vocabulary, key_cols: list[str]) -> DataFrame:
 @dataclass
 class Model:
     start: np.ndarray  # of a text, by state
-    inside: np.ndarray  # of a segment that isn't a text's first
     move: np.ndarray  # from state to state
     emit: np.ndarray  # symbol by state
 
@@ -146,49 +164,65 @@ def first_model(n_symbols: int, seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
     emit = rng.dirichlet(np.full(STATES, 2.0), n_symbols)
     move = 0.6 * np.eye(STATES) + 0.4 * rng.dirichlet(np.full(STATES, 5.0), STATES)
-    even = np.full(STATES, 1 / STATES)
-    return Model(even, even, move, emit / emit.sum(axis=0))
+    return Model(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0))
 
 
-def expected_counts(model: Model, symbols: np.ndarray, begins: np.ndarray, counts: list[np.ndarray], goes_on: bool = False) -> None:
-    """Adds the expected counts of these texts to ``counts``: starts, inside starts, moves, emissions.
+def no_counts(n_symbols: int) -> list[np.ndarray]:
+    """Expected starts, moves and emissions, and the log10 likelihood."""
+    return [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((n_symbols, STATES)), np.zeros(1)]
 
-    ``goes_on``: what is given is a piece of a text, and not its first.
-    """
-    n_seg = -(-np.diff(begins) // SEGMENT)
-    first = np.repeat(begins[:-1], n_seg) + (np.arange(n_seg.sum()) - np.repeat(np.cumsum(n_seg) - n_seg, n_seg)) * SEGMENT
-    length = np.minimum(np.repeat(begins[1:], n_seg) - first, SEGMENT)
-    is_start = (first == np.repeat(begins[:-1], n_seg)) & (not goes_on)
-    order = np.argsort(-length, kind="stable")
-    first, length, is_start = first[order], length[order], is_start[order]
-    move, emit = model.move.astype(np.float32), model.emit.astype(np.float32)
+
+def expected_counts(model: Model, symbols: np.ndarray, begins: np.ndarray, counts: list[np.ndarray]) -> None:
+    """Adds the expected counts of these texts, none of them empty, to ``counts``; texts go side by side, longest first."""
+    order = np.argsort(-np.diff(begins), kind="stable")
+    first, length = begins[:-1][order], np.diff(begins)[order]
+    start, move, emit = (x.astype(np.float32) for x in (model.start, model.move, model.emit))
     steps = int(length[0])
-    live = np.searchsorted(-length, -np.arange(steps), "left")  # segments longer than t
-    a = np.empty((steps, len(first), STATES), np.float32)
-    b = np.empty_like(a)
-    scale = []
-    for t in range(steps):
-        n = live[t]
-        b[t, :n] = emit[symbols[first[:n] + t]]
-        x = (np.where(is_start[:, None], model.start, model.inside).astype(np.float32) if t == 0 else a[t - 1, :n] @ move) * b[t, :n]
-        s = x @ np.ones(STATES, np.float32)
-        scale.append(s)
-        a[t, :n] = x / s[:, None]
+    live = np.searchsorted(-length, -np.arange(steps + 1), "left")  # texts longer than t
+    upto = np.concatenate([[0], np.cumsum(live)])
+    cuts = [0]  # stretches of steps with TOKENS_AT_ONCE tokens in all
+    while cuts[-1] < steps:
+        cuts.append(max(cuts[-1] + 1, min(steps, int(np.searchsorted(upto, upto[cuts[-1]] + TOKENS_AT_ONCE, "right")) - 1)))
+    one = np.ones(STATES, np.float32)
+
+    def forward(lo: int, hi: int, before: np.ndarray | None, keep: bool):
+        """State vectors of steps lo to hi - 1, emissions and scales; without ``keep``, the last step's state vectors alone."""
+        a, b, scale = [], [], []
+        for t in range(lo, hi):
+            n = live[t]
+            e = emit[symbols[first[:n] + t]]
+            x = (start if t == 0 else before[:n] @ move) * e
+            s = x @ one
+            before = x / s[:, None]
+            if keep:
+                a.append(before)
+                b.append(e)
+                scale.append(s)
+        return (a, b, scale) if keep else before
+
+    entry = [None]
+    for lo, hi in zip(cuts[:-2], cuts[1:-1], strict=True):
+        entry.append(forward(lo, hi, entry[-1], keep=False))
     beta = np.ones((len(first), STATES), np.float32)
-    for t in range(steps - 1, -1, -1):
-        n = live[t]
-        if t + 1 < steps:
-            m = live[t + 1]
-            ahead = b[t + 1, :m] * beta[:m] / scale[t + 1][:, None]
-            counts[2] += model.move * (a[t, :m].T @ ahead)
-            beta[:m] = ahead @ move.T
-        a[t, :n] *= beta[:n]  # now the posterior
-    counts[0] += a[0][is_start].sum(axis=0)
-    counts[1] += a[0][~is_start].sum(axis=0)
-    sym = np.concatenate([symbols[first[: live[t]] + t] for t in range(steps)])
-    post = np.concatenate([a[t, : live[t]] for t in range(steps)])
-    for k in range(STATES):
-        counts[3][:, k] += np.bincount(sym, post[:, k], minlength=len(counts[3]))
+    ahead = None  # emission times beta over scale of the step after, of the texts that have one
+    for k in range(len(cuts) - 2, -1, -1):
+        lo, hi = cuts[k], cuts[k + 1]
+        a, b, scale = forward(lo, hi, entry[k], keep=True)
+        for t in range(hi - 1, lo - 1, -1):
+            at, m = a[t - lo], live[t + 1]
+            if m:
+                counts[1] += model.move * (at[:m].T @ ahead)
+                beta[:m] = ahead @ move.T
+            n = live[t]
+            ahead = b[t - lo] * beta[:n] / scale[t - lo][:, None]
+            at *= beta[:n]  # now the posterior
+        counts[3] += sum(float(np.log10(s).sum(dtype=np.float64)) for s in scale)
+        sym = np.concatenate([symbols[first[: live[t]] + t] for t in range(lo, hi)])
+        post = np.concatenate(a)
+        for state in range(STATES):
+            counts[2][:, state] += np.bincount(sym, post[:, state], minlength=len(counts[2]))
+        if lo == 0:
+            counts[0] += a[0].sum(axis=0)
 
 
 def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -197,41 +231,42 @@ def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint16)[offsets[0] // 2 : offsets[-1] // 2], (offsets - offsets[0]) // 2
 
 
-def train(encoded: DataFrame, n_symbols: int) -> Model:
-    spark, model = encoded.sparkSession, first_model(n_symbols)
+def train(encoded: DataFrame, n_symbols: int) -> tuple[Model, list[float]]:
+    """The model after ITERATIONS passes over all texts, and the log10 likelihood of the texts before each."""
+    spark, model, likelihoods = encoded.sparkSession, first_model(n_symbols), []
     for _ in range(ITERATIONS):
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches, shared=shared):
-            now = shared.value
-            counts = [np.zeros(STATES), np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((n_symbols, STATES))]
-            some = False
+            now, counts, some = shared.value, no_counts(n_symbols), False
             for batch in batches:
                 symbols, begins = _sequences(batch)
-                at = 0
-                while at < len(begins) - 1:
-                    to = max(at + 1, int(np.searchsorted(begins, begins[at] + TOKENS_AT_ONCE, "right")) - 1)
-                    if to > at + 1:
-                        expected_counts(now, symbols[begins[at] : begins[to]], begins[at : to + 1] - begins[at], counts)
-                    else:
-                        for a in range(begins[at], begins[to], TOKENS_AT_ONCE):
-                            part = symbols[a : min(a + TOKENS_AT_ONCE, begins[to])]
-                            expected_counts(now, part, np.array([0, len(part)]), counts, goes_on=a > begins[at])
-                    some, at = True, to
+                some = some or len(batch) > 0
+                # texts of like length go together, as many as TOKENS_AT_ONCE allows
+                order = np.argsort(-np.diff(begins), kind="stable")
+                size = np.diff(begins)[order]
+                upto, at = np.concatenate([[0], np.cumsum(size)]), 0
+                while at < len(order):
+                    to = max(at + 1, int(np.searchsorted(upto, upto[at] + TOKENS_AT_ONCE, "right")) - 1)
+                    rows = order[at:to]
+                    ends = np.cumsum(size[at:to])
+                    here = np.arange(ends[-1]) + np.repeat(begins[rows] - ends + size[at:to], size[at:to])
+                    expected_counts(now, symbols[here], np.concatenate([[0], ends]), counts)
+                    at = to
             if some:
                 flat = np.rint(np.concatenate([c.ravel() for c in counts]) * UNIT).astype(np.int64)
                 cells = np.flatnonzero(flat)
                 yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(flat[cells])], ["cell", "n"])
 
         sums = encoded.select("symbols").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-        flat = np.zeros(2 * STATES + STATES * STATES + n_symbols * STATES)
+        flat = np.zeros(STATES + STATES * STATES + n_symbols * STATES + 1)
         flat[sums["cell"].to_numpy()] = sums["n"].to_numpy() / UNIT
-        flat += MASS
-        start, inside, move, emit = np.split(flat, [STATES, 2 * STATES, 2 * STATES + STATES * STATES])
+        likelihoods.append(float(flat[-1]))
+        start, move, emit = np.split(flat[:-1] + MASS, [STATES, STATES + STATES * STATES])
         move, emit = move.reshape(STATES, STATES), emit.reshape(n_symbols, STATES)
-        model = Model(start / start.sum(), inside / inside.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
         shared.unpersist()
-    return model
+    return model, likelihoods
 
 
 def log_likelihoods(model: Model, symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -282,7 +317,7 @@ def score(docs: DataFrame, is_training) -> DataFrame:
     voc = make_vocabulary(counts)
     shared = spark.sparkContext.broadcast(voc)
     encoded = written(encode(rows, shared, ["doc_id", "held_out"]).withColumn("row", F.monotonically_increasing_id()), "encoded")
-    model = spark.sparkContext.broadcast(train(encoded.where("NOT held_out"), voc.n_symbols))
+    model = spark.sparkContext.broadcast(train(encoded.where("NOT held_out"), voc.n_symbols)[0])
     scored = _scored(encoded, model, shared, ["row", "doc_id", "held_out"])
     rest = encoded.where(F.size("rest") > 0).select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("n"))
     joined = rest.join(counts, "word").groupBy("row").agg(

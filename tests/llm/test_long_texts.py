@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from shelfmark.llm import decontamination, hmm, langid
 
@@ -9,23 +10,27 @@ from shelfmark.llm import decontamination, hmm, langid
 def test_language_of_long_texts(monkeypatch):
     rng = np.random.default_rng(1)
     weights = np.log(rng.dirichlet(np.ones(langid.BUCKETS), 3)).T.astype(np.float32).copy()
-    model = langid.Model(["a", "b", "c"], np.log(np.full(3, 1 / 3)), weights, np.ones(3))
+    model = langid.Model(["a", "b", "c"], np.log(np.full(3, 1 / 3)), weights, np.ones(3), np.ones(3))
     texts = ["ab", "", "some words of a text " * 4, None, "é", "more of it"]
-    whole = langid.log_scores(model, texts)[0]
+    whole = langid.log_scores(model, texts)
     monkeypatch.setattr(langid, "CHUNK_CHARS", 8)
-    assert np.allclose(langid.log_scores(model, texts)[0], whole)
+    assert all(np.allclose(x, y) for x, y in zip(langid.log_scores(model, texts), whole, strict=True))
 
 
-def test_training_in_pieces():
+def test_training_in_stretches(monkeypatch):
+    """States are carried over the borders of stretches: what is kept is bounded, the counts are those of the whole."""
     rng = np.random.default_rng(2)
-    symbols, model = rng.integers(0, 50, 1000).astype(np.uint16), hmm.first_model(50)
-    empty = lambda: [np.zeros(hmm.STATES), np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((50, hmm.STATES))]
-    whole, parts = empty(), empty()
-    hmm.expected_counts(model, symbols, np.array([0, 1000]), whole)
-    for a in range(0, 1000, 2 * hmm.SEGMENT):
-        part = symbols[a : a + 2 * hmm.SEGMENT]
-        hmm.expected_counts(model, part, np.array([0, len(part)]), parts, goes_on=a > 0)
-    assert all(np.allclose(x, y, rtol=1e-4, atol=1e-4) for x, y in zip(whole, parts, strict=True))
+    model, begins = hmm.first_model(50), np.array([0, 700, 701, 900, 1000])
+    symbols = rng.integers(0, 50, 1000).astype(np.uint16)
+    whole = hmm.no_counts(50)
+    hmm.expected_counts(model, symbols, begins, whole)
+    assert whole[2].sum() == pytest.approx(1000, rel=1e-4) and whole[1].sum() == pytest.approx(996, rel=1e-4)
+    assert whole[3][0] == pytest.approx(hmm.log_likelihoods(model, symbols, begins).sum(), rel=1e-5)
+    for tokens in (1, 64, 333):
+        monkeypatch.setattr(hmm, "TOKENS_AT_ONCE", tokens)
+        parts = hmm.no_counts(50)
+        hmm.expected_counts(model, symbols, begins, parts)
+        assert all(np.allclose(x, y, rtol=1e-4, atol=1e-4) for x, y in zip(whole, parts, strict=True))
 
 
 def test_leaks_in_stretches(monkeypatch):
