@@ -6,37 +6,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bpe, decontamination, jaccard, langid, packing, toxicity
-from shelfmark.llm.storage import written
+from shelfmark.llm.storage import free, written
 
 TOXIC = 0.7  # documents that score this or more go
-SURE = 0.5  # documents whose likeliest language is less likely than this go
+PLAIN = 0.3  # documents that give less evidence a character for their language than this share of what its texts give on average go
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't read as toxic; learnt from the labelled ones among them."""
+    """Documents that don't read as toxic; learnt from the labelled ones among them.
+
+    Null and empty texts and texts without words have the lowest score and stay; very long texts are as toxic as their
+    worst passage. Repeated rows and null ids are rows like any other; ties at the threshold go.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.classify(docs, labels, F.lit(True), score_col="_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC).select(docs.columns)
+    (score,) = free(docs, "_toxicity")
+    return toxicity.classify(docs, labels, F.lit(True), score_col=score).where(F.col(score) < TOXIC).select(docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters in a language that could be told."""
-    found = langid.predict(docs, F.lit(True), pred_col="_language", score_col="_likelihood")
-    return found.where((F.col("_language") != "und") & (F.col("_likelihood") >= SURE)).select(docs.columns)
+    """Documents that read plainly as one of the languages of the corpus.
+
+    Null and empty texts and texts without letters go, and so do letters without sense, texts of a language that the
+    corpus doesn't have and texts that are a mixture of languages, as their n-grams speak for no language by much.
+    Repeated rows and null ids are rows like any other, texts of any length count whole, and a text at the threshold stays.
+    """
+    language, fit = free(docs, "_language", "_fit")
+    found = langid.predict(docs, F.lit(True), pred_col=language, score_col=free(docs, "_likelihood")[0], fit_col=fit)
+    return found.where((F.col(language) != "und") & (F.col(fit) >= PLAIN)).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
+
+    That of the smallest id stays, a null id last. Texts without words stay; of rows with equal id and text one stays.
+    """
     return jaccard.one_of_each(docs, k=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null, empty and short texts stay; a row that repeats stays or goes each time."""
     return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents' tokens in sequences of 1024: one row a piece."""
+    """All documents' tokens in sequences of 1024: one row a piece. A null or empty text is one piece, the end id alone."""
     return packing.pack(docs, bpe.tokenizer_path(), capacity=1024, end_id=2)
 
 
@@ -53,6 +66,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. Extra columns go through to the last stage but one, whatever their names; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
