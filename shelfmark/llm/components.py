@@ -5,19 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.skew import join_counted, most_rows
 from shelfmark.llm.storage import drop, written
 
 
+def _with(rows: DataFrame, key: str, known: DataFrame, at: str, value: str) -> DataFrame:
+    """``rows`` with the column ``value`` that ``known`` has for their ``key`` (its column ``at``, which repeats no value); null where it has none.
+
+    If a key is hot, the keys are made distinct and look for their row before the rows are joined with them.
+    """
+    count = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    found = known.select(F.col(at).alias(key), value)
+    total, most = count.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    if most <= most_rows(rows, total):
+        return written(rows.join(found, key, "left"), "joined")
+    side = written(count.join(found, key, "left"), "side")
+    out = written(join_counted(rows, side, [key], "_n"), "joined")
+    drop(side)
+    return out
+
+
 def _roots(hops: DataFrame) -> DataFrame:
     """Rows (a, up), up below a, to (a, up, first): up followed to its end; ``first`` is what it was."""
     hops = hops.withColumn("first", F.col("up"))
     while True:
         far = hops.select(F.col("a").alias("at"), F.col("up").alias("far"))
-        step = written(hops.join(far, hops.up == far.at, "left").select("a", F.coalesce("far", "up").alias("up"), "first", F.col("far").isNotNull().alias("moved")), "hops")
-        drop(hops)
-        hops = step.drop("moved")
-        if step.where("moved").isEmpty():
+        if hops.select("up").distinct().join(far, F.col("up") == F.col("at"), "left_semi").isEmpty():
             return hops
+        step = _with(hops, "up", far, "at", "far")
+        drop(hops)
+        hops = step.select("a", F.coalesce("far", "up").alias("up"), "first")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -27,25 +44,27 @@ def connected(edges: DataFrame) -> DataFrame:
     puts the roots in the edges' places. A root that nothing was hooked onto has only neighbours that went to smaller
     ones, so it is hooked in the next round: two rounds at least halve the nodes, whatever the graph, and following
     takes the logarithm of a chain's hooks. Nothing but whether edges are left and hooks moved comes to the driver.
-    Loops and repeated edges do no harm; null ends are dropped.
+    A node with any number of edges, and a component of any size, fills no task. Loops and repeated edges do no harm;
+    null ends are dropped.
     """
     left = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     rounds = []
     while not left.isEmpty():
         hops = _roots(written(left.groupBy("a").agg(F.min("b").alias("up")), "hops"))
         rounds.append(hops)
-        ends = left.join(hops, "a").where("b <> first").select(F.col("up").alias("x"), "b")
-        ends = ends.join(hops.select(F.col("a").alias("b"), F.col("up").alias("y")), "b", "left").select("x", F.coalesce("y", "b").alias("y"))
-        rest = written(ends.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
-        drop(left)
+        ends = _with(left, "a", hops, "a", "up")  # of an edge that hooked its node, the other end comes to the same root
+        moved = _with(ends.select(F.col("up").alias("x"), "b"), "b", hops.select(F.col("a").alias("at"), F.col("up").alias("y")), "at", "y")
+        ends_of = moved.select("x", F.coalesce("y", "b").alias("y"))
+        rest = written(ends_of.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
+        for table in (ends, moved, left):
+            drop(table)
         left = rest
     drop(left)
     labels = left.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
     for hops in reversed(rounds):  # a node is hooked in one round; its root may have been in a later one
-        later = labels.select(F.col("node").alias("root"), F.col("component").alias("far"))
-        now = hops.join(later, hops.up == later.root, "left").select(F.col("a").alias("node"), F.coalesce("far", "up").alias("component"))
-        step = written(now.unionByName(labels), "labels")
-        drop(hops)
-        drop(labels)
+        now = _with(hops.select("a", "up"), "up", labels, "node", "component")
+        step = written(now.select(F.col("a").alias("node"), F.coalesce("component", "up").alias("component")).unionByName(labels), "labels")
+        for table in (hops, now, labels):
+            drop(table)
         labels = step
     return labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())

@@ -9,9 +9,10 @@ taken whole:
    first ones of each partner. Rows with fewer n-grams there that any other row has as well can have no partner.
 3. For the rows left, the order of n-grams is by how many rows have them, then by hash; partners share one of the first
    s(x) + 1. Rows that share none directly or through others are in different groups, so A falls into diagonal blocks.
-4. Each group's product is taken in blocks of rows and columns. Overlaps below the bound from the two sizes are dropped;
-   what is left are the links. A group of more than ``BLOCK_ROWS`` rows is cut into row blocks, and a second round only
-   compares what the first has not joined.
+4. Each group's product is sparse: a row adds up, over its n-grams, the rows of the n-gram's column. Rows are in the
+   order of their sizes, so only a stretch of them can reach the bound that the two sizes give; overlaps below it are
+   dropped, and what is left are the links. A group of more than ``BLOCK_ROWS`` rows or ``BLOCK_BYTES`` is cut into row
+   blocks, and a second round only compares what the first has not joined, band by band of sizes that can link.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm import words
 from shelfmark.llm.components import connected
+from shelfmark.llm.skew import join_counted
 from shelfmark.llm.storage import drop, free, written
 
 BLOCK_ROWS = 256  # rows of one block of a large group
 BROADCAST_ROWS = 1_000_000  # up to so many picked rows (24 bytes each) are broadcast to pick their texts; more are joined by a shuffle
-BLOCK_COLUMNS = 4096  # n-grams of one block in a dense product
+BLOCK_BYTES = 16 << 20  # of n-grams of one block, on average
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -95,43 +97,31 @@ def _full_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between rows of ``left`` and of ``right`` (indices into ``sets``) whose labels differ; one a pair of labels joined is enough."""
+    """Links between rows of ``left`` and of ``right`` (indices into ``sets``) that join all labels that links join, and no more than that takes."""
     sizes = np.array([len(s) for s in sets])
-    rows = np.repeat(np.arange(len(sets)), sizes)
-    values = np.concatenate(sets)
-    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
-    shared = count > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[column]
-    rows, column = rows[keep], number[column[keep]]
+    left, right = (x[np.argsort(sizes[x], kind="stable")] for x in (left, right))
+    # the columns of the incidence matrix: for each n-gram, the places in ``right`` of the rows that have it
+    values, column = np.unique(np.concatenate([sets[i] for i in right]), return_inverse=True)
+    place = np.repeat(np.arange(len(right)), sizes[right])
     order = np.argsort(column, kind="stable")
-    rows, column = rows[order], column[order]
-    overlap = np.zeros((len(left), len(right)), np.float32)  # whole numbers below 2^24 are exact
-    at_left, at_right = np.full(len(sets), -1), np.full(len(sets), -1)
-    at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
-    for lo in range(0, int(shared.sum()), BLOCK_COLUMNS):
-        a, b = np.searchsorted(column, [lo, lo + BLOCK_COLUMNS])
-        r, c = rows[a:b], column[a:b] - lo
-        one, two = np.zeros((len(left), BLOCK_COLUMNS), np.float32), np.zeros((len(right), BLOCK_COLUMNS), np.float32)
-        one[at_left[r[at_left[r] >= 0]], c[at_left[r] >= 0]] = 1
-        two[at_right[r[at_right[r] >= 0]], c[at_right[r] >= 0]] = 1
-        overlap += one @ two.T
-    overlap = overlap.astype(np.int64)
-    union = sizes[left][:, None] + sizes[right][None, :] - overlap
-    linked = (100 * overlap >= percent * union) & (label[left][:, None] != label[right][None, :])
-    parent = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
+    rows, begins = place[order], np.searchsorted(column[order], np.arange(len(values) + 1))
+    now = np.unique(label, return_inverse=True)[1]  # the part that each row is in
     found = []
-    for i, j in np.argwhere(linked):
-        a, b = root(label[left[i]]), root(label[right[j]])
-        if a != b:
-            parent[a] = b
-            found.append((int(left[i]), int(right[j])))
+    for i in left:
+        n = sizes[i]
+        lo, hi = np.searchsorted(sizes[right], [-(-n * percent // 100), n * 100 // percent + 1])
+        if (now[right[lo:hi]] == now[i]).all():
+            continue
+        at = np.minimum(np.searchsorted(values, sets[i]), len(values) - 1)
+        at = at[values[at] == sets[i]]
+        count = begins[at + 1] - begins[at]
+        here = rows[np.arange(count.sum()) + np.repeat(begins[at] - np.cumsum(count) + count, count)]
+        overlap = np.bincount(here, minlength=len(right))[lo:hi]
+        linked = right[lo:hi][100 * overlap >= percent * (n + sizes[right[lo:hi]] - overlap)]
+        for j in linked:
+            if now[i] != now[j]:
+                now[now == now[j]] = now[i]
+                found.append((int(i), int(j)))
     return found
 
 
@@ -161,7 +151,7 @@ def _components(docs: DataFrame, k: int, percent: int, n_tasks: int | None, carr
     firsts = written(_signed(docs, k, percent, carry), "firsts")
     signed = written(firsts.drop("firsts"), "signed")
     classes = written(signed.where("n_shingles > 0").groupBy(*sig).agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").cast("long").alias("n")).withColumn("node", node), "classes")
+        F.min("doc_id").alias("rep"), F.first("n_shingles").cast("long").alias("n"), F.count(F.lit(1)).alias("copies")).withColumn("node", node), "classes")
     # 2. rows that can have a partner: of their first n-grams, those of no other set are counted
     owners = firsts.select(node.alias("node"), F.explode("firsts").alias("gram")).groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     lone = owners.where("lo = hi").groupBy(F.col("lo").alias("node")).agg(F.count(F.lit(1)).alias("lone"))
@@ -179,27 +169,31 @@ def _components(docs: DataFrame, k: int, percent: int, n_tasks: int | None, carr
     sets = _full_sets(texts, k).where(F.col("node") == node)
     sets = written(sets.groupBy("node").agg(F.first("grams").alias("grams")), "sets")
     cells = sets.select("node", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    df = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = cells.join(df, "gram").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("shared"))
+    df = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumn("cells", F.col("df"))
+    df = written(df, "frequencies")
+    ranked = join_counted(cells, df, ["gram"], "cells").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("shared"))
     # n-grams that no other row has come first in the order, so they take up places of the first s(x) + 1
     places = slack_col(n, percent) + 1 - (n - F.size("shared"))
     rarest = ranked.where(places > 0).select("node", F.explode(F.slice("shared", F.lit(1), places.cast("int"))).alias("x")).select("node", F.col("x.gram").alias("gram"))
     rarest = written(rarest, "rarest")
-    hub = rarest.groupBy("gram").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("df")).where("df > 1")
-    groups = connected(rarest.join(hub, "gram").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    hub = written(rarest.groupBy("gram").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("df")).where("df > 1"), "hubs")
+    groups = connected(join_counted(rarest, hub, ["gram"], "df").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     groups = groups.withColumnRenamed("component", "grp")
-    groups = groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "grp")
     # 4. the product of each group
-    links = _product(written(sets.join(groups, "node"), "rows"), n_tasks, percent)
+    rows = written(sets.join(groups, "node").withColumn("n", F.size("grams")), "rows")
+    size = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), (F.sum("n") * 8).alias("bytes")).withColumn("rows", F.col("size"))
+    size = written(size, "sizes")
+    links = _product(join_counted(rows, size, ["grp"], "rows"), n_tasks, percent)
+    for table in (df, rarest, hub):
+        drop(table)
     joined = connected(links)
     # every row gets its component's smallest id
-    ids = classes.select("node", "rep", *sig).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = ids.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_set = ids.join(smallest, "component").select(*sig, "component", "component_id")
-    out = signed.select("doc_id", *carry, "n_shingles", *sig).join(by_set, sig, "left")
-    some = F.col("n_shingles") > 0
-    return out.select("doc_id", *carry, F.col("n_shingles").cast("long").alias("n_shingles"), F.when(some, F.col("component")).alias("component"),
-                      F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    ids = written(classes.select("node", "rep", "copies", *sig).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "ids")
+    smallest = ids.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    by_set = written(join_counted(ids, written(smallest, "smallest"), ["component"], "rows").select(*sig, "component", "component_id", "copies"), "by_set")
+    shown = lambda component, component_id: ["doc_id", *carry, F.col("n_shingles").cast("long").alias("n_shingles"), component.alias("component"), component_id.alias("component_id")]
+    some = join_counted(signed.where("n_shingles > 0"), by_set, sig, "copies").select(shown(F.col("component"), F.col("component_id")))
+    return some.unionByName(signed.where("n_shingles = 0").select(shown(F.lit(None).cast("long"), F.col("doc_id"))))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, n_tasks: int | None = None) -> DataFrame:
@@ -242,29 +236,47 @@ def slack_col(n: Column, percent: int) -> Column:
     return n - F.floor((n * percent + 99) / 100).cast("long")
 
 
+def _n_blocks(size: Column, n_bytes: Column) -> Column:
+    return F.ceil(F.greatest(size / BLOCK_ROWS, n_bytes / BLOCK_BYTES)).cast("int")
+
+
 def _product(rows: DataFrame, n_tasks: int, percent: int) -> DataFrame:
-    """Links (a, b) that join all linked rows of each group of ``rows`` (node, grams, grp, size)."""
-    rows = rows.withColumn("label", F.col("node")).withColumn("side", F.lit(0))
-    small = _links(rows.where(F.col("size") <= BLOCK_ROWS), ["grp"], n_tasks, percent)
-    large = rows.where(F.col("size") > BLOCK_ROWS).withColumn("n_blocks", F.ceil(F.col("size") / BLOCK_ROWS).cast("int"))
-    large = large.withColumn("block", F.pmod(F.hash("node"), "n_blocks"))
+    """Links (a, b) that join all linked rows of each group of ``rows`` (node, grams, n, grp, size, bytes)."""
+    rows = rows.withColumn("label", F.col("node")).withColumn("side", F.lit(0)).withColumn("n_blocks", _n_blocks(F.col("size"), F.col("bytes")))
+    small = _links(rows.where("n_blocks = 1"), ["grp"], n_tasks, percent)
+    large = rows.where("n_blocks > 1").withColumn("block", F.pmod(F.hash("node"), "n_blocks"))
     # round one: each block against itself and the next one
     near = large.withColumn("at", F.explode(F.array(F.col("block"), F.pmod(F.col("block") + 1, "n_blocks"))))
     first = written(small.unionByName(_links(near, ["grp", "at"], n_tasks, percent)), "links")
     return first if large.isEmpty() else first.unionByName(_rest(large, first, n_tasks, percent))
 
 
+def band_of(n: Column, percent: int) -> Column:
+    """A number that differs by one at most between sizes that can link."""
+    if percent == 100:
+        return n.cast("int")
+    return F.floor(F.log(n) / (np.log(100 / percent) * (1 + 1e-9))).cast("int")
+
+
 def _rest(large: DataFrame, first: DataFrame, n_tasks: int, percent: int) -> DataFrame:
-    """Round two: rows outside their group's largest part against all rows of the group, in pairs of blocks."""
+    """Round two: rows outside their group's largest part against the rows of the group in bands of sizes that can link, in pairs of blocks."""
     parts = connected(first)
-    labelled = large.drop("label", "side").join(parts, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    labelled = written(labelled, "labelled")
-    count = labelled.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = count.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    labelled = labelled.join(main, "grp").where("parts > 1")
-    apart = labelled.where("label <> main").withColumn("sb", F.pmod(F.hash("node", F.lit(7)), F.ceil(F.col("size") / BLOCK_ROWS).cast("int")))
-    filled = apart.groupBy("grp", "sb").agg(F.count(F.lit(1)).alias("n_apart"))
-    left = apart.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumn("side", F.lit(0))
-    right = labelled.join(filled.select("grp", "sb"), "grp").withColumn("side", F.lit(1))
-    cols = ["grp", "sb", "block", "node", "label", "side", "grams"]
-    return _links(left.select(*cols).unionByName(right.select(*cols)), ["grp", "sb", "block"], n_tasks, percent)
+    labelled = large.drop("label", "side", "block", "n_blocks", "size", "bytes").join(parts, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    labelled = written(labelled.withColumn("band", band_of(F.col("n"), percent)), "labelled")
+    count = labelled.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("k"))
+    main = count.groupBy("grp").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("rows"))
+    labelled = written(join_counted(labelled, written(main, "main"), ["grp"], "rows").where("parts > 1"), "apart")
+    apart = labelled.where("label <> main")
+    # of each band: how many rows are apart in it, and how many rows there are in it and the two beside it
+    own = labelled.groupBy("grp", "band").agg(F.count_if(F.col("label") != F.col("main")).alias("n_apart"), F.count(F.lit(1)).alias("k"), (F.sum("n") * 8).alias("bytes"))
+    beside = own.select("grp", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band"), "k", "bytes").groupBy("grp", "band").agg(F.sum("k").alias("k"), F.sum("bytes").alias("bytes"))
+    mean = F.col("bytes") / F.col("k")
+    bands = own.where("n_apart > 0").select("grp", "band", "n_apart").join(beside, ["grp", "band"]).select(
+        "grp", "band", _n_blocks(F.col("n_apart"), F.col("n_apart") * mean).alias("n_sb"), _n_blocks(F.col("k"), F.col("bytes")).alias("n_b"), F.col("n_apart"), "k")
+    bands = written(bands, "bands")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = join_counted(apart, bands.drop("k"), ["grp", "band"], "n_apart").withColumn("sb", F.pmod(F.hash("node", F.lit(7)), "n_sb")).withColumn("block", every("n_b")).withColumn("side", F.lit(0))
+    near = labelled.withColumn("band", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))))
+    right = join_counted(near, bands.drop("n_apart"), ["grp", "band"], "k").withColumn("block", F.pmod(F.hash("node"), "n_b")).withColumn("sb", every("n_sb")).withColumn("side", F.lit(1))
+    cols = ["grp", "band", "sb", "block", "node", "label", "side", "grams"]
+    return _links(left.select(*cols).unionByName(right.select(*cols)), cols[:4], n_tasks, percent)

@@ -1,7 +1,10 @@
 import random
 import re
 
-from shelfmark.llm import jaccard, words
+import numpy as np
+from pyspark.sql import functions as F
+
+from shelfmark.llm import jaccard, skew, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -58,6 +61,41 @@ def test_random_families(spark, monkeypatch):
         assert got(spark, rows, k=k, percent=percent) == brute(rows, k, percent)
 
 
+def test_block_links_against_all_pairs():
+    """Parts that the links join, with and without labels joined before, for blocks against themselves and others."""
+    rng = np.random.default_rng(3)
+    for percent in (50, 80, 100):
+        sets = []
+        for _ in range(60):
+            base = sets[rng.integers(len(sets))] if sets and rng.random() < 0.7 else rng.integers(0, 400, rng.integers(1, 40)).astype(np.uint64)
+            keep = base[rng.random(len(base)) > 0.08]
+            sets.append(np.unique(np.concatenate([keep if len(keep) else base, rng.integers(0, 400, rng.integers(0, 3)).astype(np.uint64)])))
+        label = np.where(rng.random(60) < 0.3, rng.integers(0, 5, 60), 100 + np.arange(60))
+        for left, right in ((np.arange(60), np.arange(60)), (np.arange(20), np.arange(20, 60))):
+            def parts(links, label=label):
+                now = label.copy()
+                for i, j in links:
+                    now[now == now[j]] = now[i]
+                return [now.tolist().index(x) for x in now]
+
+            pairs = [(i, j) for i in left for j in right if i != j and 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))]
+            found = jaccard._block_links(sets, left, right, label, percent)
+            assert parts(found) == parts(pairs) and set(found) <= {(int(i), int(j)) for i, j in pairs} | {(int(j), int(i)) for i, j in pairs}
+
+
+def test_bands_and_hot_keys(spark, monkeypatch):
+    """Bands of sizes that can link are neighbours; a join on counted keys gives what a plain one gives, hot keys or not."""
+    n = spark.range(1, 3000).select(F.col("id").alias("n"))
+    for percent in (50, 80, 90, 100):
+        band = {r["n"]: r["band"] for r in n.withColumn("band", jaccard.band_of(F.col("n"), percent)).collect()}
+        assert all(abs(band[x] - band[min(2999, x * 100 // percent)]) <= 1 for x in band)
+    monkeypatch.setattr(skew, "LEAST_HOT", 20)
+    rows = spark.range(1000).selectExpr("if(id % 3 = 0, 7, id % 50) AS k", "id AS v").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) k, 5L v"))
+    side = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("k <> 4").withColumn("w", F.col("k") * 2)
+    got = skew.join_counted(rows, side, ["k"], "n")
+    assert got.columns == ["k", "v", "w"] and sorted(got.collect()) == sorted(rows.join(side.drop("n"), "k").collect())
+
+
 def test_word_hashes_follow_words():
     import pyarrow as pa
 
