@@ -57,6 +57,7 @@ class Encoder:
         #: Whether words of letters alone can go straight to the model.
         self.plain = (about["model"]["type"] == "BPE" and not about.get("normalizer") and pre.get("type") == "ByteLevel"
                       and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not about["model"].get("dropout"))
+        self.added = [t["content"].encode() for t in about.get("added_tokens") or [] if t["content"]]
         self.letters = _printable_bytes()
         self.model = self.tokenizer.model
         self._clear()
@@ -64,11 +65,16 @@ class Encoder:
     def _clear(self) -> None:
         self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes of the cuts, sorted, and their numbers
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.said, self.said_at, self.said_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)  # the cuts' own bytes
 
     def _learn(self, keys: np.ndarray, cuts: list[bytes]) -> None:
         """Keeps the ids of new cuts; ``keys`` are sorted."""
         found = [[t.id for t in self.model.tokenize(c.decode("latin-1").translate(self.letters))] for c in cuts]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
+        sizes = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        self.said_at = np.append(self.said_at, len(self.said) + np.cumsum(sizes) - sizes)
+        self.said_size = np.append(self.said_size, sizes)
+        self.said = np.append(self.said, np.frombuffer(b"".join(cuts), np.uint8))
         at = np.searchsorted(self.keys, keys)
         self.place = np.insert(self.place, at, len(self.keys) + np.arange(len(keys)))
         self.keys = np.insert(self.keys, at, keys)
@@ -76,9 +82,21 @@ class Encoder:
         self.lengths = np.append(self.lengths, lengths)
         self.ids = np.append(self.ids, np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum())))
 
+    def _mixed(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``encode``, with the texts of ``whole`` given to the library and the others each on its own."""
+        out = []
+        for i, by_library in enumerate(whole):
+            text = data[offsets[i] : offsets[i + 1]]
+            if by_library:
+                out.append(np.array(self.tokenizer.encode(text.tobytes().decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, np.uint32))
+            else:
+                out.append(self.encode(text, np.array([0, len(text)]))[0])
+        return np.concatenate(out), np.concatenate([[0], np.cumsum([len(x) for x in out])])
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and where each text's begin (one more: the end)."""
         kind, hard = kinds(data, offsets)
+        hard[np.searchsorted(offsets, found_anywhere(data, self.added), "right") - 1] = True
         if not self.plain:
             hard[:] = True
         n_docs = len(offsets) - 1
@@ -102,6 +120,16 @@ class Encoder:
             raw = data.tobytes()
             self._learn(keys[new], [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
             number = self.place[np.searchsorted(self.keys, keys)][which]
+            # cuts of one hash that are not the same bytes: their texts go to the library
+            other = self.said_size[number] != size
+            if not other.any():
+                begin = np.cumsum(size) - size
+                differs = self.said[np.arange(size.sum()) + np.repeat(self.said_at[number] - begin, size)] != data[inside]
+                other = np.add.reduceat(differs, begin, dtype=np.int64) > 0 if differs.any() else other
+            if other.any():
+                again = hard.copy()
+                again[np.searchsorted(offsets, starts[other], "right") - 1] = True
+                return self._mixed(data, offsets, again)
             lengths = self.lengths[number]
             upto = np.concatenate([[0], np.cumsum(lengths)])
             flat = self.ids[np.arange(upto[-1]) + np.repeat(self.starts[number] - upto[:-1], lengths)]
@@ -120,13 +148,11 @@ class Encoder:
 def kinds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The kind of each byte's character, and which texts hold characters that the table here doesn't tell.
 
-    It tells ASCII, the Latin letters from U+00C0 to U+024F and the dashes, quotes and dots from U+2010 to U+2027. Texts
-    that may hold a special token, which all begin with ``<|``, count as not told as well.
+    It tells ASCII, the Latin letters from U+00C0 to U+024F and the dashes, quotes and dots from U+2010 to U+2027.
     """
     kind = _KIND[data]
     wide = data >= 0x80
     hard = np.zeros(len(offsets) - 1, bool)
-    doubt = np.zeros(0, np.int64)
     if wide.any():
         then = np.append(data[1:], 0)
         lead = np.flatnonzero(data >= 0xC0)
@@ -136,13 +162,25 @@ def kinds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         sign = (a == 0xE2) & (b == 0x80) & (third >= 0x90) & (third <= 0xA7)
         kind[lead[latin]] = LETTER
         kind[lead[latin] + 1] = LETTER
-        doubt = lead[~(latin | sign)]
-    bar = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
-    doubt = np.concatenate([doubt, bar])
-    hard[np.searchsorted(offsets, doubt, "right") - 1] = True
+        hard[np.searchsorted(offsets, lead[~(latin | sign)], "right") - 1] = True
     return kind, hard
 
 
+def found_anywhere(data: np.ndarray, tokens: list[bytes]) -> np.ndarray:
+    """Places of the first bytes of these tokens; one that reaches over a text's end counts as well."""
+    raw, places = None, [np.zeros(0, np.int64)]
+    for two in {t[:2] for t in tokens}:
+        at = np.flatnonzero(data == two[0])
+        if len(two) > 1:
+            at = at[at + 1 < len(data)]
+            at = at[data[at + 1] == two[1]]
+        if len(at):
+            raw = raw or data.tobytes()
+            own = tuple(t for t in tokens if t[:2] == two)
+            places.append(np.array([a for a in at.tolist() if raw.startswith(own, a)], np.int64))
+    return np.concatenate(places)
+
+
 def cut_starts(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """Where the cuts begin: runs of one kind, a single space before a run being its first character.
 

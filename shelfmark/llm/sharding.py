@@ -46,7 +46,7 @@ def _scattered(docs: DataFrame, key: str, salt: str, size: str, id_col: str, tex
     return keyed.join(hot, key, "left_anti").withColumn(salt, F.lit(0).cast("long")).select(columns).unionByName(written(repeats.select(columns), "repeats"))
 
 
-def _running(counts: DataFrame, bucket: str, n: str, before: str) -> DataFrame:
+def running(counts: DataFrame, bucket: str, n: str, before: str) -> DataFrame:
     """One row a bucket with the number of rows in all buckets before it; two steps, so that no task holds all buckets."""
     group, up = "_group", "_up"
     inside = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -75,7 +75,7 @@ def external_shuffle(docs: DataFrame, n_shards: int, seed: int = 17, id_col: str
     total, n_rows = scattered.agg(F.coalesce(F.sum(size), F.lit(0)), F.count(F.lit(1))).first()
     n_buckets = int(max(1, -(-total // bucket_bytes), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     scattered = scattered.withColumn(bucket, F.pmod(F.xxhash64(key, salt), F.lit(n_buckets)).cast("int")).drop(salt, size)
-    starts = _running(scattered.groupBy(F.col(bucket).alias("at")).agg(F.count(F.lit(1)).alias(n)), "at", n, before)
+    starts = running(scattered.groupBy(F.col(bucket).alias("at")).agg(F.count(F.lit(1)).alias(n)), "at", n, before)
     each, extra = divmod(n_rows, n_shards)
 
     def shuffle_bucket(rows: pa.Table, start: pa.Table) -> pa.Table:

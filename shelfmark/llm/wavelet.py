@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bpe
+from shelfmark.llm.sharding import running
 from shelfmark.llm.storage import written
 
 SHARD_BYTES = 16 << 20  # of text in one shard, on average
+BROADCAST_SHARDS = 1_000_000  # up to so many shards (12 bytes each) their starts are broadcast
 BLOCK = 512  # bits between two stored ranks
 FILE = "shard int, n_tokens long, doc_ids array<long>, begins array<long>, zeros array<long>, planes array<binary>, ranks array<binary>"
 
@@ -151,21 +153,66 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, shard_bytes: int =
     return written(ordered.mapInArrow(run, FILE), "wavelet")
 
 
+def _starts(shards: DataFrame) -> DataFrame:
+    """(shard, first): how many ids all shards before it have."""
+    first = running(shards.select("shard", "n_tokens"), "shard", "n_tokens", "first")
+    return F.broadcast(first) if first.count() <= BROADCAST_SHARDS else first
+
+
+def _matrix(batch: pa.RecordBatch, i: int, with_ranks: bool) -> WaveletMatrix:
+    n, zeros, planes = (batch.column(c)[i].as_py() for c in ("n_tokens", "zeros", "planes"))
+    return WaveletMatrix.unpacked(n, zeros, planes, batch.column("ranks")[i].as_py() if with_ranks else [])
+
+
 def read_documents(shards: DataFrame) -> DataFrame:
     """One row a document, from the files alone: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    sizes = sorted((r["shard"], r["n_tokens"]) for r in shards.select("shard", "n_tokens").collect())  # one row for 16 MB of text
-    starts, before = {}, 0
-    for shard, n in sizes:
-        starts[shard], before = before, before + n
-
     def run(batches):
         for batch in batches:
             for i in range(len(batch)):
-                shard, n, doc_ids, begins, zeros, planes = (batch.column(c)[i] for c in ("shard", "n_tokens", "doc_ids", "begins", "zeros", "planes"))
-                ids = WaveletMatrix.unpacked(n.as_py(), zeros.as_py(), planes.as_py(), []).tokens()
-                begins = begins.values.to_numpy()
+                ids = _matrix(batch, i, with_ranks=False).tokens()
+                begins = batch.column("begins")[i].values.to_numpy()
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(begins[:-1], begins[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(begins[:-1] + starts[shard.as_py()]), pa.array(np.diff(begins)), pa.array(crc, pa.int64())],
-                                                 ["doc_id", "start", "n_tokens", "ids_crc32"])
+                shard = pa.array(np.full(len(crc), batch.column("shard")[i].as_py(), np.int32))
+                yield pa.RecordBatch.from_arrays([shard, batch.column("doc_ids")[i].values, pa.array(begins[:-1]), pa.array(np.diff(begins)), pa.array(crc, pa.int64())],
+                                                 ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
+
+    rows = shards.select("shard", "n_tokens", "doc_ids", "begins", "zeros", "planes").mapInArrow(run, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return rows.join(_starts(shards), "shard").select("doc_id", (F.col("at") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _asked(shards: DataFrame, tokens: list[int], answer) -> DataFrame:
+    """Rows (shard, token, n) that ``answer`` gives for each shard's matrix and each token."""
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                matrix = _matrix(batch, i, with_ranks=True)
+                found = [(token, n) for token in tokens for n in answer(matrix, token)]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("shard")[i].as_py()] * len(found), pa.int32()), pa.array([t for t, _ in found], pa.int64()),
+                                                  pa.array([n for _, n in found], pa.int64())], ["shard", "token", "n"])
+
+    return shards.select("shard", "n_tokens", "zeros", "planes", "ranks").mapInArrow(run, "shard int, token long, n long")
+
+
+def count_tokens(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """(token, n): how often each of ``tokens`` (different ones) stands in all shards, by two ranks a plane; no id is decoded."""
+    return _asked(shards, tokens, lambda matrix, token: [matrix.count(token)]).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def locate_tokens(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """(token, place): every place among all ids where one of ``tokens`` stands, by a select a plane; no id is decoded."""
+    every = lambda matrix, token: (matrix.locate(token, k) for k in range(matrix.count(token)))
+    return _asked(shards, tokens, every).join(_starts(shards), "shard").select("token", (F.col("n") + F.col("first")).alias("place"))
+
+
+def tokens_at(shards: DataFrame, places: DataFrame) -> DataFrame:
+    """``places`` (place long, other columns are left out) with the token there, by a rank a plane; places past the end and nulls give no row."""
+    bounds = shards.select("shard", "n_tokens").join(_starts(shards), "shard").select("shard", "first", (F.col("first") + F.col("n_tokens")).alias("end"))
+    inside = places.select("place").join(bounds, (F.col("place") >= F.col("first")) & (F.col("place") < F.col("end"))).select(
+        F.col("shard").alias("of"), "place", (F.col("place") - F.col("first")).alias("at"))
+
+    def run(asked: pa.Table, shard: pa.Table) -> pa.Table:
+        matrix = _matrix(shard.to_batches()[0], 0, with_ranks=True)
+        return pa.table({"place": asked["place"], "token": pa.array([matrix.access(i) for i in asked["at"].to_pylist()], pa.int64())})
 
-    return shards.select("shard", "n_tokens", "doc_ids", "begins", "zeros", "planes").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    held = shards.join(inside.select(F.col("of").alias("shard")).distinct(), "shard", "left_semi").select("shard", "n_tokens", "zeros", "planes", "ranks")
+    return inside.groupBy("of").cogroup(held.groupBy("shard")).applyInArrow(run, "place long, token long")

@@ -5,6 +5,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shelfmark.llm import chat, nearest, sharding
@@ -102,9 +104,30 @@ def test_nearest(spark):
     rows = [(i, rng.normal(size=16).astype(np.float32).tolist()) for i in range(500)]
     rows[40:80] = [(i, rows[7][1]) for i in range(40, 80)]  # one vector again and again
     rows += [(600, None), (620, []), (640, [0.0] * 16), (660, [1.0] * 15 + [None]), (680, [float("nan")] * 16), (700, [float("inf")] + [1.0] * 15), (720, [1.0, 2.0]), (721, [1.0, 1.0]), (None, [1.0] * 16),
-             (740, rng.normal(size=16).astype(np.float32).tolist())]
+             (740, rng.normal(size=16).astype(np.float32).tolist())] + [(741, rows[3][1])] * 9
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS rank", "2 AS score")
     got = sorted(map(tuple, nearest.nearest(df, F.col("vec_id") % 20 == 0, 5, query_block=7, candidate_block=60).collect()))
     assert got == brute(rows, 5)
     assert nearest.nearest(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
     assert nearest.nearest(df.where("vec_id = 40"), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_huge_and_tiny_numbers(spark):
+    rows = [(i, [1e160 * (i + 1), 1e-300]) for i in range(21)] + [(30, [-1e160, 1e160]), (40, [5e-324, 0.0]), (41, [-5e-324, 5e-324])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.nearest(df, F.col("vec_id") % 20 == 0, 30).collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert [i for i, _ in got[0]][:20] == list(range(1, 21)) and got[0][0][1] == float("inf") and got[0][-1] == (30, float("-inf"))
+    assert len(got[0]) == len(got[20]) == len(got[40]) == 23
+
+
+@given(st.lists(st.tuples(st.floats(-1e3, 1e3), st.floats(-1e3, 1e3)), min_size=1, max_size=30), st.integers(1, 8))
+@settings(max_examples=60, deadline=None)
+def test_tiles_against_all_products(vectors, k):
+    x = np.array([v for v in vectors if any(v)] or [(1.0, 0.0)])
+    ids = np.arange(len(x))
+    got = nearest.tile_top(x, ids, x, ids, np.ones(len(x), int), k)
+    for q in range(len(x)):
+        want = sorted((-float(nearest.inner_products(x[i : i + 1], x[q])[0]), i) for i in ids if i != q)[:k]
+        assert [(-s, v) for i, s, v in got if i == q] == want

@@ -83,6 +83,46 @@ def test_shards_round_trip(spark):
     assert wavelet.read_documents(wavelet.write_shards(df.limit(0), PATH)).collect() == []
 
 
+def test_access_count_and_locate(spark):
+    """Ranks and selects of the written files give what the decoded ids give."""
+    _, df = rows(spark)
+    shards = wavelet.write_shards(df, PATH, shard_bytes=20_000)
+    ids = np.concatenate([wavelet._matrix(b, i, False).tokens() for b in shards.orderBy("shard").toArrow().to_batches() for i in range(len(b))]).astype(int)
+    asked = [2, int(ids[5]), int(ids[-7]), 49_999]
+    assert shards.count() > 1 and {r["token"]: r["n"] for r in wavelet.count_tokens(shards, asked).collect()} == {t: int((ids == t).sum()) for t in asked}
+    assert sorted(map(tuple, wavelet.locate_tokens(shards, asked).collect())) == sorted((t, int(i)) for t in set(asked) for i in np.flatnonzero(ids == t))
+    places = [0, 1, 1, len(ids) - 1, len(ids), -1, len(ids) // 2, None]
+    got = wavelet.tokens_at(shards, spark.createDataFrame([(p, "x") for p in places], "place long, token string")).collect()
+    assert sorted(map(tuple, got)) == sorted((p, int(ids[p])) for p in places if p is not None and 0 <= p < len(ids))
+    none = wavelet.write_shards(df.limit(0), PATH)
+    assert wavelet.count_tokens(none, [2]).collect() == [] and wavelet.locate_tokens(none, [2]).collect() == []
+
+
+def test_cuts_of_one_hash_are_told_apart(monkeypatch):
+    """A hash that is the same for all cuts of one length changes no id."""
+    monkeypatch.setattr(words, "run_hashes", lambda data, lengths: lengths.astype(np.uint64))
+    enc, texts = bpe.Encoder(PATH), [t or "" for t in ODD]
+    for _, _, data, offsets in words.chunks(pa.array(texts, pa.string()), 200):
+        ids, begins = enc.encode(data, offsets)
+        got = [ids[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)]
+        assert got == [direct(data[a:b].tobytes().decode()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def test_added_tokens_are_read_from_the_file(tmp_path):
+    import json
+
+    about = json.load(open(PATH, encoding="utf-8"))
+    about["added_tokens"] = [*about.get("added_tokens", []), {"id": 60_000, "content": "[CUT]", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}]
+    path = str(tmp_path / "more.json")
+    json.dump(about, open(path, "w", encoding="utf-8"))
+    library, enc = Tokenizer.from_file(path), bpe.Encoder(path)
+    texts = ["a [CUT] b", "[CU T] [x", "plain", "[CUT]", "x <| y", "<|endoftext|>"]
+    ((_, _, data, offsets),) = words.chunks(pa.array(texts))
+    ids, begins = enc.encode(data, offsets)
+    got = [ids[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts] and len(got[3]) == 1
+
+
 def test_packing(spark):
     docs, df = rows(spark)
     got = packing.pack(df, PATH, capacity=64).collect()
