@@ -27,7 +27,7 @@ def part(text: Column, pattern: str, group: int) -> Column:
 
 def normalize_unit(unit: Column) -> Column:
     u = F.lower(F.trim(unit))
-    known = F.create_map(*chain.from_iterable((F.lit(w), F.lit(name)) for name, words in P.UNITS.items() for w in words.split()))
+    known = F.create_map(*chain.from_iterable((F.lit(w), F.lit(name)) for name, words in P.UNITS.items() for w in words))
     return F.coalesce(F.try_element_at(known, u), u)
 
 
@@ -39,7 +39,7 @@ def normalize_currency(text: Column) -> Column:
     return out
 
 
-_QUANTITY = r"(?i)(?<!\d[xX*])(?<!\d\s[xX*])\b(\d+(?:\.\d+)?)\s*(" + P.UNIT_WORDS + r")\b(?!\s*[xX*]\s*\d)"
+_QUANTITY = r"(?i)(?<!\d[xX*])(?<!\d\s[xX*])\b(\d+(?:\.\d+)?)\s*(" + "|".join(P.UNIT_WORDS) + r")\b(?!\s*[xX*]\s*\d)"
 
 
 def parse_quantity(text: Column) -> Column:
@@ -116,6 +116,27 @@ def record_digest(*parts: Column) -> Column:
 
 
 def verify_evidence(text: Column, claimed: Column) -> Column:
-    """struct(computed_hash, is_tamper_free): an empty or null claim is taken as intact."""
-    digest = F.sha2(F.encode(text, "UTF-8"), 256)
+    """struct(computed_hash, is_tamper_free): an empty or null claim is taken as intact.
+
+    The digest is over Latin-1 bytes, or over UTF-8 where the text has a character beyond Latin-1.
+    """
+    beyond = text.rlike(r"[^\x{00}-\x{FF}]")
+    digest = F.sha2(F.when(beyond, F.encode(text, "UTF-8")).otherwise(F.encode(F.when(~beyond, text), "ISO-8859-1")), 256)
     return F.struct(digest.alias("computed_hash"), F.when(F.coalesce(claimed, F.lit("")) == "", True).otherwise(F.lower(claimed) == digest).alias("is_tamper_free"))
+
+
+def is_json(text: Column) -> Column:
+    """Whether the whole text is a JSON document; null for null."""
+    return F.when(text.isNotNull(), F.try_parse_json(text).isNotNull())
+
+
+def unfenced(text: Column) -> Column:
+    """What a reply has between code fences, of JSON first, of any kind else, or all of it, without white space around it."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    part = lambda c, fence, n: F.split_part(c, F.lit(fence), F.lit(n))
+    return strip(F.when(text.contains("```json"), part(part(text, "```json", 2), "```", 1)).when(text.contains("```"), part(strip(text), "```", 2)).otherwise(text))
+
+
+def mean_milli(hundredths: Column, n: Column) -> Column:
+    """A mean of hundredths in thousandths, half to even; 0 of none."""
+    return F.when(n > 0, F.bround(hundredths * 10 / n)).otherwise(0).cast("long")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions import scalars as S
+
 DEFAULT_CONFIDENCE = 90  # stored where none was given
 READABLE = 60  # confidence above this passes; none counts as 0
 
@@ -16,18 +18,29 @@ def edits(fields: DataFrame) -> DataFrame:
     return fields.select("image_id", "field_name", edit.alias("edit")).where("edit IS NOT NULL")
 
 
-def reevaluated(fields: DataFrame, edits: DataFrame) -> DataFrame:
-    """Fields as they are evaluated again after edits: the value is the raw text as well, so a bare number has no unit and no tax phrase."""
-    value = F.coalesce("edit", "value")
+def verified_declarations(fields: DataFrame, edits: DataFrame) -> DataFrame:
+    """Declarations after an officer's review: an edit that says something else replaces the value, is marked, and is sure (100)."""
+    changed = F.col("edit").isNotNull() & ~F.col("edit").eqNullSafe(F.col("value"))
     return fields.join(edits, ["image_id", "field_name"], "left").select(
-        "image_id", "field_name", value.alias("value"), value.alias("raw_text"), F.when(F.col("edit").isNotNull(), "CONFIRMED").otherwise(F.col("status")).alias("status"))
+        "image_id", "field_name", F.when(changed, F.col("edit")).otherwise(F.col("value")).alias("detected_value"), changed.alias("is_officer_edited"),
+        F.when(changed, F.lit(100)).otherwise(F.col("confidence")).cast("long").alias("confidence"))
+
+
+def reevaluated(fields: DataFrame, edits: DataFrame) -> DataFrame:
+    """Fields as they are evaluated again after edits: any value is confirmed, and is the raw text as well, so a bare number has no unit and no tax phrase."""
+    value = F.col("detected_value")
+    return verified_declarations(fields, edits).select(
+        "image_id", "field_name", value.alias("value"), value.alias("raw_text"), F.when(F.coalesce(value, F.lit("")) != "", "CONFIRMED").otherwise("MISSING").alias("status"))
 
 
 def summary(fields: DataFrame) -> DataFrame:
     status = F.col("status")
-    return fields.groupBy("image_id").agg(
+    per = fields.groupBy("image_id").agg(
         F.count_if(status == "CONFIRMED").alias("confirmed"), F.count_if(status == "LOW_CONFIDENCE").alias("low_confidence"),
-        F.count_if((status == "MISSING") | status.isNull()).alias("missing"), F.sum("confidence").cast("long").alias("confidence_sum"), F.count("confidence").alias("confidence_count"))
+        F.count_if((status == "MISSING") | status.isNull()).alias("missing"), F.sum("confidence").cast("long").alias("confidence_sum"), F.count("confidence").alias("confidence_count"),
+        F.count(F.lit(1)).alias("n"))
+    # a field without a confidence counts as 0
+    return per.withColumn("overall_milli", S.mean_milli(F.coalesce("confidence_sum", F.lit(0)), F.col("n"))).drop("n")
 
 
 def declaration_rows(fields: DataFrame) -> DataFrame:
@@ -52,7 +65,24 @@ def external_merge(fields: DataFrame, verification: DataFrame) -> DataFrame:
 
 
 def report_rows(fields: DataFrame, evaluated: DataFrame) -> DataFrame:
-    """A report row an inspection: fields by name with their values cut at 45 characters, the score, the fee with thousands marked."""
-    line = F.concat(F.col("field_name"), F.lit("="), F.substring(F.coalesce("value", F.lit("NOT DETECTED")), 1, 45))
+    """A report row an inspection: fields by name with value (45 characters at most), source (20) and confidence in percent, the score, the fee with thousands marked."""
+    share = F.concat(F.format_number(F.coalesce("confidence", F.lit(0)).cast("decimal(5,1)"), 1), F.lit("%"))
+    line = F.concat(F.col("field_name"), F.lit("="), F.substring(F.coalesce("value", F.lit("NOT DETECTED")), 1, 45), F.lit(" ["), F.substring("source_model", 1, 20), F.lit("] "), share)
     lines = fields.groupBy("image_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("field_name", line.alias("t")))), lambda x: x["t"]), "; ").alias("lines"))
     return lines.join(evaluated, "image_id").select("image_id", "lines", "score_tenths", F.format_number("estimated_fee", 0).alias("fee_text"))
+
+
+def prompt_lines(boxes: DataFrame, n: int = 40) -> DataFrame:
+    """The first ``n`` lines of each image, in the order of its list, as one text: what a checking model is shown."""
+    per = boxes.groupBy("image_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("idx", "text"))), 1, n).alias("x"))
+    return per.select("image_id", F.array_join(F.transform("x", lambda b: b["text"]), "\n").alias("lines"), F.size("x").cast("long").alias("n_lines"))
+
+
+def result_documents(fields: DataFrame, evaluated: DataFrame) -> DataFrame:
+    """One JSON result an image: its fields, the counts over them, score, status and fee."""
+    field = F.struct("field_name", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("status", F.lit("MISSING")).alias("status"), F.coalesce("confidence", F.lit(0)).cast("long").alias("confidence"))
+    per = fields.groupBy("image_id").agg(F.sort_array(F.collect_list(field)).alias("extracted_fields"))
+    count = lambda status: F.size(F.filter("extracted_fields", lambda x: x["status"] == status))
+    audit = F.struct(F.size("extracted_fields").alias("total_fields"), count("CONFIRMED").alias("confirmed_count"), count("LOW_CONFIDENCE").alias("low_confidence_count"), count("MISSING").alias("missing_count"))
+    said = F.struct("extracted_fields", audit.alias("audit_summary"), "score_tenths", "compliance_status", F.col("estimated_fee").cast("long").alias("estimated_fee"))
+    return per.join(evaluated, "image_id").select("image_id", F.to_json(said).alias("result"))

@@ -7,9 +7,11 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.functions import scalars as S
+
 CLUSTER_COLUMNS = ["image_id", "engine", "idx", "text", "x1", "y1", "x2", "y2", "confidence"]
 READABLE_SIGNS = "₹/.,:;@%()[]&-"
 
@@ -37,6 +39,14 @@ def similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, a.lower(), b.lower()).ratio()
 
 
+def alike(a: str, b: str, least: float) -> bool:
+    """Whether the similarity of two lower-cased texts is above ``least``; bounds on it are tried first."""
+    if a == b:
+        return least < 1
+    m = SequenceMatcher(None, a, b)
+    return m.real_quick_ratio() > least and m.quick_ratio() > least and m.ratio() > least
+
+
 def _clusters(table: pa.Table) -> pa.Table:
     """Greedy: the first box not yet taken, from top to bottom and left to right, takes all boxes not yet taken that match it.
 
@@ -44,7 +54,7 @@ def _clusters(table: pa.Table) -> pa.Table:
     """
     table = table.sort_by([(c, "ascending") for c in ("y1", "x1", "engine", "idx")])
     boxes = list(zip(*(table[c].to_pylist() for c in ("x1", "y1", "x2", "y2")), strict=True))
-    texts, cluster = [t or "" for t in table["text"].to_pylist()], [-1] * len(table)
+    texts, cluster = [(t or "").lower() for t in table["text"].to_pylist()], [-1] * len(table)
     for i, seed in enumerate(boxes):
         if cluster[i] >= 0:
             continue
@@ -56,7 +66,7 @@ def _clusters(table: pa.Table) -> pa.Table:
             if cluster[j] >= 0:
                 continue
             tall = max(0, min(seed[3], box[3]) - max(seed[1], box[1])) / (min(seed[3] - seed[1], box[3] - box[1]) + 1e-5)
-            if iou(seed, box) > 0.35 or (tall > 0.65 and similarity(texts[i], texts[j]) > 0.4):
+            if iou(seed, box) > 0.35 or (tall > 0.65 and alike(texts[i], texts[j], 0.4)):
                 cluster[j] = i
     return table.append_column("cluster", pa.array(cluster, pa.int64())).append_column("place", pa.array(range(len(table)), pa.int64()))
 
@@ -76,15 +86,26 @@ def readable_share(text: Column) -> Column:
     return F.when(F.length(text) > 0, kept / F.length(text)).otherwise(F.lit(0.0))
 
 
-def fused(clustered: DataFrame) -> DataFrame:
-    """One row a cluster: its best text, envelope, engines and number of boxes; clusters without any text are left out."""
+def with_layout(boxes: DataFrame, primary: str) -> DataFrame:
+    """Boxes of all engines and, as those of one more, the layout engine's (see ``layout_rerank``)."""
+    again = layout_rerank(boxes, primary).select("image_id", "idx", "engine", (F.col("milli") / 1000).alias("confidence"))
+    own = boxes.where(F.col("engine") == primary).drop("engine", "confidence")
+    return boxes.unionByName(own.join(again, ["image_id", "idx"]).select(boxes.columns))
+
+
+def fused(clustered: DataFrame, line: int = 25) -> DataFrame:
+    """One row a cluster: its best text with confidence and engine, envelope, engines, number of boxes, and place in the reading order; clusters without any text are left out."""
     size = clustered.groupBy("image_id", "cluster").agg(
         F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("engine")), ",").alias("engines"),
         F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
     with_text = clustered.where(F.length("text") > 0).join(size.select("image_id", "cluster", "n"), ["image_id", "cluster"])
     score = 0.7 * F.col("confidence") + 0.2 * readable_share(F.col("text")) + F.least(F.lit(0.3), 0.15 * (F.col("n") - 1))
-    best = with_text.groupBy("image_id", "cluster").agg(F.min(F.struct((-score).alias("s"), "place", "text")).alias("b"))
-    return best.join(size, ["image_id", "cluster"]).select("image_id", "cluster", F.col("b.text").alias("text"), "x1", "y1", "x2", "y2", "engines", F.col("n").alias("agreement"))
+    best = with_text.groupBy("image_id", "cluster").agg(F.min(F.struct((-score).alias("s"), "place", "text", "confidence", "engine")).alias("b"))
+    rows = best.join(size, ["image_id", "cluster"]).select(
+        "image_id", "cluster", F.col("b.text").alias("text"), F.round(F.least(F.lit(1.0), F.col("b.confidence")), 4).alias("confidence"), "x1", "y1", "x2", "y2",
+        F.col("b.engine").alias("source_model"), "engines", F.col("n").alias("agreement"))
+    order = Window.partitionBy("image_id").orderBy(F.floor(F.col("y1") / line), "x1", "cluster")
+    return rows.withColumn("place", (F.row_number().over(order) - 1).cast("long"))
 
 
 def text_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -97,8 +118,14 @@ def text_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("similarity", ratio(F.col(a), F.col(b)))
 
 
-def engine_stats(boxes: DataFrame) -> DataFrame:
-    return boxes.groupBy("image_id", "engine").agg(F.count(F.lit(1)).alias("boxes"), F.sum(F.round(F.col("confidence") * 100).cast("long")).alias("confidence_sum"))
+def engine_stats(boxes: DataFrame, engines: list[str]) -> DataFrame:
+    """Each image's boxes, and the mean of their confidence in thousandths, for each of ``engines``: 0 where it has none."""
+    n, total = F.count("engine"), F.sum(F.round(F.col("confidence") * 100).cast("long"))
+    every = boxes.select("image_id").distinct().withColumn("engine", F.explode(F.array(*map(F.lit, engines))))
+    found = boxes.groupBy("image_id", "engine").agg(n.alias("boxes"), total.alias("confidence_sum"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    rows = every.join(found, ["image_id", "engine"], "left").withColumns({c: zero(F.col(c)) for c in ("boxes", "confidence_sum")})
+    return rows.withColumn("mean_milli", S.mean_milli(F.col("confidence_sum"), F.col("boxes")))
 
 
 def layout_rerank(boxes: DataFrame, primary: str) -> DataFrame:
@@ -114,6 +141,13 @@ def pairwise_iou(detections: DataFrame) -> DataFrame:
         "image_id", "a_model", "b_model", F.round(iou_column("a", "b") * 1_000_000).cast("long").alias("iou_millionths"))
 
 
+def agreement(detections: DataFrame) -> DataFrame:
+    """Each image's mean over the pairs of detectors of the IoU, pairs and mean each in thousandths, half to even."""
+    milli = F.bround(F.col("iou_millionths") / 1000).cast("long")
+    per = pairwise_iou(detections).groupBy("image_id").agg(F.sum(milli).alias("s"), F.count(F.lit(1)).alias("pairs"))
+    return per.select("image_id", "pairs", F.bround(F.col("s") / F.col("pairs")).cast("long").alias("agreement_milli"))
+
+
 def consensus_crop(detections: DataFrame) -> DataFrame:
     """The envelope of all detectors, drawn to near edges, with 2 % of the image around it: image_id, x1, y1, x2, y2.
 

@@ -29,11 +29,11 @@ def inspection_list(inspections: DataFrame, stores: DataFrame, users: DataFrame,
     name = lambda key, as_: users.select(F.col("user_id").alias(key), F.col("full_name").alias(as_))
     rows = (top.join(stores.select("store_id", "store_name"), "store_id", "left").join(name("officer_id", "officer"), "officer_id", "left")
             .join(name("assigned_to_id", "assignee"), "assigned_to_id", "left").join(count, "inspection_id", "left"))
-    assigned = [F.coalesce("assignee", F.lit("Unassigned")).alias("assigned_name")] if with_assignee else []
+    more = [F.col("assignee").alias("assigned_name"), "fee"] if with_assignee else ["sync_status"]
     return rows.select(
-        "inspection_id", F.coalesce("store_name", F.lit("Unassigned Store")).alias("store_name"), F.coalesce("officer", F.lit("Inspector")).alias("officer_name"),
-        "compliance_status", "supervisor_status", "fee", F.coalesce("n", F.lit(0)).alias("violations_count"),
-        F.date_format("created_at", "yyyy-MM-dd HH:mm").alias("created_text"), F.coalesce(F.nullif(F.col("evidence_image_path"), F.lit("")), "image_path").alias("shown_image"), *assigned)
+        "inspection_id", "inspection_number", "category", "score_tenths", "officer_verified", F.coalesce("store_name", F.lit("Unassigned Store")).alias("store_name"), F.coalesce("officer", F.lit("Inspector")).alias("officer_name"),
+        "compliance_status", "supervisor_status", F.coalesce("n", F.lit(0)).alias("violations_count"),
+        F.date_format("created_at", "yyyy-MM-dd HH:mm").alias("created_text"), F.coalesce(F.nullif(F.col("evidence_image_path"), F.lit("")), "image_path").alias("shown_image"), *more)
 
 
 def inspection_detail(inspections: DataFrame, stores: DataFrame, users: DataFrame, violations: DataFrame) -> DataFrame:
@@ -45,6 +45,25 @@ def inspection_detail(inspections: DataFrame, stores: DataFrame, users: DataFram
             .select("inspection_id", "store_code", "store_name", "officer_code", text.alias("codes"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("violations_count")))
 
 
+def inspection_documents(inspections: DataFrame, stores: DataFrame, users: DataFrame, declarations: DataFrame, violations: DataFrame, inspection_id: int | None = None) -> DataFrame:
+    """Every inspection, or the one of this id, as a nested row: struct store and officer, arrays declarations and violations.
+
+    A store or an officer that is not there is a null struct; without declarations or violations the array is empty.
+    Declarations are of the inspection's image. Each side is put together before the join, so a joined row is a whole one.
+    """
+    if inspection_id is not None:
+        inspections, violations = (df.where(F.col("inspection_id") == inspection_id) for df in (inspections, violations))
+    nested = lambda df, key, columns, name: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+    decs = nested(declarations, "image_id", ["field_name", "detected_value", "is_present", "stored_confidence", "readability"], "declarations")
+    viols = nested(violations, "inspection_id", ["rule_code", "category", "severity", "amount"], "violations")
+    store = stores.select("store_id", F.struct("store_id", "store_code", "store_name", "fssai_license", "city").alias("store"))
+    officer = users.select(F.col("user_id").alias("officer_id"), F.struct("user_id", "officer_code", "full_name").alias("officer"))
+    rows = inspections.join(viols, "inspection_id", "left").join(decs, "image_id", "left").join(store, "store_id", "left").join(officer, "officer_id", "left")
+    empty = lambda df, name: F.coalesce(name, F.array().cast(df.schema[name].dataType)).alias(name)
+    return rows.select("inspection_id", "inspection_number", "store", "officer", "category", "compliance_status", "score_tenths", F.date_format("created_at", "yyyy-MM-dd HH:mm").alias("created_text"),
+                       "officer_verified", "supervisor_status", "fee", "image_path", "evidence_image_path", "sync_status", empty(decs, "declarations"), empty(viols, "violations"))
+
+
 def rules_catalog(rules: DataFrame) -> DataFrame:
     fee = F.when(F.col("severity") == "CRITICAL", 10000).otherwise(5000)
     return rules.select("rule_code", "category", "severity", fee.alias("fee"), "legal_reference", F.col("legal_reference").alias("rule_clause")).orderBy("rule_code")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_AMOUNT = 5000
+BROADCAST_STORES = 1_000_000  # counts of 16 bytes
 
 
 def compounding(amount: Column) -> Column:
@@ -16,10 +17,13 @@ def compounding(amount: Column) -> Column:
 def repeat_offenders(inspections: DataFrame) -> DataFrame:
     """Whether another non-compliant inspection of the same store exists; inspections without a store count as one store.
 
-    The counts of each store are made first (with map-side sums), so a store with a third of all rows is one row in the join.
+    The counts of each store are made first (with map-side sums). Up to BROADCAST_STORES of them are broadcast, so the
+    inspections stay where they are, whatever one store's share; beyond that, the join splits a store that is skewed.
     """
     bad = F.col("compliance_status") == "NON_COMPLIANT"
     per_store = inspections.groupBy(F.col("store_id").alias("of_store")).agg(F.count_if(bad).alias("n_bad"))
+    if per_store.count() <= BROADCAST_STORES:
+        per_store = F.broadcast(per_store)
     return inspections.join(per_store, F.col("store_id").eqNullSafe(F.col("of_store"))).select(
         "inspection_id", (F.col("n_bad") - F.when(bad, 1).otherwise(0) > 0).alias("is_repeat"))
 
@@ -32,18 +36,19 @@ def liability(inspections: DataFrame, violations: DataFrame) -> DataFrame:
 
 def memo_text(inspections: DataFrame, violations: DataFrame) -> DataFrame:
     line = F.struct("rule_code", "severity", "amount")
-    lines = violations.groupBy("inspection_id").agg(F.sort_array(F.collect_list(line)).alias("x"))
+    lines = violations.groupBy("inspection_id").agg(F.sort_array(F.collect_list(line)).alias("x"), F.sum(compounding(F.col("amount"))).alias("total"))
     text = F.array_join(F.transform("x", lambda v: F.concat_ws(" ", v["rule_code"], compounding(v["amount"]).cast("string"))), "; ")
     return repeat_offenders(inspections).join(lines, "inspection_id", "left").select("inspection_id", F.concat(
         F.lit("PENALTY MEMO | inspection "), F.col("inspection_id").cast("string"), F.lit(" | first offence: "), F.when(F.col("is_repeat"), "no").otherwise("yes"),
-        F.lit(" | "), F.coalesce(text, F.lit("no violations"))).alias("memo"))
+        F.lit(" | "), F.coalesce(text, F.lit("no violations")),
+        F.lit(" | total: ₹"), F.format_number(F.coalesce("total", F.lit(0).cast("decimal(28,2)")), 2)).alias("memo"))
 
 
 def rule_lookup(violations: DataFrame, rules: DataFrame) -> DataFrame:
     """How often each rule was broken with each severity, beside the rule's own severity; unknown codes stay, with nulls."""
     counts = violations.groupBy("rule_code", "severity").agg(F.count(F.lit(1)).alias("n"))
     rule = rules.select("rule_code", F.col("severity").alias("rule_severity"), "legal_reference")
-    return counts.join(F.broadcast(rule), "rule_code", "left").select("rule_code", "severity", "rule_severity", "legal_reference", "n")
+    return counts.join(rule, "rule_code", "left").select("rule_code", "severity", "rule_severity", "legal_reference", "n")
 
 
 def severity_counts(violations: DataFrame) -> DataFrame:

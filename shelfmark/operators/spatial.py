@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import patterns as P
 from shelfmark.functions import scalars as S
 
+SURE = 400  # thousandths of confidence from which on a field is confirmed
 FARTHEST = 12  # line heights between a label and its value
 #: What each relation counts in a candidate's confidence.
 MULTIPLIERS = {"SAME_LINE_COMPOSITE": 1.0, "HORIZONTAL_RIGHT": 0.95, "VERTICAL_BELOW": 0.92, "HORIZONTAL_LEFT": 0.85, "VERTICAL_ABOVE": 0.80, "GRID_TABLE_CELL": 0.70, "UNALIGNED_NEIGHBOR": 0.40}
@@ -68,7 +69,7 @@ def ranked(labels: DataFrame, values: DataFrame) -> DataFrame:
 
 def extract(boxes: DataFrame, kind: str, same_value: Callable[[Column], Column], near_value: Callable[[Column], Column], cap: float, label_ok: Column | None = None,
             fallback: tuple[Column, float, str] | None = None) -> DataFrame:
-    """One field of each image: image_id, value, unit, relation, milli, l_idx, v_idx.
+    """One field of each image: image_id, value, unit, relation, milli, l_idx, v_idx, label (its text), status (confirmed from SURE on).
 
     Labels go by their place in the list. A label's own line comes before its neighbours, and a label with neither
     leaves the field to the next one. Without any, the first box that ``fallback`` (condition, factor, relation) admits.
@@ -77,19 +78,20 @@ def extract(boxes: DataFrame, kind: str, same_value: Callable[[Column], Column],
     seen = boxes.withColumns({"own": same_value(t), "near": near_value(t)})
     labels = seen.where(S.found(t, P.LABELS[kind]) & (F.lit(True) if label_ok is None else label_ok))
     thousandths = lambda c: F.round(c * 1000).cast("long")
-    pick = lambda order, value, relation, milli, l, v: F.struct(*(F.lit(x).cast("long").alias(f"o{i}") if isinstance(x, int) else x.alias(f"o{i}") for i, x in enumerate(order)),
-                                                                  value["value"].cast("string").alias("value"), value["unit"].alias("unit"), relation.alias("relation"), milli.alias("milli"), l.alias("l_idx"), v.alias("v_idx"))
+    pick = lambda order, value, relation, milli, l, v, label: F.struct(*(F.lit(x).cast("long").alias(f"o{i}") if isinstance(x, int) else x.alias(f"o{i}") for i, x in enumerate(order)),
+                                                                  value["value"].cast("string").alias("value"), value["unit"].alias("unit"), relation.alias("relation"), milli.alias("milli"), l.alias("l_idx"), v.alias("v_idx"), label.alias("label"))
     idx = F.col("idx").cast("long")
-    own = labels.where("own IS NOT NULL").select("image_id", pick((0, idx, 0, 0, idx), F.col("own"), F.lit("SAME_LINE_COMPOSITE"), thousandths(F.least(F.lit(cap), F.col("confidence") * 1.05)), idx, idx).alias("x"))
+    own = labels.where("own IS NOT NULL").select("image_id", pick((0, idx, 0, 0, idx), F.col("own"), F.lit("SAME_LINE_COMPOSITE"), thousandths(F.least(F.lit(cap), F.col("confidence") * 1.05)), idx, idx, t).alias("x"))
     pairs = candidates(labels.drop("own", "near"), seen.where("near IS NOT NULL").drop("own"))
     l, v = F.col("l_idx").cast("long"), F.col("v_idx").cast("long")
-    near = pairs.select("image_id", pick((0, l, 1, -F.col("milli"), v), F.col("v_near"), F.col("relation"), F.col("milli"), l, v).alias("x"))
+    near = pairs.select("image_id", pick((0, l, 1, -F.col("milli"), v), F.col("v_near"), F.col("relation"), F.col("milli"), l, v, F.col("l_text")).alias("x"))
     every = own.unionByName(near)
     if fallback:
         admits, factor, name = fallback
-        rest = seen.where(F.col("near").isNotNull() & admits).select("image_id", pick((1, idx, 0, 0, idx), F.col("near"), F.lit(name), thousandths(F.col("confidence") * factor), F.lit(None).cast("long"), idx).alias("x"))
+        rest = seen.where(F.col("near").isNotNull() & admits).select("image_id", pick((1, idx, 0, 0, idx), F.col("near"), F.lit(name), thousandths(F.col("confidence") * factor), F.lit(None).cast("long"), idx, F.lit(None).cast("string")).alias("x"))
         every = every.unionByName(rest)
-    return every.groupBy("image_id").agg(F.min("x").alias("x")).select("image_id", *(F.col(f"x.{c}").alias(c) for c in ("value", "unit", "relation", "milli", "l_idx", "v_idx")))
+    return every.groupBy("image_id").agg(F.min("x").alias("x")).select("image_id", *(F.col(f"x.{c}").alias(c) for c in ("value", "unit", "relation", "milli", "l_idx", "v_idx", "label"))).withColumn(
+        "status", F.when(F.col("milli") >= SURE, "CONFIRMED").otherwise("LOW_CONFIDENCE"))
 
 
 def quantity(boxes: DataFrame) -> DataFrame:
@@ -109,7 +111,9 @@ def batch(boxes: DataFrame) -> DataFrame:
 
 
 def mfg_date(boxes: DataFrame) -> DataFrame:
-    return extract(boxes, "mfg_date", S.parse_date, S.parse_date, 0.98, label_ok=~S.has_any(F.col("text"), ["EXP", "BEST BEFORE", "USE BY"]))
+    """As the others, with ``date_type``: a packing date where the label says so."""
+    found = extract(boxes, "mfg_date", S.parse_date, S.parse_date, 0.98, label_ok=~S.has_any(F.col("text"), ["EXP", "BEST BEFORE", "USE BY"]))
+    return found.withColumn("date_type", F.when(S.has_any(F.col("label"), ["PKD", "PACKED", "PACKING"]), "packing_date").otherwise("manufacturing_date"))
 
 
 def expiry(boxes: DataFrame) -> DataFrame:
@@ -118,6 +122,16 @@ def expiry(boxes: DataFrame) -> DataFrame:
     return found.withColumn("unit", F.when(F.col("unit") == "relative_duration", F.col("unit")).otherwise("exact_date"))
 
 
+def barcode(images: DataFrame, codes: DataFrame) -> DataFrame:
+    """Each image's first decoded code (codes: image_id, seq, type, data) as a field; an image without one has it missing."""
+    first = codes.groupBy("image_id").agg(F.min(F.struct("seq", "type", "data")).alias("c"))
+    seen = F.col("c").isNotNull()
+    return images.select("image_id").distinct().join(first, "image_id", "left").select(
+        "image_id", F.concat_ws(": ", "c.type", "c.data").alias("text"), seen.alias("seen"), F.col("c.data").alias("raw_text")).select(
+        "image_id", F.when(F.col("seen"), F.col("text")).alias("value"), "raw_text", F.when(F.col("seen"), 990).otherwise(0).cast("long").alias("milli"),
+        F.when(F.col("seen"), "SCANNED_OPTICAL_CODE").otherwise("NONE").alias("relation"), F.when(F.col("seen"), "CONFIRMED").otherwise("MISSING").alias("status"))
+
+
 def _first(boxes: DataFrame, holds: Column, *order: str) -> DataFrame:
     """The first box of each image for which ``holds``, by the order given and then the place in the list."""
     key = F.struct(*order, "idx", "text", "x1", "y1", "x2", "y2", "confidence")
@@ -164,6 +178,13 @@ def origin(boxes: DataFrame) -> DataFrame:
         F.when(F.col("said").isNotNull(), "SAME_LINE_COMPOSITE").when(F.col("hint"), "INFERRED_FROM_ADDRESS").otherwise("NONE").alias("relation"))
 
 
+def translated(boxes: DataFrame, translations: DataFrame) -> DataFrame:
+    """Boxes with ``is_multilingual`` and ``translated_text``: what ``translations`` (text, translation; a text once) has for it, else the text."""
+    said = boxes.join(translations, "text", "left")
+    foreign = F.coalesce(S.is_non_english(F.col("text")), F.lit(False))
+    return said.select("image_id", F.col("idx").cast("long").alias("idx"), "text", foreign.alias("is_multilingual"), F.when(foreign, F.coalesce("translation", "text")).otherwise(F.col("text")).alias("translated_text"))
+
+
 def other(boxes: DataFrame) -> DataFrame:
     found = boxes.withColumn("d", S.other_declaration(F.col("text"))).where("d IS NOT NULL")
     return found.groupBy("image_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "d"))), lambda x: x["d"]), "; ").alias("declarations"))

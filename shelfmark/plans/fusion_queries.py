@@ -49,11 +49,12 @@ def _similar(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "q_engine_stats": lambda spark, d: fusion.engine_stats(engine_boxes(spark, d)),
+    "q_engine_stats": lambda spark, d: fusion.engine_stats(engine_boxes(spark, d).where("engine <> 'gamma' OR image_id % 10 <> 3"), ENGINES),
     "q_layout_rerank": lambda spark, d: fusion.layout_rerank(engine_boxes(spark, d), "alpha").withColumn("idx", F.col("idx").cast("long")),
     "q_pairwise_iou": lambda spark, d: fusion.pairwise_iou(detections(spark, d)),
     "q_consensus_crop": lambda spark, d: fusion.consensus_crop(detections(spark, d)),
-    "q_ocr_fusion": lambda spark, d: fusion.fused(fusion.clusters(engine_boxes(spark, d))),
+    "q_detector_agreement": lambda spark, d: fusion.agreement(detections(spark, d)),
+    "q_ocr_fusion": lambda spark, d: fusion.fused(fusion.clusters(fusion.with_layout(engine_boxes(spark, d), "alpha"))),
     "q_text_similarity": _similar,
     "q_variant_pick": lambda spark, d: fusion.best_variant(variants(spark, d)),
 }
@@ -62,7 +63,12 @@ _side = lambda lo, hi: f"greatest(0, least(a.{hi}, b.{hi}) - greatest(a.{lo}, b.
 _area = lambda t: f"({t}.x2 - {t}.x1) * ({t}.y2 - {t}.y1)"
 _both = _side("x1", "x2") + " * " + _side("y1", "y2")
 ORACLES = {
-    "q_engine_stats": labels.with_views("SELECT image_id, engine, count(*) AS boxes, CAST(sum(CAST(round(confidence * 100) AS BIGINT)) AS BIGINT) AS confidence_sum FROM v_engine GROUP BY 1, 2", _BOXES),
+    "q_engine_stats": labels.with_views("""SELECT image_id, engine, boxes, confidence_sum, CASE WHEN boxes > 0 THEN CAST(round_even(confidence_sum * 10.0::DOUBLE / boxes, 0) AS BIGINT) ELSE 0 END AS mean_milli
+        FROM (SELECT i.image_id, e.engine, count(b.idx) AS boxes, coalesce(CAST(sum(CAST(round(b.confidence * 100) AS BIGINT)) AS BIGINT), 0) AS confidence_sum FROM (SELECT DISTINCT image_id FROM v_engine) i
+        CROSS JOIN (VALUES ('alpha'), ('beta'), ('gamma')) e(engine) LEFT JOIN v_engine b ON b.image_id = i.image_id AND b.engine = e.engine AND (b.engine <> 'gamma' OR b.image_id % 10 <> 3) GROUP BY 1, 2)""", _BOXES),
+    "q_detector_agreement": _DETECTIONS + f"""SELECT image_id, count(*) AS pairs, CAST(round_even(sum(milli) / count(*), 0) AS BIGINT) AS agreement_milli FROM (
+        SELECT a.image_id, round_even(round(CASE WHEN {_area('a')} + {_area('b')} - {_both} > 0 THEN CAST({_both} AS DOUBLE) / ({_area('a')} + {_area('b')} - {_both}) ELSE 0 END * 1000000) / 1000, 0) AS milli
+        FROM v_det a JOIN v_det b ON a.image_id = b.image_id AND a.model < b.model) GROUP BY 1""",
     "q_layout_rerank": labels.with_views(r"""SELECT image_id, CAST(idx AS BIGINT) AS idx, 'layout' AS engine, CAST(round(least(0.99::DOUBLE, 0.95::DOUBLE * confidence + 0.05::DOUBLE *
         (length(regexp_replace(text, '[^\p{L}\p{N}\s]', '', 'g')) / (length(text) + 1e-5::DOUBLE))) * 1000) AS BIGINT) AS milli FROM v_engine WHERE engine = 'alpha'""", _BOXES),
     "q_pairwise_iou": _DETECTIONS + f"""SELECT a.image_id, a.model AS a_model, b.model AS b_model, CAST(round(CASE WHEN {_area('a')} + {_area('b')} - {_both} > 0 THEN CAST({_both} AS DOUBLE) / ({_area('a')} + {_area('b')} - {_both}) ELSE 0 END * 1000000) AS BIGINT) AS iou_millionths

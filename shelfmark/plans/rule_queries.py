@@ -32,13 +32,20 @@ _SCORED = f"""SELECT *, CASE WHEN critical_violations + high_violations > 0 THEN
     coalesce(sum(amount), 0) AS estimated_fee FROM v_wide w LEFT JOIN v_found v USING (image_id) GROUP BY w.image_id))"""
 
 
+def scored_views(source: str) -> dict[str, str]:
+    """Views that evaluate the rules over the fields of ``source``."""
+    return {"v_wide": _wide_sql(source), "v_found": _VIOLATIONS, "v_scored": _SCORED}
+
+
 def _sql(select: str, source: str = "v_fields", more: dict[str, str] | None = None) -> str:
-    return labels.with_views(select, VIEW_SQL | (more or {}) | {"v_wide": _wide_sql(source), "v_found": _VIOLATIONS, "v_scored": _SCORED})
+    return labels.with_views(select, VIEW_SQL | (more or {}) | scored_views(source))
 
 
 _NAMES = ["mandatory", "quantity", "mrp", "care", "traceability"]
-_EDITED = {"v_edited": """SELECT image_id, field_name, coalesce(e, value) AS value, coalesce(e, value) AS raw_text, CASE WHEN e IS NOT NULL THEN 'CONFIRMED' ELSE status END AS status FROM (SELECT *, CASE
-    WHEN field_name = 'mrp' AND image_id % 4 = 0 THEN '99.00' WHEN field_name = 'net_quantity' AND image_id % 6 = 0 THEN '250 g' WHEN field_name = 'country_of_origin' AND image_id % 9 = 0 THEN value END AS e FROM v_fields)"""}
+EDITED = {
+    "v_edits": """SELECT *, e IS NOT NULL AND e IS DISTINCT FROM value AS changed FROM (SELECT *, CASE WHEN field_name = 'mrp' AND image_id % 4 = 0 THEN '99.00'
+        WHEN field_name = 'net_quantity' AND image_id % 6 = 0 THEN '250 g' WHEN field_name = 'country_of_origin' AND image_id % 9 = 0 THEN value END AS e FROM v_fields)""",
+    "v_edited": """SELECT image_id, field_name, coalesce(e, value) AS value, coalesce(e, value) AS raw_text, CASE WHEN coalesce(e, value, '') <> '' THEN 'CONFIRMED' ELSE 'MISSING' END AS status FROM v_edits"""}
 _scores = lambda df: df.select("image_id", *_NAMES, "score_tenths")
 _evaluated = lambda spark, d: rules.evaluate(rules.wide(fields(spark, d)))
 _longs = lambda df: df.select(*(F.col(c).cast("long").alias(c) if k == "int" else F.col(c) for c, k in df.dtypes))
@@ -52,21 +59,35 @@ QUERIES = {
     "q_extraction_summary": lambda spark, d: ops.summary(fields(spark, d)),
     "q_declaration_rows": lambda spark, d: ops.declaration_rows(fields(spark, d)),
     "q_external_merge": lambda spark, d: ops.external_merge(fields(spark, d), ops.sample_verification(fields(spark, d))),
-    "q_report_rows": lambda spark, d: ops.report_rows(fields(spark, d), _evaluated(spark, d)),
+    "q_report_rows": lambda spark, d: ops.report_rows(ops.external_merge(fields(spark, d), ops.sample_verification(fields(spark, d))), _evaluated(spark, d)),
+    "q_verified_declarations": lambda spark, d: ops.verified_declarations(fields(spark, d), _edits(fields(spark, d))),
+    "q_prompt_lines": lambda spark, d: ops.prompt_lines(labels.ocr_boxes(spark, d), 12),
+    "q_result_json": lambda spark, d: ops.result_documents(fields(spark, d), _evaluated(spark, d)),
 }
 
 ORACLES = {
     "q_rule_violations": _sql("SELECT image_id, template, rule_code, severity, CAST(amount AS BIGINT) AS amount FROM v_found"),
     "q_rule_scores": _sql(f"SELECT image_id, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _NAMES)}, score_tenths FROM v_scored"),
     "q_rule_status": _sql("SELECT image_id, compliance_status, critical_violations, high_violations, violations_count, CAST(estimated_fee AS BIGINT) AS estimated_fee, prosecution_recommended FROM v_scored"),
-    "q_verify_reeval": _sql(f"SELECT image_id, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _NAMES)}, score_tenths FROM v_scored", "v_edited", _EDITED),
+    "q_verify_reeval": _sql(f"SELECT image_id, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _NAMES)}, score_tenths FROM v_scored", "v_edited", EDITED),
     "q_extraction_summary": _sql("""SELECT image_id, count(*) FILTER (status = 'CONFIRMED') AS confirmed, count(*) FILTER (status = 'LOW_CONFIDENCE') AS low_confidence,
-        count(*) FILTER (status = 'MISSING' OR status IS NULL) AS missing, CAST(sum(confidence) AS BIGINT) AS confidence_sum, count(confidence) AS confidence_count FROM v_fields GROUP BY image_id"""),
+        count(*) FILTER (status = 'MISSING' OR status IS NULL) AS missing, CAST(sum(confidence) AS BIGINT) AS confidence_sum, count(confidence) AS confidence_count,
+        CAST(round_even(coalesce(sum(confidence), 0) * 10.0::DOUBLE / count(*), 0) AS BIGINT) AS overall_milli FROM v_fields GROUP BY image_id"""),
     "q_declaration_rows": _sql("""SELECT image_id, field_name, value AS detected_value, coalesce(status, '') <> 'MISSING' AS is_present, CAST(coalesce(confidence, 90) AS BIGINT) AS stored_confidence,
         CASE WHEN coalesce(confidence, 0) > 60 THEN 'PASS' ELSE 'FAIL' END AS readability FROM v_fields"""),
     "q_external_merge": _sql("""SELECT image_id, field_name, CASE WHEN verified THEN coalesce(seen, value) ELSE value END AS value, CASE WHEN verified THEN greatest(coalesce(confidence, 0), 95) ELSE confidence END AS confidence,
         CASE WHEN verified THEN 'CONFIRMED' ELSE status END AS status, CASE WHEN verified THEN 'EnsembleOCR+External' ELSE 'EnsembleOCR' END AS source_model FROM (SELECT *, field_name IN ('mrp', 'net_quantity') AS verified,
         CASE WHEN image_id % 6 = 0 THEN upper(value) END AS seen FROM v_fields)"""),
-    "q_report_rows": _sql("""SELECT f.image_id, string_agg(field_name || '=' || substr(coalesce(value, 'NOT DETECTED'), 1, 45), '; ' ORDER BY field_name) AS lines, any_value(score_tenths) AS score_tenths,
-        format('{:,}', CAST(any_value(estimated_fee) AS BIGINT)) AS fee_text FROM v_fields f JOIN v_scored s ON s.image_id = f.image_id GROUP BY f.image_id"""),
+    "q_report_rows": _sql("""SELECT f.image_id, string_agg(field_name || '=' || substr(coalesce(value, 'NOT DETECTED'), 1, 45)
+        || ' [' || CASE WHEN field_name IN ('mrp', 'net_quantity') THEN 'EnsembleOCR+External' ELSE 'EnsembleOCR' END || '] ' || CASE WHEN field_name IN ('mrp', 'net_quantity')
+        THEN greatest(coalesce(confidence, 0), 95) ELSE coalesce(confidence, 0) END || '.0%', '; ' ORDER BY field_name) AS lines, any_value(score_tenths) AS score_tenths,
+        format('{:,}', CAST(any_value(estimated_fee) AS BIGINT)) AS fee_text FROM (SELECT image_id, field_name, confidence,
+        CASE WHEN field_name IN ('mrp', 'net_quantity') AND image_id % 6 = 0 THEN upper(value) ELSE value END AS value FROM v_fields) f JOIN v_scored s ON s.image_id = f.image_id GROUP BY f.image_id"""),
+    "q_verified_declarations": _sql("""SELECT image_id, field_name, CASE WHEN changed THEN e ELSE value END AS detected_value, changed AS is_officer_edited,
+        CAST(CASE WHEN changed THEN 100 ELSE confidence END AS BIGINT) AS confidence FROM v_edits""", more=EDITED),
+    "q_prompt_lines": labels.with_views("SELECT image_id, string_agg(text, chr(10) ORDER BY idx) AS lines, count(*) AS n_lines FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY idx) AS rn FROM v_boxes) WHERE rn <= 12 GROUP BY 1"),
+    "q_result_json": _sql("""SELECT f.image_id, CAST(to_json({'extracted_fields': f.x, 'audit_summary': {'total_fields': len(f.x), 'confirmed_count': f.c, 'low_confidence_count': f.l, 'missing_count': f.m},
+        'score_tenths': score_tenths, 'compliance_status': compliance_status, 'estimated_fee': CAST(estimated_fee AS BIGINT)}) AS VARCHAR) AS result FROM v_scored s JOIN (SELECT image_id,
+        list({'field_name': field_name, 'value': coalesce(value, ''), 'status': coalesce(status, 'MISSING'), 'confidence': CAST(coalesce(confidence, 0) AS BIGINT)} ORDER BY field_name, value) AS x,
+        count(*) FILTER (status = 'CONFIRMED') AS c, count(*) FILTER (status = 'LOW_CONFIDENCE') AS l, count(*) FILTER (coalesce(status, 'MISSING') = 'MISSING') AS m FROM v_fields GROUP BY 1) f ON f.image_id = s.image_id"""),
 }

@@ -9,6 +9,7 @@ from shelfmark.functions import scalars as S
 from shelfmark.operators import spatial
 from shelfmark.plans.text_queries import BATCH_VALUE_SQL, CLEAN_BATCH_SQL, DATE_SQL, MRP_SQL, QUANTITY_SQL, sql_any
 from shelfmark.sources import labels
+from shelfmark.sources.tables import table
 
 _boxes = labels.ocr_boxes
 _label = lambda kind, t="text": f"regexp_matches({t}, '(?i){P.LABELS[kind]}')"
@@ -29,14 +30,15 @@ def _pairs(label_where: str, value_where: str, extra: str = "") -> str:
     return f"(SELECT l.image_id, {_SIDE('l')}, {_SIDE('v')}{extra} FROM v_seen l JOIN v_seen v ON l.image_id = v.image_id AND l.idx <> v.idx WHERE {label_where} AND {value_where})"
 
 
-def _extract_sql(kind: str, own: tuple[str, str], near: tuple[str, str], cap: float, label_ok: str = "TRUE", fallback: tuple[str, float, str] | None = None, unit: str = "unit") -> str:
+def _extract_sql(kind: str, own: tuple[str, str], near: tuple[str, str], cap: float, label_ok: str = "TRUE", fallback: tuple[str, float, str] | None = None, unit: str = "unit", more: str = "") -> str:
     at = lambda sql: sql.replace("{t}", "text")
     seen = f"SELECT *, CAST({at(own[0])} AS VARCHAR) AS own_value, {at(own[1])} AS own_unit, CAST({at(near[0])} AS VARCHAR) AS near_value, {at(near[1])} AS near_unit, {_label(kind)} AND {label_ok} AS is_label FROM v_boxes"
     every = f"""SELECT image_id, 0 AS o0, idx AS o1, 0 AS o2, 0 AS o3, idx AS o4, own_value AS value, own_unit AS unit, 'SAME_LINE_COMPOSITE' AS relation, CAST(round(least({cap}::DOUBLE, confidence * 1.05::DOUBLE) * 1000) AS BIGINT) AS milli,
-        idx AS l_idx, idx AS v_idx FROM v_seen WHERE is_label AND own_value IS NOT NULL UNION ALL SELECT image_id, 0, l_idx, 1, -milli, v_idx, v_value, v_unit, relation, milli, l_idx, v_idx FROM ({_RANKED.replace('{pairs}', _pairs('l.is_label', 'v.near_value IS NOT NULL', ', v.near_value AS v_value, v.near_unit AS v_unit'))})"""
+        idx AS l_idx, idx AS v_idx, text AS label FROM v_seen WHERE is_label AND own_value IS NOT NULL UNION ALL SELECT image_id, 0, l_idx, 1, -milli, v_idx, v_value, v_unit, relation, milli, l_idx, v_idx, l_text FROM ({_RANKED.replace('{pairs}', _pairs('l.is_label', 'v.near_value IS NOT NULL', ', v.near_value AS v_value, v.near_unit AS v_unit'))})"""
     if fallback:
-        every += f" UNION ALL SELECT image_id, 1, idx, 0, 0, idx, near_value, near_unit, '{fallback[2]}', CAST(round(confidence * {fallback[1]}::DOUBLE * 1000) AS BIGINT), NULL, idx FROM v_seen WHERE near_value IS NOT NULL AND {fallback[0]}"
-    return labels.with_views(f"""SELECT image_id, value, {unit} AS unit, relation, milli, CAST(l_idx AS BIGINT) AS l_idx, CAST(v_idx AS BIGINT) AS v_idx FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY o0, o1, o2, o3, o4) AS rn
+        every += f" UNION ALL SELECT image_id, 1, idx, 0, 0, idx, near_value, near_unit, '{fallback[2]}', CAST(round(confidence * {fallback[1]}::DOUBLE * 1000) AS BIGINT), NULL, idx, NULL FROM v_seen WHERE near_value IS NOT NULL AND {fallback[0]}"
+    return labels.with_views(f"""SELECT image_id, value, {unit} AS unit, relation, milli, CAST(l_idx AS BIGINT) AS l_idx, CAST(v_idx AS BIGINT) AS v_idx, label,
+        CASE WHEN milli >= 400 THEN 'CONFIRMED' ELSE 'LOW_CONFIDENCE' END AS status{more} FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY o0, o1, o2, o3, o4) AS rn
         FROM ({every})) WHERE rn = 1""", {"v_seen": seen})
 
 
@@ -55,6 +57,18 @@ def _all_relations(spark, d):
 
 _ids = lambda df: df.select(*(F.col(c).cast("long").alias(c) if k == "int" else F.col(c) for c, k in df.dtypes))
 
+def _codes(spark, d):
+    """Decoded codes of two thirds of the images, two each."""
+    k, code = F.col("p_partkey"), lambda seq, kind, lead: F.struct(F.lit(seq).alias("seq"), kind.alias("type"), F.concat(F.lit(lead), F.col("p_partkey").cast("string")).alias("data"))
+    both = F.array(code(2, F.lit("QR"), "x"), code(1, F.when(k % 2 == 0, "EAN13").otherwise("QR"), "890"))
+    return table(spark, d, "part").where(k % 3 != 0).select(k.alias("image_id"), F.explode(both).alias("c")).select("image_id", "c.*")
+
+
+def _foreign(spark, d):
+    k = (F.col("image_id") + F.col("idx")) % 5
+    return _boxes(spark, d).withColumn("text", F.when(k == 0, "देश भारत").when(k == 1, "मूल्य").when(k == 2, "Crème brûlée").otherwise(F.col("text")))
+
+
 QUERIES = {
     "q_spatial_relation": _all_relations,
     "q_candidate_rank": lambda spark, d: _ids(spatial.ranked(*_quantity_pairs(spark, d))),
@@ -62,6 +76,9 @@ QUERIES = {
         ("quantity", spatial.quantity), ("mrp", spatial.mrp), ("batch", spatial.batch), ("mfg_date", spatial.mfg_date), ("expiry", spatial.expiry), ("manufacturer", spatial.manufacturer),
         ("product", spatial.product), ("care", spatial.care), ("origin", spatial.origin), ("other", spatial.other))},
     "q_reading_order": lambda spark, d: spatial.reading_order(_boxes(spark, d)),
+    "q_layout_order": lambda spark, d: spatial.reading_order(_boxes(spark, d), 30),
+    "q_barcode_field": lambda spark, d: spatial.barcode(_boxes(spark, d), _codes(spark, d)),
+    "q_translated_boxes": lambda spark, d: spatial.translated(_foreign(spark, d), spark.createDataFrame([("देश भारत", "Country India")], "text string, translation string")),
     "q_transcript": lambda spark, d: spatial.transcript(_boxes(spark, d)),
 }
 
@@ -73,7 +90,8 @@ ORACLES = {
     "q_extract_quantity": _extract_sql("quantity", QUANTITY_SQL, QUANTITY_SQL, 0.98, fallback=("NOT " + sql_any(P.QUANTITY_REJECTS), 0.85, "STANDALONE_QUANTITY_MATCH")),
     "q_extract_mrp": _extract_sql("mrp", MRP_SQL, MRP_SQL, 0.99, fallback=(f"regexp_matches(text, '{P.any_of(['₹', 'Rs.', 'RS', 'INR'])}')", 0.88, "STANDALONE_CURRENCY_PRICE")),
     "q_extract_batch": _extract_sql("batch", (CLEAN_BATCH_SQL, _DATE_CODE), (BATCH_VALUE_SQL, _DATE_CODE), 0.96),
-    "q_extract_mfg_date": _extract_sql("mfg_date", DATE_SQL, DATE_SQL, 0.98, "NOT " + sql_any(["EXP", "BEST BEFORE", "USE BY"])),
+    "q_extract_mfg_date": _extract_sql("mfg_date", DATE_SQL, DATE_SQL, 0.98, "NOT " + sql_any(["EXP", "BEST BEFORE", "USE BY"]),
+                                        more=", CASE WHEN regexp_matches(upper(label), 'PKD|PACKED|PACKING') THEN 'packing_date' ELSE 'manufacturing_date' END AS date_type"),
     "q_extract_expiry": _extract_sql("expiry", DATE_SQL, DATE_SQL, 0.96, unit="CASE unit WHEN 'relative_duration' THEN unit ELSE 'exact_date' END"),
     "q_extract_manufacturer": labels.with_views(f"""SELECT l.image_id, coalesce(l.name, 'Manufactured on Package') AS name, coalesce(a.address, l.name, 'Manufactured on Package') AS address,
         CASE WHEN a.address IS NOT NULL THEN 'CONFIRMED' ELSE 'LOW_CONFIDENCE' END AS address_status FROM (SELECT *, {_left_sql('manufacturer')} AS name FROM {_first_sql(_label('manufacturer'), 'idx')}) l LEFT JOIN (
@@ -88,5 +106,11 @@ ORACLES = {
     "q_extract_other": labels.with_views("SELECT image_id, string_agg(d, '; ' ORDER BY idx) AS declarations FROM (SELECT *, CASE " + " ".join(f"WHEN {sql_any(words)} THEN '{name}: ' || text" for name, words in P.OTHER)
                                          + " END AS d FROM v_boxes) WHERE d IS NOT NULL GROUP BY image_id"),
     "q_reading_order": labels.with_views("SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY floor(y1 / 25), x1, idx) - 1 AS place, CAST(idx AS BIGINT) AS idx, text FROM v_boxes"),
+    "q_layout_order": labels.with_views("SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY floor(y1 / 30), x1, idx) - 1 AS place, CAST(idx AS BIGINT) AS idx, text FROM v_boxes"),
+    "q_barcode_field": """SELECT p_partkey AS image_id, CASE WHEN p_partkey % 3 <> 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'EAN13' ELSE 'QR' END || ': 890' || p_partkey END AS value,
+        CASE WHEN p_partkey % 3 <> 0 THEN '890' || p_partkey END AS raw_text, CAST(CASE WHEN p_partkey % 3 <> 0 THEN 990 ELSE 0 END AS BIGINT) AS milli,
+        CASE WHEN p_partkey % 3 <> 0 THEN 'SCANNED_OPTICAL_CODE' ELSE 'NONE' END AS relation, CASE WHEN p_partkey % 3 <> 0 THEN 'CONFIRMED' ELSE 'MISSING' END AS status FROM part""",
+    "q_translated_boxes": labels.with_views("""SELECT image_id, CAST(idx AS BIGINT) AS idx, text, text IN ('देश भारत', 'मूल्य') AS is_multilingual, CASE text WHEN 'देश भारत' THEN 'Country India' ELSE text END AS translated_text
+        FROM (SELECT image_id, idx, CASE (image_id + idx) % 5 WHEN 0 THEN 'देश भारत' WHEN 1 THEN 'मूल्य' WHEN 2 THEN 'Crème brûlée' ELSE text END AS text FROM v_boxes)"""),
     "q_transcript": labels.with_views("SELECT image_id, string_agg(text, chr(10) ORDER BY floor(y1 / 25), x1, idx) AS transcript FROM v_boxes GROUP BY image_id"),
 }

@@ -19,8 +19,8 @@ def sql_any(words: list[str], text: str = "text") -> str:
     return f"regexp_matches(upper({text}), '{P.any_of(words)}')"
 
 
-UNIT_SQL = "CASE " + " ".join("WHEN {u} IN (" + ", ".join(f"'{w}'" for w in words.split()) + f") THEN '{name}'" for name, words in P.UNITS.items()) + " ELSE {u} END"
-_QUANTITY = r"(?i)\b(\d+(\.\d+)?)\s*(" + P.UNIT_WORDS + r")\b"
+UNIT_SQL = "CASE " + " ".join("WHEN {u} IN (" + ", ".join(f"'{w}'" for w in words) + f") THEN '{name}'" for name, words in P.UNITS.items()) + " ELSE {u} END"
+_QUANTITY = r"(?i)\b(\d+(\.\d+)?)\s*(" + "|".join(P.UNIT_WORDS) + r")\b"
 CURRENCY_SQL = "CASE " + " ".join(f"WHEN {sql_any(signs, '{t}')} THEN '{name}'" for name, signs in P.CURRENCIES) + " ELSE 'INR' END"
 #: Value and unit of a text as SQL, {t} for the text. The quantity's pattern goes without look-around, which no text here needs.
 _q = lambda g: "regexp_extract({t}, '" + _QUANTITY + f"', {g})"
@@ -67,11 +67,22 @@ _digest_sql = lambda more="": views.with_views(f"""SELECT i.inspection_id, 'INSP
 
 
 def _evidence(spark, d):
-    key, digest = F.col("doc_id"), F.sha2("text", 256)
+    key, digest = F.col("doc_id"), S.verify_evidence(T(), F.lit(""))["computed_hash"]
     claimed = F.when(key % 4 == 0, "").when(key % 4 == 1, F.upper(digest)).when(key % 4 == 2, digest).otherwise(F.sha2(F.concat(T(), F.lit("x")), 256))
     return table(spark, d, "documents").withColumn("v", S.verify_evidence(T(), claimed)).select("doc_id", "v.*")
 
 
+def _replies(spark, d):
+    """A model's replies made from the events' JSON: fenced as JSON, fenced, bare, or cut off."""
+    k = F.col("event_id")
+    fenced = lambda mark: F.concat(F.lit("Here it is: " + mark + "\n"), F.col("props"), F.lit("\n``` done"))
+    reply = F.when(k % 4 == 0, fenced("```json")).when(k % 4 == 1, fenced("```")).when(k % 4 == 2, F.concat(F.lit(" "), F.col("props"), F.lit(" "))).otherwise(F.expr("left(props, length(props) - 1)"))
+    return table(spark, d, "events").select(k.alias("reply_id"), reply.alias("reply"))
+
+
+_REPLIES_SQL = """SELECT event_id AS reply_id, CASE event_id % 4 WHEN 0 THEN 'Here it is: ```json' || chr(10) || props || chr(10) || '``` done' WHEN 1 THEN 'Here it is: ```' || chr(10) || props || chr(10) || '``` done'
+    WHEN 2 THEN ' ' || props || ' ' ELSE left(props, length(props) - 1) END AS reply FROM events"""
+
 QUERIES = {
     "q_normalize_unit": lambda spark, d: _of(spark, d, "quantity").select("image_id", F.split("value", " ").getItem(F.size(F.split("value", " ")) - 1).alias("raw")).withColumn("unit", S.normalize_unit(F.col("raw"))),
     "q_normalize_currency": lambda spark, d: _lines(spark, d).select("image_id", "line", S.normalize_currency(T()).alias("currency")),
@@ -87,6 +98,7 @@ QUERIES = {
     "q_record_digest": lambda spark, d: _digests(spark, d, False),
     "q_report_digest": lambda spark, d: _digests(spark, d, True),
     "q_evidence_verify": _evidence,
+    "q_fenced_json": lambda spark, d: _replies(spark, d).select("reply_id", S.unfenced(F.col("reply")).alias("body")).withColumn("is_json", S.is_json(F.col("body"))),
 }
 
 ORACLES = {
@@ -104,5 +116,9 @@ ORACLES = {
                                                + f" END AS forbidden_unit, regexp_matches(lower(text), '{P.TAX_PHRASE}') AS has_tax_phrase FROM v_lines"),
     "q_record_digest": _digest_sql(),
     "q_report_digest": _digest_sql(" || '|' || CAST(fee AS VARCHAR)"),
-    "q_evidence_verify": """SELECT doc_id, sha256(text) AS computed_hash, CASE doc_id % 4 WHEN 0 THEN TRUE WHEN 1 THEN TRUE WHEN 2 THEN TRUE ELSE FALSE END AS is_tamper_free FROM documents""",
+    "q_evidence_verify": """SELECT doc_id, CASE WHEN regexp_matches(text, '[^\\x{00}-\\x{FF}]') THEN sha256(text)
+        ELSE sha256(unhex(array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c = '' THEN '' ELSE printf('%02X', unicode(c)) END), ''))) END AS computed_hash,
+        CASE doc_id % 4 WHEN 0 THEN TRUE WHEN 1 THEN TRUE WHEN 2 THEN TRUE ELSE FALSE END AS is_tamper_free FROM documents""",
+    "q_fenced_json": "SELECT *, json_valid(body) AS is_json FROM (SELECT reply_id, regexp_replace(CASE WHEN contains(reply, '```json') THEN string_split(string_split(reply, '```json')[2], '```')[1] "
+                     "WHEN contains(reply, '```') THEN string_split(reply, '```')[2] ELSE reply END, '^\\s+|\\s+$', '', 'g') AS body FROM (" + _REPLIES_SQL + "))",
 }

@@ -41,7 +41,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One inspection per order. ``store_id`` falls on 1..n_stores, so the last store id wraps to store 0 (no such
     store): the left join's unmatched path is run as well as the NULL path."""
-    n_stores = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n_stores"))
+    n_stores = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n_stores")).join(F.broadcast(table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n_images"))))
     key, status = F.col("o_orderkey"), F.col("o_orderstatus")
     priority = F.substring("o_orderpriority", 1, 1)
     return table(spark, sf_dir, "orders").join(F.broadcast(n_stores)).select(
@@ -57,6 +57,12 @@ def inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").cast("decimal(18,2)").alias("fee"),
         F.when(key % 5 == 0, "").when(key % 5 == 1, F.concat(F.lit("ev/"), key.cast("string"), F.lit(".jpg"))).alias("evidence_image_path"),
         F.concat(F.lit("img/"), key.cast("string"), F.lit(".jpg")).alias("image_path"),
+        F.concat(F.lit("INSP-2026-"), F.lpad(key.cast("string"), 8, "0")).alias("inspection_number"),
+        F.when(key % 4 == 0, "Food").when(key % 4 == 1, "Cosmetics").otherwise("Packaged Commodity").alias("category"),
+        (key % 1001).alias("score_tenths"),
+        (key % 3 == 1).alias("officer_verified"),
+        F.when(key % 10 == 0, "PENDING").otherwise("SYNCED").alias("sync_status"),
+        (key % F.col("n_images") + 1).alias("image_id"),
     )
 
 
@@ -88,7 +94,10 @@ VIEW_SQL = {
         WHEN '4' THEN 'REFERRED_FOR_PROSECUTION' ELSE 'APPROVED' END AS supervisor_status,
         o_orderdate AS created_at, CAST(o_totalprice AS DECIMAL(18,2)) AS fee,
         CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 5 = 1 THEN 'ev/' || o_orderkey || '.jpg' END AS evidence_image_path,
-        'img/' || o_orderkey || '.jpg' AS image_path FROM orders""",
+        'img/' || o_orderkey || '.jpg' AS image_path, 'INSP-2026-' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS inspection_number,
+        CASE o_orderkey % 4 WHEN 0 THEN 'Food' WHEN 1 THEN 'Cosmetics' ELSE 'Packaged Commodity' END AS category, o_orderkey % 1001 AS score_tenths,
+        o_orderkey % 3 = 1 AS officer_verified, CASE WHEN o_orderkey % 10 = 0 THEN 'PENDING' ELSE 'SYNCED' END AS sync_status,
+        o_orderkey % (SELECT count(*) FROM part) + 1 AS image_id FROM orders""",
     "v_violations": """SELECT l_orderkey AS inspection_id, 'LM-PC-00' || l_linenumber AS rule_code, 'CAT-' || l_linestatus AS category,
         CASE l_returnflag WHEN 'R' THEN 'CRITICAL' WHEN 'A' THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
         CAST(CASE WHEN l_discount = 0 THEN 0 ELSE l_extendedprice END AS DECIMAL(18,2)) AS amount FROM lineitem""",

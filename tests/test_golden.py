@@ -1,5 +1,6 @@
 """Vectors worked out by hand for scalars, geometry and rules, and the whole score space."""
 
+import hashlib
 import itertools
 
 import pytest
@@ -161,3 +162,45 @@ def test_sync_stream(spark, tmp_path):
     sync.write_sync(sync.sync_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     got = sorted((r["offline_id"], r["status"], r["error"]) for r in spark.read.parquet(str(tmp_path / "out" / "batch=0")).collect())
     assert got == [(1, "SYNCED", None), (2, "FAILED", "INVALID_JSON"), (3, "FAILED", "NO_STORE"), (4, "FAILED", "BAD_PRICE"), (5, "FAILED", "INVALID_JSON")]
+
+
+def test_labels_by_hand(spark):
+    """Label texts and what they are labels of, written down without the patterns."""
+    cases = {
+        "NET QTY: 500 g": {"quantity"}, "Contents": {"quantity"}, "stick count": {"quantity"}, "INTERNET": set(), "M.R.P. 20": {"mrp"}, "Incl of all taxes": {"mrp"},
+        "BATCH NO. 7": {"batch"}, "B. No": {"batch"}, "LOT": {"batch"}, "ballot": set(), "MFG DATE": {"mfg_date"}, "Packed": {"mfg_date"}, "MFG/PKG DATE": {"mfg_date"}, "month & year of packing": {"mfg_date"},
+        "EXP. DT.": {"expiry"}, "Best  Before End": {"expiry"}, "expert": set(), "MFD BY: X": {"manufacturer", "mfg_date"}, "Imported by": {"manufacturer"}, "Mfg in India by": {"manufacturer", "mfg_date"},
+        "Customer service": {"care"}, "HELPLINE": {"care"}, "Made in": {"origin"}, "Country of Origin": {"origin"}, "Manufactured in": {"origin", "mfg_date"}, "nothing": set()}
+    df = spark.createDataFrame([(t,) for t in cases], "text string").select("text", *(S.found(F.col("text"), p).alias(k) for k, p in S.P.LABELS.items()))
+    assert {r["text"]: {k for k in S.P.LABELS if r[k]} for r in df.collect()} == cases
+
+
+def test_json_and_evidence_by_hand(spark):
+    texts = ['{"a": 1}', "not json", "[1", "[1]", "", None]
+    assert over(spark, texts, S.is_json) == [True, False, False, True, False, None]
+    assert over(spark, ['say ```json\n{"a": 1}\n``` end', "```\n[1]\n```", "  x ", "```json {}", None], S.unfenced) == ['\n{"a": 1}\n'.strip(), "[1]", "x", "{}", None]
+    latin, beyond = "prix: café", "₹ 5 café"
+    assert [r[0] for r in over(spark, [latin, beyond], lambda t: S.verify_evidence(t, F.lit("")))] == [
+        hashlib.sha256(latin.encode("latin1")).hexdigest(), hashlib.sha256(beyond.encode()).hexdigest()]
+
+
+def test_fused_rows_and_means_by_hand(spark):
+    rows = [("a", "x", 0, "MRP 20", 10, 100, 90, 120, .9), ("a", "y", 0, "MRP 2O", 12, 101, 91, 121, .6), ("a", "x", 1, "Net 5 g", 10, 10, 90, 30, .5), ("a", "y", 1, "", 300, 400, 310, 410, .5)]
+    boxes = spark.createDataFrame(rows, "image_id string, engine string, idx int, text string, x1 long, y1 long, x2 long, y2 long, confidence double")
+    got = [(r["text"], r["confidence"], r["source_model"], r["engines"], r["place"]) for r in fusion.fused(fusion.clusters(boxes)).orderBy("place").collect()]
+    assert got == [("Net 5 g", .5, "x", "x", 0), ("MRP 20", .9, "x", "x,y", 1)]
+    stats = {(r["engine"], r["boxes"], r["mean_milli"]) for r in fusion.engine_stats(boxes, ["x", "y", "z"]).collect()}
+    assert stats == {("x", 2, 700), ("y", 2, 550), ("z", 0, 0)}
+    assert fusion.with_layout(boxes, "x").where("engine = 'layout'").count() == 2
+    for a, b in itertools.product(["mrp 20", "mrp 2o", "", "net", "20 mrp"], repeat=2):
+        assert fusion.alike(a, b, 0.4) == (fusion.similarity(a, b) > 0.4)
+
+
+def test_review_marks_changes_alone(spark):
+    from shelfmark.operators import fields as ops
+
+    f = spark.createDataFrame([(1, "mrp", "5", "MISSING", 30), (1, "batch", "b", None, 40), (1, "care", None, None, None)], "image_id int, field_name string, value string, status string, confidence int")
+    e = spark.createDataFrame([(1, "mrp", "6"), (1, "batch", "b"), (1, "care", "x")], "image_id int, field_name string, edit string")
+    got = {r["field_name"]: tuple(r)[2:] for r in ops.verified_declarations(f, e).collect()}
+    assert got == {"mrp": ("6", True, 100), "batch": ("b", False, 40), "care": ("x", True, 100)}
+    assert {r["field_name"]: r["status"] for r in ops.reevaluated(f, e.limit(0)).collect()} == {"mrp": "CONFIRMED", "batch": "CONFIRMED", "care": "MISSING"}
