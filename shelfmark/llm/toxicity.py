@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -25,8 +26,9 @@ DIMENSIONS = 12
 ORDERS = (3, 4, 5)  # lengths of the n-grams, with a mark before and after the word
 WINDOW = 6  # words of a passage
 MAX_TRAINING_ROWS = 8000  # labelled rows drawn for the bounded training sample, half of each class
-MAX_TRAINING_BYTES = 128 << 20  # of all texts drawn together: what the driver holds
+MAX_TRAINING_BYTES = 32 << 20  # of all texts drawn together: what the driver holds
 ALL_STEPS, WORST_STEPS, BATCH = 150, 550, 64  # steps on all passages, then on the worst ones; texts of a step
+WORDS_AT_ONCE = 50_000  # words whose subwords are found in one go
 KEPT_WORDS = 150_000  # words whose value a worker keeps
 WORD = re.compile(r"[^\W_]+")
 
@@ -64,6 +66,13 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found)[order] & np.uint32(BUCKETS - 1)).astype(np.int64), np.searchsorted(owners[order], np.arange(len(words) + 1))
 
 
+def many_subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``subwords``, some words at a time and in two bytes each, as the words of a training sample take a lot of room."""
+    parts = [subwords(words[lo : lo + WORDS_AT_ONCE]) for lo in range(0, len(words), WORDS_AT_ONCE)]
+    parts = [(subs.astype(np.uint16), np.diff(begins)) for subs, begins in parts]
+    return np.concatenate([subs for subs, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in parts]))])
+
+
 @dataclass
 class Model:
     embed: np.ndarray
@@ -107,15 +116,16 @@ def passages(values: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nda
     return best, where
 
 
-def fit(texts: list[str], labels: np.ndarray, seed: int = 3) -> Model:
+def fit(texts: Iterable[str], labels: np.ndarray, seed: int = 3) -> Model:
     rng = np.random.default_rng(seed)
     model = Model(rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32), rng.normal(0, 0.1, DIMENSIONS).astype(np.float32), 0.0)
     number: dict[str, int] = {}
-    docs = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int64) for t in texts]
+    docs = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int32) for t in texts]
     labels, docs = labels[[len(d) > 0 for d in docs]], [d for d in docs if len(d)]
     if not docs or labels.min() == labels.max():
         return Model(model.embed * 0, model.weight * 0, 3.0 if len(labels) and labels.min() else -3.0)
-    subs, sub_begins = subwords(list(number))
+    subs, sub_begins = many_subwords(list(number))
+    number.clear()
     adam, adam_w, adam_b = _Adam(model.embed.shape), _Adam(DIMENSIONS), _Adam(())
     order = np.zeros(0, np.int64)
     for step in range(ALL_STEPS + WORST_STEPS):
@@ -130,7 +140,9 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 3) -> Model:
         at = np.arange(n_sub.sum()) + np.repeat(sub_begins[words] - np.cumsum(n_sub) + n_sub, n_sub)
         used, sub = np.unique(subs[at], return_inverse=True)
         share = np.repeat(1 / n_sub, n_sub).astype(np.float32)
-        vectors = np.add.reduceat(model.embed[used][sub] * share[:, None], np.cumsum(n_sub) - n_sub, axis=0)
+        edges = np.cumsum(n_sub) - n_sub
+        # one dimension at a time: a step's longest texts would take a lot of room otherwise
+        vectors = np.stack([np.add.reduceat(model.embed[used, d][sub] * share, edges) for d in range(DIMENSIONS)], axis=1)
         if step < ALL_STEPS:  # passages of all places
             start = np.concatenate([np.arange(a, max(a + 1, b - WINDOW + 1), WINDOW) for a, b in zip(begins[:-1], begins[1:], strict=True)])
         else:  # each text's worst one, and one more of each clean text
@@ -169,8 +181,8 @@ class Scorer:
         n = len(self.number)
         while n + len(new) > len(self.of):
             self.of = np.resize(self.of, 2 * len(self.of))
-        for lo in range(0, len(new), 50_000):
-            some = new[lo : lo + 50_000]
+        for lo in range(0, len(new), WORDS_AT_ONCE):
+            some = new[lo : lo + WORDS_AT_ONCE]
             subs, begins = subwords(some)
             self.of[n + lo : n + lo + len(some)] = np.add.reduceat(self.values[subs], begins[:-1], dtype=np.float64) / np.diff(begins)
         self.number.update(zip(new, range(n, n + len(new)), strict=True))
@@ -217,7 +229,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from a bounded sample of ``labels`` (doc_id, toxic 0 or 1); see ``training_sample``."""
     found = training_sample(docs, labels).toArrow().sort_by("doc_id")
-    return fit(found["text"].to_pylist(), found["toxic"].to_numpy().astype(np.int64))
+    return fit((text.as_py() for text in found["text"]), found["toxic"].to_numpy().astype(np.int64))
 
 
 def score_texts(docs: DataFrame, model: Model, score_col: str = "score") -> DataFrame:
