@@ -43,9 +43,9 @@ def _full(w: np.ndarray, begins: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 
 def _words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes, where each text's begin) of runs of texts. Words are runs of letters and digits, in lower case."""
-    lower = pa.array([t.lower() if t else "" for t in column.to_pylist()], pa.large_string())
-    for first, _, data, offsets in words.chunks(lower):
-        yield first, *words.word_hashes(data, offsets, words.LETTERS_DIGITS)
+    for first, last, _, _ in words.chunks(column):
+        lower = pa.array([t.lower() if t else "" for t in column.slice(first, last - first).to_pylist()], pa.large_string())
+        yield first, *words.word_hashes(*words.utf8(lower), words.LETTERS_DIGITS)
 
 
 def _shingles(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:

@@ -31,7 +31,7 @@ from shelfmark.llm.storage import drop, free, written
 
 BLOCK_ROWS = 256  # rows of one block of a large group
 BROADCAST_ROWS = 1_000_000  # up to so many picked rows (24 bytes each) are broadcast to pick their texts; more are joined by a shuffle
-BLOCK_BYTES = 16 << 20  # of n-grams of one block, on average
+BLOCK_BYTES = 4 << 20  # of n-grams of one block, on average
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -102,9 +102,9 @@ def _block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, la
     left, right = (x[np.argsort(sizes[x], kind="stable")] for x in (left, right))
     # the columns of the incidence matrix: for each n-gram, the places in ``right`` of the rows that have it
     values, column = np.unique(np.concatenate([sets[i] for i in right]), return_inverse=True)
-    place = np.repeat(np.arange(len(right)), sizes[right])
-    order = np.argsort(column, kind="stable")
-    rows, begins = place[order], np.searchsorted(column[order], np.arange(len(values) + 1))
+    place = np.repeat(np.arange(len(right), dtype=np.int32), sizes[right])
+    rows, begins = place[np.argsort(column, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(column, minlength=len(values)))])
+    del place, column
     now = np.unique(label, return_inverse=True)[1]  # the part that each row is in
     found = []
     for i in left:

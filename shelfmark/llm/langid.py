@@ -13,7 +13,7 @@ without sense and mostly for languages that were not learned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +30,7 @@ CHUNK_CHARS = 1 << 19
 SMOOTHING = 0.5
 
 
-def _chunks(texts: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _chunks(texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, code points with a space after each text, begins) of runs of whole lower-cased texts.
 
     A text of more than CHUNK_CHARS is a run of its own.
@@ -95,7 +95,7 @@ def train(rows: DataFrame, per_lang: dict[str, int]) -> Model:
         counts = np.zeros(len(languages) * 2 * BUCKETS, np.int64)  # of all n-grams of each language, then of its characters
         for batch in batches:
             lang = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
-            for first, chars, begins in _chunks(batch.column("text").to_pylist()):
+            for first, chars, begins in _chunks(text.as_py() for text in batch.column("text")):
                 for order, (b, at) in zip(ORDERS, _grams(chars, begins)):  # noqa: B905  the longest orders may be missing
                     found = np.bincount(b + np.repeat(lang[first : first + len(at) - 1] * 2 * BUCKETS, np.diff(at)), minlength=len(counts))
                     counts += found
@@ -122,10 +122,10 @@ def train(rows: DataFrame, per_lang: dict[str, int]) -> Model:
     return Model(languages, np.log(docs / sum(per_lang.values())), logs.T.astype(np.float32).copy(), apart, ordered)
 
 
-def log_scores(model: Model, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def log_scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log of prior times likelihood for each language, one row a text; the same for its characters drawn one by one; lengths in characters."""
     out, noise, sizes = np.empty((len(texts), len(model.languages))), np.empty((len(texts), len(model.languages))), np.empty(len(texts), np.int64)
-    for first, chars, begins in _chunks(texts):
+    for first, chars, begins in _chunks(text.as_py() for text in texts):
         sums, n = np.zeros((len(ORDERS), len(begins) - 1, len(model.languages))), np.zeros((len(ORDERS), len(begins) - 1, 1))
         for k, (b, at) in enumerate(_grams(chars, begins)):
             some = np.diff(at) > 0
@@ -146,7 +146,7 @@ def log_scores(model: Model, texts: list) -> tuple[np.ndarray, np.ndarray, np.nd
 _FOUND = ("best", "log_best", "log_next", "log_all", "log_noise", "apart", "ordered", "size")  # what a text carries from block to block
 
 
-def _merged(model: Model, texts: list, before: list[pa.Array] | None) -> list[pa.Array]:
+def _merged(model: Model, texts: pa.Array, before: list[pa.Array] | None) -> list[pa.Array]:
     """The columns of _FOUND after this block of languages."""
     logs, noise, sizes = log_scores(model, texts)
     rows, k = np.arange(len(texts)), logs.argmax(axis=1)
@@ -192,7 +192,7 @@ def predict(docs: DataFrame, is_training: Column, pred_col: str = "lang_pred", s
         def run(batches, shared=shared, first=lo == 0):
             for batch in batches:
                 before = None if first else [batch.column(c) for c in held]
-                found = _merged(shared.value, batch.column("text").to_pylist(), before)
+                found = _merged(shared.value, batch.column("text"), before)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *found], [*columns, *held])
 
         docs = docs.mapInArrow(run, docs.select(columns).withColumns(zero).schema)

@@ -29,6 +29,7 @@ MAX_TRAINING_ROWS = 8000  # labelled rows drawn for the bounded training sample,
 MAX_TRAINING_BYTES = 32 << 20  # of all texts drawn together: what the driver holds
 ALL_STEPS, WORST_STEPS, BATCH = 150, 550, 64  # steps on all passages, then on the worst ones; texts of a step
 WORDS_AT_ONCE = 50_000  # words whose subwords are found in one go
+HELD_WORDS = 100_000  # words of texts that are scored in one go
 KEPT_WORDS = 150_000  # words whose value a worker keeps
 WORD = re.compile(r"[^\W_]+")
 
@@ -187,21 +188,25 @@ class Scorer:
             self.of[n + lo : n + lo + len(some)] = np.add.reduceat(self.values[subs], begins[:-1], dtype=np.float64) / np.diff(begins)
         self.number.update(zip(new, range(n, n + len(new)), strict=True))
 
-    def scores(self, texts: list) -> np.ndarray:
+    def _best(self, held: list[str], sizes: list[int]) -> np.ndarray:
+        if len(self.number) > KEPT_WORDS:
+            self._clear()
+        self._learn([w for w in set(held) if w not in self.number])
+        v = self.of[np.fromiter(map(self.number.__getitem__, held), np.int64, len(held))]
+        return passages(v, np.concatenate([[0], np.cumsum(sizes)]))[0]
+
+    def scores(self, texts: Iterable[str | None]) -> np.ndarray:
         out = []
-        held, sizes, size = [], [], 0
-        for i, text in enumerate(texts):
+        held, sizes = [], []
+        for text in texts:
             found = words_of(text)
             held += found
             sizes.append(len(found))
-            size += len(found)
-            if size > 300_000 or i == len(texts) - 1:
-                if len(self.number) > KEPT_WORDS:
-                    self._clear()
-                self._learn([w for w in set(held) if w not in self.number])
-                v = self.of[np.fromiter(map(self.number.__getitem__, held), np.int64, len(held))]
-                out.append(passages(v, np.concatenate([[0], np.cumsum(sizes)]))[0])
-                held, sizes, size = [], [], 0
+            if len(held) > HELD_WORDS:
+                out.append(self._best(held, sizes))
+                held, sizes = [], []
+        if sizes:
+            out.append(self._best(held, sizes))
         logit = np.concatenate(out) + self.bias if out else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
@@ -242,7 +247,7 @@ def score_texts(docs: DataFrame, model: Model, score_col: str = "score") -> Data
             _scorers.clear()
             _scorers[name] = Scorer(shared.value)
         for batch in batches:
-            s = _scorers[name].scores(batch.column("text").to_pylist())
+            s = _scorers[name].scores(text.as_py() for text in batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], [*batch.schema.names, score_col])
 
     return docs.mapInArrow(run, docs.withColumn(score_col, F.lit(0.0)).schema)

@@ -11,7 +11,7 @@ def test_language_of_long_texts(monkeypatch):
     rng = np.random.default_rng(1)
     weights = np.log(rng.dirichlet(np.ones(langid.BUCKETS), 3)).T.astype(np.float32).copy()
     model = langid.Model(["a", "b", "c"], np.log(np.full(3, 1 / 3)), weights, np.ones(3), np.ones(3))
-    texts = ["ab", "", "some words of a text " * 4, None, "é", "more of it"]
+    texts = pa.array(["ab", "", "some words of a text " * 4, None, "é", "more of it"])
     whole = langid.log_scores(model, texts)
     monkeypatch.setattr(langid, "CHUNK_CHARS", 8)
     assert all(np.allclose(x, y) for x, y in zip(langid.log_scores(model, texts), whole, strict=True))
