@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm import words
-from shelfmark.llm.storage import free, written
+from shelfmark.llm.storage import free, in_batches, written
 
 SHINGLE = 5  # words
 PERCENT = 80  # similarity at least
@@ -294,7 +294,7 @@ def _leaks(rows: DataFrame, key: str, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array([r[0] for r in out], pa.int64())), *(pa.array([r[j] for r in out], kind) for j, kind in enumerate(_KINDS.values(), 1))],
                                                  [key, *_KINDS])
 
-        found = rows.mapInArrow(run, f"{key} long, item_id long, similarity double, first_word int, n_words int")
+        found = in_batches(rows).mapInArrow(run, f"{key} long, item_id long, similarity double, first_word int, n_words int")
         if len(turns.cuts) == 1:
             return found
         found = written(found, "leaks")
@@ -332,4 +332,4 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             keep[[i for i, _ in _documents_that_leak(shared.value, batch.column("text"))]] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm import words
-from shelfmark.llm.storage import written
+from shelfmark.llm.storage import in_batches, written
 
 STATES = 8
 FREQUENT_WORDS = 6144  # words with a symbol of their own
@@ -62,7 +62,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return texts.select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return in_batches(texts.select("text")).mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -150,7 +150,7 @@ def encode(docs: DataFrame, vocabulary, key_cols: list[str]) -> DataFrame:
 
     kept = docs.select(*key_cols, "text")
     schema = kept.drop("text").schema.simpleString()[7:-1].replace(":", " ")
-    return kept.mapInArrow(run, schema + ", n_tokens long, known long, log_counts double, log_own double, symbols binary, rest array<long>")
+    return in_batches(kept).mapInArrow(run, schema + ", n_tokens long, known long, log_counts double, log_own double, symbols binary, rest array<long>")
 
 
 @dataclass
@@ -258,7 +258,7 @@ def train(encoded: DataFrame, n_symbols: int) -> tuple[Model, list[float]]:
                 cells = np.flatnonzero(flat)
                 yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(flat[cells])], ["cell", "n"])
 
-        sums = encoded.select("symbols").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        sums = in_batches(encoded.select("symbols")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
         flat = np.zeros(STATES + STATES * STATES + n_symbols * STATES + 1)
         flat[sums["cell"].to_numpy()] = sums["n"].to_numpy() / UNIT
         likelihoods.append(float(flat[-1]))
@@ -299,7 +299,7 @@ def _scored(encoded: DataFrame, model, vocabulary, keys: list[str]) -> DataFrame
 
     kept = encoded.select(*keys, "n_tokens", "known", "log_counts", "log_own", "symbols")
     schema = kept.drop("symbols").schema.simpleString()[7:-1].replace(":", " ")
-    return kept.mapInArrow(run, schema + ", forward double")
+    return in_batches(kept).mapInArrow(run, schema + ", forward double")
 
 
 def score(docs: DataFrame, is_training) -> DataFrame:

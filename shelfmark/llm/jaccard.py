@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm import words
 from shelfmark.llm.components import connected
 from shelfmark.llm.skew import join_counted
-from shelfmark.llm.storage import drop, free, written
+from shelfmark.llm.storage import drop, free, in_batches, written
 
 BLOCK_ROWS = 256  # rows of one block of a large group
 BROADCAST_ROWS = 1_000_000  # up to so many picked rows (24 bytes each) are broadcast to pick their texts; more are joined by a shuffle
@@ -82,7 +82,7 @@ def _signed(docs: DataFrame, k: int, percent: int, carry: list[str]) -> DataFram
 
     kept = docs.select("doc_id", *carry, "text")
     zero = {c: F.lit(0).cast(kind) for c, kind in (("n_shingles", "int"), ("sig_a", "long"), ("sig_b", "long"))}
-    return kept.mapInArrow(run, kept.drop("text").withColumns(zero | {"firsts": F.array(F.lit(0).cast("long"))}).schema)
+    return in_batches(kept).mapInArrow(run, kept.drop("text").withColumns(zero | {"firsts": F.array(F.lit(0).cast("long"))}).schema)
 
 
 def _full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -93,7 +93,7 @@ def _full_sets(docs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, len(begins) - 1), pa.array(sig[0]), pa.array(sig[1]), _long_list(h, begins)],
                                                  ["node", "sig_a", "sig_b", "grams"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, sig_a long, sig_b long, grams array<long>")
+    return in_batches(docs.select("node", "text")).mapInArrow(run, "node long, sig_a long, sig_b long, grams array<long>")
 
 
 def _block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, label: np.ndarray, percent: int) -> list[tuple[int, int]]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.storage import free
+from shelfmark.llm.storage import free, in_batches
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)  # lengths of the n-grams, in characters
@@ -105,7 +105,7 @@ def train(rows: DataFrame, per_lang: dict[str, int]) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], ["cell", "n"])
 
     own = rows.where(F.col("lang").isin(languages)) if None in per_lang else rows
-    sums = own.select("text", "lang").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    sums = in_batches(own.select("text", "lang")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(languages) * 2 * BUCKETS)
     counts[sums["cell"].to_numpy()] = sums["n"].to_numpy()
     counts, chars = counts.reshape(len(languages), 2, BUCKETS).swapaxes(0, 1)
@@ -195,7 +195,7 @@ def predict(docs: DataFrame, is_training: Column, pred_col: str = "lang_pred", s
                 found = _merged(shared.value, batch.column("text"), before)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *found], [*columns, *held])
 
-        docs = docs.mapInArrow(run, docs.select(columns).withColumns(zero).schema)
+        docs = in_batches(docs).mapInArrow(run, docs.select(columns).withColumns(zero).schema)
     best, top, following, total, noise, apart, ordered, size = (F.col(c) for c in held)
     # a letter in the sense of Unicode; accents may be marks of their own
     told = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bpe
-from shelfmark.llm.storage import drop, free, written
+from shelfmark.llm.storage import drop, free, in_batches, written
 
 ROWS_AT_ONCE = 50_000  # documents and gaps that one task finishes on its own
 ROWS_IN_A_PART = 2_000_000  # at most, where there are more of them than shuffle partitions
@@ -49,7 +49,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 2) ->
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(n)).take(owner), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                                                  ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 

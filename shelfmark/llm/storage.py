@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 4 << 20  # of rows that go to Python in one batch
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores behind it as it takes for ``df`` to have no such column."""
@@ -19,6 +22,18 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands rows to Python about BATCH_BYTES at a time, a longer row alone.
+
+    The bound is set for the session, as a plan reads it when it runs; a bound that the session has already is left. Rows
+    are bounded by number alone otherwise, and 10,000 long texts take room in the JVM and in Python at once.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, BATCH_BYTES)
+    return df
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path for ``name`` below ``spark.checkpoint.dir``.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.storage import written
+from shelfmark.llm.storage import in_batches, written
 
 BUCKETS = 1 << 16
 DIMENSIONS = 12
@@ -250,7 +250,7 @@ def score_texts(docs: DataFrame, model: Model, score_col: str = "score") -> Data
             s = _scorers[name].scores(text.as_py() for text in batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], [*batch.schema.names, score_col])
 
-    return docs.mapInArrow(run, docs.withColumn(score_col, F.lit(0.0)).schema)
+    return in_batches(docs).mapInArrow(run, docs.withColumn(score_col, F.lit(0.0)).schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, is_training: Column, score_col: str = "score") -> DataFrame:
