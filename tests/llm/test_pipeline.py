@@ -92,6 +92,18 @@ def test_stages(spark, corpus, tmp_path):
     assert sorted((tuple(r)[:5] for r in out.collect()), key=str) == sorted(map(tuple, want), key=str)
 
 
+def test_language_keeps_short_plain_texts(spark):
+    """A few plain words beside numbers, an address or a licence's line stay; long texts that read as no language go."""
+    rng = random.Random(9)
+    beside = ["+1 (269) 555-3296 4524132264652876", "someone.22@mail.example.com", "Released under the MIT License.", ""]
+    rows = [(i, speak(rng, lang, 60), lang) for i, lang in enumerate(["aa", "bb"] * 100)]
+    short = [(1000 + i, speak(rng, "ab"[i % 2] * 2, 5) + " " + beside[i % 4], None) for i in range(80)]
+    junk = [(2000 + i, "".join(rng.choice("bcdfghjkpqrstvwxyz      ") for _ in range(300)), None) for i in range(20)]
+    docs = spark.createDataFrame(rows + short + junk, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, "").collect()}
+    assert {d[0] for d in rows + short} <= kept and len(kept & {d[0] for d in junk}) <= 2
+
+
 def test_run_and_empty(spark, corpus, tmp_path):
     folder, _, _ = corpus
     out = corpus_pipeline.run(spark, folder)
