@@ -47,7 +47,7 @@ def declaration_rows(fields: DataFrame) -> DataFrame:
     return fields.select(
         "image_id", "field_name", F.col("value").alias("detected_value"), (F.coalesce("status", F.lit("")) != "MISSING").alias("is_present"),
         F.coalesce("confidence", F.lit(DEFAULT_CONFIDENCE)).cast("long").alias("stored_confidence"),
-        F.when(F.coalesce("confidence", F.lit(0)) > READABLE, "PASS").otherwise("FAIL").alias("readability"))
+        F.when(F.coalesce("confidence", F.lit(0)) > READABLE, "PASS").otherwise("FLAGGED").alias("readability"))
 
 
 def sample_verification(fields: DataFrame) -> DataFrame:

@@ -16,7 +16,11 @@ WEIGHTS = {"mandatory": 25, "quantity": 25, "mrp": 25, "care": 15, "traceability
 
 @dataclass
 class Template:
-    """A violation: its rule, the component it takes points from, and when it holds (of the wide row's columns)."""
+    """A violation: its rule, the component it takes points from, when it holds (of the wide row's columns), and what it says.
+
+    ``detected`` is an SQL expression over the wide row; in ``issue``, {} stands for the value of ``names``, another one.
+    ``confidence`` is in hundredths.
+    """
 
     name: str
     rule_code: str
@@ -25,25 +29,60 @@ class Template:
     component: str
     deduction: int
     holds: str
+    category: str
+    issue: str
+    detected: str
+    expected: str
+    confidence: int
+    legal_reference: str
+    zone: str
+    names: str | None = None
 
     def when(self) -> Column:
         return F.expr(self.holds)
 
 
-# Severity, amount, component and deduction of each template. missing(x) and present(x) are filled in below.
+# Severity, amount, component and deduction of each template, and its words. missing(x) and present(x) are filled in below.
+_NONE = "'Not Detected'"
 TEMPLATES = [
-    Template("R1", "LM-PC-001", "CRITICAL", 10000, "mandatory", 30, "missing(product_name)"),
-    Template("R2", "LM-PC-002", "HIGH", 5000, "mandatory", 25, "missing(manufacturer_name)"),
-    Template("R3a", "LM-PC-003", "HIGH", 5000, "traceability", 30, "missing(manufacturer_address)"),
-    Template("R3b", "LM-PC-003", "MEDIUM", 3000, "traceability", 15, "present(manufacturer_address) AND length(manufacturer_address_value) < 15"),
-    Template("R4a", "LM-PC-004", "CRITICAL", 15000, "quantity", 50, "missing(net_quantity)"),
-    Template("R4b", "LM-PC-004", "HIGH", 5000, "quantity", 30, "present(net_quantity) AND forbidden_unit IS NOT NULL"),
-    Template("R5a", "LM-PC-005", "CRITICAL", 15000, "mrp", 50, "missing(mrp)"),
-    Template("R5b", "LM-PC-005", "HIGH", 5000, "mrp", 25, "present(mrp) AND NOT tax_phrase"),
-    Template("R6", "LM-PC-006", "HIGH", 5000, "mandatory", 20, "missing(manufacturing_date)"),
-    Template("R7a", "LM-PC-007", "HIGH", 5000, "care", 50, "missing(consumer_care)"),
-    Template("R7b", "LM-PC-007", "MEDIUM", 2500, "care", 25, "present(consumer_care) AND NOT (has_phone AND has_email)"),
-    Template("R8", "LM-PC-008", "HIGH", 5000, "traceability", 25, "missing(country_of_origin)"),
+    Template("R1", "LM-PC-001", "CRITICAL", 10000, "mandatory", 30, "missing(product_name)", "Product Identity",
+             "Generic or common name of commodity is missing on the Principal Display Panel.", _NONE,
+             "Generic or common name must be prominently displayed (Rule 6(1)(a)).", 96, "Rule 6(1)(a), Legal Metrology (PC) Rules, 2011", "Header / Display Panel"),
+    Template("R2", "LM-PC-002", "HIGH", 5000, "mandatory", 25, "missing(manufacturer_name)", "Manufacturer Traceability",
+             "Name of manufacturer, packer, or importer missing from package.", _NONE,
+             "Name and identity of manufacturer or packer must be stated (Rule 6(1)(b)).", 95, "Rule 6(1)(b), Legal Metrology (PC) Rules, 2011", "Manufacturer Zone"),
+    Template("R3a", "LM-PC-003", "HIGH", 5000, "traceability", 30, "missing(manufacturer_address)", "Manufacturer Address",
+             "Complete address of manufacturer or packer missing from package.", _NONE,
+             "Complete address with street, city, state and PIN code required (Rule 6(1)(b)).", 92, "Rule 6(1)(b), Legal Metrology (PC) Rules, 2011", "Address Zone"),
+    Template("R3b", "LM-PC-003", "MEDIUM", 3000, "traceability", 15, "present(manufacturer_address) AND length(manufacturer_address_value) < 15", "Manufacturer Address",
+             "Incomplete manufacturer address; lacking full postal traceability.", "manufacturer_address_value",
+             "Full address enabling postal and regulatory contact must be stated (Rule 6(1)(b)).", 88, "Rule 6(1)(b), Legal Metrology (PC) Rules, 2011", "Address Zone"),
+    Template("R4a", "LM-PC-004", "CRITICAL", 15000, "quantity", 50, "missing(net_quantity)", "Net Quantity Standard",
+             "Net quantity declaration missing from package.", _NONE,
+             "Net weight or measure must be clearly stated in standard SI units (Rule 6(1)(c)).", 98, "Rule 6(1)(c) & Rule 12, Legal Metrology (PC) Rules, 2011", "Net Quantity Zone"),
+    Template("R4b", "LM-PC-004", "HIGH", 5000, "quantity", 30, "present(net_quantity) AND forbidden_unit IS NOT NULL", "Net Quantity Standard",
+             "Forbidden non-standard unit abbreviation '{}' detected in net quantity.", "trim(net_quantity_raw)",
+             "Only legal standard symbols permitted: g, kg, ml, l. Forbidden: gm, gms, ltrs (Rule 12).", 94, "Rule 12 & Schedule III, Legal Metrology (PC) Rules, 2011", "Net Quantity Zone",
+             "forbidden_unit"),
+    Template("R5a", "LM-PC-005", "CRITICAL", 15000, "mrp", 50, "missing(mrp)", "Maximum Retail Price",
+             "MRP declaration missing from package.", _NONE,
+             "Maximum Retail Price inclusive of all taxes must be declared (Rule 6(1)(e)).", 98, "Rule 6(1)(e), Legal Metrology (PC) Rules, 2011", "MRP Zone"),
+    Template("R5b", "LM-PC-005", "HIGH", 5000, "mrp", 25, "present(mrp) AND NOT tax_phrase", "Maximum Retail Price",
+             "Mandatory statement '(Inclusive of all taxes)' missing from MRP declaration.", "trim(mrp_raw)",
+             "MRP must unambiguously state 'Inclusive of all taxes' or 'Incl. of all taxes' (Rule 6(1)(e)).", 93, "Rule 6(1)(e), Legal Metrology (PC) Rules, 2011", "MRP Zone"),
+    Template("R6", "LM-PC-006", "HIGH", 5000, "mandatory", 20, "missing(manufacturing_date)", "Date of Manufacture / Packing",
+             "Month and year of manufacture or pre-packing missing.", _NONE,
+             "Month and year of manufacture/packing must be clearly stated (Rule 6(1)(d)).", 95, "Rule 6(1)(d), Legal Metrology (PC) Rules, 2011", "Date / Batch Zone"),
+    Template("R7a", "LM-PC-007", "HIGH", 5000, "care", 50, "missing(consumer_care)", "Consumer Care Grievance",
+             "Consumer care details missing from package.", _NONE,
+             "Consumer care telephone helpline and email ID required (Rule 6(1)(n)).", 95, "Rule 6(1)(n), Legal Metrology (PC) Rules, 2011", "Consumer Care Zone"),
+    Template("R7b", "LM-PC-007", "MEDIUM", 2500, "care", 25, "present(consumer_care) AND NOT (has_phone AND has_email)", "Consumer Care Grievance",
+             "Consumer care grievance cell incomplete: missing {}.", "trim(consumer_care_raw)",
+             "Both a telephone helpline and an email address must be provided for consumer grievance (Rule 6(1)(n)).", 90, "Rule 6(1)(n), Legal Metrology (PC) Rules, 2011", "Consumer Care Zone",
+             "CASE WHEN NOT has_phone THEN 'phone number' ELSE 'email address' END"),
+    Template("R8", "LM-PC-008", "HIGH", 5000, "traceability", 25, "missing(country_of_origin)", "Country of Origin",
+             "Country of origin / manufacture not stated on commodity.", _NONE,
+             "Country of origin is mandatory on all packaged commodities (Rule 6(1)(f)).", 92, "Rule 6(1)(f), Legal Metrology (PC) Rules, 2011", "Origin Zone"),
 ]
 
 
@@ -70,10 +109,26 @@ def wide(fields: DataFrame, key: str = "image_id") -> DataFrame:
         "has_phone": S.has_phone(raw("consumer_care")), "has_email": S.has_email(raw("consumer_care"))})
 
 
+def _document(t: Template) -> Column:
+    said = F.lit(t.issue)
+    if t.names:
+        before, after = t.issue.split("{}")
+        said = F.concat(F.lit(before), F.expr(t.names), F.lit(after))
+    return F.struct(
+        F.lit(t.name).alias("template"), F.lit(t.rule_code).alias("rule_code"), F.lit(t.category).alias("category"), said.alias("issue"), F.expr(t.detected).alias("detected_value"),
+        F.lit(t.expected).alias("expected_requirement"), F.lit(t.severity).alias("severity"), F.lit(t.confidence).cast("long").alias("confidence"),
+        F.lit(t.legal_reference).alias("legal_reference"), F.lit(t.zone).alias("evidence_zone"), F.lit(t.amount).cast("long").alias("amount"))
+
+
+def documents(wide_rows: DataFrame, key: str = "image_id") -> DataFrame:
+    """The violations of a wide row as whole documents, in the templates' order: key, place (from 0), and a template's columns."""
+    made = F.array(*(F.when(F.expr(condition(t)), _document(t)) for t in TEMPLATES))
+    return wide_rows.select(key, F.posexplode(F.filter(made, lambda v: v.isNotNull())).alias("place", "v")).select(key, F.col("place").cast("long").alias("place"), "v.*")
+
+
 def violations(wide_rows: DataFrame, key: str = "image_id") -> DataFrame:
-    made = [F.when(F.expr(condition(t)), F.struct(F.lit(t.name).alias("template"), F.lit(t.rule_code).alias("rule_code"), F.lit(t.severity).alias("severity"),
-                                                  F.lit(t.amount).alias("amount"))) for t in TEMPLATES]
-    return wide_rows.select(key, F.explode(F.filter(F.array(*made), lambda v: v.isNotNull())).alias("v")).select(key, "v.*")
+    """Which violations there are, without their words."""
+    return documents(wide_rows, key).select(key, "template", "rule_code", "severity", "amount")
 
 
 def evaluate(wide_rows: DataFrame, key: str = "image_id") -> DataFrame:

@@ -53,7 +53,7 @@ def _documents(spark: SparkSession, d: str, inspection_id: int | None = None) ->
 
 
 _DECLARED = """SELECT image_id, field_name, coalesce(value, '') AS detected_value, coalesce(status, '') <> 'MISSING' AS is_present, CAST(coalesce(confidence, 90) AS BIGINT) AS stored_confidence,
-    CASE WHEN coalesce(confidence, 0) > 60 THEN 'PASS' ELSE 'FAIL' END AS readability FROM v_fields"""
+    CASE WHEN coalesce(confidence, 0) > 60 THEN 'PASS' ELSE 'FLAGGED' END AS readability FROM v_fields"""
 
 
 def _documents_sql(where: str = "") -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import patterns as P
 from shelfmark.operators import fields as ops
 from shelfmark.operators import rules
+from shelfmark.plans import statutory
 from shelfmark.sources import labels
 from shelfmark.sources.fields import VIEW_SQL, fields
 
@@ -37,8 +38,8 @@ def scored_views(source: str) -> dict[str, str]:
     return {"v_wide": _wide_sql(source), "v_found": _VIOLATIONS, "v_scored": _SCORED}
 
 
-def _sql(select: str, source: str = "v_fields", more: dict[str, str] | None = None) -> str:
-    return labels.with_views(select, VIEW_SQL | (more or {}) | scored_views(source))
+def _sql(select: str, source: str = "v_fields", more: dict[str, str] | None = None, last: dict[str, str] | None = None) -> str:
+    return labels.with_views(select, VIEW_SQL | (more or {}) | scored_views(source) | (last or {}))
 
 
 _NAMES = ["mandatory", "quantity", "mrp", "care", "traceability"]
@@ -51,8 +52,16 @@ _evaluated = lambda spark, d: rules.evaluate(rules.wide(fields(spark, d)))  # no
 _longs = lambda df: df.select(*(F.col(c).cast("long").alias(c) if k == "int" else F.col(c) for c, k in df.dtypes))
 _edits = lambda f: ops.edits(f)
 
+
+def _lined(spark, d):
+    """Four parts' boxes as one image's list, so that most images have more lines than a prompt takes."""
+    return labels.ocr_boxes(spark, d).select(F.floor(F.col("image_id") / 4).alias("image_id"), (F.col("image_id") % 4 * 100 + F.col("idx")).alias("idx"), "text")
+
+
+
 QUERIES = {
     "q_rule_violations": lambda spark, d: _longs(rules.violations(rules.wide(fields(spark, d)))),
+    "q_violation_documents": lambda spark, d: rules.documents(rules.wide(fields(spark, d))),
     "q_rule_scores": lambda spark, d: _longs(_scores(_evaluated(spark, d))),
     "q_rule_status": lambda spark, d: _longs(_evaluated(spark, d).select("image_id", "compliance_status", "critical_violations", "high_violations", "violations_count", "estimated_fee", "prosecution_recommended")),
     "q_verify_reeval": lambda spark, d: _longs(_scores(rules.evaluate(rules.wide(ops.reevaluated(fields(spark, d), _edits(fields(spark, d))))))),
@@ -61,12 +70,13 @@ QUERIES = {
     "q_external_merge": lambda spark, d: ops.external_merge(fields(spark, d), ops.sample_verification(fields(spark, d))),
     "q_report_rows": lambda spark, d: ops.report_rows(ops.external_merge(fields(spark, d), ops.sample_verification(fields(spark, d))), _evaluated(spark, d)),
     "q_verified_declarations": lambda spark, d: ops.verified_declarations(fields(spark, d), _edits(fields(spark, d))),
-    "q_prompt_lines": lambda spark, d: ops.prompt_lines(labels.ocr_boxes(spark, d), 12),
+    "q_prompt_lines": lambda spark, d: ops.prompt_lines(_lined(spark, d), 40),
     "q_result_json": lambda spark, d: ops.result_documents(fields(spark, d), _evaluated(spark, d)),
 }
 
 ORACLES = {
     "q_rule_violations": _sql("SELECT image_id, template, rule_code, severity, CAST(amount AS BIGINT) AS amount FROM v_found"),
+    "q_violation_documents": _sql("SELECT * FROM v_documents", last={"v_documents": statutory.documents_sql()}),
     "q_rule_scores": _sql(f"SELECT image_id, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _NAMES)}, score_tenths FROM v_scored"),
     "q_rule_status": _sql("SELECT image_id, compliance_status, critical_violations, high_violations, violations_count, CAST(estimated_fee AS BIGINT) AS estimated_fee, prosecution_recommended FROM v_scored"),
     "q_verify_reeval": _sql(f"SELECT image_id, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _NAMES)}, score_tenths FROM v_scored", "v_edited", EDITED),
@@ -74,7 +84,7 @@ ORACLES = {
         count(*) FILTER (status = 'MISSING' OR status IS NULL) AS missing, CAST(sum(confidence) AS BIGINT) AS confidence_sum, count(confidence) AS confidence_count,
         CAST(round_even(coalesce(sum(confidence), 0) * 10.0::DOUBLE / count(*), 0) AS BIGINT) AS overall_milli FROM v_fields GROUP BY image_id"""),
     "q_declaration_rows": _sql("""SELECT image_id, field_name, value AS detected_value, coalesce(status, '') <> 'MISSING' AS is_present, CAST(coalesce(confidence, 90) AS BIGINT) AS stored_confidence,
-        CASE WHEN coalesce(confidence, 0) > 60 THEN 'PASS' ELSE 'FAIL' END AS readability FROM v_fields"""),
+        CASE WHEN coalesce(confidence, 0) > 60 THEN 'PASS' ELSE 'FLAGGED' END AS readability FROM v_fields"""),
     "q_external_merge": _sql("""SELECT image_id, field_name, CASE WHEN verified THEN coalesce(seen, value) ELSE value END AS value, CASE WHEN verified THEN greatest(coalesce(confidence, 0), 95) ELSE confidence END AS confidence,
         CASE WHEN verified THEN 'CONFIRMED' ELSE status END AS status, CASE WHEN verified THEN 'EnsembleOCR+External' ELSE 'EnsembleOCR' END AS source_model FROM (SELECT *, field_name IN ('mrp', 'net_quantity') AS verified,
         CASE WHEN image_id % 6 = 0 THEN upper(value) END AS seen FROM v_fields)"""),
@@ -85,7 +95,7 @@ ORACLES = {
         CASE WHEN field_name IN ('mrp', 'net_quantity') AND image_id % 6 = 0 THEN upper(value) ELSE value END AS value FROM v_fields) f JOIN v_scored s ON s.image_id = f.image_id GROUP BY f.image_id"""),
     "q_verified_declarations": _sql("""SELECT image_id, field_name, CASE WHEN changed THEN e ELSE value END AS detected_value, changed AS is_officer_edited,
         CAST(CASE WHEN changed THEN 100 ELSE confidence END AS BIGINT) AS confidence FROM v_edits""", more=EDITED),
-    "q_prompt_lines": labels.with_views("SELECT image_id, string_agg(text, chr(10) ORDER BY idx) AS lines, count(*) AS n_lines FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY idx) AS rn FROM v_boxes) WHERE rn <= 12 GROUP BY 1"),
+    "q_prompt_lines": labels.with_views("SELECT image_id, string_agg(text, chr(10) ORDER BY idx) AS lines, count(*) AS n_lines FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY idx) AS rn FROM (SELECT image_id // 4 AS image_id, image_id % 4 * 100 + idx AS idx, text FROM v_boxes)) WHERE rn <= 40 GROUP BY 1"),
     "q_result_json": _sql("""SELECT f.image_id, CAST(to_json({'extracted_fields': f.x, 'audit_summary': {'total_fields': len(f.x), 'confirmed_count': f.c, 'low_confidence_count': f.l, 'missing_count': f.m},
         'score_tenths': score_tenths, 'compliance_status': compliance_status, 'estimated_fee': CAST(estimated_fee AS BIGINT)}) AS VARCHAR) AS result FROM v_scored s JOIN (SELECT image_id,
         list({'field_name': field_name, 'value': coalesce(value, ''), 'status': coalesce(status, 'MISSING'), 'confidence': CAST(coalesce(confidence, 0) AS BIGINT)} ORDER BY field_name, value) AS x,

@@ -11,56 +11,75 @@ from shelfmark.sources import registry_views as views
 from shelfmark.sources.tables import table
 
 
-def _actions(spark: SparkSession, d: str) -> DataFrame:
+def actions(spark: SparkSession, d: str) -> DataFrame:
+    """What supervisors did, from events whose value is an inspection's: the latest of each inspection."""
     k = F.col("inspection_id")
-    action = F.when(k % 4 == 0, "COMPOUND").when(k % 4 == 1, "PROSECUTE").when(k % 4 == 2, "APPROVE").otherwise("SOMETHING")
-    return views.inspections(spark, d).select("inspection_id", action.alias("action"), F.when(k % 2 == 0, F.lit(2500)).cast("decimal(18,2)").alias("fee"))
+    action = F.when(k % 5 == 0, workflow.NOTICE).when(k % 5 == 1, workflow.PROSECUTE).when(k % 5 == 2, workflow.APPROVE).when(k % 5 == 3, "SOMETHING")
+    return views.inspections(spark, d).where(k % 7 != 0).select(
+        "inspection_id", action.alias("action"), F.when(k % 3 == 0, "seen").alias("notes"), F.when(k % 2 == 0, F.lit(2500)).cast("decimal(18,2)").alias("fee"))
 
 
-_ACTIONS = {"v_actions": """SELECT inspection_id, CASE inspection_id % 4 WHEN 0 THEN 'COMPOUND' WHEN 1 THEN 'PROSECUTE' WHEN 2 THEN 'APPROVE' ELSE 'SOMETHING' END AS action,
-    CASE WHEN inspection_id % 2 = 0 THEN CAST(2500 AS DECIMAL(18,2)) END AS fee FROM (SELECT o_orderkey AS inspection_id FROM orders)"""}
+ACTIONS_SQL = {"v_actions": """SELECT o_orderkey AS inspection_id, coalesce(CASE o_orderkey % 5 WHEN 0 THEN 'ISSUE_COMPOUNDING_NOTICE' WHEN 1 THEN 'REFER_FOR_PROSECUTION' WHEN 2 THEN 'APPROVE_COMPLIANT' WHEN 3 THEN 'SOMETHING' END, 'APPROVE_COMPLIANT') AS action,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'seen' ELSE '' END AS notes, CASE WHEN o_orderkey % 2 = 0 THEN CAST(2500 AS DECIMAL(18,2)) END AS fee FROM orders WHERE o_orderkey % 7 <> 0"""}
+_FEE = "CASE WHEN a.action = 'ISSUE_COMPOUNDING_NOTICE' THEN coalesce(a.fee, i.fee) ELSE i.fee END"
+
+
+def _tasks(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(k.alias("task_id"), (k % 12).alias("store_id"), F.when(k % 10 != 0, F.col("o_custkey")).alias("officer_id"),
+                                            F.when(k % 2 == 0, "Food").alias("category"), F.when(k % 3 == 0, "look again").alias("notes"))
 
 
 def _rules(spark: SparkSession) -> DataFrame:
     return dimensions.rules(spark).select("rule_code", "severity", F.lit(10).cast("long").alias("weight"), F.lit(True).alias("is_active"))
 
 
-def _changes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("LM-PC-001", "HIGH", None, None), ("LM-PC-004", None, 25, False), ("NONE", "LOW", 1, True)], "rule_code string, severity string, weight long, is_active boolean")
+def rule_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Partial changes to rules, each an event: rule_code, changed_at, change_id, severity, weight, is_active. Some are to rules that there are not."""
+    k = F.col("event_id")
+    return table(spark, d, "events").select(
+        F.concat(F.lit("LM-PC-"), F.lpad((k % 13 + 1).cast("string"), 3, "0")).alias("rule_code"), F.col("ts").alias("changed_at"), k.alias("change_id"),
+        F.when(k % 3 == 0, F.element_at(F.array(*map(F.lit, ("HIGH", "MEDIUM", "CRITICAL", "LOW"))), (k % 4 + 1).cast("int"))).alias("severity"),
+        F.when(k % 4 == 0, k % 50).alias("weight"), F.when(k % 5 == 0, k % 2 == 0).alias("is_active"))
 
 
-def submissions(spark: SparkSession, d: str) -> DataFrame:
-    """Offline submissions from orders: some without JSON, without a store or with a price that is no number."""
-    k = F.col("o_orderkey")
-    mrp = F.when(k % 13 == 0, "cheap").otherwise((k % 500).cast("string"))
-    name = F.when(k % 7 == 0, "").when(k % 3 == 0, F.concat(F.lit("Corner Shop "), (k % 40).cast("string"))).otherwise(F.concat(F.lit("Supplier#"), F.lpad((k % 9 + 1).cast("string"), 9, "0")))
-    payload = F.when(k % 11 == 0, "not json").otherwise(F.concat(F.lit('{"store": "'), name, F.lit('", "mrp": "'), mrp, F.lit('"}')))
-    return table(spark, d, "orders").select(k.alias("offline_id"), payload.alias("payload"), name.alias("store_name"))
+RULE_CHANGES_SQL = """SELECT 'LM-PC-' || lpad(CAST(event_id % 13 + 1 AS VARCHAR), 3, '0') AS rule_code, ts AS changed_at, event_id AS change_id,
+    CASE WHEN event_id % 3 = 0 THEN (['HIGH', 'MEDIUM', 'CRITICAL', 'LOW'])[CAST(event_id % 4 + 1 AS INTEGER)] END AS severity, CASE WHEN event_id % 4 = 0 THEN event_id % 50 END AS weight,
+    CASE WHEN event_id % 5 = 0 THEN event_id % 2 = 0 END AS is_active FROM events"""
+
 
+def _last(spark: SparkSession, d: str) -> DataFrame:
+    """Of the changes, the last value of each column."""
+    order = F.struct("changed_at", "change_id")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
+    return rule_changes(spark, d).groupBy("rule_code").agg(last("severity"), last("weight"), last("is_active"))
 
-_SUBMITTED = {"v_sent": """SELECT o_orderkey AS offline_id, CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 3 = 0 THEN 'Corner Shop ' || (o_orderkey % 40)
-    ELSE 'Supplier#' || lpad(CAST(o_orderkey % 9 + 1 AS VARCHAR), 9, '0') END AS store_name FROM orders""",
-              "v_checked": """SELECT offline_id, error, CASE WHEN error IS NULL THEN 'SYNCED' ELSE 'FAILED' END AS status FROM (SELECT offline_id, CASE WHEN offline_id % 11 = 0 THEN 'INVALID_JSON'
-    WHEN offline_id % 7 = 0 THEN 'NO_STORE' WHEN offline_id % 13 = 0 THEN 'BAD_PRICE' END AS error FROM v_sent)"""}
 
 QUERIES = {
-    "q_adjudicate": lambda spark, d: workflow.adjudicate(views.inspections(spark, d), _actions(spark, d)),
-    "q_assign": lambda spark, d: workflow.assign(table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), (F.col("o_orderkey") % 9 + 1).alias("store_id"), F.col("o_custkey").alias("officer_id"))),
-    "q_rule_update": lambda spark, d: workflow.update_rules(_rules(spark), _changes(spark)),
-    "q_audit_rows": lambda spark, d: workflow.audit_rows(_actions(spark, d)),
-    "q_new_stores": lambda spark, d: workflow.new_stores(submissions(spark, d), views.stores(spark, d)),
-    "q_sync_results": lambda spark, d: workflow.checked(submissions(spark, d)),
-    "q_sync_summary": lambda spark, d: workflow.sync_summary(workflow.checked(submissions(spark, d))),
+    "q_adjudicate": lambda spark, d: workflow.adjudicate(views.inspections(spark, d), actions(spark, d)),
+    "q_assign": lambda spark, d: workflow.assign(_tasks(spark, d), views.users(spark, d), views.stores(spark, d)),
+    "q_rule_update": lambda spark, d: workflow.update_rules(_rules(spark), _last(spark, d)),
+    "q_audit_rows": lambda spark, d: workflow.adjudication_audits(views.inspections(spark, d), actions(spark, d)),
+    "q_rule_audits": lambda spark, d: workflow.rule_audits(_rules(spark), rule_changes(spark, d)),
 }
 
+_RULE_LAST = "SELECT rule_code, " + ", ".join(f"arg_max({c}, row(changed_at, change_id)) FILTER ({c} IS NOT NULL) AS {c}" for c in ("severity", "weight", "is_active")) + f" FROM ({RULE_CHANGES_SQL}) GROUP BY 1"
 ORACLES = {
-    "q_adjudicate": views.with_views("""SELECT i.inspection_id, CASE WHEN a.inspection_id IS NULL THEN i.supervisor_status WHEN a.action = 'COMPOUND' THEN 'COMPOUNDED' WHEN a.action = 'PROSECUTE' THEN 'REFERRED_FOR_PROSECUTION'
-        ELSE 'APPROVED' END AS supervisor_status, coalesce(a.fee, i.fee) AS fee FROM v_inspections i LEFT JOIN v_actions a ON a.inspection_id = i.inspection_id""", _ACTIONS),
-    "q_assign": """SELECT o_orderkey AS task_id, 'TASK-' || upper(substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 6)) AS inspection_number, o_orderkey % 9 + 1 AS store_id, o_custkey AS assigned_to_id,
-        'PENDING_AUDIT' AS compliance_status, 'ASSIGNED' AS supervisor_status FROM orders""",
-    "q_rule_update": "SELECT rule_code, CASE rule_code WHEN 'LM-PC-001' THEN 'HIGH' ELSE severity END AS severity, CAST(CASE rule_code WHEN 'LM-PC-004' THEN 25 ELSE 10 END AS BIGINT) AS weight, rule_code <> 'LM-PC-004' AS is_active FROM (" + dimensions.RULES_SQL + ")",
-    "q_audit_rows": views.with_views("""SELECT 'ADJUDICATE' AS action, 'inspection' AS target_type, inspection_id AS target_id, '{"action":"' || action || '"' || CASE WHEN fee IS NOT NULL THEN ',"fee":"' || CAST(fee AS VARCHAR) || '"' ELSE '' END || '}' AS details FROM v_actions""", _ACTIONS),
-    "q_new_stores": views.with_views("SELECT store_name, 'STR-' || upper(substr(sha256(store_name), 1, 6)) AS store_code FROM (SELECT DISTINCT store_name FROM v_sent WHERE store_name <> '') WHERE store_name NOT IN (SELECT store_name FROM v_stores)", _SUBMITTED),
-    "q_sync_results": "WITH " + ", ".join(f"{k} AS ({v})" for k, v in _SUBMITTED.items()) + " SELECT offline_id, error, status FROM v_checked",
-    "q_sync_summary": "WITH " + ", ".join(f"{k} AS ({v})" for k, v in _SUBMITTED.items()) + " SELECT count(*) AS attempted, count(*) FILTER (status = 'SYNCED') AS synced FROM v_checked",
+    "q_adjudicate": views.with_views(f"""SELECT i.inspection_id, CASE WHEN a.inspection_id IS NULL THEN i.supervisor_status WHEN a.action = 'ISSUE_COMPOUNDING_NOTICE' THEN 'COMPOUNDED'
+        WHEN a.action = 'REFER_FOR_PROSECUTION' THEN 'REFERRED_FOR_PROSECUTION' ELSE 'APPROVED' END AS supervisor_status, {_FEE} AS fee, a.notes AS supervisor_notes
+        FROM v_inspections i LEFT JOIN v_actions a ON a.inspection_id = i.inspection_id""", ACTIONS_SQL),
+    "q_assign": views.with_views("""SELECT task_id, error, CASE WHEN error IS NULL THEN number END AS inspection_number, CASE WHEN error IS NULL THEN store_id END AS store_id, CASE WHEN error IS NULL THEN officer_id END AS officer_id,
+        CASE WHEN error IS NULL THEN officer_id END AS assigned_to_id, CASE WHEN error IS NULL THEN category END AS category, CASE WHEN error IS NULL THEN 'PENDING_AUDIT' END AS compliance_status,
+        CASE WHEN error IS NULL THEN CAST(0 AS BIGINT) END AS score_tenths, CASE WHEN error IS NULL THEN notes END AS remarks, CASE WHEN error IS NULL THEN 'ASSIGNED' END AS supervisor_status,
+        CASE WHEN error IS NULL THEN 'INSPECTION_ASSIGNED' END AS audit_action, CASE WHEN error IS NULL THEN '{"assigned_to":"' || full_name || '","store":"' || store_name || '"}' END AS audit_details
+        FROM (SELECT o_orderkey AS task_id, 'TASK-' || upper(substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 6)) AS number, s.store_id, s.store_name, u.user_id AS officer_id, u.full_name,
+        CASE WHEN o_orderkey % 2 = 0 THEN 'Food' ELSE 'Packaged Food / Retail' END AS category, CASE WHEN o_orderkey % 3 = 0 THEN 'look again' ELSE 'Routine Market Surveillance Audit' END AS notes,
+        CASE WHEN u.user_id IS NULL THEN 'Assigned officer not found.' WHEN s.store_id IS NULL THEN 'Store premises not found.' END AS error FROM orders
+        LEFT JOIN v_users u ON o_orderkey % 10 <> 0 AND u.user_id = o_custkey LEFT JOIN v_stores s ON s.store_id = o_orderkey % 12)"""),
+    "q_rule_update": f"""SELECT r.rule_code, coalesce(c.severity, r.severity) AS severity, coalesce(c.weight, 10) AS weight, coalesce(c.is_active, TRUE) AS is_active
+        FROM ({dimensions.RULES_SQL}) r LEFT JOIN ({_RULE_LAST}) c ON c.rule_code = r.rule_code""",
+    "q_audit_rows": views.with_views(f"""SELECT 'Supervisor' AS officer_name, 'SUPERVISOR_' || a.action AS action, 'INSPECTION' AS target_type, i.inspection_number AS target_id,
+        '{{"action":"' || a.action || '","notes":"' || a.notes || '","compounding_fee":"' || CAST({_FEE} AS VARCHAR) || '"}}' AS details FROM v_inspections i JOIN v_actions a ON a.inspection_id = i.inspection_id""", ACTIONS_SQL),
+    "q_rule_audits": f"""SELECT 'Admin' AS officer_name, 'RULE_UPDATED' AS action, 'RULE' AS target_type, c.rule_code AS target_id, '{{' || concat_ws(',', '"severity":"' || c.severity || '"', '"weight":' || c.weight, '"is_active":' || c.is_active) || '}}' AS details
+        FROM ({RULE_CHANGES_SQL}) c JOIN ({dimensions.RULES_SQL}) r ON r.rule_code = c.rule_code""",
 }

@@ -49,7 +49,8 @@ TRACEABILITY = [
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, ", ".join(f"{c} string" for c in RULE_COLUMNS))
+    """The rules with ``rule_id``, their place in the list from 1."""
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(RULES, 1)], ", ".join(f"{c} string" for c in RULE_COLUMNS) + ", rule_id long")
 
 
 def traceability(spark: SparkSession) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.operators import workflow
+from shelfmark.operators import payloads
 
 
 def sync_stream(submissions: DataFrame, delay: str = "1 hour") -> DataFrame:
     """``submissions``: a stream of offline_id, payload, sent_at. Repeats within the delay are dropped; the rest is checked as in a batch."""
     once = submissions.withWatermark("sent_at", delay).dropDuplicatesWithinWatermark(["offline_id"])
-    return workflow.checked(once)
+    return payloads.checked(once)
 
 
 def write_sync(stream: DataFrame, path: str, checkpoint: str):
