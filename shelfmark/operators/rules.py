@@ -103,8 +103,13 @@ def wide(fields: DataFrame, key: str = "image_id") -> DataFrame:
     missing = (F.coalesce("value", F.lit("")) == "") | (status == "MISSING")
     pivoted = fields.groupBy(key).pivot("field_name", FIELDS).agg(
         F.first("value").alias("value"), F.first(F.coalesce("raw_text", F.lit(""))).alias("raw"), F.first(missing).alias("missing"))
+    return marked(pivoted)
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    """Wide rows (x_value, x_raw, x_missing of each field x) with what the templates ask of the raw texts."""
     raw = lambda f: F.coalesce(f"{f}_raw", F.lit(""))
-    return pivoted.withColumns({
+    return rows.withColumns({
         "forbidden_unit": S.forbidden_unit(raw("net_quantity")), "tax_phrase": S.has_tax_phrase(raw("mrp")),
         "has_phone": S.has_phone(raw("consumer_care")), "has_email": S.has_email(raw("consumer_care"))})
 
@@ -131,12 +136,12 @@ def violations(wide_rows: DataFrame, key: str = "image_id") -> DataFrame:
     return documents(wide_rows, key).select(key, "template", "rule_code", "severity", "amount")
 
 
-def evaluate(wide_rows: DataFrame, key: str = "image_id") -> DataFrame:
-    """One row a key: components, score in tenths (half to even, of exact hundredths), status, counts, fee and whether to prosecute."""
+def evaluate(wide_rows: DataFrame, key: str | list[str] = "image_id") -> DataFrame:
+    """One row a wide row, with the key's columns: components, score in tenths (half to even, of exact hundredths), status, counts, fee and whether to prosecute."""
     hit = {t.name: F.when(F.expr(condition(t)), 1).otherwise(0) for t in TEMPLATES}
     total = lambda keep, of: sum((hit[t.name] * of(t) for t in TEMPLATES if keep(t)), F.lit(0))
     rows = wide_rows.select(
-        key, *((F.lit(100) - total(lambda t, c=c: t.component == c, lambda t: t.deduction)).alias(c) for c in WEIGHTS),
+        *([key] if isinstance(key, str) else key), *((F.lit(100) - total(lambda t, c=c: t.component == c, lambda t: t.deduction)).alias(c) for c in WEIGHTS),
         total(lambda t: t.severity == "CRITICAL", lambda t: 1).alias("critical_violations"), total(lambda t: t.severity == "HIGH", lambda t: 1).alias("high_violations"),
         total(lambda t: True, lambda t: 1).alias("violations_count"), total(lambda t: True, lambda t: t.amount).alias("estimated_fee"))
     return finish(rows)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import patterns as P
@@ -12,14 +12,16 @@ from shelfmark.functions import scalars as S
 
 SURE = 400  # thousandths of confidence from which on a field is confirmed
 FARTHEST = 12  # line heights between a label and its value
+LEAST_HEIGHT = 10  # pixels that a line height counts at least
+FEW_BOXES = 200  # up to so many boxes an image is one cell: the pairs are fewer than the copies a grid would make
 #: What each relation counts in a candidate's confidence.
 MULTIPLIERS = {"SAME_LINE_COMPOSITE": 1.0, "HORIZONTAL_RIGHT": 0.95, "VERTICAL_BELOW": 0.92, "HORIZONTAL_LEFT": 0.85, "VERTICAL_ABOVE": 0.80, "GRID_TABLE_CELL": 0.70, "UNALIGNED_NEIGHBOR": 0.40}
-_BOX = ["idx", "text", "x1", "y1", "x2", "y2", "confidence"]
 
 
-def side(boxes: DataFrame, prefix: str) -> DataFrame:
-    """Boxes with each column named for one side of a pair."""
-    return boxes.select("image_id", *(F.col(c).alias(f"{prefix}_{c}") for c in _BOX), *(F.col(c).alias(f"{prefix}_{c}") for c in boxes.columns if c not in ("image_id", *_BOX)))
+def side(boxes: DataFrame, prefix: str, key: list[str] | None = None) -> DataFrame:
+    """Boxes with each column but those of the key (the image alone, if none is given) named for one side of a pair."""
+    key = key or ["image_id"]
+    return boxes.select(*key, *(F.col(c).alias(f"{prefix}_{c}") for c in boxes.columns if c not in key))
 
 
 def with_relation(pairs: DataFrame) -> DataFrame:
@@ -53,9 +55,37 @@ def candidate_milli(pairs: DataFrame) -> Column:
     return F.round(total * 1000).cast("long")
 
 
-def candidates(labels: DataFrame, values: DataFrame) -> DataFrame:
-    """Pairs of a label and another box of its image that has a value, FARTHEST line heights apart at most, with their confidence."""
-    pairs = with_relation(side(labels, "l").join(side(values, "v"), "image_id").where("l_idx <> v_idx")).where(F.col("norm") <= FARTHEST)
+def measured(boxes: DataFrame) -> DataFrame:
+    """``boxes`` with how many their image has (``_n``) and its largest line height (``_tall``)."""
+    image = Window.partitionBy("image_id")
+    return boxes.withColumns({"_n": F.count(F.lit(1)).over(image), "_tall": F.max(F.greatest(F.lit(LEAST_HEIGHT), F.col("y2") - F.col("y1"))).over(image)})
+
+
+def _cell(prefix: str, low: str, high: str) -> Column:
+    """Which cell of the image's grid the middle of a box is in: a cell is as wide as a label can be from its value."""
+    at = F.floor((F.col(f"{prefix}_{low}") + F.col(f"{prefix}_{high}")) / 2.0 / (FARTHEST * F.col(f"{prefix}__tall")))
+    return F.when(F.col(f"{prefix}__n") > FEW_BOXES, at).otherwise(0)
+
+
+def in_reach(labels: DataFrame, values: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """Pairs (l_*, v_*) of ``measured`` labels and values of one image, and equal in the columns ``also``, that may be near each other.
+
+    No value is farther from its label than FARTHEST times the larger line height, so it is in the label's cell of a grid
+    of that width or in one of the eight around it: a label is copied to nine cells, a value is in one. What an image
+    makes is in proportion to neighbours, not to the square of its boxes.
+    """
+    steps = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)))
+    stay = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
+    key = ["image_id", *(also or [])]
+    l = side(labels, "l", key).withColumn("_step", F.explode(F.when(F.col("l__n") > FEW_BOXES, steps).otherwise(stay)))
+    l = l.withColumns({"_cx": _cell("l", "x1", "x2") + F.col("_step.x"), "_cy": _cell("l", "y1", "y2") + F.col("_step.y")}).drop("_step", "l__n", "l__tall")
+    v = side(values, "v", key).withColumns({"_cx": _cell("v", "x1", "x2"), "_cy": _cell("v", "y1", "y2")}).drop("v__n", "v__tall")
+    return l.join(v, [*key, "_cx", "_cy"]).where("l_idx <> v_idx").drop("_cx", "_cy")
+
+
+def candidates(labels: DataFrame, values: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """Pairs of a label and another box of its image that has a value, FARTHEST line heights apart at most, with their confidence. Both sides are ``measured``."""
+    pairs = with_relation(in_reach(labels, values, also)).where(F.col("norm") <= FARTHEST)
     return pairs.withColumn("milli", candidate_milli(pairs))
 
 
@@ -75,7 +105,7 @@ def extract(boxes: DataFrame, kind: str, same_value: Callable[[Column], Column],
     leaves the field to the next one. Without any, the first box that ``fallback`` (condition, factor, relation) admits.
     """
     t = F.col("text")
-    seen = boxes.withColumns({"own": same_value(t), "near": near_value(t)})
+    seen = measured(boxes).withColumns({"own": same_value(t), "near": near_value(t)})
     labels = seen.where(S.found(t, P.LABELS[kind]) & (F.lit(True) if label_ok is None else label_ok))
     thousandths = lambda c: F.round(c * 1000).cast("long")
     pick = lambda order, value, relation, milli, l, v, label: F.struct(*(F.lit(x).cast("long").alias(f"o{i}") if isinstance(x, int) else x.alias(f"o{i}") for i, x in enumerate(order)),

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import patterns as P
 from shelfmark.functions import scalars as S
-from shelfmark.operators import spatial
+from shelfmark.operators import analysis, spatial
+from shelfmark.plans.rule_queries import scored_views
 from shelfmark.plans.text_queries import BATCH_VALUE_SQL, CLEAN_BATCH_SQL, DATE_SQL, MRP_SQL, QUANTITY_SQL, sql_any
 from shelfmark.sources import labels
 from shelfmark.sources.tables import table
@@ -44,7 +45,6 @@ def _extract_sql(kind: str, own: tuple[str, str], near: tuple[str, str], cap: fl
 
 _first_sql = lambda where, order: f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {order}) AS rn FROM v_boxes WHERE {where}) WHERE rn = 1)"
 _left_sql = lambda kind: f"nullif(trim(replace(regexp_replace(text, '(?i){P.LABELS[kind]}', '', 'g'), ':', '')), '')"
-_quantity_pairs = lambda spark, d: (_boxes(spark, d).where(S.found(F.col("text"), P.LABELS["quantity"])), _boxes(spark, d).where(S.parse_quantity(F.col("text")).isNotNull()))
 _SEEN = {"v_seen": "SELECT *, " + QUANTITY_SQL[0].replace("{t}", "text") + " AS q FROM v_boxes"}
 _DATE_CODE = "'code'"
 
@@ -55,6 +55,11 @@ def _all_relations(spark, d):
     return pairs.select("image_id", F.col("l_idx").cast("long").alias("l_idx"), F.col("v_idx").cast("long").alias("v_idx"), "relation")
 
 
+def _quantity_pairs(spark, d):
+    boxes = spatial.measured(_boxes(spark, d))
+    return boxes.where(S.found(F.col("text"), P.LABELS["quantity"])), boxes.where(S.parse_quantity(F.col("text")).isNotNull())
+
+
 _ids = lambda df: df.select(*(F.col(c).cast("long").alias(c) if k == "int" else F.col(c) for c, k in df.dtypes))
 
 def _codes(spark, d):
@@ -64,6 +69,10 @@ def _codes(spark, d):
     return table(spark, d, "part").where(k % 3 != 0).select(k.alias("image_id"), F.explode(both).alias("c")).select("image_id", "c.*")
 
 
+def _analyzed(spark, d):
+    return analysis.analyzed(_boxes(spark, d), _codes(spark, d))
+
+
 def _foreign(spark, d):
     k = (F.col("image_id") + F.col("idx")) % 5
     return _boxes(spark, d).withColumn("text", F.when(k == 0, "देश भारत").when(k == 1, "मूल्य").when(k == 2, "Crème brûlée").otherwise(F.col("text")))
@@ -75,6 +84,8 @@ QUERIES = {
     **{f"q_extract_{k}": (lambda spark, d, f=f: f(_boxes(spark, d))) for k, f in (
         ("quantity", spatial.quantity), ("mrp", spatial.mrp), ("batch", spatial.batch), ("mfg_date", spatial.mfg_date), ("expiry", spatial.expiry), ("manufacturer", spatial.manufacturer),
         ("product", spatial.product), ("care", spatial.care), ("origin", spatial.origin), ("other", spatial.other))},
+    "q_analyzed_fields": lambda spark, d: analysis.entries(_analyzed(spark, d)).withColumn("bounding_box", F.to_json("bounding_box")),
+    "q_analyze_evidence": lambda spark, d: analysis.evaluated(_analyzed(spark, d)),
     "q_reading_order": lambda spark, d: spatial.reading_order(_boxes(spark, d)),
     "q_layout_order": lambda spark, d: spatial.reading_order(_boxes(spark, d), 30),
     "q_barcode_field": lambda spark, d: spatial.barcode(_boxes(spark, d), _codes(spark, d)),
@@ -82,6 +93,42 @@ QUERIES = {
     "q_transcript": lambda spark, d: spatial.transcript(_boxes(spark, d)),
 }
 
+def _analyzed_sql() -> dict[str, str]:
+    """v_analyzed: the fourteen entries, put together from the oracles of the single extractors and the boxes they name."""
+    five = {k: ORACLES[f"q_extract_{k}"] for k in ("quantity", "mrp", "batch", "mfg_date", "expiry")}
+    box = lambda b: f"'[' || {b}.x1 || ',' || {b}.y1 || ',' || {b}.x2 || ',' || {b}.y2 || ']'"
+    milli = lambda b, by="": f"CAST(round({b}.confidence{by} * 1000) AS BIGINT)"
+    zero, out = "'[0,0,0,0]'", []
+    for k, name, detail, none in (("quantity", "net_quantity", "e.unit", "NULL"), ("mrp", "mrp", "e.unit", "NULL"), ("batch", "batch_number", "NULL", "NULL"),
+                                  ("mfg_date", "manufacturing_date", "e.date_type", "'unknown'"), ("expiry", "expiry_date", "e.unit", "'unknown'")):
+        raw = f"CASE WHEN e.l_idx IS NOT NULL AND e.l_idx <> e.v_idx THEN e.label || '{' | ' if k == 'mrp' else ' -> '}' || v.text ELSE v.text END"
+        out.append(f"""SELECT i.image_id, '{name}' AS field_name, e.value, {raw} AS raw_text, coalesce(e.milli, 0) AS confidence_milli, coalesce({milli('v')}, 0) AS ocr_milli, CASE WHEN e.value IS NULL THEN 'None' ELSE 'EnsembleOCR' END AS source_model,
+            coalesce({box('v')}, {zero}) AS bounding_box, coalesce(e.relation, 'NONE') AS spatial_relationship, coalesce(e.status, 'MISSING') AS status, CASE WHEN e.value IS NULL THEN {none} ELSE {detail} END AS detail
+            FROM v_images i LEFT JOIN ({five[k]}) e ON e.image_id = i.image_id LEFT JOIN v_boxes v ON v.image_id = e.image_id AND v.idx = e.v_idx""")
+    def single(name: str, value: str, first: str, relation: str, by: str = "", status: str = "'CONFIRMED'") -> str:
+        return f"""SELECT i.image_id, '{name}', {value}, b.text, coalesce({milli('b', by)}, 0), coalesce({milli('b', by)}, 0), CASE WHEN b.text IS NULL THEN 'None' ELSE 'EnsembleOCR' END, coalesce({box('b')}, {zero}),
+            CASE WHEN b.text IS NULL THEN 'NONE' ELSE '{relation}' END, CASE WHEN b.text IS NULL THEN 'MISSING' ELSE {status} END, NULL FROM v_images i LEFT JOIN {first} b ON b.image_id = i.image_id"""
+    maker = _first_sql(_label("manufacturer"), "idx")
+    made = "(SELECT b.*, m.name, m.address, m.address_status FROM " + maker + " b JOIN (" + ORACLES["q_extract_manufacturer"] + ") m ON m.image_id = b.image_id)"
+    title = _first_sql("length(text) > 3 AND NOT " + sql_any(P.PRODUCT_REJECTS), "y1, x1, idx")
+    care = _first_sql("(" + _label("care") + f" OR regexp_matches(text, '{P.any_of(P.CARE_MARKS)}'))", "idx")
+    origin = _first_sql(_label("origin"), "idx")
+    out += [single("manufacturer_name", "b.name", made, "VERTICAL_STACK_BLOCK"), single("manufacturer_address", "b.address", made, "VERTICAL_STACK_BLOCK", " * 0.9::DOUBLE", "b.address_status"),
+            single("product_name", "b.text", title, "TOP_HEADER_PROMINENCE"), single("brand_name", "string_split(b.text, ' ')[1]", title, "TOP_HEADER_PROMINENCE"), single("consumer_care", "b.text", care, "SAME_LINE_COMPOSITE"),
+            f"""SELECT i.image_id, 'country_of_origin', o.country, CASE o.relation WHEN 'SAME_LINE_COMPOSITE' THEN b.text WHEN 'INFERRED_FROM_ADDRESS' THEN 'Manufactured in India (Inferred from address)' END,
+            CASE o.relation WHEN 'SAME_LINE_COMPOSITE' THEN {milli('b')} WHEN 'INFERRED_FROM_ADDRESS' THEN 850 ELSE 0 END, CASE o.relation WHEN 'SAME_LINE_COMPOSITE' THEN {milli('b')} WHEN 'INFERRED_FROM_ADDRESS' THEN 850 ELSE 0 END,
+            CASE o.relation WHEN 'SAME_LINE_COMPOSITE' THEN 'EnsembleOCR' WHEN 'INFERRED_FROM_ADDRESS' THEN 'SpatialInference' ELSE 'None' END,
+            coalesce(CASE o.relation WHEN 'SAME_LINE_COMPOSITE' THEN {box('b')} WHEN 'INFERRED_FROM_ADDRESS' THEN {box('m')} END, {zero}), o.relation, CASE WHEN o.relation = 'NONE' THEN 'MISSING' ELSE 'CONFIRMED' END, NULL
+            FROM v_images i JOIN ({ORACLES['q_extract_origin']}) o ON o.image_id = i.image_id LEFT JOIN {origin} b ON b.image_id = i.image_id LEFT JOIN {maker} m ON m.image_id = i.image_id""",
+            f"SELECT image_id, 'barcode_or_qr', value, raw_text, milli, milli, 'BarcodeScanner', {zero}, relation, status, NULL FROM ({ORACLES['q_barcode_field']})",
+            f"""SELECT i.image_id, 'other_declarations', o.declarations, o.declarations, CASE WHEN o.declarations IS NULL THEN 0 ELSE 800 END, CASE WHEN o.declarations IS NULL THEN 0 ELSE 800 END, 'EnsembleOCR', {zero}, 'DECLARATION_BLOCK',
+            CASE WHEN o.declarations IS NULL THEN 'MISSING' ELSE 'CONFIRMED' END, NULL FROM v_images i LEFT JOIN ({ORACLES['q_extract_other']}) o ON o.image_id = i.image_id"""]
+    priced = f"""SELECT image_id, 'currency', coalesce(detail, 'INR'), raw_text, CASE WHEN value IS NULL THEN 500 ELSE confidence_milli END, ocr_milli, CASE WHEN value IS NULL THEN 'Default' ELSE source_model END, bounding_box,
+        CASE WHEN value IS NULL THEN 'DEFAULT' ELSE spatial_relationship END, CASE WHEN value IS NULL THEN 'LOW_CONFIDENCE' ELSE 'CONFIRMED' END, NULL FROM v_paired WHERE field_name = 'mrp'"""
+    return {"v_images": "SELECT DISTINCT image_id FROM v_boxes", "v_paired": " UNION ALL ".join(out), "v_analyzed": f"SELECT * FROM v_paired UNION ALL {priced}",
+            "v_judged": "SELECT image_id, field_name, CASE WHEN field_name = 'net_quantity' AND value = '0.0' THEN '' ELSE value END AS value, coalesce(raw_text, '') AS raw_text, status FROM v_analyzed"}
+
+
 ORACLES = {
     "q_spatial_relation": labels.with_views("SELECT image_id, CAST(l_idx AS BIGINT) AS l_idx, CAST(v_idx AS BIGINT) AS v_idx, relation FROM ("
                                             + _RELATION.replace("{pairs}", f"(SELECT l.image_id, {_SIDE('l')}, {_SIDE('v')} FROM v_boxes l JOIN v_boxes v ON l.image_id = v.image_id)") + ")"),
@@ -114,3 +161,8 @@ ORACLES = {
         FROM (SELECT image_id, idx, CASE (image_id + idx) % 5 WHEN 0 THEN 'देश भारत' WHEN 1 THEN 'मूल्य' WHEN 2 THEN 'Crème brûlée' ELSE text END AS text FROM v_boxes)"""),
     "q_transcript": labels.with_views("SELECT image_id, string_agg(text, chr(10) ORDER BY floor(y1 / 25), x1, idx) AS transcript FROM v_boxes GROUP BY image_id"),
 }
+ORACLES["q_analyzed_fields"] = labels.with_views("SELECT * FROM v_analyzed", _analyzed_sql())
+ORACLES["q_analyze_evidence"] = labels.with_views("""SELECT s.image_id, n.total_fields, n.confirmed, n.low_confidence, n.missing, n.confidence_sum_milli, s.compliance_status, s.score_tenths, s.critical_violations, s.high_violations,
+    s.violations_count, CAST(s.estimated_fee AS BIGINT) AS estimated_fee, s.prosecution_recommended FROM v_scored s JOIN (SELECT image_id, count(*) AS total_fields, count(*) FILTER (status = 'CONFIRMED') AS confirmed,
+    count(*) FILTER (status = 'LOW_CONFIDENCE') AS low_confidence, count(*) FILTER (status = 'MISSING') AS missing, CAST(sum(confidence_milli) AS BIGINT) AS confidence_sum_milli FROM v_analyzed GROUP BY 1) n
+    ON n.image_id = s.image_id""", _analyzed_sql() | scored_views("v_judged"))
