@@ -45,20 +45,25 @@ def declared(entries: DataFrame, key: str = "offline_id") -> DataFrame:
         _text(e, "$.raw_text").alias("raw_text"), _text(e, "$.status").alias("status"))
 
 
-def checked(submissions: DataFrame, key: str = "offline_id", payload: str = "payload") -> DataFrame:
-    """Each submission with ``error``, why it can't be created, or null; and what it asks for: officer_code, store_id, store_name, store_address, category, remarks.
-
-    A payload must be a JSON object, its fields (if it has any) an object, and so each of those that the rules read. What
-    is merely odd, such as a price that is no number, or missing, such as the store, is created and is the rules' matter.
-    """
-    doc, fields = F.try_parse_json(payload), F.try_variant_get(F.try_parse_json(payload), "$.extracted_fields", "variant")
+def error(payload: Column) -> Column:
+    """Why a payload can't be created, or null: it must be a JSON object, its fields (if it has any) an object, and so each of those that the rules read."""
+    doc = F.try_parse_json(payload)
+    fields = F.try_variant_get(doc, "$.extracted_fields", "variant")
     odd = F.lit(False)
     for name in rules.FIELDS:
         odd = odd | (F.coalesce(_kind(F.try_variant_get(fields, f"$.{name}", "variant")), F.lit("OBJECT")) != "OBJECT")
-    error = (F.when(doc.isNull(), "INVALID_JSON").when(_kind(doc) != "OBJECT", "NOT_AN_OBJECT")
-             .when(F.coalesce(_kind(fields), F.lit("OBJECT")) != "OBJECT", "FIELDS_NOT_AN_OBJECT").when(odd, "FIELD_NOT_AN_OBJECT"))
+    return (F.when(doc.isNull(), "INVALID_JSON").when(_kind(doc) != "OBJECT", "NOT_AN_OBJECT")
+            .when(F.coalesce(_kind(fields), F.lit("OBJECT")) != "OBJECT", "FIELDS_NOT_AN_OBJECT").when(odd, "FIELD_NOT_AN_OBJECT"))
+
+
+def checked(submissions: DataFrame, key: str = "offline_id", payload: str = "payload") -> DataFrame:
+    """Each submission with its ``error``, and what it asks for: officer_code, store_id, store_name, store_address, category, remarks.
+
+    What is merely odd, such as a price that is no number, or missing, such as the store, is created and is the rules' matter.
+    """
+    doc = F.try_parse_json(payload)
     asked = {"officer_code": "$.officer_id", "store_name": "$.store_name", "store_address": "$.store_address", "category": "$.category", "remarks": "$.remarks"}
-    return submissions.select(key, payload, error.alias("error"), F.try_variant_get(doc, "$.store_id", "long").alias("store_id"), *(_text(doc, path).alias(c) for c, path in asked.items()))
+    return submissions.select(key, payload, error(F.col(payload)).alias("error"), F.try_variant_get(doc, "$.store_id", "long").alias("store_id"), *(_text(doc, path).alias(c) for c, path in asked.items()))
 
 
 def results(checked: DataFrame, created: DataFrame, key: str = "offline_id") -> DataFrame:

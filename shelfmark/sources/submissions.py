@@ -10,11 +10,11 @@ from shelfmark.sources.tables import table
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
-    """A request for each image, one in eleven without fields: some with unknown officers, without a store, or without a category."""
+    """A request for each image, one in eleven without fields: some with unknown officers, without a store or with an unknown one (a negative id), or without a category."""
     k = F.col("p_partkey")
     return table(spark, d, "part").select(
         k.alias("image_id"), F.when(k % 6 == 0, "NOBODY").otherwise(F.concat(F.lit("LMO"), F.lpad((k % 20 + 1).cast("string"), 6, "0"))).alias("officer_code"),
-        F.when(k % 5 != 0, k % 12).alias("store_id"), F.when(k % 3 == 0, "Food").alias("category"),
+        F.when(k % 5 != 0, F.when(k % 12 < 9, k % 12).otherwise(-(k % 12))).alias("store_id"), F.when(k % 3 == 0, "Food").alias("category"),
         F.when(k % 2 == 0, F.concat(F.lit("Corner Shop "), (k % 40).cast("string"))).alias("store_name"), F.when(k % 4 == 0, "Ring Road").alias("store_address"))
 
 
@@ -43,7 +43,7 @@ def submissions(spark: SparkSession, d: str) -> DataFrame:
 #: v_requests: the requests; v_sent: offline_id and why a submission can't be created.
 VIEW_SQL = {
     "v_requests": """SELECT p_partkey AS image_id, CASE WHEN p_partkey % 6 = 0 THEN 'NOBODY' ELSE 'LMO' || lpad(CAST(p_partkey % 20 + 1 AS VARCHAR), 6, '0') END AS officer_code,
-        CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 12 END AS store_id, CASE WHEN p_partkey % 3 = 0 THEN 'Food' END AS category,
+        CASE WHEN p_partkey % 5 <> 0 THEN CASE WHEN p_partkey % 12 < 9 THEN p_partkey % 12 ELSE -(p_partkey % 12) END END AS store_id, CASE WHEN p_partkey % 3 = 0 THEN 'Food' END AS category,
         CASE WHEN p_partkey % 2 = 0 THEN 'Corner Shop ' || (p_partkey % 40) END AS store_name, CASE WHEN p_partkey % 4 = 0 THEN 'Ring Road' END AS store_address FROM part""",
     "v_sent": """SELECT p_partkey AS offline_id, CASE WHEN p_partkey % 29 = 0 THEN 'INVALID_JSON' WHEN p_partkey % 31 = 0 THEN 'NOT_AN_OBJECT'
         WHEN p_partkey % 37 = 0 THEN 'FIELDS_NOT_AN_OBJECT' WHEN p_partkey % 41 = 0 THEN 'FIELD_NOT_AN_OBJECT' END AS error FROM part""",

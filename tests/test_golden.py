@@ -153,17 +153,6 @@ def test_text_similarity(spark):
     assert [r["similarity"] for r in fusion.text_similarity(df, "a", "b").collect()] == [0.75, 1.0, 0.0, 1.0]
 
 
-def test_sync_stream(spark, tmp_path):
-    from shelfmark.streaming import sync
-    src = str(tmp_path / "in")
-    rows = [(1, '{"store": "s", "mrp": "5"}'), (1, '{"store": "s", "mrp": "5"}'), (2, "not json"), (3, '{"store": ""}'), (4, '{"store": "s", "mrp": "x"}'), (5, None)]
-    spark.createDataFrame(rows, "offline_id long, payload string").withColumn("sent_at", F.lit("2026-01-01 00:00:00").cast("timestamp")).write.parquet(src)
-    stream = spark.readStream.schema("offline_id long, payload string, sent_at timestamp").parquet(src)
-    sync.write_sync(sync.sync_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-    got = sorted((r["offline_id"], r["status"], r["error"]) for r in spark.read.parquet(str(tmp_path / "out" / "batch=0")).collect())
-    assert got == [(1, "SYNCED", None), (2, "FAILED", "INVALID_JSON"), (3, "FAILED", "NO_STORE"), (4, "FAILED", "BAD_PRICE"), (5, "FAILED", "INVALID_JSON")]
-
-
 def test_labels_by_hand(spark):
     """Label texts and what they are labels of, written down without the patterns."""
     cases = {
