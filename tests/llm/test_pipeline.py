@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfmark.llm import bpe, packing
+from shelfmark.llm import bpe, langid, packing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 STRANGE = {4000 + 100 * j + i for j in range(3) for i in range(20)}
@@ -92,16 +92,29 @@ def test_stages(spark, corpus, tmp_path):
     assert sorted((tuple(r)[:5] for r in out.collect()), key=str) == sorted(map(tuple, want), key=str)
 
 
-def test_language_keeps_short_plain_texts(spark):
-    """A few plain words beside numbers, an address or a licence's line stay; long texts that read as no language go."""
+def test_language_judges_texts_of_any_length_by_one_rule(spark):
+    """A few plain words beside numbers, an address or a licence's line stay; senseless letters and other alphabets go, however short."""
     rng = random.Random(9)
     beside = ["+1 (269) 555-3296 4524132264652876", "someone.22@mail.example.com", "Released under the MIT License.", ""]
     rows = [(i, speak(rng, lang, 60), lang) for i, lang in enumerate(["aa", "bb"] * 100)]
     short = [(1000 + i, speak(rng, "ab"[i % 2] * 2, 5) + " " + beside[i % 4], None) for i in range(80)]
-    junk = [(2000 + i, "".join(rng.choice("bcdfghjkpqrstvwxyz      ") for _ in range(300)), None) for i in range(20)]
-    docs = spark.createDataFrame(rows + short + junk, "doc_id long, text string, lang string")
+    lengths = (40, 80, 120, 200, 300)
+    junk = [(2000 + 100 * j + i, "".join(rng.choice("bcdfghjkpqrstvwxyz      ") for _ in range(n)), None) for j, n in enumerate(lengths) for i in range(20)]
+    foreign = [(3000 + 100 * j + i, " ".join(rng.choice("добрый вечер погода сегодня улица красивый".split()) for _ in range(n))[:n], None) for j, n in enumerate(lengths) for i in range(20)]
+    coded = [(4000 + i, "aGVs" + "".join(rng.choice("abcdefXYZ0123456789+/") for _ in range(40)) + "7", None) for i in range(20)]
+    docs = spark.createDataFrame(rows + short + junk + foreign + coded, "doc_id long, text string, lang string")
     kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, "").collect()}
-    assert {d[0] for d in rows + short} <= kept and len(kept & {d[0] for d in junk}) <= 2
+    assert {d[0] for d in rows + short} <= kept
+    for strange in (junk, foreign):
+        for j in range(len(lengths)):
+            assert len(kept & {d[0] for d in strange[20 * j : 20 * j + 20]}) <= 2
+    assert not kept & {d[0] for d in coded}
+
+
+def test_masking_long_runs_takes_no_time():
+    for text in ("x" * 2_000_000, "ab:/" * 500_000, "www" * 500_000):
+        assert re.sub(langid.NOT_PROSE, " ", text) == text
+    assert re.sub(langid.NOT_PROSE, "#", "a b3 c@d http://e www.f.g h 5") == "a # # # # h #"
 
 
 def test_run_and_empty(spark, corpus, tmp_path):
