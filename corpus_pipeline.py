@@ -10,7 +10,7 @@ from shelfmark.llm.storage import free, written
 
 TOXIC = 0.7  # documents that score this or more go
 PLAIN = 0.3  # documents that give less evidence a character for their language than this share of what its texts give on average go
-LEAST_CHARS = 200  # a shorter text is judged as if plain text filled it up to so many characters, as a few words give little evidence either way
+SLACK = 0.5  # standard errors of that share (for the four languages of the tables about 1.1 / sqrt(characters)) that a text is given
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,17 +27,15 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that read plainly as one of the languages of the corpus.
 
-    Null and empty texts and texts without letters go, and so do letters without sense, texts of a language that the
-    corpus doesn't have and texts that are a mixture of languages, as their n-grams speak for no language by much.
-    A few words next to a number or a licence's line tell little of their language, so short texts mostly stay: one of fewer
-    than 140 characters does unless its evidence speaks against its language. Repeated rows and null ids are rows like any other, texts of any
-    length count whole, and a text at the threshold stays.
+    Null and empty texts and texts without letters go, and so do letters without sense, texts in letters or words of a
+    language that the corpus doesn't have and texts that are a mixture of languages, as their n-grams speak for no language
+    by much. Numbers, addresses and runs with a digit are left out of account, and a text with nothing else goes. One rule
+    holds at every length: its slack is that of the evidence, which varies more in a few characters. Repeated rows and null
+    ids are rows like any other, texts of any length count whole, and a text at the threshold stays.
     """
     language, fit = free(docs, "_language", "_fit")
-    found = langid.predict(docs, F.lit(True), pred_col=language, score_col=free(docs, "_likelihood")[0], fit_col=fit)
-    n = F.length("text")
-    plain = F.col(fit) * n + F.greatest(LEAST_CHARS - n, F.lit(0)) >= PLAIN * F.greatest(n, F.lit(LEAST_CHARS))
-    return found.where((F.col(language) != "und") & plain).select(docs.columns)
+    found = langid.predict(docs, F.lit(True), pred_col=language, score_col=free(docs, "_likelihood")[0], fit_col=fit, slack=SLACK, mask=langid.NOT_PROSE)
+    return found.where((F.col(language) != "und") & (F.col(fit) >= PLAIN)).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
