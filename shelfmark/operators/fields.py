@@ -51,17 +51,25 @@ def declaration_rows(fields: DataFrame) -> DataFrame:
 
 
 def sample_verification(fields: DataFrame) -> DataFrame:
-    """An external check's findings on prices and quantities: image_id, field_name, seen (null: confirmed as it was)."""
-    return fields.where(F.col("field_name").isin("mrp", "net_quantity")).select("image_id", "field_name", F.when(F.col("image_id") % 6 == 0, F.upper("value")).alias("seen"))
+    """An external check's findings on prices and quantities: image_id, field_name, seen, seen_raw, seen_status, seen_notes (null: nothing to say)."""
+    k = F.col("image_id")
+    return fields.where(F.col("field_name").isin("mrp", "net_quantity")).select(
+        "image_id", "field_name", F.when(k % 6 == 0, F.upper("value")).alias("seen"), F.when(k % 4 == 0, F.concat(F.lit("read: "), "value")).alias("seen_raw"),
+        F.when(k % 5 == 0, "CONFIRMED").when(k % 5 == 1, "CONFLICTING").when(k % 5 == 2, "").alias("seen_status"), F.when(k % 7 == 0, "blurred").alias("seen_notes"))
 
 
 def external_merge(fields: DataFrame, verification: DataFrame) -> DataFrame:
-    """Fields with an external check's values put in: confidence 95 at least, and the source says so."""
+    """Fields with an external check's findings put in, where it has any: value, raw text, status and notes (empty texts are none).
+
+    A field that was checked is at least 95 sure, and its source says so.
+    """
     checked = F.col("checked").isNotNull()
+    found = lambda new, old: F.coalesce(F.nullif(F.col(new), F.lit("")), F.col(old))
     return fields.join(verification.withColumn("checked", F.lit(True)), ["image_id", "field_name"], "left").select(
-        "image_id", "field_name", F.when(checked, F.coalesce("seen", "value")).otherwise(F.col("value")).alias("value"),
+        "image_id", "field_name", F.coalesce("seen", "value").alias("value"), found("seen_raw", "raw_text").alias("raw_text"),
         F.when(checked, F.greatest(F.coalesce("confidence", F.lit(0)), F.lit(95))).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(checked, "CONFIRMED").otherwise(F.col("status")).alias("status"), F.when(checked, "EnsembleOCR+External").otherwise("EnsembleOCR").alias("source_model"))
+        found("seen_status", "status").alias("status"), F.nullif(F.col("seen_notes"), F.lit("")).alias("visual_notes"),
+        F.when(checked, "EnsembleOCR+External").otherwise("EnsembleOCR").alias("source_model"))
 
 
 def report_rows(fields: DataFrame, evaluated: DataFrame) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,45 +42,78 @@ def similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, a.lower(), b.lower()).ratio()
 
 
+@lru_cache(maxsize=1 << 16)
 def alike(a: str, b: str, least: float) -> bool:
-    """Whether the similarity of two lower-cased texts is above ``least``; bounds on it are tried first."""
+    """Whether the similarity of two lower-cased texts is above ``least``; bounds on it are tried first. Labels repeat, so answers are kept for a while."""
     if a == b:
         return least < 1
     m = SequenceMatcher(None, a, b)
     return m.real_quick_ratio() > least and m.quick_ratio() > least and m.ratio() > least
 
 
-def _clusters(table: pa.Table) -> pa.Table:
-    """Greedy: the first box not yet taken, from top to bottom and left to right, takes all boxes not yet taken that match it.
+def _neighbours(table: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j), i before j, of boxes of one image that overlap so far that they are one, or are if their texts are alike; and whether they are one as it is.
 
-    A match needs some height in common, so the search for a box's matches ends with the first box that begins below it.
+    ``table`` is sorted by image, top and left, and ``starts`` is where each image begins. A sweep down the image: those that
+    share some height with a box begin above its bottom, so they are one stretch after it, found by a binary search.
     """
-    table = table.sort_by([(c, "ascending") for c in ("y1", "x1", "engine", "idx")])
-    boxes = list(zip(*(table[c].to_pylist() for c in ("x1", "y1", "x2", "y2")), strict=True))
-    texts, cluster = [(t or "").lower() for t in table["text"].to_pylist()], [-1] * len(table)
-    for i, seed in enumerate(boxes):
-        if cluster[i] >= 0:
-            continue
-        cluster[i] = i
-        for j in range(i + 1, len(boxes)):
-            box = boxes[j]
-            if box[1] >= seed[3]:
-                break
-            if cluster[j] >= 0:
-                continue
-            tall = max(0, min(seed[3], box[3]) - max(seed[1], box[1])) / (min(seed[3] - seed[1], box[3] - box[1]) + 1e-5)
-            if iou(seed, box) > 0.35 or (tall > 0.65 and alike(texts[i], texts[j], 0.4)):
-                cluster[j] = i
-    return table.append_column("cluster", pa.array(cluster, pa.int64())).append_column("place", pa.array(range(len(table)), pa.int64()))
+    x1, y1, x2, y2 = (table[c].to_numpy() for c in ("x1", "y1", "x2", "y2"))
+    image = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(table))))
+    low, high = min(y1.min(), y2.min()), max(y1.max(), y2.max())
+    line = image * (high - low + 1)  # images one below the other
+    place = np.arange(len(table))
+    count = np.maximum(np.searchsorted(y1 - low + line, y2 - low + line, "left") - place - 1, 0)
+    i = np.repeat(place, count)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + i + 1
+    wide, tall = np.minimum(x2[i], x2[j]) - np.maximum(x1[i], x1[j]), np.maximum(0, np.minimum(y2[i], y2[j]) - np.maximum(y1[i], y1[j]))
+    both, area = np.maximum(0, wide) * tall, (x2 - x1) * (y2 - y1)
+    union = area[i] + area[j] - both
+    one = np.where(union > 0, both / np.where(union > 0, union, 1), 0) > 0.35
+    near = one | (tall / (np.minimum(y2[i] - y1[i], y2[j] - y1[j]) + 1e-5) > 0.65)
+    return i[near], j[near], one[near]
+
+
+def _clustered(table: pa.Table) -> pa.Table:
+    """Whole images' boxes, sorted, with cluster and place. Greedy: the first box not yet taken takes all boxes not yet taken that match it."""
+    ids = table["image_id"].combine_chunks()
+    starts = np.concatenate([[0], pc.run_end_encode(ids).run_ends.to_numpy()[:-1]]).astype(np.int64)
+    texts = [(t or "").lower() for t in table["text"].to_pylist()]
+    taken = np.full(len(table), -1).tolist()
+    for i, j, one in zip(*(x.tolist() for x in _neighbours(table, starts)), strict=True):
+        if taken[i] < 0:
+            taken[i] = i
+        if taken[i] == i and taken[j] < 0 and (one or alike(texts[i], texts[j], 0.4)):
+            taken[j] = i
+    place = np.arange(len(table))
+    begin = np.repeat(starts, np.diff(np.append(starts, len(table))))
+    cluster = np.where(np.array(taken) < 0, place, taken) - begin
+    return table.append_column("cluster", pa.array(cluster)).append_column("place", pa.array(place - begin))
 
 
 def clusters(boxes: DataFrame) -> DataFrame:
-    """Boxes with the cluster they are in (the place of its first box) and their place, image by image.
+    """Boxes with the cluster they are in (the place of its first box in their image) and their place, from top to bottom and left to right.
 
-    The order decides who takes whom, so an image is one group; a photo has tens of boxes.
+    The order decides who takes whom. Images are sorted together and cut out of the stream of batches, many at a time; an
+    image that goes on in the next batch waits for it.
     """
     schema = boxes.select(CLUSTER_COLUMNS).withColumns({"cluster": F.lit(0).cast("long"), "place": F.lit(0).cast("long")}).schema
-    return boxes.select(CLUSTER_COLUMNS).groupBy("image_id").applyInArrow(_clusters, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            ends = pc.run_end_encode(table["image_id"].combine_chunks()).run_ends.to_numpy()
+            cut = int(ends[-2]) if len(ends) > 1 else 0
+            held = table.slice(cut)
+            if cut:
+                yield from _clustered(table.slice(0, cut).combine_chunks()).to_batches()
+        if held is not None:
+            yield from _clustered(held.combine_chunks()).to_batches()
+
+    return boxes.select(CLUSTER_COLUMNS).repartition("image_id").sortWithinPartitions("image_id", "y1", "x1", "engine", "idx").mapInArrow(run, schema)
 
 
 def readable_share(text: Column) -> Column:

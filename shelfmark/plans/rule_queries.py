@@ -47,6 +47,10 @@ EDITED = {
     "v_edits": """SELECT *, e IS NOT NULL AND e IS DISTINCT FROM value AS changed FROM (SELECT *, CASE WHEN field_name = 'mrp' AND image_id % 4 = 0 THEN '99.00'
         WHEN field_name = 'net_quantity' AND image_id % 6 = 0 THEN '250 g' WHEN field_name = 'country_of_origin' AND image_id % 9 = 0 THEN value END AS e FROM v_fields)""",
     "v_edited": """SELECT image_id, field_name, coalesce(e, value) AS value, coalesce(e, value) AS raw_text, CASE WHEN coalesce(e, value, '') <> '' THEN 'CONFIRMED' ELSE 'MISSING' END AS status FROM v_edits"""}
+CHECKED = {"v_checked": """SELECT image_id, field_name, CASE WHEN verified AND image_id % 6 = 0 THEN coalesce(upper(value), value) ELSE value END AS value,
+    CASE WHEN verified AND image_id % 4 = 0 THEN coalesce('read: ' || value, raw_text) ELSE raw_text END AS raw_text, CASE WHEN verified THEN greatest(coalesce(confidence, 0), 95) ELSE confidence END AS confidence,
+    CASE WHEN verified AND image_id % 5 = 0 THEN 'CONFIRMED' WHEN verified AND image_id % 5 = 1 THEN 'CONFLICTING' ELSE status END AS status, CASE WHEN verified AND image_id % 7 = 0 THEN 'blurred' END AS visual_notes,
+    CASE WHEN verified THEN 'EnsembleOCR+External' ELSE 'EnsembleOCR' END AS source_model FROM (SELECT *, field_name IN ('mrp', 'net_quantity') AS verified FROM v_fields)"""}
 _scores = lambda df: df.select("image_id", *_NAMES, "score_tenths")
 _evaluated = lambda spark, d: rules.evaluate(rules.wide(fields(spark, d)))
 _longs = lambda df: df.select(*(F.col(c).cast("long").alias(c) if k == "int" else F.col(c) for c, k in df.dtypes))
@@ -85,9 +89,7 @@ ORACLES = {
         CAST(round_even(coalesce(sum(confidence), 0) * 10.0::DOUBLE / count(*), 0) AS BIGINT) AS overall_milli FROM v_fields GROUP BY image_id"""),
     "q_declaration_rows": _sql("""SELECT image_id, field_name, value AS detected_value, coalesce(status, '') <> 'MISSING' AS is_present, CAST(coalesce(confidence, 90) AS BIGINT) AS stored_confidence,
         CASE WHEN coalesce(confidence, 0) > 60 THEN 'PASS' ELSE 'FLAGGED' END AS readability FROM v_fields"""),
-    "q_external_merge": _sql("""SELECT image_id, field_name, CASE WHEN verified THEN coalesce(seen, value) ELSE value END AS value, CASE WHEN verified THEN greatest(coalesce(confidence, 0), 95) ELSE confidence END AS confidence,
-        CASE WHEN verified THEN 'CONFIRMED' ELSE status END AS status, CASE WHEN verified THEN 'EnsembleOCR+External' ELSE 'EnsembleOCR' END AS source_model FROM (SELECT *, field_name IN ('mrp', 'net_quantity') AS verified,
-        CASE WHEN image_id % 6 = 0 THEN upper(value) END AS seen FROM v_fields)"""),
+    "q_external_merge": _sql("SELECT * FROM v_checked", more=CHECKED),
     "q_report_rows": _sql("""SELECT f.image_id, string_agg(field_name || '=' || substr(coalesce(value, 'NOT DETECTED'), 1, 45)
         || ' [' || CASE WHEN field_name IN ('mrp', 'net_quantity') THEN 'EnsembleOCR+External' ELSE 'EnsembleOCR' END || '] ' || CASE WHEN field_name IN ('mrp', 'net_quantity')
         THEN greatest(coalesce(confidence, 0), 95) ELSE coalesce(confidence, 0) END || '.0%', '; ' ORDER BY field_name) AS lines, any_value(score_tenths) AS score_tenths,
