@@ -64,9 +64,23 @@ def inspection_documents(inspections: DataFrame, stores: DataFrame, users: DataF
                        "officer_verified", "supervisor_status", "fee", "image_path", "evidence_image_path", "sync_status", empty(decs, "declarations"), empty(viols, "violations"))
 
 
-def rules_catalog(rules: DataFrame) -> DataFrame:
+def rules_catalog(rules: DataFrame, violations: DataFrame) -> DataFrame:
+    """The rules by code, with the fee that is due by default and how often each was broken."""
     fee = F.when(F.col("severity") == "CRITICAL", 10000).otherwise(5000)
-    return rules.select("rule_code", "category", "severity", fee.alias("fee"), "legal_reference", F.col("legal_reference").alias("rule_clause")).orderBy("rule_code")
+    broken = violations.groupBy("rule_code").agg(F.count(F.lit(1)).alias("n"))
+    return rules.join(broken, "rule_code", "left").select(
+        "rule_code", "category", "severity", fee.alias("fee"), "legal_reference", F.col("legal_reference").alias("rule_clause"), F.coalesce("n", F.lit(0)).alias("violations_count")).orderBy("rule_code")
+
+
+def traceability(matrix: DataFrame, declarations: DataFrame) -> DataFrame:
+    """The statutory matrix, with how many declarations of each row's fields there are and how many of those are present.
+
+    ``matrix`` has in ``field_names`` the fields that a row is about, none if no field is; ``declarations``: field_name, is_present.
+    """
+    counts = declarations.groupBy("field_name").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_present").alias("present"))
+    fields = matrix.select("declaration", F.explode("field_names").alias("field_name")).join(counts, "field_name").groupBy("declaration").agg(F.sum("n").alias("n"), F.sum("present").alias("present"))
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
+    return matrix.drop("field_names").join(fields, "declaration", "left").select(*matrix.drop("field_names").columns, zero("n", "declared"), zero("present", "present"))
 
 
 def users_by_role(users: DataFrame, role: str | None = None) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_AMOUNT = 5000
-BROADCAST_STORES = 1_000_000  # counts of 16 bytes
+# What an offence may cost.
+FIRST_SCALE = "FIRST OFFENCE — Penalty up to ₹25,000 per violation under Section 36(1)"
+REPEAT_SCALE = "SECOND / SUBSEQUENT OFFENCE — Penalty up to ₹50,000 / ₹1,00,000 or imprisonment under Section 36(1)"
 
 
 def compounding(amount: Column) -> Column:
@@ -17,13 +19,11 @@ def compounding(amount: Column) -> Column:
 def repeat_offenders(inspections: DataFrame) -> DataFrame:
     """Whether another non-compliant inspection of the same store exists; inspections without a store count as one store.
 
-    The counts of each store are made first (with map-side sums). Up to BROADCAST_STORES of them are broadcast, so the
-    inspections stay where they are, whatever one store's share; beyond that, the join splits a store that is skewed.
+    The counts of each store are made first (with map-side sums), and one row a store is joined; where those are few Spark
+    broadcasts them at run time, and else it splits a store that is skewed.
     """
     bad = F.col("compliance_status") == "NON_COMPLIANT"
     per_store = inspections.groupBy(F.col("store_id").alias("of_store")).agg(F.count_if(bad).alias("n_bad"))
-    if per_store.count() <= BROADCAST_STORES:
-        per_store = F.broadcast(per_store)
     return inspections.join(per_store, F.col("store_id").eqNullSafe(F.col("of_store"))).select(
         "inspection_id", (F.col("n_bad") - F.when(bad, 1).otherwise(0) > 0).alias("is_repeat"))
 
@@ -44,6 +44,26 @@ def memo_text(inspections: DataFrame, violations: DataFrame) -> DataFrame:
         F.lit(" | total: ₹"), F.format_number(F.coalesce("total", F.lit(0).cast("decimal(28,2)")), 2)).alias("memo"))
 
 
+def penalty_memos(inspections: DataFrame, violations: DataFrame) -> DataFrame:
+    """The memo of each inspection (image_id, inspection_number, store_id, compliance_status): whether it is a repeat, the penalty scale, its charges and what they come to.
+
+    ``violations``: inspection_number, place (their order), rule_code, legal_reference, detected_value, issue, severity,
+    compounding_amount. Charges are counted from 1; an inspection has at most one a template, so they are one row.
+    """
+    charge = F.struct("place", "rule_code", "legal_reference", "detected_value", "issue", "severity", compounding(F.col("compounding_amount")).alias("liability"))
+    per = violations.groupBy("inspection_number").agg(F.sort_array(F.collect_list(charge)).alias("charges"), F.sum(compounding(F.col("compounding_amount"))).cast("decimal(28,2)").alias("total"))
+    money = lambda c: F.concat(F.lit("₹"), F.format_number(c, 2))
+    text = F.transform("charges", lambda v, i: F.concat(
+        F.lit("["), (i + 1).cast("string"), F.lit("] Charge under "), v["legal_reference"], F.lit(":\n    - Offence: "), v["issue"], F.lit("\n    - Stamped/Detected Value: '"), v["detected_value"],
+        F.lit("'\n    - Severity: "), v["severity"], F.lit("\n    - Proposed Compounding Composition: "), money(v["liability"])))
+    repeats = repeat_offenders(inspections.withColumnRenamed("image_id", "inspection_id")).withColumnRenamed("inspection_id", "image_id")
+    rows = inspections.select("image_id", "inspection_number").join(repeats, "image_id").join(per, "inspection_number", "left")
+    total = F.coalesce("total", F.lit(0).cast("decimal(28,2)"))
+    return rows.select(
+        "inspection_number", "is_repeat", F.when(F.col("is_repeat"), REPEAT_SCALE).otherwise(FIRST_SCALE).alias("penalty_scale"), F.coalesce(F.size("charges"), F.lit(0)).cast("long").alias("n_charges"),
+        F.coalesce(F.array_join(text, "\n"), F.lit("")).alias("charges"), total.alias("total_compounding_fee"), money(total).alias("total_text"))
+
+
 def rule_lookup(violations: DataFrame, rules: DataFrame) -> DataFrame:
     """How often each rule was broken with each severity, beside the rule's own severity; unknown codes stay, with nulls."""
     counts = violations.groupBy("rule_code", "severity").agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import creation, payloads
 from shelfmark.operators import fields as field_ops
-from shelfmark.operators import workflow
+from shelfmark.operators import memos, workflow
 from shelfmark.plans import rule_queries, statutory
 from shelfmark.sources import dimensions, labels
 from shelfmark.sources import registry_views as views
@@ -46,6 +46,12 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
     return payloads.results(checked, made)
 
 
+def _notices(spark: SparkSession, d: str) -> DataFrame:
+    """Memos of the created inspections; stores by their code, so that each new store is one of its own."""
+    made = created(spark, d).select("image_id", "inspection_number", F.col("store_code").alias("store_id"), "compliance_status")
+    return memos.penalty_memos(made, creation.violations(requests(spark, d), requested_fields(spark, d), dimensions.rules(spark)))
+
+
 QUERIES = {
     "q_create_store": lambda spark, d: creation.stores(_store_requests(spark, d)),
     "q_new_stores": lambda spark, d: creation.new_stores(requests(spark, d), views.stores(spark, d)),
@@ -54,6 +60,7 @@ QUERIES = {
     "q_created_violations": lambda spark, d: creation.violations(requests(spark, d), requested_fields(spark, d), dimensions.rules(spark)),
     "q_created_audits": lambda spark, d: creation.audits(created(spark, d)),
     "q_verify_inspection": _verified,
+    "q_penalty_notices": _notices,
     "q_payload_entries": lambda spark, d: payloads.entries(sent.submissions(spark, d)).select("offline_id", "field_name", "kind"),
     "q_payload_declarations": lambda spark, d: payloads.declared(payloads.entries(sent.submissions(spark, d))).drop("raw_text", "status"),
     "q_sync_results": _results,
@@ -106,6 +113,12 @@ ORACLES = {
     "q_created_audits": created_sql("""SELECT officer_id, 'INSPECTION_CREATED' AS action, 'INSPECTION' AS target_type, inspection_number AS target_id,
         '{"score_tenths":' || score_tenths || ',"status":"' || compliance_status || '","violations_count":' || violations_count || '}' AS details FROM v_created"""),
     "q_verify_inspection": _verified_sql(),
+    "q_penalty_notices": created_sql("""SELECT inspection_number, is_repeat, CASE WHEN is_repeat THEN 'SECOND / SUBSEQUENT OFFENCE — Penalty up to ₹50,000 / ₹1,00,000 or imprisonment under Section 36(1)'
+        ELSE 'FIRST OFFENCE — Penalty up to ₹25,000 per violation under Section 36(1)' END AS penalty_scale, coalesce(n, 0) AS n_charges, coalesce(charges, '') AS charges, CAST(coalesce(total, 0) AS DECIMAL(28,2)) AS total_compounding_fee,
+        '₹' || format('{:,.2f}', CAST(coalesce(total, 0) AS DOUBLE)) AS total_text FROM (SELECT c.inspection_number, (SELECT count(*) FROM v_created o WHERE o.store_code = c.store_code AND o.compliance_status = 'NON_COMPLIANT'
+        AND o.image_id <> c.image_id) > 0 AS is_repeat, v.* FROM v_created c LEFT JOIN (SELECT image_id AS i, count(*) AS n, sum(amount) AS total, string_agg('[' || (place + 1) || '] Charge under ' || legal_reference || ':' || chr(10)
+        || '    - Offence: ' || issue || chr(10) || '    - Stamped/Detected Value: ' || chr(39) || detected_value || chr(39) || chr(10) || '    - Severity: ' || severity || chr(10) || '    - Proposed Compounding Composition: ₹'
+        || format('{:,.2f}', CAST(amount AS DOUBLE)), chr(10) ORDER BY place) AS charges FROM v_documents GROUP BY 1) v ON v.i = c.image_id)"""),
     "q_payload_entries": created_sql(f"""SELECT f.image_id AS offline_id, field_name, 'OBJECT' AS kind FROM {_CREATABLE} UNION ALL SELECT offline_id, n, k FROM v_sent,
         (VALUES ('note', 'STRING'), ('count', 'BIGINT'), ('gone', 'VOID'), ('list', 'ARRAY')) x(n, k) WHERE error IS NULL UNION ALL SELECT offline_id, 'mrp', 'STRING' FROM v_sent WHERE error = 'FIELD_NOT_AN_OBJECT'"""),
     "q_payload_declarations": created_sql(f"""SELECT f.image_id AS offline_id, field_name, value AS detected_value, value AS normalized_value, CASE WHEN field_name = 'net_quantity' THEN 'g' END AS unit,

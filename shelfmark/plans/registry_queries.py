@@ -87,8 +87,8 @@ QUERIES = {
     "q_inspection_detail": lambda spark, d: listings.inspection_detail(views.inspections(spark, d), views.stores(spark, d), views.users(spark, d), views.violations(spark, d)),
     "q_inspection_documents": _documents,
     "q_inspection_by_id": lambda spark, d: _documents(spark, d, 7),
-    "q_rules_catalog": lambda spark, d: listings.rules_catalog(dimensions.rules(spark)),
-    "q_traceability": lambda spark, d: dimensions.traceability(spark),
+    "q_rules_catalog": lambda spark, d: listings.rules_catalog(dimensions.rules(spark), views.violations(spark, d)),
+    "q_traceability": lambda spark, d: listings.traceability(dimensions.traceability(spark), field_ops.declaration_rows(fields(spark, d))),
     "q_stores": lambda spark, d: views.stores(spark, d).select("store_id", "store_code", "store_name", "city", "state", F.col("fssai_license").alias("fssai")).orderBy("store_name", "store_id"),
     "q_users_by_role": lambda spark, d: listings.users_by_role(views.users(spark, d), "SUPERVISOR"),
     "q_audit_tail": lambda spark, d: audit_tail(_audit(spark, d)),
@@ -102,6 +102,12 @@ QUERIES = {
     "q_severity_per_inspection": lambda spark, d: memos.severity_counts(views.violations(spark, d)),
 }
 
+#: Which fields a row of the matrix is about, by words of its name.
+_ABOUT = """CASE WHEN t.declaration LIKE 'Generic%' THEN f.field_name = 'product_name' WHEN t.declaration LIKE 'Manufacturer%' THEN f.field_name IN ('manufacturer_name', 'manufacturer_address')
+    WHEN t.declaration LIKE 'Net Quantity%' THEN f.field_name = 'net_quantity' WHEN t.declaration LIKE 'Month%' THEN f.field_name = 'manufacturing_date' WHEN t.declaration LIKE 'Maximum%' THEN f.field_name = 'mrp'
+    WHEN t.declaration LIKE 'Consumer%' THEN f.field_name = 'consumer_care' WHEN t.declaration LIKE 'Country%' THEN f.field_name = 'country_of_origin' WHEN t.declaration LIKE 'Batch%' THEN f.field_name = 'batch_number'
+    WHEN t.declaration LIKE 'Best Before%' THEN f.field_name = 'expiry_date' ELSE FALSE END"""
+
 ORACLES = {
     "q_inspection_list": _list_sql(),
     "q_inspection_list_by_status": _list_sql("WHERE i.compliance_status = 'NON_COMPLIANT'"),
@@ -113,9 +119,10 @@ ORACLES = {
         string_agg(rule_code || ':' || severity || ':' || CAST(amount AS VARCHAR), ',' ORDER BY rule_code, severity, amount) AS codes FROM v_violations GROUP BY 1) v ON v.inspection_id = i.inspection_id"""),
     "q_inspection_documents": _documents_sql(),
     "q_inspection_by_id": _documents_sql("WHERE i.inspection_id = 7"),
-    "q_rules_catalog": "SELECT rule_code, category, severity, CASE WHEN severity = 'CRITICAL' THEN 10000 ELSE 5000 END AS fee, legal_reference, legal_reference AS rule_clause FROM ("
-        + dimensions.RULES_SQL + ") ORDER BY rule_code",
-    "q_traceability": dimensions.TRACEABILITY_SQL,
+    "q_rules_catalog": views.with_views("""SELECT r.rule_code, r.category, r.severity, CASE WHEN r.severity = 'CRITICAL' THEN 10000 ELSE 5000 END AS fee, r.legal_reference, r.legal_reference AS rule_clause,
+        (SELECT count(*) FROM v_violations v WHERE v.rule_code = r.rule_code) AS violations_count FROM (""" + dimensions.RULES_SQL + ") r ORDER BY r.rule_code"),
+    "q_traceability": labels.with_views(f"""SELECT t.*, (SELECT count(*) FROM v_fields f WHERE {_ABOUT}) AS declared, (SELECT count(*) FROM v_fields f WHERE {_ABOUT} AND coalesce(f.status, '') <> 'MISSING') AS present
+        FROM ({dimensions.TRACEABILITY_SQL}) t""", FIELD_SQL),
     "q_stores": views.with_views("SELECT store_id, store_code, store_name, city, state, fssai_license AS fssai FROM v_stores"),
     "q_users_by_role": views.with_views("SELECT user_id, officer_code, full_name, role, is_active FROM v_users WHERE role = 'SUPERVISOR'"),
     "q_audit_tail": """SELECT event_id AS log_id, upper(event_type) AS action, user_id AS officer_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS logged_text

@@ -48,13 +48,21 @@ TRACEABILITY = [
 ]
 
 
+#: The fields that rows of the matrix are about.
+FIELDS_OF = {"Generic / Common Name": ["product_name"], "Manufacturer / Packer Name & Complete Address": ["manufacturer_name", "manufacturer_address"], "Net Quantity in Standard SI Units": ["net_quantity"],
+             "Month & Year of Manufacture / Packing": ["manufacturing_date"], "Maximum Retail Price (MRP) with (Inclusive of all taxes)": ["mrp"], "Consumer Care Helpline & Email": ["consumer_care"],
+             "Country of Origin / Manufacture": ["country_of_origin"], "Batch / Lot / Code Number": ["batch_number"], "Best Before / Expiry / Use By Date": ["expiry_date"]}
+
+
 def rules(spark: SparkSession) -> DataFrame:
     """The rules with ``rule_id``, their place in the list from 1."""
     return spark.createDataFrame([(*r, i) for i, r in enumerate(RULES, 1)], ", ".join(f"{c} string" for c in RULE_COLUMNS) + ", rule_id long")
 
 
 def traceability(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TRACEABILITY, ", ".join(f"{c} {'boolean' if c == 'compounding_eligible' else 'string'}" for c in TRACEABILITY_COLUMNS))
+    """The matrix, with ``field_names``, the fields that each row is about."""
+    rows = [(*r, FIELDS_OF.get(r[0], [])) for r in TRACEABILITY]
+    return spark.createDataFrame(rows, ", ".join(f"{c} {'boolean' if c == 'compounding_eligible' else 'string'}" for c in TRACEABILITY_COLUMNS) + ", field_names array<string>")
 
 
 def _values(rows: list[tuple], columns: tuple[str, ...]) -> str:
