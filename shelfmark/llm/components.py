@@ -1,4 +1,4 @@
-"""Connected components of a graph given as edges, by hooking to the smallest neighbour, pointer jumping and contraction."""
+"""Connected components of a graph given as edges, by local contraction: every node goes to the neighbour that a seeded hash puts first."""
 
 from __future__ import annotations
 
@@ -6,65 +6,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.skew import join_counted, most_rows
-from shelfmark.llm.storage import drop, written
+from shelfmark.llm.storage import drop, measured, written
 
 
-def _with(rows: DataFrame, key: str, known: DataFrame, at: str, value: str) -> DataFrame:
-    """``rows`` with the column ``value`` that ``known`` has for their ``key`` (its column ``at``, which repeats no value); null where it has none.
+def _measured(df: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int]]:
+    """A table with a count ``n`` in each row, written; the sum of the counts and the largest."""
+    out, found = measured(df, name, total=F.coalesce(F.sum("n"), F.lit(0)), most=F.coalesce(F.max("n"), F.lit(0)))
+    return out, (found.get("total", 0), found.get("most", 0))
 
-    If a key is hot, the keys are made distinct and look for their row before the rows are joined with them.
-    """
-    count = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    found = known.select(F.col(at).alias(key), value)
-    total, most = count.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
-    if most <= most_rows(rows, total):
-        return written(rows.join(found, key, "left"), "joined")
-    side = written(count.join(found, key, "left"), "side")
-    out = written(join_counted(rows, side, [key], "_n"), "joined")
-    drop(side)
-    return out
+
+def _hops(left: DataFrame, seed: int) -> tuple[DataFrame, tuple[int, int]]:
+    """Rows (node, to, n) for the nodes of ``left``: the first by hash of the node and its neighbours, and its number of edges."""
+    both = left.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+    rank = lambda c: F.xxhash64(F.lit(seed), c)
+    near = both.groupBy("a").agg(F.min(rank("b")).alias("rank"), F.min_by("b", rank("b")).alias("first"), F.count(F.lit(1)).alias("n"))
+    return _measured(near.select(F.col("a").alias("node"), F.when(F.col("rank") < rank("a"), F.col("first")).otherwise(F.col("a")).alias("to"), "n"), "hops")
 
 
-def _roots(hops: DataFrame) -> DataFrame:
-    """Rows (a, up), up below a, to (a, up, first): up followed to its end; ``first`` is what it was."""
-    hops = hops.withColumn("first", F.col("up"))
-    while True:
-        far = hops.select(F.col("a").alias("at"), F.col("up").alias("far"))
-        if hops.select("up").distinct().join(far, F.col("up") == F.col("at"), "left_semi").isEmpty():
-            return hops
-        step = _with(hops, "up", far, "at", "far")
-        drop(hops)
-        hops = step.select("a", F.coalesce("far", "up").alias("up"), "first")
+def _contracted(left: DataFrame, hops: DataFrame, known: tuple[int, int]) -> tuple[DataFrame, int]:
+    """The edges of ``left`` between what ``hops`` makes of their ends, without loops and repeats, and how many they are."""
+    at = lambda end, to: hops.select(F.col("node").alias(end), F.col("to").alias(to), "n")
+    ends = join_counted(left, at("a", "x"), ["a"], "n", known)
+    hot = known[1] > most_rows(left, known[0])
+    if hot:  # it is read twice
+        ends = written(ends, "ends")
+    moved = join_counted(ends, at("b", "y"), ["b"], "n", known).where("x <> y")
+    out, found = measured(moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges", n=F.count(F.lit(1)))
+    if hot:
+        drop(ends)
+    return out, found.get("n", 0)
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """Rows (a, b) of longs to rows (node, component): the smallest node that can be reached, for every node of an edge.
 
-    Each round hooks every node onto its smallest neighbour, if that is smaller, follows the hooks to their roots, and
-    puts the roots in the edges' places. A root that nothing was hooked onto has only neighbours that went to smaller
-    ones, so it is hooked in the next round: two rounds at least halve the nodes, whatever the graph, and following
-    takes the logarithm of a chain's hooks. Nothing but whether edges are left and hooks moved comes to the driver.
-    A node with any number of edges, and a component of any size, fills no task. Loops and repeated edges do no harm;
-    null ends are dropped.
+    Each round sends every node to the first of itself and its neighbours, by a hash with the round's own seed, and puts
+    where they went in the edges' places. That keeps what is connected with what, and as no order of names matters, the
+    nodes shrink by a constant factor a round on average (a half on a chain, more where nodes have more edges). Two
+    jobs make a round; that edges are left, and how many edges a node has, is measured while tables are written, and
+    is all that comes to the driver. A node with any number of edges, and a component of any size, fills no task. Loops
+    and repeated edges do no harm; null ends are dropped.
     """
-    left = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    rounds = []
-    while not left.isEmpty():
-        hops = _roots(written(left.groupBy("a").agg(F.min("b").alias("up")), "hops"))
+    left, found = measured(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", n=F.count(F.lit(1)))
+    n, rounds = found.get("n", 0), []
+    while n:
+        hops, known = _hops(left, len(rounds))
+        rest, n = _contracted(left, hops, known)
         rounds.append(hops)
-        ends = _with(left, "a", hops, "a", "up")  # of an edge that hooked its node, the other end comes to the same root
-        moved = _with(ends.select(F.col("up").alias("x"), "b"), "b", hops.select(F.col("a").alias("at"), F.col("up").alias("y")), "at", "y")
-        ends_of = moved.select("x", F.coalesce("y", "b").alias("y"))
-        rest = written(ends_of.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
-        for table in (ends, moved, left):
-            drop(table)
+        drop(left)
         left = rest
-    drop(left)
-    labels = left.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
-    for hops in reversed(rounds):  # a node is hooked in one round; its root may have been in a later one
-        now = _with(hops.select("a", "up"), "up", labels, "node", "component")
-        step = written(now.select(F.col("a").alias("node"), F.coalesce("component", "up").alias("component")).unionByName(labels), "labels")
-        for table in (hops, now, labels):
+    if not rounds:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
+    last = rounds.pop()
+    labels = last.select("node", F.col("to").alias("component"))
+    for hops in reversed(rounds):  # where a node went may have gone on in later rounds
+        went = hops.groupBy("to").agg(F.count(F.lit(1)).alias("n"))
+        side, known = _measured(went.join(labels.withColumnRenamed("node", "to"), "to", "left").select("to", "n", F.coalesce("component", "to").alias("component")), "side")
+        step = written(join_counted(hops.select("node", "to"), side, ["to"], "n", known).select("node", "component"), "labels")
+        for table in (hops, side, labels):
             drop(table)
         labels = step
-    return labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
+    least, known = _measured(labels.groupBy("component").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")), "least")
+    return join_counted(labels, least, ["component"], "n", known).select("node", F.col("least").alias("component"))

@@ -14,14 +14,16 @@ def most_rows(rows: DataFrame, total: int) -> int:
     return max(LEAST_HOT, total // (HOT_KEYS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """``rows`` joined with ``side``, which has one row a key and in ``n`` how many of ``rows`` have the key; ``n`` is dropped.
+def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], n: str, known: tuple[int, int] | None = None) -> DataFrame:
+    """``rows`` joined with ``side``, which has one row a key and in ``n`` how many of ``rows`` have the key (or a bound); ``n`` is dropped.
+
+    ``known`` is the sum of ``n`` and the largest, where the caller has them; else a job asks for them.
 
     A key that holds more than its share of a shuffle partition is hot. There can be no more of those than HOT_KEYS a
     partition, so they are broadcast, and their rows stay where they are; all others are joined as usual. Both tables
     are read more than once and should be written ones. Null keys join with nothing.
     """
-    total, most = side.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    total, most = known or side.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
     limit = most_rows(rows, total)
     if most <= limit:
         return rows.join(side.drop(n), keys)

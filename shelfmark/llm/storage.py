@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 BATCH_BYTES = 4 << 20  # of rows that go to Python in one batch
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -55,6 +55,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, name: str, **totals: Column) -> tuple[DataFrame, dict]:
+    """``df`` as from ``written``, and aggregates over all its rows, taken as they are written: no job of their own.
+
+    Where Spark finds beforehand that there are no rows, the aggregates may be missing.
+    """
+    seen = Observation()
+    return written(df.observe(seen, *(c.alias(k) for k, c in totals.items())), name), seen.get
+
+
 def drop(df: DataFrame) -> None:
     """Deletes the files of a table that ``written`` made and that no later step reads."""
     spark = df.sparkSession
