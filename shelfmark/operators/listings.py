@@ -53,6 +53,7 @@ def inspection_documents(inspections: DataFrame, stores: DataFrame, users: DataF
     """
     if inspection_id is not None:
         inspections, violations = (df.where(F.col("inspection_id") == inspection_id) for df in (inspections, violations))
+        declarations = declarations.join(F.broadcast(inspections.select("image_id")), "image_id", "left_semi")  # one row
     nested = lambda df, key, columns, name: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
     decs = nested(declarations, "image_id", ["field_name", "detected_value", "is_present", "stored_confidence", "readability"], "declarations")
     viols = nested(violations, "inspection_id", ["rule_code", "category", "severity", "amount"], "violations")

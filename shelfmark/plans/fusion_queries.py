@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import fusion
 from shelfmark.sources import labels
-from shelfmark.sources.tables import table
+from shelfmark.sources.tables import parts
 
 ENGINES = ["alpha", "beta", "gamma"]
 VARIANTS = ["original", "deskewed", "contrast", "smooth", "threshold", "sharp", "boosted"]
@@ -30,7 +30,7 @@ _BOXES = {"v_engine": """SELECT image_id, engine, idx, CASE WHEN k % 31 = 0 THEN
 def detections(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     boxes = [F.struct(F.lit(m).alias("model"), (k * (i + 3) % 180).alias("x1"), (k * (i + 5) % 220).alias("y1"), (400 + k * (i + 7) % 200).alias("x2"), (380 + k * (i + 11) % 420).alias("y2")) for i, m in enumerate(ENGINES)]
-    return table(spark, d, "part").select(k.alias("image_id"), F.lit(600).alias("width"), F.lit(800).alias("height"), F.explode(F.array(*boxes)).alias("b")).select("image_id", "width", "height", "b.*")
+    return parts(spark, d).select(k.alias("image_id"), F.lit(600).alias("width"), F.lit(800).alias("height"), F.explode(F.array(*boxes)).alias("b")).select("image_id", "width", "height", "b.*")
 
 
 _DETECTIONS = "WITH v_det AS (" + " UNION ALL ".join(f"SELECT p_partkey AS image_id, '{m}' AS model, p_partkey * {i + 3} % 180 AS x1, p_partkey * {i + 5} % 220 AS y1, 400 + p_partkey * {i + 7} % 200 AS x2, 380 + p_partkey * {i + 11} % 420 AS y2 FROM part" for i, m in enumerate(ENGINES)) + ") "
@@ -39,7 +39,7 @@ _DETECTIONS = "WITH v_det AS (" + " UNION ALL ".join(f"SELECT p_partkey AS image
 def variants(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     rows = [F.struct(F.lit(i).alias("variant_no"), F.lit(v).alias("variant"), (k * (i + 2) % 10).alias("contrast"), (k * (i + 3) % 8).alias("sharpness"), (k * (i + 5) % 6).alias("edges")) for i, v in enumerate(VARIANTS)]
-    return table(spark, d, "part").select(k.alias("image_id"), F.explode(F.array(*rows)).alias("b")).select("image_id", "b.*")
+    return parts(spark, d).select(k.alias("image_id"), F.explode(F.array(*rows)).alias("b")).select("image_id", "b.*")
 
 
 def _similar(spark: SparkSession, d: str) -> DataFrame:

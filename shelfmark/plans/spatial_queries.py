@@ -10,7 +10,7 @@ from shelfmark.operators import analysis, spatial
 from shelfmark.plans.rule_queries import scored_views
 from shelfmark.plans.text_queries import BATCH_VALUE_SQL, CLEAN_BATCH_SQL, DATE_SQL, MRP_SQL, QUANTITY_SQL, sql_any
 from shelfmark.sources import labels
-from shelfmark.sources.tables import table
+from shelfmark.sources.tables import parts
 
 _boxes = labels.ocr_boxes
 _label = lambda kind, t="text": f"regexp_matches({t}, '(?i){P.LABELS[kind]}')"
@@ -66,7 +66,7 @@ def _codes(spark, d):
     """Decoded codes of two thirds of the images, two each."""
     k, code = F.col("p_partkey"), lambda seq, kind, lead: F.struct(F.lit(seq).alias("seq"), kind.alias("type"), F.concat(F.lit(lead), F.col("p_partkey").cast("string")).alias("data"))
     both = F.array(code(2, F.lit("QR"), "x"), code(1, F.when(k % 2 == 0, "EAN13").otherwise("QR"), "890"))
-    return table(spark, d, "part").where(k % 3 != 0).select(k.alias("image_id"), F.explode(both).alias("c")).select("image_id", "c.*")
+    return parts(spark, d).where(k % 3 != 0).select(k.alias("image_id"), F.explode(both).alias("c")).select("image_id", "c.*")
 
 
 def _analyzed(spark, d):
