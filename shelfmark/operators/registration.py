@@ -32,11 +32,10 @@ def register(ledger: Ledger, batch: str, requests: DataFrame, declared: DataFram
     made = creation.inspections(brought, fields, every, users).join(brought.select("image_id", "store_id", F.coalesce("remarks", F.lit(creation.REMARKS)).alias("remarks")), "image_id")
     inspections = numbered(made, ["image_id"], "inspection_id", stage("inspections"), start["inspections"])
 
-    ids = inspections.select("image_id", "inspection_id", "inspection_number", "officer_id")
-    declarations = numbered(ids.select("image_id", "inspection_id").join(declared.drop("raw_text", "status"), "image_id").drop("image_id"), ["inspection_id", "field_name"], "declaration_id",
+    ids = inspections.select("image_id", "inspection_id")
+    declarations = numbered(ids.join(declared.drop("raw_text", "status"), "image_id").drop("image_id"), ["inspection_id", "field_name"], "declaration_id",
                             stage("declarations"), start["declarations"])
-    found = creation.violations(requests, fields, rule_table).join(ids.select("inspection_number", "inspection_id"), "inspection_number").drop("inspection_number")
+    found = creation.violations(requests, fields, rule_table).join(ids, "image_id").drop("image_id", "inspection_number")
     violations = numbered(found, ["inspection_id", "place"], "violation_id", stage("violations"), start["violations"])
-    told = creation.audits(inspections).join(ids.select(F.col("inspection_number").alias("target_id"), "inspection_id"), "target_id")
-    audits = numbered(told, ["inspection_id"], "audit_id", stage("audits"), start["audits"])
+    audits = numbered(creation.audits(inspections, "inspection_id"), ["inspection_id"], "audit_id", stage("audits"), start["audits"])
     return ledger.publish(batch, {"stores": new, "inspections": inspections, "declarations": declarations, "violations": violations, "audits": audits} | (more or {}))
