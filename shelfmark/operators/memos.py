@@ -47,17 +47,17 @@ def memo_text(inspections: DataFrame, violations: DataFrame) -> DataFrame:
 def penalty_memos(inspections: DataFrame, violations: DataFrame) -> DataFrame:
     """The memo of each inspection (image_id, inspection_number, store_id, compliance_status): whether it is a repeat, the penalty scale, its charges and what they come to.
 
-    ``violations``: inspection_number, place (their order), rule_code, legal_reference, detected_value, issue, severity,
+    ``violations``: image_id, place (their order), rule_code, legal_reference, detected_value, issue, severity,
     compounding_amount. Charges are counted from 1; an inspection has at most one a template, so they are one row.
     """
     charge = F.struct("place", "rule_code", "legal_reference", "detected_value", "issue", "severity", compounding(F.col("compounding_amount")).alias("liability"))
-    per = violations.groupBy("inspection_number").agg(F.sort_array(F.collect_list(charge)).alias("charges"), F.sum(compounding(F.col("compounding_amount"))).cast("decimal(28,2)").alias("total"))
+    per = violations.groupBy("image_id").agg(F.sort_array(F.collect_list(charge)).alias("charges"), F.sum(compounding(F.col("compounding_amount"))).cast("decimal(28,2)").alias("total"))
     money = lambda c: F.concat(F.lit("₹"), F.format_number(c, 2))
     text = F.transform("charges", lambda v, i: F.concat(
         F.lit("["), (i + 1).cast("string"), F.lit("] Charge under "), v["legal_reference"], F.lit(":\n    - Offence: "), v["issue"], F.lit("\n    - Stamped/Detected Value: '"), v["detected_value"],
         F.lit("'\n    - Severity: "), v["severity"], F.lit("\n    - Proposed Compounding Composition: "), money(v["liability"])))
     repeats = repeat_offenders(inspections.withColumnRenamed("image_id", "inspection_id")).withColumnRenamed("inspection_id", "image_id")
-    rows = inspections.select("image_id", "inspection_number").join(repeats, "image_id").join(per, "inspection_number", "left")
+    rows = inspections.select("image_id", "inspection_number").join(repeats, "image_id").join(per, "image_id", "left")
     total = F.coalesce("total", F.lit(0).cast("decimal(28,2)"))
     return rows.select(
         "inspection_number", "is_repeat", F.when(F.col("is_repeat"), REPEAT_SCALE).otherwise(FIRST_SCALE).alias("penalty_scale"), F.coalesce(F.size("charges"), F.lit(0)).cast("long").alias("n_charges"),
