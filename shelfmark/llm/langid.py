@@ -100,9 +100,16 @@ class Model:
     weights: np.ndarray  # log probability, bucket by language
     apart: np.ndarray  # log-odds a character that a text of the language has on average against the nearest other one of the block
     ordered: np.ndarray  # the same against noise
-    spread: np.ndarray  # standard error of a one-character text's share of ``apart``, its n-grams taken as wholly dependent
-    noise_spread: np.ndarray  # the same of its share of ``ordered``, noise taken to vary as much as the language
-    used: np.ndarray  # whether a language of the block uses the characters of a bucket
+    spread: np.ndarray | None = None  # standard error of a one-character text's share of ``apart``, its n-grams taken as wholly dependent
+    noise_spread: np.ndarray | None = None  # the same of its share of ``ordered``, noise taken to vary as much as the language
+    used: np.ndarray | None = None  # whether a language of the block uses the characters of a bucket
+
+    def __post_init__(self) -> None:
+        """A model that is given without them has no errors, and its languages use every character."""
+        n = len(self.languages)
+        self.spread = np.zeros(n) if self.spread is None else self.spread
+        self.noise_spread = np.zeros(n) if self.noise_spread is None else self.noise_spread
+        self.used = np.ones(len(self.weights), bool) if self.used is None else self.used
 
 
 def train(rows: DataFrame, per_lang: dict[str, int], mask: str | None = None) -> Model:
