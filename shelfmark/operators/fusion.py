@@ -133,7 +133,7 @@ def fused(clustered: DataFrame, line: int = 25) -> DataFrame:
     """One row a cluster: its best text with confidence and engine, envelope, engines, number of boxes, and place in the reading order; clusters without any text are left out."""
     size = clustered.groupBy("image_id", "cluster").agg(
         F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("engine")), ",").alias("engines"),
-        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")).hint("merge")  # a row a cluster: never to be broadcast
     with_text = clustered.where(F.length("text") > 0).join(size.select("image_id", "cluster", "n"), ["image_id", "cluster"])
     score = 0.7 * F.col("confidence") + 0.2 * readable_share(F.col("text")) + F.least(F.lit(0.3), 0.15 * (F.col("n") - 1))
     best = with_text.groupBy("image_id", "cluster").agg(F.min(F.struct((-score).alias("s"), "place", "text", "confidence", "engine")).alias("b"))
