@@ -44,11 +44,11 @@ class Ledger:
         return sum(b["rows"][table] for b in self._live(table))
 
     def read(self, table: str, empty: DataFrame | None = None) -> DataFrame:
-        """All committed rows of a table; ``empty`` if there are none."""
+        """All committed rows of a table; ``empty`` if there are none. Never broadcast: columns that repeat make small files of many rows."""
         live = self._live(table)
         if not live and empty is not None:
             return empty.limit(0)
-        return self.spark.read.parquet(*(f"{self.root}/{table}/batch={b['batch']}" for b in live))
+        return self.spark.read.parquet(*(f"{self.root}/{table}/batch={b['batch']}" for b in live)).hint("merge")
 
     def publish(self, batch: str, tables: dict[str, DataFrame], replaces: dict[str, list[str]] | None = None) -> bool:
         """Writes the tables' rows and commits them together; False, and nothing done, if the batch is committed already."""
@@ -74,7 +74,8 @@ def numbered(df: DataFrame, order: list[str], name: str, staging: str, first: in
     """``df`` with ``name``: whole numbers from ``first`` without a gap in the order given, which must tell all rows apart.
 
     Rows are dealt into ranges and written to ``staging`` with their range; each range is counted, and its numbers begin
-    where those of the ranges before it end. No task sees more than a range, or one row a range.
+    where those of the ranges before it end. No task sees more than a range, or one row a range. What is numbered is never
+    broadcast, small as its files may be.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -83,4 +84,4 @@ def numbered(df: DataFrame, order: list[str], name: str, staging: str, first: in
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     begins = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return dealt.join(F.broadcast(begins), "_range").withColumn(name, (F.col("_before") + place + (first - 1)).cast("long")).drop("_range", "_before")
+    return dealt.join(F.broadcast(begins), "_range").withColumn(name, (F.col("_before") + place + (first - 1)).cast("long")).drop("_range", "_before").hint("merge")

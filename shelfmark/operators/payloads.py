@@ -45,9 +45,8 @@ def declared(entries: DataFrame, key: str = "offline_id") -> DataFrame:
         _text(e, "$.raw_text").alias("raw_text"), _text(e, "$.status").alias("status"))
 
 
-def error(payload: Column) -> Column:
-    """Why a payload can't be created, or null: it must be a JSON object, its fields (if it has any) an object, and so each of those that the rules read."""
-    doc = F.try_parse_json(payload)
+def error(doc: Column) -> Column:
+    """Why a payload, parsed, can't be created, or null: it must be a JSON object, its fields (if it has any) an object, and so each of those that the rules read."""
     fields = F.try_variant_get(doc, "$.extracted_fields", "variant")
     odd = F.lit(False)
     for name in rules.FIELDS:
@@ -60,10 +59,11 @@ def checked(submissions: DataFrame, key: str = "offline_id", payload: str = "pay
     """Each submission with its ``error``, and what it asks for: officer_code, store_id, store_name, store_address, category, remarks.
 
     What is merely odd, such as a price that is no number, or missing, such as the store, is created and is the rules' matter.
+    A payload is parsed once for all that is read of it, as a column of its own.
     """
-    doc = F.try_parse_json(payload)
+    doc = F.col("_doc")
     asked = {"officer_code": "$.officer_id", "store_name": "$.store_name", "store_address": "$.store_address", "category": "$.category", "remarks": "$.remarks"}
-    return submissions.select(key, payload, error(F.col(payload)).alias("error"), F.try_variant_get(doc, "$.store_id", "long").alias("store_id"), *(_text(doc, path).alias(c) for c, path in asked.items()))
+    return submissions.select(key, payload, F.try_parse_json(payload).alias("_doc")).select(key, payload, error(doc).alias("error"), F.try_variant_get(doc, "$.store_id", "long").alias("store_id"), *(_text(doc, path).alias(c) for c, path in asked.items()))
 
 
 def results(checked: DataFrame, created: DataFrame, key: str = "offline_id") -> DataFrame:

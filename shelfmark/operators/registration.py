@@ -22,13 +22,13 @@ def register(ledger: Ledger, batch: str, requests: DataFrame, declared: DataFram
     stage = lambda name: f"{ledger.root}/_staging/{batch}/{name}"
     start = {t: ledger.rows(t) + 1 for t in ("inspections", "declarations", "violations", "audits")}
     known = stores.select("store_id", "store_code", "store_name")
-    known = known.unionByName(ledger.read("stores", known).select(known.columns))
+    known = known.unionByName(ledger.read("stores", known).select(known.columns)).hint("merge")  # a union drops its sides' hints
     last = known.agg(F.coalesce(F.max("store_id"), F.lit(0))).first()[0]
     new = numbered(creation.new_stores(requests, known), ["image_id"], "store_id", stage("stores"), last + 1)
 
     fields = declared.select("image_id", "field_name", F.col("detected_value").alias("value"), "raw_text", "status")
     brought = requests.drop("store_id").join(new.select("image_id", "store_id"), "image_id").unionByName(requests.join(known.select("store_id"), "store_id", "left_semi").select(requests.drop("store_id").columns + ["store_id"]))
-    every = known.unionByName(new.select(known.columns))
+    every = known.unionByName(new.select(known.columns)).hint("merge")
     made = creation.inspections(brought, fields, every, users).join(brought.select("image_id", "store_id", F.coalesce("remarks", F.lit(creation.REMARKS)).alias("remarks")), "image_id")
     inspections = numbered(made, ["image_id"], "inspection_id", stage("inspections"), start["inspections"])
 

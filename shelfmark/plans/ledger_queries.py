@@ -20,14 +20,24 @@ from shelfmark.sources.shared import shared_path
 AT = datetime(1997, 1, 1)  # amid the orders' dates
 
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
+
+
 def registered(spark: SparkSession, d: str) -> Ledger:
-    """All submissions that can be created, in two batches, the second of which is tried twice."""
-    ledger = Ledger(spark, shared_path(spark, "registry"))
-    checked = payloads.checked(sent.submissions(spark, d)).where("error IS NULL")
+    """All submissions that can be created, in two batches, the second of which is tried twice.
+
+    Submissions and their declarations are written once, as every table of both batches reads them; the errors are among
+    what is written, so that the filter reads them and doesn't find them again.
+    """
+    root = shared_path(spark, "registry")
+    ledger = Ledger(spark, root)
+    checked = _stored(payloads.checked(sent.submissions(spark, d)), f"{root}/_sent/submissions").where("error IS NULL")
+    entries = _stored(payloads.declared(payloads.entries(checked)), f"{root}/_sent/declared").withColumnRenamed("offline_id", "image_id")
     for batch, half in (("0001", F.col("image_id") % 2 == 0), ("0002", F.col("image_id") % 2 == 1), ("0002", F.lit(True))):
         requests = checked.withColumnRenamed("offline_id", "image_id").where(half)
-        declared = payloads.declared(payloads.entries(checked)).withColumnRenamed("offline_id", "image_id").where(half)
-        register(ledger, batch, requests.drop("payload", "error"), declared, views.stores(spark, d), views.users(spark, d), dimensions.rules(spark))
+        register(ledger, batch, requests.drop("payload", "error"), entries.where(half), views.stores(spark, d), views.users(spark, d), dimensions.rules(spark))
     return ledger
 
 

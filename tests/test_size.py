@@ -1,7 +1,9 @@
 """Plans that have to hold on large tables: what is made of the parts is dealt over tasks and never gathered on the driver."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from shelfmark.operators.ledger import Ledger, numbered
 from shelfmark.plans import catalog
 from shelfmark.sources import labels, submissions, tables
 from shelfmark.sources.fields import fields
@@ -20,3 +22,22 @@ def test_parts_are_dealt_into_bounded_partitions(spark, monkeypatch):
 def test_rows_of_parts_are_not_broadcast(spark, name):
     """These read the parts alone, and so small here that a side that may be broadcast is."""
     assert "BroadcastExchange" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["q_create_inspection", "q_created_audits", "q_inspection_documents", "q_inspection_detail", "q_officer_resolution", "q_new_stores"])
+def test_stores_and_users_are_not_broadcast(spark, name):
+    """What is broadcast of the registry's tables is one row, or the nations; these files would be small enough."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and ("store_id" in line or "officer" in line)]
+    assert joins and all("strategy=merge" in line for line in joins)
+
+
+def test_ledger_tables_are_not_broadcast(spark, tmp_path):
+    """Thousands of equal rows make a file of some kilobytes."""
+    ledger = Ledger(spark, f"file://{tmp_path}/l")
+    rows = spark.range(1000).select("id", F.lit("the same").alias("said"))
+    assert ledger.publish("1", {"t": rows})
+    made = numbered(rows, ["id"], "n", f"file://{tmp_path}/n")
+    for right in (ledger.read("t"), made):
+        plan = rows.withColumnRenamed("said", "x").join(right, "id", "left")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [id" in plan
