@@ -50,10 +50,12 @@ def inspection_documents(inspections: DataFrame, stores: DataFrame, users: DataF
 
     A store or an officer that is not there is a null struct; without declarations or violations the array is empty.
     Declarations are of the inspection's image. Each side is put together before the join, so a joined row is a whole one.
+    For one inspection, all sides are cut down to its rows first.
     """
     if inspection_id is not None:
         inspections, violations = (df.where(F.col("inspection_id") == inspection_id) for df in (inspections, violations))
-        declarations = declarations.join(F.broadcast(inspections.select("image_id")), "image_id", "left_semi")  # one row
+        of_it = lambda df, column, key: df.join(F.broadcast(inspections.select(F.col(column).alias(key))), key, "left_semi")  # noqa: E731  one row
+        declarations, stores, users = of_it(declarations, "image_id", "image_id"), of_it(stores, "store_id", "store_id"), of_it(users, "officer_id", "user_id")
     nested = lambda df, key, columns, name: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
     decs = nested(declarations, "image_id", ["field_name", "detected_value", "is_present", "stored_confidence", "readability"], "declarations")
     viols = nested(violations, "inspection_id", ["rule_code", "category", "severity", "amount"], "violations")

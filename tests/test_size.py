@@ -41,3 +41,9 @@ def test_ledger_tables_are_not_broadcast(spark, tmp_path):
     for right in (ledger.read("t"), made):
         plan = rows.withColumnRenamed("said", "x").join(right, "id", "left")._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin [id" in plan
+
+
+def test_one_inspection_cuts_all_sides_down_first(spark):
+    """Declarations, stores and users: else all stores and users are sorted, or broadcast, for one row."""
+    plan = catalog.QUERIES["q_inspection_by_id"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 3
