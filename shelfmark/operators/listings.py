@@ -50,7 +50,8 @@ def inspection_documents(inspections: DataFrame, stores: DataFrame, users: DataF
 
     A store or an officer that is not there is a null struct; without declarations or violations the array is empty.
     Declarations are of the inspection's image. Each side is put together before the join, so a joined row is a whole one.
-    For one inspection, all sides are cut down to its rows first.
+    Stores and officers are joined while rows are narrow, the arrays after them, so each array is moved once at most. For
+    one inspection, all sides are cut down to its rows first.
     """
     if inspection_id is not None:
         inspections, violations = (df.where(F.col("inspection_id") == inspection_id) for df in (inspections, violations))
@@ -61,7 +62,7 @@ def inspection_documents(inspections: DataFrame, stores: DataFrame, users: DataF
     viols = nested(violations, "inspection_id", ["rule_code", "category", "severity", "amount"], "violations")
     store = stores.select("store_id", F.struct("store_id", "store_code", "store_name", "fssai_license", "city").alias("store"))
     officer = users.select(F.col("user_id").alias("officer_id"), F.struct("user_id", "officer_code", "full_name").alias("officer"))
-    rows = inspections.join(viols, "inspection_id", "left").join(decs, "image_id", "left").join(store, "store_id", "left").join(officer, "officer_id", "left")
+    rows = inspections.join(store, "store_id", "left").join(officer, "officer_id", "left").join(viols, "inspection_id", "left").join(decs, "image_id", "left")
     empty = lambda df, name: F.coalesce(name, F.array().cast(df.schema[name].dataType)).alias(name)
     return rows.select("inspection_id", "inspection_number", "store", "officer", "category", "compliance_status", "score_tenths", F.date_format("created_at", "yyyy-MM-dd HH:mm").alias("created_text"),
                        "officer_verified", "supervisor_status", "fee", "image_path", "evidence_image_path", "sync_status", empty(decs, "declarations"), empty(viols, "violations"))

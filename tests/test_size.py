@@ -47,3 +47,10 @@ def test_one_inspection_cuts_all_sides_down_first(spark):
     """Declarations, stores and users: else all stores and users are sorted, or broadcast, for one row."""
     plan = catalog.QUERIES["q_inspection_by_id"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftSemi") == 3
+
+
+def test_arrays_of_inspections_are_moved_once(spark):
+    """The declarations are joined last, the violations before them, after stores and officers."""
+    plan = catalog.QUERIES["q_inspection_documents"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [next(k for k in ("image_id", "inspection_id", "store_id", "officer_id") if k in line) for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert joins == ["image_id", "inspection_id", "officer_id", "store_id"]
