@@ -1,13 +1,17 @@
-"""Connected components of a graph given as edges, by local contraction: every node goes to the neighbour that a seeded hash puts first."""
+"""Connected components of a graph given as edges, by local contraction: every node goes to the neighbour that a seeded hash puts first; a bounded rest is one task's."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.skew import join_counted, most_rows
 from shelfmark.llm.storage import drop, measured, written
 
+EDGES_AT_ONCE = 50_000  # edges that one task finishes on its own
+
 
 def _measured(df: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int]]:
     """A table with a count ``n`` in each row, written; the sum of the counts and the largest."""
@@ -37,6 +41,32 @@ def _contracted(left: DataFrame, hops: DataFrame, known: tuple[int, int]) -> tup
     return out, found.get("n", 0)
 
 
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different nodes of the edges from ``a`` to ``b``, and of each the smallest that it is connected with."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = list(range(len(nodes)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+        x, y = root(x), root(y)
+        up[max(x, y)] = min(x, y)
+    return nodes, nodes[np.array([root(x) for x in range(len(nodes))], np.int64)]
+
+
+def _finished(left: DataFrame) -> DataFrame:
+    """Rows (node, to) for the nodes of ``left``, EDGES_AT_ONCE edges at most: the smallest node that each is connected with."""
+    def run(batches):
+        table = pa.Table.from_batches(batches, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        node, to = roots(table["a"].to_numpy(), table["b"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(to, pa.int64())], ["node", "to"])
+
+    return written(left.select("a", "b").coalesce(1).mapInArrow(run, "node long, to long"), "finished")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """Rows (a, b) of longs to rows (node, component): the smallest node that can be reached, for every node of an edge.
 
@@ -44,20 +74,27 @@ def connected(edges: DataFrame) -> DataFrame:
     where they went in the edges' places. That keeps what is connected with what, and as no order of names matters, the
     nodes shrink by a constant factor a round on average (a half on a chain, more where nodes have more edges). Two
     jobs make a round; that edges are left, and how many edges a node has, is measured while tables are written, and
-    is all that comes to the driver. A node with any number of edges, and a component of any size, fills no task. Loops
-    and repeated edges do no harm; null ends are dropped.
+    is all that comes to the driver. A node with any number of edges, and a component of any size, fills no task. Once
+    EDGES_AT_ONCE edges are left, however many there were, one task joins those, as each round more is two jobs here and
+    two on the way back. Loops and repeated edges do no harm; null ends are dropped.
     """
     left, found = measured(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", n=F.count(F.lit(1)))
     n, rounds = found.get("n", 0), []
-    while n:
+    while n > EDGES_AT_ONCE:
         hops, known = _hops(left, len(rounds))
         rest, n = _contracted(left, hops, known)
         rounds.append(hops)
         drop(left)
         left = rest
-    if not rounds:
+    if n:
+        last = _finished(left)
+        drop(left)
+        if not rounds:
+            return last.select("node", F.col("to").alias("component"))
+    elif not rounds:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
-    last = rounds.pop()
+    else:
+        last = rounds.pop()
     labels = last.select("node", F.col("to").alias("component"))
     for hops in reversed(rounds):  # where a node went may have gone on in later rounds
         went = hops.groupBy("to").agg(F.count(F.lit(1)).alias("n"))

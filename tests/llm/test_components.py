@@ -47,3 +47,15 @@ def test_components(spark, monkeypatch, name):
     got = components.connected(spark.createDataFrame(GRAPHS[name], "a long, b long"))
     assert sorted(map(tuple, got.collect())) == brute(GRAPHS[name])
     assert len(rounds) <= 22  # 2 log2 of 2,000
+
+
+@pytest.mark.parametrize("at_once", [0, 100])
+@pytest.mark.parametrize("name", GRAPHS)
+def test_components_in_rounds(spark, monkeypatch, name, at_once):
+    monkeypatch.setattr(components, "EDGES_AT_ONCE", at_once)
+    test_components(spark, monkeypatch, name)
+
+
+def test_few_edges_take_no_round(spark, monkeypatch):
+    monkeypatch.setattr(components, "_hops", None)
+    assert sorted(map(tuple, components.connected(spark.createDataFrame(PATH, "a long, b long")).collect())) == brute(PATH)
