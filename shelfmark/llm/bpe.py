@@ -17,6 +17,7 @@ import pyarrow as pa
 from shelfmark.llm import words
 
 KEPT_CUTS = 400_000  # different cuts whose ids a worker keeps; beyond it starts anew
+SLOT_BITS = 21  # slots in which a known cut is looked for first: 2 ** this
 CHUNK_BYTES = 4 << 20  # of text encoded in one go
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 _KIND = np.full(256, OTHER, np.uint8)
@@ -65,6 +66,7 @@ class Encoder:
     def _clear(self) -> None:
         self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes of the cuts, sorted, and their numbers
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.slots, self.hashes = np.full(1 << SLOT_BITS, -1, np.int32), np.zeros(0, np.uint64)  # by a hash's first bits, one cut's number; each number's hash
         self.said, self.said_at, self.said_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)  # the cuts' own bytes
 
     def _learn(self, keys: np.ndarray, cuts: list[bytes]) -> None:
@@ -76,12 +78,36 @@ class Encoder:
         self.said_size = np.append(self.said_size, sizes)
         self.said = np.append(self.said, np.frombuffer(b"".join(cuts), np.uint8))
         at = np.searchsorted(self.keys, keys)
-        self.place = np.insert(self.place, at, len(self.keys) + np.arange(len(keys)))
+        numbers = len(self.keys) + np.arange(len(keys))
+        self.place = np.insert(self.place, at, numbers)
         self.keys = np.insert(self.keys, at, keys)
+        self.hashes = np.append(self.hashes, keys)
+        slot = keys >> np.uint64(64 - SLOT_BITS)
+        empty = self.slots[slot] < 0
+        self.slots[slot[empty]] = numbers[empty]
         self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lengths) - lengths)
         self.lengths = np.append(self.lengths, lengths)
         self.ids = np.append(self.ids, np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum())))
 
+    def _numbers(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The numbers of cuts by their hashes; new ones are learnt. What isn't in its slot is sorted and looked for among all."""
+        number = self.slots[h >> np.uint64(64 - SLOT_BITS)].astype(np.int64)
+        if len(self.hashes):
+            rest = np.flatnonzero((number < 0) | (self.hashes[number] != h))
+        else:
+            rest = np.arange(len(h))
+        if len(rest):
+            keys, first, which = np.unique(h[rest], return_index=True, return_inverse=True)
+            at = np.searchsorted(self.keys, keys)
+            known = np.zeros(len(keys), bool)
+            if len(self.keys):
+                known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
+            new = np.flatnonzero(~known)
+            raw, first = data.tobytes(), rest[first[new]]
+            self._learn(keys[new], [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+            number[rest] = self.place[np.searchsorted(self.keys, keys)][which]
+        return number
+
     def _mixed(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``encode``, with the texts of ``whole`` given to the library and the others each on its own."""
         out = []
@@ -111,15 +137,7 @@ class Encoder:
             size = ends - starts
             inside = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum()) if hard.any() else slice(int(starts[0]), len(data))
             h = words.run_hashes(data[inside], size)
-            keys, first, which = np.unique(h, return_index=True, return_inverse=True)
-            at = np.searchsorted(self.keys, keys)
-            known = np.zeros(len(keys), bool)
-            if len(self.keys):
-                known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
-            new = np.flatnonzero(~known)
-            raw = data.tobytes()
-            self._learn(keys[new], [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            number = self.place[np.searchsorted(self.keys, keys)][which]
+            number = self._numbers(h, data, starts, ends)
             # cuts of one hash that are not the same bytes: their texts go to the library
             other = self.said_size[number] != size
             if not other.any():

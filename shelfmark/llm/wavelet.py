@@ -39,11 +39,12 @@ class WaveletMatrix:
         x = ids.astype(np.uint16 if width <= 16 else np.uint32)
         planes, ranks, zeros = [], [], []
         for level in range(width - 1, -1, -1):
-            bit = (x >> level & 1).astype(bool)
+            bit = (x & x.dtype.type(1 << level)) != 0
             planes.append(np.packbits(bit))
             ranks.append(cls._count(planes[-1], len(x)))
-            zeros.append(len(x) - int(bit.sum()))
-            x = np.concatenate([x[~bit], x[bit]])
+            ones = np.flatnonzero(bit)
+            zeros.append(len(x) - len(ones))
+            x = np.concatenate([x[np.flatnonzero(~bit)], x[ones]])
         return cls(len(ids), planes, ranks, zeros)
 
     @staticmethod
@@ -105,9 +106,9 @@ class WaveletMatrix:
         """All ids, from the lowest plane up."""
         x = np.zeros(self.n, np.uint32 if len(self.planes) > 16 else np.uint16)
         for place, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
-            bit = np.unpackbits(plane)[: self.n].astype(bool)
+            bit = np.unpackbits(plane)[: self.n].view(bool)
             above = np.empty_like(x)
-            above[~bit], above[bit] = x[:zeros], x[zeros:] | x.dtype.type(1 << place)
+            above[np.flatnonzero(~bit)], above[np.flatnonzero(bit)] = x[:zeros], x[zeros:] | x.dtype.type(1 << place)
             x = above
         return x
 

@@ -215,3 +215,20 @@ def test_lengths_out_of_range(spark):
     for bad in ("0", "101", "NULL"):
         with pytest.raises(Exception, match="no length"):
             packing.best_fit(spark.sql(f"SELECT 1L doc_id, 0 piece, CAST({bad} AS BIGINT) length"), 100).collect()
+
+
+def test_known_cuts_are_found_in_their_slots(monkeypatch):
+    texts = [t or "" for t in ODD + sample()]
+    (chunk,) = words.chunks(pa.array(texts, pa.string()), 1 << 30)
+    enc = bpe.Encoder(PATH)
+    want = enc.encode(*chunk[2:])
+    unique, sorted_again = np.unique, []
+    monkeypatch.setattr(bpe.np, "unique", lambda h, **how: sorted_again.append(len(h)) or unique(h, **how))
+    for a, b in zip(want, enc.encode(*chunk[2:]), strict=True):
+        assert (a == b).all()
+    assert sum(sorted_again) < len(want[0]) / 20  # those alone whose slot another cut has
+
+
+def test_cuts_that_share_slots(monkeypatch):
+    monkeypatch.setattr(bpe, "SLOT_BITS", 2)
+    test_ids_equal_the_library()
