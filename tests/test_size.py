@@ -54,3 +54,13 @@ def test_arrays_of_inspections_are_moved_once(spark):
     plan = catalog.QUERIES["q_inspection_documents"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     joins = [next(k for k in ("image_id", "inspection_id", "store_id", "officer_id") if k in line) for line in plan.splitlines() if "Join LeftOuter" in line]
     assert joins == ["image_id", "inspection_id", "officer_id", "store_id"]
+
+
+def test_dates_are_looked_for_once(spark):
+    from pyspark.sql import functions as F
+
+    from shelfmark.functions import scalars
+
+    dates = spark.range(1).select(scalars.parse_date(F.col("id").cast("string")).alias("d"))
+    plan = dates._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("regexp_extract(") <= 7
