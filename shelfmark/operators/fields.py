@@ -18,10 +18,24 @@ def edits(fields: DataFrame) -> DataFrame:
     return fields.select("image_id", "field_name", edit.alias("edit")).where("edit IS NOT NULL")
 
 
+def _with_found(fields: DataFrame, found: DataFrame) -> DataFrame:
+    """``fields`` with the other columns of ``found``, a left join by image_id and field_name that leaves fields where they are.
+
+    Fields are dealt by image, and Spark would deal them anew for a join with two keys, into as many partitions as the
+    session has, however many rows there are. So what was found is gathered by image (a few rows at most), and each field
+    takes its own from there.
+    """
+    more = [c for c in found.columns if c not in ("image_id", "field_name")]
+    per = found.groupBy("image_id").agg(F.collect_list(F.struct("field_name", *more)).alias("_found"))
+    own = F.filter("_found", lambda x: x["field_name"] == F.col("field_name"))
+    rows = fields.join(per, "image_id", "left").select(*fields.columns, F.explode_outer(own).alias("_own"))
+    return rows.select(*fields.columns, *(F.col("_own")[c].alias(c) for c in more))
+
+
 def verified_declarations(fields: DataFrame, edits: DataFrame) -> DataFrame:
     """Declarations after an officer's review: an edit that says something else replaces the value, is marked, and is sure (100)."""
     changed = F.col("edit").isNotNull() & ~F.col("edit").eqNullSafe(F.col("value"))
-    return fields.join(edits, ["image_id", "field_name"], "left").select(
+    return _with_found(fields, edits).select(
         "image_id", "field_name", F.when(changed, F.col("edit")).otherwise(F.col("value")).alias("detected_value"), changed.alias("is_officer_edited"),
         F.when(changed, F.lit(100)).otherwise(F.col("confidence")).cast("long").alias("confidence"))
 
@@ -65,7 +79,7 @@ def external_merge(fields: DataFrame, verification: DataFrame) -> DataFrame:
     """
     checked = F.col("checked").isNotNull()
     found = lambda new, old: F.coalesce(F.nullif(F.col(new), F.lit("")), F.col(old))
-    return fields.join(verification.withColumn("checked", F.lit(True)), ["image_id", "field_name"], "left").select(
+    return _with_found(fields, verification.withColumn("checked", F.lit(True))).select(
         "image_id", "field_name", F.coalesce("seen", "value").alias("value"), found("seen_raw", "raw_text").alias("raw_text"),
         F.when(checked, F.greatest(F.coalesce("confidence", F.lit(0)), F.lit(95))).otherwise(F.col("confidence")).alias("confidence"),
         found("seen_status", "status").alias("status"), F.nullif(F.col("seen_notes"), F.lit("")).alias("visual_notes"),

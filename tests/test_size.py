@@ -64,3 +64,21 @@ def test_dates_are_looked_for_once(spark):
     dates = spark.range(1).select(scalars.parse_date(F.col("id").cast("string")).alias("d"))
     plan = dates._jdf.queryExecution().analyzed().toString().lower()
     assert plan.count("regexp_extract(") <= 7
+
+
+@pytest.mark.parametrize("name", ["q_report_rows", "q_external_merge", "q_verified_declarations", "q_verify_reeval", "q_reports_regenerated", "q_verify_inspection"])
+def test_fields_stay_with_their_image(spark, name):
+    """Dealt by image and field they would be in as many partitions as the session has, at any size of the table."""
+    query = catalog.QUERIES["q_report_documents" if name == "q_reports_regenerated" else name]
+    plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert dealt and not any("field_name" in line for line in dealt)
+
+
+def test_findings_are_taken_as_a_join_takes_them(spark):
+    from shelfmark.operators import fields as field_ops
+
+    rows = spark.createDataFrame([(1, "mrp", "5"), (1, "batch", "b"), (1, None, "n"), (2, "mrp", None), (None, "mrp", "x")], "image_id long, field_name string, value string")
+    found = spark.createDataFrame([(1, "mrp", "6"), (1, "mrp", None), (1, None, "7"), (None, "mrp", "8"), (3, "mrp", "9")], "image_id long, field_name string, edit string")
+    want = rows.join(found, ["image_id", "field_name"], "left").select(*rows.columns, "edit")
+    assert sorted(map(str, field_ops._with_found(rows, found).collect())) == sorted(map(str, want.collect()))
