@@ -33,21 +33,22 @@ def documents(inspections: DataFrame, fields: DataFrame) -> DataFrame:
     score, status, ``declarations`` (a row for each of SHOWN), ``violations``, fee and prosecution as said, and the report's digest.
 
     ``fields``: image_id, field_name (once an image), value, raw_text, status, confidence in hundredths, source_model. An
-    inspection without fields has a report all the same. Of the digest's five parts the last is the whole fee.
+    inspection without fields has a report all the same. Of the digest's five parts the last is the whole fee. Fields are
+    gathered once, to a row an image, and all that is said of them is made from that row.
     """
-    every = inspections.select("image_id").join(fields, "image_id", "left")
-    entry = F.struct("value", "status", "confidence", "source_model")
-    named = fields.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("field_name", entry))).alias("fields"))  # at most an entry a field
-    wide = rules.wide(every)
-    said = F.struct("place", "rule_code", "legal_reference", "issue", "severity", F.concat(F.lit("₹"), F.format_number("amount", 0)).alias("fee"))
-    found = rules.documents(wide).groupBy("image_id").agg(F.sort_array(F.collect_list(said)).alias("violations"))  # at most one a template
-    rows = inspections.join(rules.evaluate(wide), "image_id").join(named, "image_id", "left").join(found, "image_id", "left")
+    names = [name for name, _ in SHOWN]  # the rules' fields are among them
+    entry = F.struct("value", "raw_text", "status", "confidence", "source_model")
+    named = fields.groupBy("image_id").pivot("field_name", names).agg(F.first(entry))
+    wide = rules.spread(inspections.join(named, "image_id", "left"))
+    said = lambda v, i: F.struct(
+        i.cast("long").alias("place"), v["rule_code"].alias("rule_code"), v["legal_reference"].alias("legal_reference"), v["issue"].alias("issue"), v["severity"].alias("severity"),
+        F.concat(F.lit("₹"), F.format_number(v["amount"], 0)).alias("fee"))
+    rows = rules.evaluate(wide.withColumns({"fields": F.struct(*names), "violations": F.transform(rules.found(), said)}), ["inspection_number", "store_code", "category", "fields", "violations"])
     score = F.concat((F.col("score_tenths") / 10).cast("long").cast("string"), F.lit("."), (F.col("score_tenths") % 10).cast("string"))
     fee = F.col("estimated_fee").cast("long")
-    none = F.array().cast(found.schema["violations"].dataType)
     return rows.select(
         "inspection_number", F.coalesce(F.nullif(F.col("fields")["product_name"]["value"], F.lit("")), F.lit("Packaged Commodity")).alias("product_name"), "category",
-        score.alias("compliance_score"), "compliance_status", F.array(*(_row(*x) for x in SHOWN)).alias("declarations"), F.coalesce("violations", none).alias("violations"),
+        score.alias("compliance_score"), "compliance_status", F.array(*(_row(*x) for x in SHOWN)).alias("declarations"), "violations",
         F.concat(F.lit("₹"), F.format_number(fee, 0)).alias("compounding_fee"), F.when(F.col("prosecution_recommended"), PROSECUTE).otherwise(COMPOUND).alias("prosecution"),
         F.sha2(F.concat_ws("|", "inspection_number", "store_code", score, F.col("violations_count").cast("string"), F.concat(fee.cast("string"), F.lit(".0"))), 256).alias("digest"))
 
@@ -64,5 +65,5 @@ def written(documents: DataFrame, path: str) -> DataFrame:
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         missing = documents.join(spark.read.schema("inspection_number string").json(path).select("inspection_number"), "inspection_number", "left_anti")
     dealt = missing.withColumn("bucket", F.pmod(F.crc32("inspection_number"), F.lit(BUCKETS)).cast("int"))
-    dealt.repartition("bucket").write.mode("append").option("maxRecordsPerFile", PER_FILE).partitionBy("bucket").json(path)
+    dealt.repartition(BUCKETS, "bucket").write.mode("append").option("maxRecordsPerFile", PER_FILE).partitionBy("bucket").json(path)
     return spark.read.schema(documents.schema).json(path).select(documents.columns)

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.operators import creation, reports
 from shelfmark.operators import fields as field_ops
-from shelfmark.operators import reports
 from shelfmark.plans import rule_queries, statutory
-from shelfmark.plans.creation_queries import created, created_sql
+from shelfmark.plans.creation_queries import created_sql
+from shelfmark.sources import registry_views as views
 from shelfmark.sources.shared import shared_path
-from shelfmark.sources.submissions import requested_fields
+from shelfmark.sources.submissions import requested_fields, requests
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     fields = requested_fields(spark, d)
-    return reports.documents(created(spark, d).select("image_id", "inspection_number", "store_code", "category"), field_ops.external_merge(fields, field_ops.sample_verification(fields)))
+    return reports.documents(creation.heads(requests(spark, d), views.stores(spark, d)), field_ops.external_merge(fields, field_ops.sample_verification(fields)))
 
 
 def _flat(docs: DataFrame) -> DataFrame:

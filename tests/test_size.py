@@ -82,3 +82,9 @@ def test_findings_are_taken_as_a_join_takes_them(spark):
     found = spark.createDataFrame([(1, "mrp", "6"), (1, "mrp", None), (1, None, "7"), (None, "mrp", "8"), (3, "mrp", "9")], "image_id long, field_name string, edit string")
     want = rows.join(found, ["image_id", "field_name"], "left").select(*rows.columns, "edit")
     assert sorted(map(str, field_ops._with_found(rows, found).collect())) == sorted(map(str, want.collect()))
+
+
+def test_reports_gather_fields_once(spark):
+    """Fields and what was verified of them are each made from the parts once, and no rules are evaluated beside the report's."""
+    plan = catalog.QUERIES["q_report_documents"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(array(") == 2 and "c_custkey" not in plan
