@@ -38,7 +38,7 @@ def documents(inspections: DataFrame, fields: DataFrame) -> DataFrame:
     """
     names = [name for name, _ in SHOWN]  # the rules' fields are among them
     entry = F.struct("value", "raw_text", "status", "confidence", "source_model")
-    named = fields.groupBy("image_id").pivot("field_name", names).agg(F.first(entry))
+    named = fields.groupBy("image_id").pivot("field_name", names).agg(F.first(entry)).hint("merge")
     wide = rules.spread(inspections.join(named, "image_id", "left"))
     said = lambda v, i: F.struct(
         i.cast("long").alias("place"), v["rule_code"].alias("rule_code"), v["legal_reference"].alias("legal_reference"), v["issue"].alias("issue"), v["severity"].alias("severity"),

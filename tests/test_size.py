@@ -88,3 +88,19 @@ def test_reports_gather_fields_once(spark):
     """Fields and what was verified of them are each made from the parts once, and no rules are evaluated beside the report's."""
     plan = catalog.QUERIES["q_report_documents"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode(array(") == 2 and "c_custkey" not in plan
+
+
+@pytest.mark.parametrize("name", ["q_create_inspection"])
+def test_what_is_broadcast_is_not_made_of_parts(spark, name):
+    """Exploded rows, which Spark takes for as few as the parts were, failed on their way to the driver."""
+    lines = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    gathered, at = [], None
+    for line in lines:
+        if at is not None and depth(line) <= at:
+            at = None
+        if at is None and "BroadcastExchange" in line:
+            at = depth(line)
+        if at is not None:
+            gathered.append(line)
+    assert gathered and not any("Generate" in line or "p_partkey" in line for line in gathered)
