@@ -90,7 +90,7 @@ def test_reports_gather_fields_once(spark):
     assert plan.count("Generate explode(array(") == 2 and "c_custkey" not in plan
 
 
-@pytest.mark.parametrize("name", ["q_create_inspection"])
+@pytest.mark.parametrize("name", ["q_create_inspection", "q_created_audits"])
 def test_what_is_broadcast_is_not_made_of_parts(spark, name):
     """Exploded rows, which Spark takes for as few as the parts were, failed on their way to the driver."""
     lines = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
